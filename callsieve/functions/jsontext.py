@@ -26,20 +26,24 @@ def _col(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def parse_wrapped(text: Column | str) -> Column:
+    """VARIANT array holding the one JSON value of ``text``; NULL when it is not strict JSON."""
+    t = _col(text)
+    one_key = F.json_object_keys(F.concat(F.lit('{"v":'), t, F.lit("}")))
+    return F.when(one_key.isNotNull(), F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))))
+
+
 def parse_strict(text: Column | str) -> Column:
     """VARIANT of the single JSON value in ``text``; NULL when it is not strict JSON.
 
     JSON ``null`` gives a variant null, which is not SQL NULL.
     """
-    t = _col(text)
-    one_key = F.json_object_keys(F.concat(F.lit('{"v":'), t, F.lit("}")))
-    wrapped = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
-    return F.when(one_key.isNotNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+    return F.try_variant_get(parse_wrapped(text), "$[0]", "variant")
 
 
 def is_strict_json(text: Column | str) -> Column:
     """True iff the whole string is one JSON value; false for NULL."""
-    return parse_strict(text).isNotNull()
+    return parse_wrapped(text).isNotNull()
 
 
 def strip(text: Column | str) -> Column:

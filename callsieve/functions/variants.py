@@ -29,6 +29,11 @@ def fields(v: str) -> str:
     return f"try_variant_get({v}, '$', 'map<string,variant>')"
 
 
+def keys(v: str, path: str = "$") -> str:
+    """Keys of an object, NULL for anything else; the member values are not copied."""
+    return f"map_keys(try_variant_get({v}, {quote(path)}, 'map<string,struct<>>'))"
+
+
 def elements(v: str) -> str:
     """``ARRAY<VARIANT>`` of an array, NULL for anything else."""
     return f"try_variant_get({v}, '$', 'array<variant>')"
@@ -76,11 +81,13 @@ def kind_of(v: str, shape: str | None = None) -> str:
 def canonical(v: str, kind: str) -> str:
     """Text that is equal for equal JSON values: 1, 1.0 and 1e0 share it, "1" and true do not.
 
-    Numbers inside objects and arrays are normalised except for exponent notation.
+    Strings are put in quotes without escapes. Numbers inside objects and arrays are
+    normalised except for exponent notation.
     """
     return (
         f"CASE {kind} WHEN 'integer' THEN coalesce(string({whole_of(v)}), string({double_of(v)}))"
-        f" WHEN 'number' THEN string({double_of(v)}) ELSE to_json({v}) END"
+        f" WHEN 'number' THEN string({double_of(v)})"
+        f" WHEN 'string' THEN concat('\"', {string_of(v)}, '\"') ELSE to_json({v}) END"
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Row
 
 from callsieve.functions.labels import KEYWORD_RANK, OTHER_RANK
 from callsieve.functions.sqltext import number, quote, strings
-from callsieve.functions.variants import canonical, elements, fields, is_infinite, number_of, string_of
+from callsieve.functions.variants import canonical, is_infinite, number_of, string_of
 
 VIOLATION = "struct<held:boolean,depth:int,rank:int,path:array<string>,keyword:string,detail:string>"
 NO_VIOLATION = f"cast(NULL AS {VIOLATION})"
@@ -21,22 +21,18 @@ NO_VIOLATIONS = f"cast(array() AS array<{VIOLATION}>)"
 
 @dataclass
 class Node:
-    """One position of a call: texts of path, value, type text, kind and members."""
+    """One position of a call: texts of path, value, type text, kind, keys and elements.
+
+    ``declared`` counts the declared properties that are present, where that is known.
+    """
 
     path: str
     v: str
     shape: str
     kind: str
-    m: str | None = None
-    a: str | None = None
-
-    @property
-    def members(self) -> str:
-        return self.m or fields(self.v)
-
-    @property
-    def parts(self) -> str:
-        return self.a or elements(self.v)
+    keys: str
+    parts: str
+    declared: str | None = None
 
     @property
     def json(self) -> str:
@@ -52,11 +48,18 @@ class JoinedRule:
     def get(self, demand: str) -> str | None:
         return f"{self.expression}.{demand}"
 
+    def guard(self, demand: str) -> str:
+        return f"{self.get(demand)} IS NOT NULL AND "
+
     def fits(self, kind: str) -> str:
         allowed = self.get("type")
         whole = f"{kind} = 'integer' AND array_contains({allowed}, 'number')"
         return f"(array_contains({allowed}, {kind}) OR ({whole}))"
 
+    def among(self, demand: str, node: Node) -> str:
+        listed = self.get("enum") if demand == "enum" else f"array({self.get('const')})"
+        return f"array_contains({listed}, {canonical(node.v, node.kind)})"
+
 
 class LiteralRule:
     """A rule known when the query is built: absent demands give no check at all."""
@@ -68,9 +71,11 @@ class LiteralRule:
         value = self.rule[demand]
         if demand == "additional_allowed":
             return None if value else "false"
+        if demand == "property_names":
+            return strings(value)
         if value is None or value is False:
             return None
-        if demand == "property_names" or isinstance(value, list):
+        if isinstance(value, list):
             return strings(value)
         if isinstance(value, Row):
             whole, approx = number(value["whole"], "decimal(38,0)"), number(value["approx"], "double")
@@ -79,10 +84,22 @@ class LiteralRule:
             return "true"
         return str(value) if isinstance(value, int) else quote(value)
 
+    def guard(self, demand: str) -> str:
+        return ""
+
     def fits(self, kind: str) -> str:
         allowed = [*self.rule["type"], *(["integer"] if "number" in self.rule["type"] else [])]
         return f"{kind} IN ({', '.join(quote(t) for t in allowed)})"
 
+    def among(self, demand: str, node: Node) -> str:
+        values = self.rule["enum"] if demand == "enum" else [self.rule["const"]]
+        if not values:
+            return f"({node.kind} IS NULL)"
+        if all(v.startswith('"') for v in values):
+            listed = ", ".join(quote(v[1:-1]) for v in values)
+            return f"({node.kind} = 'string' AND {string_of(node.v)} IN ({listed}))"
+        return f"{canonical(node.v, node.kind)} IN ({', '.join(quote(v) for v in values)})"
+
 
 def violation(node: Node, keyword: str, detail: str, held: bool = False) -> str:
     rank = KEYWORD_RANK.get(keyword, OTHER_RANK)
@@ -117,23 +134,24 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
             test, words = fails.replace("{it}", value), detail.replace("{it}", value)
             out.append(f"if({test}, {violation(node, keyword, words, held)}, NULL)")
 
+    def check_if_present(demand: str, fails: str, keyword: str, detail: str) -> None:
+        check(demand, rule.guard(demand) + fails, keyword, detail)
+
     if rule.get("type") is not None:
         fits = rule.fits(node.kind)
         check("type", f"NOT {fits}", "type", f"concat({node.json}, ' is not of type ', {_quoted('{it}')})")
-    same = canonical(node.v, node.kind)
-    check(
-        "enum",
-        f"NOT array_contains({{it}}, {same})",
-        "enum",
-        f"concat({node.json}, ' is not one of [', array_join({{it}}, ', '), ']')",
-    )
-    check("const", f"{{it}} <> {same}", "const", "concat({it}, ' was expected')")
+    if rule.get("enum") is not None:
+        listed = f"concat({node.json}, ' is not one of [', array_join({{it}}, ', '), ']')"
+        check_if_present("enum", f"NOT {rule.among('enum', node)}", "enum", listed)
+    if rule.get("const") is not None:
+        check_if_present("const", f"NOT {rule.among('const', node)}", "const", "concat({it}, ' was expected')")
 
     if rule.get("additional_allowed") is not None:
-        extra = f"array_except(map_keys({node.members}), {rule.get('property_names') or strings([])})"
+        extra = f"array_except({node.keys}, {rule.get('property_names')})"
+        surplus = f"size({node.keys}) > {node.declared}" if node.declared else f"size({extra}) > 0"
         check(
             "additional_allowed",
-            f"NOT {{it}} AND {node.kind} = 'object' AND size({extra}) > 0",
+            f"NOT {{it}} AND {node.kind} = 'object' AND {surplus}",
             "additionalProperties",
             f"concat('Additional properties are not allowed (', {_quoted(f'array_sort({extra})')},"
             f" if(size({extra}) = 1, ' was', ' were'), ' unexpected)')",
@@ -146,15 +164,15 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
             "properties",
             "Properties",
             "object",
-            f"size({node.members})",
+            f"size({node.keys})",
             " does not have enough properties",
             " has too many properties",
         ),
     )
     for part, suffix, kind, size, few, many in sized:
         applies = f"{node.kind} = '{kind}'"
-        check(f"min_{part}", f"{applies} AND {size} < {{it}}", f"min{suffix}", f"concat({node.json}, '{few}')")
-        check(f"max_{part}", f"{applies} AND {size} > {{it}}", f"max{suffix}", f"concat({node.json}, '{many}')")
+        check_if_present(f"min_{part}", f"{applies} AND {size} < {{it}}", f"min{suffix}", f"concat({node.json}, '{few}')")
+        check_if_present(f"max_{part}", f"{applies} AND {size} > {{it}}", f"max{suffix}", f"concat({node.json}, '{many}')")
 
     bounds = (
         ("minimum", "minimum", "<", "less than the minimum"),
@@ -164,7 +182,7 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
     )
     for demand, keyword, operator, words in bounds:
         shown = "coalesce(string({it}.whole), string({it}.approx))"
-        check(
+        check_if_present(
             demand,
             _beyond(node, "{it}", operator),
             keyword,
@@ -172,7 +190,7 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
         )
 
     # (?U): classes are Unicode; (?d): only a newline ends a line.
-    check(
+    check_if_present(
         "pattern",
         f"{node.kind} = 'string' AND NOT {string_of(node.v)} RLIKE concat('(?Ud)', {{it}})",
         "pattern",

@@ -19,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from callsieve.functions.jsontext import lenient_text, parse_strict
+from callsieve.functions.jsontext import lenient_text, parse_wrapped
 from callsieve.functions.labels import OTHER, category_of, json_error_message, schema_error_message
 from callsieve.functions.sqltext import name, quote, strings
-from callsieve.functions.variants import elements, fields, json_path, kind_of, shape_of
+from callsieve.functions.variants import elements, fields, json_path, keys, kind_of, shape_of
 from callsieve.operators.checks import (
     NO_VIOLATION,
     NO_VIOLATIONS,
@@ -32,9 +32,8 @@ from callsieve.operators.checks import (
     missing_key,
     node_checks,
 )
-from callsieve.operators.nodes import walk
 from callsieve.operators.salting import join_unique
-from callsieve.operators.schemas import MAX_DEPTH, NO_SCHEMA, compile_schemas
+from callsieve.operators.schemas import MAX_DEPTH, NO_SCHEMA, compile_schemas, escape_key
 from callsieve.session import materialise
 
 # Fixed limits for choosing how rules reach the rows.
@@ -43,19 +42,22 @@ INLINE_RULES = 160
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def _needs_members(rule: Row) -> bool:
+def _needs_keys(rule: Row) -> bool:
+    """Objects are opened for their keys only, so that large values are not copied."""
     counted = rule["min_properties"] is not None or rule["max_properties"] is not None
-    return bool(rule["required"]) or not rule["additional_allowed"] or counted
+    return bool(rule["required"] or rule["property_names"]) or not rule["additional_allowed"] or counted
 
 
 def _inside_array(rule: Row) -> bool:
     return "*" in rule["at"].split("/")
 
 
-def _literal_checks(node: Node, rule: Row) -> list[str]:
+def _literal_checks(node: Node, rule: Row, present: dict[str, str]) -> list[str]:
+    """``present`` gives a test for each key whose presence is already known."""
     checks = node_checks(node, LiteralRule(rule))
     for key in rule["required"] or []:
-        gone = f"{node.kind} = 'object' AND NOT map_contains_key({node.members}, {quote(key)})"
+        has = present.get(key) or f"array_contains({node.keys}, {quote(key)})"
+        gone = f"{node.kind} = 'object' AND NOT {has}"
         checks.append(f"if({gone}, {missing_key(node, quote(key))}, NULL)")
     return checks
 
@@ -93,18 +95,25 @@ class _InlineRules:
         return df.selectExpr("*", f"CASE {ids} {cases} END AS __status")
 
     def find(self, df: DataFrame) -> DataFrame:
-        """Value, type and members of each fixed position once per row, then the checks."""
-        values, shapes, kinds = [], [], []
+        """Type, keys or value of each fixed position once per row, then the checks."""
+        opened, shapes, kinds = [], [], []
         for at, (i, ids) in self.slots.items():
             rules = [self.schemas[schema_id][at] for schema_id in ids]
-            here = ", ".join(quote(schema_id) for schema_id in ids)
-            path = quote(json_path(rules[0]["path"]))
-            values.append(f"if(schema_id IN ({here}), try_variant_get(__v, {path}, 'variant'), NULL) AS __v{i}")
-            shapes.append(f"{shape_of(f'__v{i}')} AS __s{i}")
-            if any(_needs_members(rule) for rule in rules):
-                shapes.append(f"{fields(f'__v{i}')} AS __m{i}")
-            kinds.append(f"{kind_of(f'__v{i}', f'__s{i}')} AS __k{i}")
-        for stage in (values, shapes, kinds):
+            here = f"schema_id IN ({', '.join(quote(schema_id) for schema_id in ids)})"
+            path = self._path(rules[0])
+            value = f"try_variant_get(__w, {quote(path)}, 'variant')"
+            shape = shape_of(f"__v{i}")
+            if any(_needs_keys(rule) for rule in rules):
+                opened.append(f"if({here}, {keys('__w', path)}, NULL) AS __o{i}")
+                whole = any(rule["has_container"] for rule in rules)
+                shape = f"if({here}, {shape_of(value)}, NULL)"
+                shape = shape if whole else f"if(__o{i} IS NULL, {shape}, 'OBJECT')"
+            else:
+                opened.append(f"if({here}, {value}, NULL) AS __v{i}")
+            shapes.append(f"{shape} AS __s{i}")
+            v = value if shape != shape_of(f"__v{i}") else f"__v{i}"
+            kinds.append(f"{kind_of(v, f'__s{i}')} AS __k{i}")
+        for stage in (opened, shapes, kinds):
             df = df.selectExpr("*", *stage)
         first, found = [], []
         for schema_id, rules in self.schemas.items():
@@ -121,15 +130,26 @@ class _InlineRules:
             "*", f"{by_schema(first, NO_VIOLATION)} AS __first", f"{by_schema(found, NO_VIOLATIONS)} AS __found"
         )
 
+    @staticmethod
+    def _path(rule: Row) -> str:
+        return "$[0]" + json_path(rule["path"])[1:]
+
     def _checks(self, rules: dict[str, Row]) -> tuple[list[str], list[str]]:
         single, several = [], []
+        opened = {at for at, (_, ids) in self.slots.items() if any(_needs_keys(self.schemas[s][at]) for s in ids)}
         for at, rule in rules.items():
             if _inside_array(rule):
                 continue
             i, _ = self.slots[at]
-            members = f"__m{i}" if _needs_members(rule) else None
-            node = Node(strings(rule["path"]), f"__v{i}", f"__s{i}", f"__k{i}", members)
-            single += _literal_checks(node, rule)
+            value = f"try_variant_get(__w, {quote(self._path(rule))}, 'variant')"
+            v, names = (value, f"__o{i}") if at in opened else (f"__v{i}", keys(f"__v{i}"))
+            below = {r["path"][-1]: a for a, r in rules.items() if r["path"] and r["path"][:-1] == rule["path"]}
+            present = {
+                key: f"(__s{self.slots[a][0]} IS NOT NULL)" for key, a in below.items() if a != f"{at}/*" and a in self.slots
+            }
+            declared = " + ".join(["0", *[f"int{test}" for test in present.values()]])
+            node = Node(strings(rule["path"]), v, f"__s{i}", f"__k{i}", names, elements(v), declared)
+            single += _literal_checks(node, rule, present)
             if f"{at}/*" in rules:
                 several.append(self._elements(rules, at, node.path, node.v, 0))
         return single, several
@@ -143,8 +163,8 @@ class _InlineRules:
     def _below(self, rules: dict[str, Row], at: str, path: str, v: str, level: int) -> str:
         rule = rules[at]
         shape = shape_of(v)
-        node = Node(path, v, shape, kind_of(v, shape))
-        found = [_gather(_literal_checks(node, rule))]
+        node = Node(path, v, shape, kind_of(v, shape), keys(v), elements(v))
+        found = [_gather(_literal_checks(node, rule, {}))]
         for other, child in rules.items():
             if not other.startswith(f"{at}/") or len(child["path"]) != len(rule["path"]) + 1:
                 continue
@@ -159,13 +179,19 @@ class _InlineRules:
 
 
 class _JoinedRules:
-    """Rules brought by a join on ``schema_id``; positions are looked up in a map."""
+    """Rules brought by a join on ``schema_id``; positions are looked up in a map.
 
-    def __init__(self, compiled: DataFrame, max_depth: int, broadcast_bytes: int):
-        self.max_depth = max_depth
+    The value is walked along with its rules, as deep as the deepest rule of the catalog;
+    parts without rules are not opened. It is one expression, so rows are copied only once.
+    """
+
+    def __init__(self, compiled: DataFrame, broadcast_bytes: int):
         self.compiled = materialise(compiled, "schemas")
-        size = F.sum(F.length(F.to_json(F.struct("schema_id", "rules"))))
-        self.broadcast = (self.compiled.agg(size).first()[0] or 0) <= broadcast_bytes
+        size = F.sum(F.length(F.to_json(F.struct("schema_id", "rules")))).alias("size")
+        depth = F.max(F.expr("array_max(transform(rules, r -> size(r.path)))")).alias("depth")
+        measured = self.compiled.agg(size, depth).first()
+        self.broadcast = (measured["size"] or 0) <= broadcast_bytes
+        self.depth = measured["depth"] or 0
 
     def attach(self, df: DataFrame) -> DataFrame:
         rules = self.compiled.selectExpr(
@@ -179,22 +205,57 @@ class _JoinedRules:
         return join_unique(keyed, rules, "__sid", "left").drop("__sid")
 
     def find(self, df: DataFrame) -> DataFrame:
-        ruled = "coalesce(map_contains_key(__rules, {at}), false)"
-        df = walk(df, "__v", "__nodes", self.max_depth, ruled)
-        # Rule, type text and kind are looked up once per node and carried along.
-        known = (
-            f"transform(transform(__nodes, n -> named_struct('n', n, 'rule', __rules[n.at], 'shape', "
-            f"{shape_of('n.v')})), x -> named_struct('n', x.n, 'rule', x.rule, 'shape', x.shape, 'kind', "
-            f"{kind_of('x.n.v', 'x.shape')}))"
+        root = "array(named_struct('path', cast(array() AS array<string>), 'at', '', 'v', __w[0]))"
+        root = root.replace("__w[0]", "try_variant_get(__w, '$[0]', 'variant')")
+        found = f"flatten(transform({self._ruled(root, 0)}, c0 -> {self._violations(0)}))"
+        df = df.selectExpr("*", f"if(__w IS NOT NULL AND __status = 'ok', {found}, NULL) AS __found")
+        return df.selectExpr("*", "array_min(__found) AS __first")
+
+    @staticmethod
+    def _ruled(steps: str, level: int) -> str:
+        """Keep the steps that have a rule; add rule, members, elements, type text and kind."""
+        s = f"s{level}"
+        carried = f"'path', {s}.path, 'at', {s}.at, 'v', {s}.v, 'rule', {s}.rule"
+        ruled = (
+            f"filter(transform({steps}, {s} -> named_struct('path', {s}.path, 'at', {s}.at, 'v', {s}.v,"
+            f" 'rule', __rules[{s}.at])), {s} -> {s}.rule IS NOT NULL)"
+        )
+        split = (
+            f"transform({ruled}, {s} -> named_struct({carried}, 'm', {fields(f'{s}.v')}, 'a', {elements(f'{s}.v')}))"
         )
-        node = Node("y.n.path", "y.n.v", "y.shape", "y.kind", "y.n.m", "y.n.a")
+        carried += f", 'm', {s}.m, 'a', {s}.a"
+        shape = (
+            f"CASE WHEN {s}.rule.has_container THEN {shape_of(f'{s}.v')} WHEN {s}.m IS NOT NULL THEN 'OBJECT'"
+            f" WHEN {s}.a IS NOT NULL THEN 'ARRAY' ELSE {shape_of(f'{s}.v')} END"
+        )
+        typed = f"transform({split}, {s} -> named_struct({carried}, 'keys', map_keys({s}.m), 'shape', {shape}))"
+        carried += f", 'keys', {s}.keys, 'shape', {s}.shape"
+        return f"transform({typed}, {s} -> named_struct({carried}, 'kind', {kind_of(f'{s}.v', f'{s}.shape')}))"
+
+    def _violations(self, level: int) -> str:
+        """Violations at a node and below it."""
+        c, e = f"c{level}", f"e{level}"
+        node = Node(f"{c}.path", f"{c}.v", f"{c}.shape", f"{c}.kind", f"{c}.keys", f"{c}.a")
         missing = (
-            f"transform(filter(y.rule.required, k -> NOT map_contains_key(y.n.m, k)), k -> {missing_key(node, 'k')})"
+            f"transform(filter({c}.rule.required, k -> NOT array_contains({c}.keys, k)), k -> {missing_key(node, 'k')})"
         )
-        checks = f"concat({_gather(node_checks(node, JoinedRule('y.rule')))}, coalesce({missing}, {NO_VIOLATIONS}))"
-        df = df.selectExpr("*", f"{known} AS __known")
-        df = df.selectExpr("*", f"flatten(transform(__known, y -> {checks})) AS __found")
-        return df.selectExpr("*", "array_min(__found) AS __first")
+        found = [
+            _gather(node_checks(node, JoinedRule(f"{c}.rule"))),
+            f"if({c}.kind = 'object' AND {c}.rule.required IS NOT NULL, {missing}, {NO_VIOLATIONS})",
+        ]
+        if level < self.depth:
+            by_key = (
+                f"transform(map_entries({c}.m), {e} -> named_struct('path', concat({c}.path, array({e}.key)),"
+                f" 'at', concat({c}.at, '/', {escape_key(f'{e}.key')}), 'v', {e}.value))"
+            )
+            by_place = (
+                f"transform({c}.a, ({e}, i) -> named_struct('path', concat({c}.path, array(string(i))),"
+                f" 'at', concat({c}.at, '/*'), 'v', {e}))"
+            )
+            children = self._ruled(f"coalesce({by_key}, {by_place})", level + 1)
+            below = f"flatten(transform({children}, c{level + 1} -> {self._violations(level + 1)}))"
+            found.append(f"if({c}.m IS NOT NULL OR {c}.a IS NOT NULL, {below}, {NO_VIOLATIONS})")
+        return f"concat({', '.join(found)})"
 
 
 class Checker:
@@ -214,7 +275,7 @@ class Checker:
     ):
         compiled = compile_schemas(catalog, max_depth)
         self.rules = _InlineRules.build(compiled, inline_schemas, inline_rules) or _JoinedRules(
-            compiled, max_depth, broadcast_bytes
+            compiled, broadcast_bytes
         )
 
     def attach(self, df: DataFrame) -> DataFrame:
@@ -230,7 +291,7 @@ class Checker:
         is first extracted from surrounding text.
         """
         kept = [F.col(name(c)) for c in df.columns]
-        df = self.rules.find(df.withColumn("__v", parse_strict(text if strict else lenient_text(text))))
+        df = self.rules.find(df.withColumn("__w", parse_wrapped(text if strict else lenient_text(text))))
         out = [*kept, self._verdict(text).alias(verdict)]
         if violations:
             out.append(F.coalesce("__found", F.expr(NO_VIOLATIONS)).alias(violations))
@@ -254,7 +315,7 @@ class Checker:
         """Status first: text, then schema, then violations. Nothing passes by default."""
         first = F.col("__first")
         status = F.expr(
-            "CASE WHEN __v IS NULL THEN 'json_error' WHEN __status IS NULL THEN 'unknown_schema'"
+            "CASE WHEN __w IS NULL THEN 'json_error' WHEN __status IS NULL THEN 'unknown_schema'"
             " WHEN __status <> 'ok' THEN __status WHEN __first IS NULL THEN 'valid'"
             " WHEN __first.held THEN 'unsupported_number' ELSE 'invalid' END"
         )
