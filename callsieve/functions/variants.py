@@ -97,3 +97,8 @@ def number_of(v: str, kind: str) -> str:
         f"CASE WHEN {kind} IN ('integer', 'number') THEN named_struct("
         f"'whole', if({kind} = 'integer', {whole_of(v)}, NULL), 'approx', {double_of(v)}) END"
     )
+
+
+def from_text(text: str) -> str:
+    """A SQL string as a VARIANT string."""
+    return f"variant_get(to_variant_object(named_struct('t', {text})), '$.t', 'variant')"
