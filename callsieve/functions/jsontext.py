@@ -53,8 +53,8 @@ def strip(text: Column | str) -> Column:
 
 def bare_object(text: Column | str) -> Column:
     """The stripped text when it runs from ``{`` to ``}``, else NULL."""
-    s = strip(text)
-    return F.when(s.startswith("{") & s.endswith("}"), s)
+    t = _col(text)
+    return F.when(t.rlike(rf"(?U)\A{_SPACE}*\{{") & t.rlike(rf"(?U)\}}{_SPACE}*\z"), strip(t))
 
 
 def fenced_object(text: Column | str) -> Column:
@@ -69,29 +69,30 @@ def embedded_object(text: Column | str) -> Column:
     ``}``; the match is the first cut where as many braces were opened as closed.
     """
     t = _col(text)
-    rest = t.substr(F.instr(t, "{"), F.length(t))
-    cuts = F.split(rest, "[}]", -1)
-    closed = F.slice(cuts, F.lit(1), F.size(cuts) - 1)
+    cuts = F.split(t.substr(F.instr(t, "{"), F.length(t)), "[}]", -1)
 
     def step(acc: Column, piece: Column) -> Column:
         opened = F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit("")))
         depth = acc["depth"] + opened - 1
-        return F.when(acc["done"], acc).otherwise(
-            F.struct(depth.alias("depth"), (acc["cuts"] + 1).alias("cuts"), (depth == 0).alias("done"))
+        longer = F.struct(
+            depth.alias("depth"),
+            (acc["chars"] + F.length(piece) + 1).alias("chars"),
+            (acc["left"] - 1).alias("left"),
+            (depth == 0).alias("done"),
         )
+        # The last piece is not closed by a brace.
+        return F.when(acc["done"] | (acc["left"] <= 1), acc).otherwise(longer)
 
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("cuts"), F.lit(False).alias("done"))
-    end = F.aggregate(closed, start, step)
-    found = F.when(
-        end["done"], F.concat(F.array_join(F.slice(closed, F.lit(1), end["cuts"]), "}"), F.lit("}"))
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(0).alias("chars"), F.size(cuts).alias("left"), F.lit(False).alias("done")
     )
-    return F.when(F.instr(t, "{") > 0, found)
+    chars = F.aggregate(cuts, start, step, lambda acc: F.when(acc["done"], acc["chars"]))
+    return F.when(F.instr(t, "{") > 0, t.substr(F.instr(t, "{"), chars))
 
 
 def extract_object(text: Column | str) -> Column:
     """Bare object, else fenced object, else embedded object, else NULL."""
-    s = strip(text)
-    return F.coalesce(bare_object(text), fenced_object(s), embedded_object(s))
+    return F.coalesce(bare_object(text), fenced_object(text), embedded_object(text))
 
 
 def lenient_text(text: Column | str) -> Column:

@@ -74,7 +74,7 @@ def kind_of(v: str, shape: str | None = None) -> str:
         f" WHEN {s} = 'BOOLEAN' THEN 'boolean' WHEN {s} = 'VOID' THEN 'null'"
         f" WHEN startswith({s}, 'OBJECT') THEN 'object' WHEN startswith({s}, 'ARRAY') THEN 'array'"
         f" WHEN startswith({s}, 'DECIMAL') THEN if(endswith({s}, ',0)'), 'integer', 'number')"
-        f" WHEN {s} = 'DOUBLE' THEN if({d} = floor({d}) AND NOT {is_infinite(v)}, 'integer', 'number') END"
+        f" WHEN {s} = 'DOUBLE' THEN if({d} = rint({d}) AND NOT {is_infinite(v)}, 'integer', 'number') END"
     )
 
 

@@ -196,7 +196,7 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
         "pattern",
         f"concat({node.json}, ' does not match ', {{it}})",
     )
-    check("never", "{it}", "false", f"concat('False schema does not allow ', {node.json})")
+    check("never", f"{{it}} AND {node.kind} IS NOT NULL", "false", f"concat('False schema does not allow ', {node.json})")
 
     # A number lost in parsing gives no verdict, but never a pass.
     unclear = "'number out of range or not comparable'"

@@ -154,16 +154,22 @@ class _InlineRules:
                 several.append(self._elements(rules, at, node.path, node.v, 0))
         return single, several
 
+    @staticmethod
+    def _known(values: str) -> str:
+        """Values with type text and kind, each worked out once."""
+        shaped = f"transform({values}, x -> named_struct('v', x, 's', {shape_of('x')}))"
+        return f"transform({shaped}, x -> named_struct('v', x.v, 's', x.s, 'k', {kind_of('x.v', 'x.s')}))"
+
     def _elements(self, rules: dict[str, Row], at: str, path: str, v: str, level: int) -> str:
         """Violations in the elements of the array ``v``, nested positions included."""
-        x, i = f"x{level}", f"i{level}"
-        inner = self._below(rules, f"{at}/*", f"concat({path}, array(string({i})))", x, level + 1)
-        return f"coalesce(flatten(transform({elements(v)}, ({x}, {i}) -> {inner})), {NO_VIOLATIONS})"
+        e, i = f"e{level}", f"i{level}"
+        inner = self._below(rules, f"{at}/*", f"concat({path}, array(string({i})))", e, level + 1)
+        return f"coalesce(flatten(transform({self._known(elements(v))}, ({e}, {i}) -> {inner})), {NO_VIOLATIONS})"
 
-    def _below(self, rules: dict[str, Row], at: str, path: str, v: str, level: int) -> str:
+    def _below(self, rules: dict[str, Row], at: str, path: str, e: str, level: int) -> str:
         rule = rules[at]
-        shape = shape_of(v)
-        node = Node(path, v, shape, kind_of(v, shape), keys(v), elements(v))
+        v = f"{e}.v"
+        node = Node(path, v, f"{e}.s", f"{e}.k", keys(v), elements(v))
         found = [_gather(_literal_checks(node, rule, {}))]
         for other, child in rules.items():
             if not other.startswith(f"{at}/") or len(child["path"]) != len(rule["path"]) + 1:
@@ -173,8 +179,10 @@ class _InlineRules:
             else:
                 key = child["path"][-1]
                 member = f"try_variant_get({v}, {quote(json_path([key]))}, 'variant')"
-                below = self._below(rules, other, f"concat({path}, array({quote(key)}))", member, level)
-                found.append(f"if({member} IS NOT NULL, {below}, {NO_VIOLATIONS})")
+                present = self._known(f"filter(array({member}), m -> m IS NOT NULL)")
+                inner = f"e{level}"
+                below = self._below(rules, other, f"concat({path}, array({quote(key)}))", inner, level + 1)
+                found.append(f"flatten(transform({present}, {inner} -> {below}))")
         return f"concat({', '.join(found)})"
 
 
@@ -291,7 +299,9 @@ class Checker:
         is first extracted from surrounding text.
         """
         kept = [F.col(name(c)) for c in df.columns]
-        df = self.rules.find(df.withColumn("__w", parse_wrapped(text if strict else lenient_text(text))))
+        if not strict:
+            df = df.withColumn("__t", lenient_text(text))
+        df = self.rules.find(df.withColumn("__w", parse_wrapped(text if strict else "__t")))
         out = [*kept, self._verdict(text).alias(verdict)]
         if violations:
             out.append(F.coalesce("__found", F.expr(NO_VIOLATIONS)).alias(violations))
@@ -303,10 +313,11 @@ class Checker:
 
         The columns pass through a one-row generator, so that a later filter on them reads
         the finished value: pushed below their definition it would compute it a second time.
+        The generator is an outer one because a filter is inferred below an inner one.
         """
         kept = [name(c) for c in df.columns if c not in ("__status", "__rules", *structs)]
         packed = ", ".join(f"'{s}', {name(s)}" for s in structs)
-        return df.selectExpr(*kept, f"explode(array(named_struct({packed}))) AS __done").selectExpr(
+        return df.selectExpr(*kept, f"explode_outer(array(named_struct({packed}))) AS __done").selectExpr(
             *kept, *[f"__done.{name(s)} AS {name(s)}" for s in structs]
         )
 

@@ -14,7 +14,11 @@ from callsieve.operators.schemas import with_schema_id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One in fewer files than there are cores is dealt out over the cores:
+    checking calls is bound by CPU, and a small file is a single split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def tool_schema(tool: str, parameters: dict, required: list[str]) -> str:

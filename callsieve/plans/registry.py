@@ -391,7 +391,7 @@ def conversation_chatml(spark, sf_dir):
 @query
 def length_budget(spark, sf_dir):
     documents = derive.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return formatting.length_budget(documents).selectExpr("doc_id", "long(n_tokens) AS n_tokens", "over_total")
+    return formatting.length_budget(documents).selectExpr("doc_id", "bigint(n_tokens) AS n_tokens", "over_total")
 
 
 @query
@@ -400,7 +400,7 @@ def length_budget_kept(spark, sf_dir):
         derive.table(spark, sf_dir, "documents").selectExpr("doc_id", "text AS prompt", "lang AS chosen")
     )
     kept = formatting.length_budget(rendered, prompt="prompt", drop=True)
-    return kept.selectExpr("doc_id", "long(n_tokens) AS n_tokens")
+    return kept.selectExpr("doc_id", "bigint(n_tokens) AS n_tokens")
 
 
 @query
