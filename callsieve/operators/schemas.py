@@ -29,6 +29,7 @@ from callsieve.functions.variants import (
 )
 
 MAX_DEPTH = 6
+COMPILE_TASKS = 256
 NO_SCHEMA = "none"
 
 # JSON Schema type names and keywords.
@@ -242,7 +243,10 @@ def compile_schemas(catalog: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame
     """
     keywords = (*PLAIN_KEYWORDS, *COUNT_KEYWORDS, *BOUND_KEYWORDS)
     valued = ("required",)
-    df = _nodes(catalog, max_depth)
+    # A catalog is small in bytes but costly per row: one shuffle by id spreads the work and
+    # serves the grouping below.
+    tasks = min(catalog.sparkSession.sparkContext.defaultParallelism, COMPILE_TASKS)
+    df = _nodes(catalog.repartition(tasks, "schema_id"), max_depth)
     df = df.selectExpr("*", *[f"{field('v', k)} AS k_{k}" for k in keywords])
     df = df.selectExpr(
         "*",

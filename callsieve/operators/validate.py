@@ -84,7 +84,7 @@ class _InlineRules:
     @classmethod
     def build(cls, compiled: DataFrame, schemas: int, rules: int) -> _InlineRules | None:
         """Only if there are few enough schemas, rules, and keys that a path can hold."""
-        rows = compiled.limit(schemas + 1).collect() if schemas else []
+        rows = compiled.limit(schemas + 1).collect()
         nodes = [rule for row in rows for rule in (row["rules"] or [])]
         fits = 0 < len(rows) <= schemas and len(nodes) <= rules
         return cls(rows) if fits and all(json_path(rule["path"]) for rule in nodes) else None
@@ -282,9 +282,9 @@ class Checker:
         broadcast_bytes: int = BROADCAST_BYTES,
     ):
         compiled = compile_schemas(catalog, max_depth)
-        self.rules = _InlineRules.build(compiled, inline_schemas, inline_rules) or _JoinedRules(
-            compiled, broadcast_bytes
-        )
+        few = inline_schemas > 0 and catalog.limit(inline_schemas + 1).count() <= inline_schemas
+        inline = _InlineRules.build(compiled, inline_schemas, inline_rules) if few else None
+        self.rules = inline or _JoinedRules(compiled, broadcast_bytes)
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Bring the rules of each row's schema to the row."""
