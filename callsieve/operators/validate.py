@@ -41,6 +41,11 @@ INLINE_SCHEMAS = 16
 INLINE_RULES = 160
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Rules of the few schemas that are written out as expressions, by depth, id and text hash,
+# so that scoring another table with the same tools does not compile them again.
+REMEMBERED_SCHEMAS = 256
+_COMPILED: dict[tuple[int, str, str], Row] = {}
+
 
 def _needs_keys(rule: Row) -> bool:
     """Objects are opened for their keys only, so that large values are not copied."""
@@ -82,12 +87,23 @@ class _InlineRules:
         self.slots = {at: (i, ids) for i, (at, ids) in enumerate(fixed.items())}
 
     @classmethod
-    def build(cls, compiled: DataFrame, schemas: int, rules: int) -> _InlineRules | None:
+    def build(cls, catalog: DataFrame, max_depth: int, schemas: int, rules: int) -> _InlineRules | None:
         """Only if there are few enough schemas, rules, and keys that a path can hold."""
-        rows = compiled.limit(schemas + 1).collect()
+        text_hash = F.coalesce(F.sha2("schema", 256), F.lit("")).alias("hash")
+        found = catalog.select("schema_id", text_hash).limit(schemas + 1).collect() if schemas else []
+        if not 0 < len(found) <= schemas:
+            return None
+        known = {row["schema_id"]: (max_depth, row["schema_id"], row["hash"]) for row in found}
+        fresh = [schema_id for schema_id, key in known.items() if key not in _COMPILED]
+        if fresh:
+            for row in compile_schemas(catalog.filter(F.col("schema_id").isin(fresh)), max_depth).collect():
+                _COMPILED[known[row["schema_id"]]] = row
+        rows = [_COMPILED[key] for key in known.values()]
+        while len(_COMPILED) > REMEMBERED_SCHEMAS:
+            _COMPILED.pop(next(iter(_COMPILED)))
         nodes = [rule for row in rows for rule in (row["rules"] or [])]
-        fits = 0 < len(rows) <= schemas and len(nodes) <= rules
-        return cls(rows) if fits and all(json_path(rule["path"]) for rule in nodes) else None
+        fits = len(nodes) <= rules and all(json_path(rule["path"]) for rule in nodes)
+        return cls(rows) if fits else None
 
     def attach(self, df: DataFrame) -> DataFrame:
         ids = f"coalesce(schema_id, {quote(NO_SCHEMA)})"
@@ -281,10 +297,8 @@ class Checker:
         inline_rules: int = INLINE_RULES,
         broadcast_bytes: int = BROADCAST_BYTES,
     ):
-        compiled = compile_schemas(catalog, max_depth)
-        few = inline_schemas > 0 and catalog.limit(inline_schemas + 1).count() <= inline_schemas
-        inline = _InlineRules.build(compiled, inline_schemas, inline_rules) if few else None
-        self.rules = inline or _JoinedRules(compiled, broadcast_bytes)
+        inline = _InlineRules.build(catalog, max_depth, inline_schemas, inline_rules)
+        self.rules = inline or _JoinedRules(compile_schemas(catalog, max_depth), broadcast_bytes)
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Bring the rules of each row's schema to the row."""
