@@ -41,10 +41,13 @@ def _cut(counts: DataFrame, key: str, weight: str, n: int) -> tuple[int, int] |
             return low, before
 
 
-def first_n(accepted: DataFrame, n: int, batch: str = "batch_id", pos: str = "pos", whole_batch: bool = False):
+def first_n(
+    accepted: DataFrame, n: int, batch: str = "batch_id", pos: str = "pos", whole_batch: bool = False
+) -> DataFrame:
     """The first ``n`` rows by ``(batch, pos)``; both whole numbers, the pair unique.
 
     With ``whole_batch`` the batch that reaches ``n`` is kept to its end, so there may be more.
+    The table is read several times, so it should be a stored one.
     """
     if n <= 0:
         return accepted.limit(0)
