@@ -45,12 +45,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with the writer's ``options``, and read it back.
 
     Cuts the lineage in a way that outlives executors, and keeps file statistics.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
