@@ -8,7 +8,7 @@ that neighbours share the longest prefixes.
 * Few nodes in a region: all pairs whose signatures agree well enough are candidates.
 * Dense regions: first each node with its sorted neighbours and with the node that agrees most
   with all others, which links most of a group of copies in linear work. Then only pairs that
-  the links so far have not joined.
+  the links so far have not joined, as longer signatures tell them apart more sharply.
 * Regions of more than ``region_rows`` nodes are never brought together. Their nodes go to a
   deeper rung of the forest: longer prefixes, which part them, and more orders, which keep the
   chance of missing a link as low as before. The deepest rung asks for equal signatures.
@@ -32,8 +32,8 @@ from callsieve.llm.components import components
 from callsieve.session import materialise
 
 SHINGLE = 5
-#: Places of a signature, each a byte.
-PLACES = 128
+#: Places of a signature, each a byte, and of the longer one that nodes of dense regions get.
+PLACES, LONG_PLACES = 128, 512
 #: Prefix lengths of the forest's rungs.
 DEPTHS = (5, 8, 12, 16, 24, 40, 64, PLACES)
 #: Chance that all orders of a rung part two nodes of exactly the asked similarity.
@@ -77,16 +77,21 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE):
                 yield total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
-_SALTS = (coefficients(PLACES, seed=3) >> np.uint64(32)).astype(np.uint32)
-_FACTORS = (coefficients(PLACES, seed=5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_SALTS = (coefficients(LONG_PLACES, seed=3) >> np.uint64(32)).astype(np.uint32)
+_FACTORS = (coefficients(LONG_PLACES, seed=5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def minhash(sets: list[np.ndarray]) -> np.ndarray:
+def least_agreement(places: int, similarity: float) -> int:
+    """Places on which the signatures of a linked pair agree, but for a small chance."""
+    return math.floor(places * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / places)))
+
+
+def minhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     """Signatures of non-empty sets, one row of bytes each."""
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
     values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(sets), PLACES), np.uint8)
-    for k in range(PLACES):
+    out = np.empty((len(sets), places), np.uint8)
+    for k in range(places):
         least = np.minimum.reduceat((values ^ _SALTS[k]) * _FACTORS[k], starts)
         out[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
     return out
@@ -123,6 +128,15 @@ def _sign(batches):
         )
 
 
+def _sign_long(batches):
+    for batch in batches:
+        sets = shingle_sets(batch.column("text"))
+        signatures = [minhash([s], LONG_PLACES)[0].tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(signatures, pa.binary())], ["node", "signature"]
+        )
+
+
 def _keys(batches, depth: int, count: int, fat: bool):
     """A row for each node and order, with the key of its region."""
     weights = coefficients(depth, seed=11)
@@ -157,7 +171,7 @@ def _regions(batches, depth: int, least: int, small: int, cross: bool):
         n, (key, number) = len(nodes), current
         if n < 2:
             return
-        matrix = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, PLACES)
+        matrix = np.frombuffer(b"".join(signatures), np.uint8).reshape(n, -1)
         pairs = set()
         if cross or n <= small:
             _, group = np.unique(np.array(roots, object).astype(bytes), return_inverse=True) if cross else (0, None)
@@ -256,7 +270,7 @@ def near_groups(
     are separate rows. An empty table gives an empty table; other columns are not read.
     """
     similarity = percent / 100
-    least = math.floor(PLACES * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / PLACES)))
+    least = least_agreement(PLACES, similarity)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(
         rows.mapInArrow(_sign, "doc_id long, n_shingles long, node binary, signature binary, text string"),
@@ -299,9 +313,13 @@ def near_groups(
     )
     links = _links(pairs, texts, percent)
     roots = components(links)
-    cross = []
+    cross, least = [], least_agreement(LONG_PLACES, similarity)
+    crowd = _all([members.select("node") for _, members in dense]).distinct()
+    longer = materialise(
+        texts.join(crowd, "node", "left_semi").mapInArrow(_sign_long, "node binary, signature binary"), "long-signed"
+    )
     for depth, members in dense:
-        known = members.join(nodes.select("node", "signature"), "node").join(roots, "node", "left")
+        known = members.join(longer, "node").join(roots, "node", "left")
         known = known.withColumn("root", F.coalesce("root", "node"))
         cross.append(_in_regions(known, depth, least, small_region, True))
     more = _links(materialise(_all(cross).select("a", "b").distinct(), "pairs"), texts, percent)
@@ -310,7 +328,7 @@ def near_groups(
     rooted = nodes.select("node", "least_id").join(roots, "node", "left")
     rooted = materialise(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = rooted.select("node", "root").join(named, "root").select("node", "component_id")
+    ids = materialise(rooted.select("node", "root").join(named, "root").select("node", "component_id"), "ids")
     out = signed.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select(
