@@ -233,7 +233,7 @@ def pack(
         bins = materialise(open_bins.repartition(tasks).mapInArrow(partial(_merge, capacity=capacity), BIN), "bins")
     for part in done:
         bins = bins.unionByName(part)
-    numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("members").alias("m"))
-    return numbered.select(
+    numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "members")
+    return numbered.select("sequence_id", F.explode("members").alias("m")).select(
         *(f"m.{c}" for c in ("doc_id", "piece", "start", "length", "ids_crc32")), "sequence_id", "m.offset"
     )
