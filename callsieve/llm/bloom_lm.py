@@ -211,7 +211,8 @@ class Model:
         previous[bounds[:-1]] = where[-1]
         history = counts[previous]
         even = self.total + self.types + 1
-        alone = (np.where(word > 0, word, self.rare) + 1) / even
+        # A level is read as its middle, which may be above all there is.
+        alone = np.minimum((np.where(word > 0, word, self.rare) + 1) / even, 1.0)
         pairs, place = np.unique(pair_hashes(known[previous], hashes), return_inverse=True)
         pair = self.bloom.counts(pairs)[place]
         after = np.minimum(pair, history) / np.maximum(history, 1)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callsieve.llm.arrays import NOT_SPACE, chunks, coefficients, find_words, mix, ranges
 
@@ -268,28 +269,41 @@ def _predict(batches, model, key: str):
             best += [names[i] for i in at]
             sure += (odds.max(axis=1) / odds.sum(axis=1)).tolist()
         letters = batch.column("letters").to_pylist()
-        yield pa.RecordBatch.from_pydict(
-            {
-                "doc_id": batch.column("doc_id"),
-                "lang_pred": pa.array([x if ok else "und" for x, ok in zip(best, letters)], pa.string()),
-                "score": pa.array([x if ok else 0.0 for x, ok in zip(sure, letters)], pa.float64()),
-            }
-        )
+        columns = {
+            "doc_id": batch.column("doc_id"),
+            "lang_pred": pa.array([x if ok else "und" for x, ok in zip(best, letters)], pa.string()),
+            "score": pa.array([x if ok else 0.0 for x, ok in zip(sure, letters)], pa.float64()),
+        }
+        yield pa.RecordBatch.from_pydict(columns | {c: batch.column(c) for c in ("row",) if c in batch.schema.names})
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+) -> DataFrame:
     """``doc_id, lang_pred, score`` for each row of ``docs``, from its text alone.
 
     ``score`` is the probability of the language among all learned ones. A text that is null or
     holds no letter is ``und`` with score 0, as is every text if no language was learned; ties go to
-    the first language by name. Ids may be null or repeated; other columns are not read.
+    the first language by name. Ids may be null or repeated; other columns are not read, unless
+    ``carry`` adds the whole row as a struct ``row``.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        text.alias("text"),
+        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"),
+        *([F.struct("*").alias("row")] if carry else []),
+    )
     if not model.languages:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
+        return rows.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0)).drop("text", "letters")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.select("doc_id", "text", letters).mapInArrow(
-        partial(_predict, model=sent, key=uuid.uuid4().hex), "doc_id long, lang_pred string, score double"
+    out = T.StructType().add("doc_id", "long").add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(
+        partial(_predict, model=sent, key=uuid.uuid4().hex), out.add("row", docs.schema) if carry else out
     )
+
+
+def recognised(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of ``docs`` in a learned language with a score of ``least_score`` or more."""
+    found = identify(docs, model, carry=True)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")

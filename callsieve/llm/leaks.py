@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callsieve.llm.arrays import ALNUM, chunks, coefficients, find_words, mix, ranges
 
@@ -232,17 +233,16 @@ def _judge(batches, blocks, shard_bytes: int):
             hit = np.cumsum(edges)[:-1] > 0
             n_hit = np.add.reduceat(hit.astype(np.int64), bounds[:-1]) if len(counts) else []
             found = [sorted(x) for x in lists]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(first, end - first),
-                    pa.array(counts, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in found], pa.int64()),
-                    pa.array(found, pa.list_(pa.string())),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]),
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256"],
-            )
+            own = batch.slice(first, end - first)
+            columns = {
+                "doc_id": own.column("doc_id"),
+                "n_words": pa.array(counts, pa.int64()),
+                "n_hit": pa.array(n_hit, pa.int64()),
+                "n_items": pa.array([len(x) for x in found], pa.int64()),
+                "items": pa.array(found, pa.list_(pa.string())),
+                "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]),
+            }
+            yield pa.RecordBatch.from_pydict(columns | {c: own.column(c) for c in ("row",) if c in own.schema.names})
 
 
 def contamination(
@@ -255,6 +255,7 @@ def contamination(
     window: int = WINDOW,
     shard_bytes: int = SHARD_BYTES,
     block_bytes: int = BLOCK_BYTES,
+    carry: bool = False,
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated`` for each row of ``docs``.
 
@@ -263,13 +264,19 @@ def contamination(
     document is hit if it lies in an occurrence of a window; ``items`` are the items with one,
     sorted as strings. Null texts have no words; items without words have no window; items of
     equal ids count as one, and a null item id as ''. Repeated rows are judged one by one. Other
-    columns are not read.
+    columns are not read, unless ``carry`` adds the whole row as a struct ``row``.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        *([F.struct("*").alias("row")] if carry else []),
+    )
+    out = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_hit", "long").add("n_items", "long")
+    out = out.add("items", T.ArrayType(T.StringType())).add("items_sha256", "string")
     blocks = _blocks(items, item_col, item_text_col, window, block_bytes)
     return rows.mapInArrow(
         partial(_judge, blocks=blocks, shard_bytes=shard_bytes),
-        "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string",
+        out.add("row", docs.schema) if carry else out,
     ).withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -313,5 +320,5 @@ def longest_matches(
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Ids and verdicts of the rows that stay: those without any hit word."""
-    return contamination(docs, items, **options).filter("NOT contaminated")
+    """The rows of ``docs`` that stay: those without any hit word."""
+    return contamination(docs, items, carry=True, **options).filter("NOT contaminated").select("row.*")
