@@ -7,6 +7,8 @@ again, so a lost executor costs at most one stage's tasks.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,31 +19,37 @@ from callsieve.session import materialise
 LEAST_SCORE = 0.5
 
 
-def _kept(docs: DataFrame, kept: DataFrame, texts: bool = True) -> DataFrame:
-    """Rows of ``docs`` whose id is among ``kept``; rows without an id stay if the null id does."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+def _fresh() -> str:
+    """A column name that no table has."""
+    return f"key_{uuid.uuid4().hex}"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in one of the learned languages."""
-    found = language.identify(docs, queries.language_model(docs))
-    return _kept(docs, found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
+    return language.recognised(docs, queries.language_model(docs), LEAST_SCORE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
-    return _kept(docs, exact.exact_groups(docs).filter("kept"))
+    """One row of each group of equal texts, also if rows with the same id are repeated."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    mine, theirs = _fresh(), _fresh()
+    kept = exact.exact_groups(docs).filter("kept").select(F.concat(name, F.lit(":"), "text_sha256").alias(theirs))
+    norm = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
+    keyed = docs.withColumn(mine, F.concat(name, F.lit(":"), F.sha2(norm, 256)))
+    rows = keyed.join(kept.distinct(), F.col(mine) == F.col(theirs), "left_semi")
+    return rows.dropDuplicates([mine]).drop(mine)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies."""
-    return _kept(docs, near.near_groups(docs).filter("kept"))
+    """One document of each group of near copies. Rows with equal ids are one document."""
+    theirs = _fresh()
+    kept = near.near_groups(docs).filter("kept").select(F.col("doc_id").alias(theirs)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(theirs)), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share no window with the benchmark."""
-    return _kept(docs, leaks.without_leaks(docs, queries.table(spark, sf_dir, "benchmark")))
+    return leaks.without_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
