@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are worked on at once; a longer single text is worked on alone.
 CHUNK_BYTES = 1 << 21
@@ -22,6 +23,17 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
+#: Bytes of a batch that goes to a Python task; several are in memory at once on either side.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, in whose session batches for Python tasks are kept small from now on, so that
+    long texts do not add up to large ones."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return rows
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all others."""
     x = x.astype(np.uint64, copy=True)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsieve.llm.arrays import NOT_SPACE, chunks, find_words, mix
+from callsieve.llm.arrays import NOT_SPACE, bounded_batches, chunks, find_words, mix
 from callsieve.session import materialise
 
 #: An n-gram is kept from this share of all training tokens on. At most 2 ** 22 words and as many
@@ -319,7 +319,7 @@ def score(
     rows every token is unknown. Ids may be null or repeated: each row is scored by itself.
     Other columns are not read.
     """
-    rows = docs.select(
+    rows = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.col(text_col).cast("string").alias("text"),

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callsieve.llm.arrays import bounded_batches
 from callsieve.session import materialise
 
 #: Characters that do not count: ``[\x20\x09-\x0D]``.
@@ -180,7 +181,7 @@ def exact_groups(
     their id is. Other columns are not read. ``hash_bytes`` shortens the hash by which texts are
     dealt out; a trie compares whole texts, so even one byte gives the same groups.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     mapped = rows.mapInArrow(
         partial(_map_side, limit=trie_bytes),
         "doc_id long, term long, n_bytes long, hash binary, norm binary, best_chars long, best_id long, copies long",

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callsieve.llm.arrays import NOT_SPACE, chunks, coefficients, find_words, mix, ranges
+from callsieve.llm.arrays import NOT_SPACE, bounded_batches, chunks, coefficients, find_words, mix, ranges
 
 #: Longest run of bytes that is segmented as one; longer words go in such parts, one after the other.
 RUN = 32
@@ -201,7 +201,7 @@ def train(labelled: DataFrame, model_file: str, sample_rows: int = SAMPLE_ROWS,
     It is fitted on about ``sample_rows`` rows of each label, taken by a hash of id and text, and on
     the ``SAMPLE_WORDS`` most frequent words of these.
     """
-    held = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
+    held = bounded_batches(labelled).filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = held.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     pieces = Pieces(read_pieces(model_file))
     names = sorted(r["lang"] for r in sizes)
@@ -288,7 +288,7 @@ def identify(
     ``carry`` adds the whole row as a struct ``row``.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(
+    rows = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         text.alias("text"),
         F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"),

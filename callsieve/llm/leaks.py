@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callsieve.llm.arrays import ALNUM, chunks, coefficients, find_words, mix, ranges
+from callsieve.llm.arrays import ALNUM, bounded_batches, chunks, coefficients, find_words, mix, ranges
 
 WINDOW = 10
 #: Text bytes of a shard.
@@ -266,7 +266,7 @@ def contamination(
     equal ids count as one, and a null item id as ''. Repeated rows are judged one by one. Other
     columns are not read, unless ``carry`` adds the whole row as a struct ``row``.
     """
-    rows = docs.select(
+    rows = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         *([F.struct("*").alias("row")] if carry else []),
@@ -309,7 +309,7 @@ def longest_matches(
     """``item_id, item_at, length, doc_id, doc_at``: the longest verbatim match of every benchmark
     suffix in ``docs`` (``doc_id, text``), in words, and one place of it. Suffixes that match
     fewer words than the least of four and the shortest window are left out."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = _blocks(items, "item_id", "text", window, block_bytes)
     found = rows.mapInArrow(
         partial(_longest, blocks=blocks, shard_bytes=shard_bytes),

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsieve.llm.arrays import NOT_SPACE, chunks, coefficients, find_words, mix
+from callsieve.llm.arrays import NOT_SPACE, bounded_batches, chunks, coefficients, find_words, mix
 from callsieve.llm.components import components
 from callsieve.session import materialise
 
@@ -97,25 +97,37 @@ def minhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     return out
 
 
-def _sign(batches):
-    for batch in batches:
-        counts, digests, signatures, waiting, held = [], [], [None] * batch.num_rows, [], 0
+class _Signer:
+    """Signatures of a batch's rows; sets are worked on many at a time."""
+
+    def __init__(self, rows: int, places: int):
+        self.places, self.signatures = places, [None] * rows
+        self.waiting, self.held = [], 0
+
+    def add(self, row: int, shingles: np.ndarray) -> None:
+        self.waiting.append((row, shingles))
+        self.held += len(shingles)
+        if self.held > 1 << 17:
+            self.close()
 
-        def sign():
-            for (row, _), signature in zip(waiting, minhash([s for _, s in waiting])):
-                signatures[row] = signature.tobytes()
+    def close(self) -> list[bytes | None]:
+        if self.waiting:
+            made = minhash([s for _, s in self.waiting], self.places)
+            for (row, _), signature in zip(self.waiting, made):
+                self.signatures[row] = signature.tobytes()
+        self.waiting, self.held = [], 0
+        return self.signatures
 
+
+def _sign(batches):
+    for batch in batches:
+        counts, digests, signer = [], [], _Signer(batch.num_rows, PLACES)
         for row, shingles in enumerate(shingle_sets(batch.column("text"))):
             counts.append(len(shingles))
             digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
             if len(shingles):
-                waiting.append((row, shingles))
-                held += len(shingles)
-            if held > 1 << 18:
-                sign()
-                waiting, held = [], 0
-        if waiting:
-            sign()
+                signer.add(row, shingles)
+        signatures = signer.close()
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -130,10 +142,11 @@ def _sign(batches):
 
 def _sign_long(batches):
     for batch in batches:
-        sets = shingle_sets(batch.column("text"))
-        signatures = [minhash([s], LONG_PLACES)[0].tobytes() for s in sets]
+        signer = _Signer(batch.num_rows, LONG_PLACES)
+        for row, shingles in enumerate(shingle_sets(batch.column("text"))):
+            signer.add(row, shingles)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array(signatures, pa.binary())], ["node", "signature"]
+            [batch.column("node"), pa.array(signer.close(), pa.binary())], ["node", "signature"]
         )
 
 
@@ -271,7 +284,7 @@ def near_groups(
     """
     similarity = percent / 100
     least = least_agreement(PLACES, similarity)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(
         rows.mapInArrow(_sign, "doc_id long, n_shingles long, node binary, signature binary, text string"),
         "signed",

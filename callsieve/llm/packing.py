@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsieve.llm.arrays import ranges, text_bytes
+from callsieve.llm.arrays import bounded_batches, ranges, text_bytes
 from callsieve.session import materialise
 
 CAPACITY = 2048
@@ -218,7 +218,7 @@ def pack(
     with open(tokenizer, encoding="utf-8") as file:
         content = file.read()
     model, key = spark.sparkContext.broadcast(content), hashlib.sha256(content.encode()).hexdigest()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     leaves = rows.mapInArrow(partial(_leaf, model=model, key=key, capacity=capacity), BIN)
     bins = materialise(leaves, "bins")
     full = F.col("total") >= capacity - spare
