@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,7 @@ def orders_of(depth: int, similarity: float, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity**depth))
 
 
+@lru_cache(maxsize=4096)
 def order(number: int, depth: int) -> np.ndarray:
     """The places of a signature as the order ``number`` of a rung has them."""
     return np.random.default_rng([depth, number]).permutation(PLACES)
@@ -171,64 +172,108 @@ def _agreement(signatures: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.count_nonzero(signatures == one, axis=1)
 
 
+def _met_before(matrix: np.ndarray, i: int, others: np.ndarray, number: int, depth: int) -> np.ndarray:
+    """Which of ``others`` share a region with ``i`` in an earlier order, where they are dealt with."""
+    met = np.zeros(len(others), bool)
+    for earlier in range(number):
+        places = order(earlier, depth)[:depth]
+        met |= (matrix[others][:, places] == matrix[i, places]).all(axis=1)
+    return met
+
+
+def _pairs(matrix: np.ndarray, group: np.ndarray | None, number: int, depth: int, least: int):
+    """All pairs of a region that agree well enough, for each row with later ones."""
+    for i in range(len(matrix) - 1):
+        good = _agreement(matrix[i + 1 :], matrix[i]) >= least
+        if group is not None:
+            good &= group[i + 1 :] != group[i]
+        others = np.flatnonzero(good) + i + 1
+        if len(others):
+            others = others[~_met_before(matrix, i, others, number, depth)]
+            yield np.full(len(others), i), others
+
+
+def _close_ones(matrix: np.ndarray, number: int, depth: int, least: int):
+    """Pairs of a dense region that link most of it: sorted neighbours, and all with the hub."""
+    ranks = np.lexsort(matrix[:, order(number, depth)[::-1]].T)
+    near = np.count_nonzero(matrix[ranks[1:]] == matrix[ranks[:-1]], axis=1) >= least
+    yield np.minimum(ranks[1:], ranks[:-1])[near], np.maximum(ranks[1:], ranks[:-1])[near]
+    if depth < PLACES:
+        cells = matrix.astype(np.int64) + np.arange(PLACES) * 256
+        votes = np.bincount(cells.ravel(), minlength=PLACES * 256)
+        hub = int(np.argmax(votes[cells].sum(axis=1)))
+        others = np.flatnonzero(_agreement(matrix, matrix[hub]) >= least)
+        others = others[others != hub]
+        yield np.minimum(others, hub), np.maximum(others, hub)
+
+
 def _regions(batches, depth: int, least: int, small: int, cross: bool):
+    """Rows of all regions, gathered to batches of some size."""
+    held, rows = [], 0
+    for batch in _region_rows(batches, depth, least, small, cross):
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > 8192:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _region_rows(batches, depth: int, least: int, small: int, cross: bool):
     """Candidate pairs of each region; input is sorted by key and node.
 
     A row with ``b`` null says that the node is in a dense region, of which only part has been
-    given. With ``cross``, all pairs of nodes with different roots are given instead.
+    given. With ``cross``, all pairs of nodes with different roots are given instead. A pair of
+    several regions is given by the first.
     """
-    schema = pa.schema([("key", pa.int64()), ("number", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-    out, current, nodes, signatures, roots = [], None, [], [], []
+    current, nodes, signatures, roots = None, [], [], []
 
     def close():
         n, (key, number) = len(nodes), current
         if n < 2:
             return
         matrix = np.frombuffer(b"".join(signatures), np.uint8).reshape(n, -1)
-        pairs = set()
-        if cross or n <= small:
-            _, group = np.unique(np.array(roots, object).astype(bytes), return_inverse=True) if cross else (0, None)
-            if cross and group.max() == 0:
+        dense = not cross and n > small
+        if cross:
+            numbers = {root: k for k, root in enumerate(dict.fromkeys(roots))}
+            if len(numbers) == 1:
                 return
-            for i in range(n - 1):
-                good = _agreement(matrix[i + 1 :], matrix[i]) >= least
-                if cross:
-                    good &= group[i + 1 :] != group[i]
-                pairs.update((i, int(j)) for j in np.flatnonzero(good) + i + 1)
-        elif n > small:
-            ranks = np.lexsort(matrix[:, order(number, depth)[::-1]].T)
-            for i, j in zip(ranks[:-1], ranks[1:]):
-                if np.count_nonzero(matrix[i] == matrix[j]) >= least:
-                    pairs.add((min(i, j), max(i, j)))
-            if depth < PLACES:
-                cells = matrix.astype(np.int64) + np.arange(PLACES) * 256
-                votes = np.bincount(cells.ravel(), minlength=PLACES * 256)
-                hub = int(np.argmax(votes[cells].sum(axis=1)))
-                near = np.flatnonzero(_agreement(matrix, matrix[hub]) >= least)
-                pairs.update((min(hub, int(j)), max(hub, int(j))) for j in near if j != hub)
-                out.extend((key, number, node, None) for node in nodes)
-        out.extend((key, number, nodes[i], nodes[j]) for i, j in pairs)
-
-    def flush():
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-        out.clear()
-        return batch
+            found = _pairs(matrix, np.array([numbers[r] for r in roots]), number, depth, least)
+        elif dense:
+            found = _close_ones(matrix, number, depth, least)
+        else:
+            found = _pairs(matrix, None, number, depth, least)
+        named = pa.array(nodes, pa.binary())
+        if dense and depth < PLACES:
+            yield _pair_rows(key, number, named, pa.nulls(n, pa.binary()))
+        firsts, seconds, held = [], [], 0
+        for first, second in found:
+            firsts.append(first)
+            seconds.append(second)
+            held += len(first)
+            if held > 8192:
+                yield _pair_rows(key, number, named.take(np.concatenate(firsts)), named.take(np.concatenate(seconds)))
+                firsts, seconds, held = [], [], 0
+        if held:
+            yield _pair_rows(key, number, named.take(np.concatenate(firsts)), named.take(np.concatenate(seconds)))
 
     for batch in batches:
         for key, number, node, signature, root in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if (key, number) != current:
                 if current is not None:
-                    close()
+                    yield from close()
                 current, nodes, signatures, roots = (key, number), [], [], []
             nodes.append(node)
             signatures.append(signature)
             roots.append(root)
-        if len(out) > 4096:
-            yield flush()
     if current is not None:
-        close()
-    if out:
-        yield flush()
+        yield from close()
+
+
+def _pair_rows(key: int, number: int, a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+    keys, numbers = np.full(len(a), key, np.int64), np.full(len(a), number, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(numbers), a, b], ["key", "number", "a", "b"])
 
 
 _FAT = "key long, number int, node binary, signature binary, root binary"
