@@ -6,8 +6,8 @@
 and a value, the object wrapper only with ``}`` or ``,`` and a key; no text satisfies both
 except one value with whitespace around it.
 
-Known limits: ``NaN`` and ``Infinity`` literals and numbers beyond the parser's digit limit
-are not JSON here.
+Known limits: ``NaN`` and ``Infinity`` literals are not JSON here. Text beyond the parser's own
+limits cannot be read either; ``beyond_parser`` tells it from text that is no JSON.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 # White space as Python's str.strip and the regex class \s see it.
 _SPACE = r"[\s\x1c-\x1f]"
 _EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+\z"
-# First Markdown fence holding an object; the language tag is optional.
+# Fixed value, as the lenient mode states it: the first Markdown fence holding an object; the
+# language tag is optional.
 _FENCE = rf"(?sU)```(?:json)?{_SPACE}*(\{{.*?\}}){_SPACE}*```"
 
 
@@ -41,6 +42,33 @@ def parse_strict(text: Column | str) -> Column:
     return F.try_variant_get(parse_wrapped(text), "$[0]", "variant")
 
 
+# What the parser of the engine reads at most.
+PARSER_DEPTH, PARSER_CHARS, PARSER_DIGITS = 1000, 20_000_000, 1000
+
+
+def nesting_depth(text: Column | str) -> Column:
+    """How deep brackets nest outside of strings; an upper bound for the depth of a JSON value.
+
+    Escaped characters go first, so that a string then ends at its next quote.
+    """
+    plain = F.regexp_replace(F.regexp_replace(_col(text), r"(?s)\\.", ""), '"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(plain, r"[^\[\]{}]+", ""), "")
+
+    def step(acc: Column, mark: Column) -> Column:
+        depth = acc["depth"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.greatest(acc["most"], depth).alias("most"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
+    return F.aggregate(brackets, start, step, lambda acc: acc["most"])
+
+
+def beyond_parser(text: Column | str) -> Column:
+    """Whether text is nested too deep, or holds too long a string or number, to be parsed."""
+    t = _col(text)
+    digits = t.rlike(rf"[0-9]{{{PARSER_DIGITS}}}")
+    return (F.length(t) > PARSER_CHARS) | digits | (nesting_depth(t) >= PARSER_DEPTH)
+
+
 def is_strict_json(text: Column | str) -> Column:
     """True iff the whole string is one JSON value; false for NULL."""
     return parse_wrapped(text).isNotNull()

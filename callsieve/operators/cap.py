@@ -46,15 +46,19 @@ def first_n(
 ) -> DataFrame:
     """The first ``n`` rows by ``(batch, pos)``; both whole numbers, the pair unique.
 
-    With ``whole_batch`` the batch that reaches ``n`` is kept to its end, so there may be more.
+    Rows without a batch have no place in the order and come after all others, so they are only
+    kept if all rows are. With ``whole_batch`` the batch that reaches ``n`` is kept to its end, so there may be more.
     The table is read several times, so it should be a stored one.
     """
     if n <= 0:
         return accepted.limit(0)
-    per_batch = materialise(accepted.groupBy(batch).agg(F.count("*").alias("rows")), "batch-counts")
+    placed = accepted.filter(F.col(batch).isNotNull())
+    per_batch = materialise(placed.groupBy(batch).agg(F.count("*").alias("rows")), "batch-counts")
     found = _cut(per_batch, batch, "rows", n)
     if found is None:
-        return accepted
+        missing = n - (per_batch.agg(F.sum("rows")).first()[0] or 0)
+        unplaced = accepted.filter(F.col(batch).isNull())
+        return accepted if unplaced.limit(missing + 1).count() <= missing else placed
     last, before = found
     if whole_batch:
         return accepted.filter(F.col(batch) <= last)

@@ -6,6 +6,7 @@ ones first, then the shallowest path, then keyword rank, then path and text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Row
@@ -14,6 +15,9 @@ from callsieve.functions.labels import KEYWORD_RANK, OTHER_RANK
 from callsieve.functions.sqltext import number, quote, strings
 from callsieve.functions.variants import canonical, is_infinite, number_of, string_of
 
+UNSUPPORTED = "unsupported"
+Text = Callable[[str], str]
+
 VIOLATION = "struct<held:boolean,depth:int,rank:int,path:array<string>,keyword:string,detail:string>"
 NO_VIOLATION = f"cast(NULL AS {VIOLATION})"
 NO_VIOLATIONS = f"cast(array() AS array<{VIOLATION}>)"
@@ -23,7 +27,8 @@ NO_VIOLATIONS = f"cast(array() AS array<{VIOLATION}>)"
 class Node:
     """One position of a call: texts of path, value, type text, kind, keys and elements.
 
-    ``declared`` counts the declared properties that are present, where that is known.
+    ``declared`` counts the declared properties that are present, where that is known. Violations
+    of a ``bare`` node have neither path nor detail.
     """
 
     path: str
@@ -33,6 +38,7 @@ class Node:
     keys: str
     parts: str
     declared: str | None = None
+    bare: bool = False
 
     @property
     def json(self) -> str:
@@ -103,9 +109,10 @@ class LiteralRule:
 
 def violation(node: Node, keyword: str, detail: str, held: bool = False) -> str:
     rank = KEYWORD_RANK.get(keyword, OTHER_RANK)
+    path, detail = ("cast(array() AS array<string>)", "cast(NULL AS string)") if node.bare else (node.path, detail)
     return (
-        f"named_struct('held', {str(held).lower()}, 'depth', size({node.path}), 'rank', {rank},"
-        f" 'path', {node.path}, 'keyword', {quote(keyword)}, 'detail', {detail})"
+        f"named_struct('held', {str(held).lower()}, 'depth', size({path}), 'rank', {rank},"
+        f" 'path', {path}, 'keyword', {quote(keyword)}, 'detail', {detail})"
     )
 
 
@@ -113,6 +120,24 @@ def missing_key(node: Node, key: str) -> str:
     return violation(node, "required", f"concat('\\'', {key}, '\\' is a required property')")
 
 
+def branches_fail(path: str, least: str, keyword: str) -> str:
+    """A violation of ``anyOf``, ``oneOf`` or ``not`` from the least violation of each branch,
+    or NULL. A branch without one is valid; one that only has held ones may be valid or not."""
+
+    def found(held: bool) -> str:
+        node = Node(path, "", "", "", "", "")
+        return violation(node, keyword, quote(f"the value does not comply with {keyword}"), held)
+
+    valid, open_ = "size(filter(m, x -> x IS NULL))", "size(filter(m, x -> x.held))"
+    cases = {
+        "anyOf": f"WHEN {valid} > 0 THEN NULL WHEN {open_} > 0 THEN {found(True)} ELSE {found(False)}",
+        "oneOf": f"WHEN {valid} > 1 THEN {found(False)} WHEN {open_} > 0 THEN {found(True)}"
+        f" WHEN {valid} = 1 THEN NULL ELSE {found(False)}",
+        "not": f"WHEN {valid} > 0 THEN {found(False)} WHEN {open_} > 0 THEN {found(True)}",
+    }
+    return f"transform(array({least}), m -> CASE {cases[keyword]} END)[0]"
+
+
 def _quoted(names: str) -> str:
     return f"array_join(transform({names}, t -> concat('\\'', t, '\\'')), ', ')"
 
@@ -128,32 +153,35 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
     """One text per keyword with at most one violation; NULL where the node complies."""
     out: list[str] = []
 
-    def check(demand: str, fails: str, keyword: str, detail: str, held: bool = False) -> None:
+    def check(demand: str, fails: Text, keyword: str, detail: Text, held: bool = False) -> None:
+        """``fails`` and ``detail`` build their texts around that of the demand's value; nothing
+        is ever replaced in a text that already holds values of a schema."""
         value = rule.get(demand)
         if value is not None:
-            test, words = fails.replace("{it}", value), detail.replace("{it}", value)
-            out.append(f"if({test}, {violation(node, keyword, words, held)}, NULL)")
+            out.append(f"if({fails(value)}, {violation(node, keyword, detail(value), held)}, NULL)")
 
-    def check_if_present(demand: str, fails: str, keyword: str, detail: str) -> None:
-        check(demand, rule.guard(demand) + fails, keyword, detail)
+    def check_if_present(demand: str, fails: Text, keyword: str, detail: Text) -> None:
+        check(demand, lambda it: rule.guard(demand) + fails(it), keyword, detail)
 
-    if rule.get("type") is not None:
-        fits = rule.fits(node.kind)
-        check("type", f"NOT {fits}", "type", f"concat({node.json}, ' is not of type ', {_quoted('{it}')})")
-    if rule.get("enum") is not None:
-        listed = f"concat({node.json}, ' is not one of [', array_join({{it}}, ', '), ']')"
-        check_if_present("enum", f"NOT {rule.among('enum', node)}", "enum", listed)
-    if rule.get("const") is not None:
-        check_if_present("const", f"NOT {rule.among('const', node)}", "const", "concat({it}, ' was expected')")
+    fits = f"NOT {rule.fits(node.kind)}" if rule.get("type") is not None else ""
+    check("type", lambda it: fits, "type", lambda it: f"concat({node.json}, ' is not of type ', {_quoted(it)})")
+    among = {d: f"NOT {rule.among(d, node)}" for d in ("enum", "const") if rule.get(d) is not None}
+    check_if_present(
+        "enum",
+        lambda it: among["enum"],
+        "enum",
+        lambda it: f"concat({node.json}, ' is not one of [', array_join({it}, ', '), ']')",
+    )
+    check_if_present("const", lambda it: among["const"], "const", lambda it: f"concat({it}, ' was expected')")
 
     if rule.get("additional_allowed") is not None:
         extra = f"array_except({node.keys}, {rule.get('property_names')})"
         surplus = f"size({node.keys}) > {node.declared}" if node.declared else f"size({extra}) > 0"
         check(
             "additional_allowed",
-            f"NOT {{it}} AND {node.kind} = 'object' AND {surplus}",
+            lambda it: f"NOT {it} AND {node.kind} = 'object' AND {surplus}",
             "additionalProperties",
-            f"concat('Additional properties are not allowed (', {_quoted(f'array_sort({extra})')},"
+            lambda it: f"concat('Additional properties are not allowed (', {_quoted(f'array_sort({extra})')},"
             f" if(size({extra}) = 1, ' was', ' were'), ' unexpected)')",
         )
 
@@ -170,9 +198,13 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
         ),
     )
     for part, suffix, kind, size, few, many in sized:
-        applies = f"{node.kind} = '{kind}'"
-        check_if_present(f"min_{part}", f"{applies} AND {size} < {{it}}", f"min{suffix}", f"concat({node.json}, '{few}')")
-        check_if_present(f"max_{part}", f"{applies} AND {size} > {{it}}", f"max{suffix}", f"concat({node.json}, '{many}')")
+        for side, operator, words in (("min", "<", few), ("max", ">", many)):
+            check_if_present(
+                f"{side}_{part}",
+                lambda it, k=kind, n=size, o=operator: f"{node.kind} = '{k}' AND {n} {o} {it}",
+                f"{side}{suffix}",
+                lambda it, w=words: f"concat({node.json}, '{w}')",
+            )
 
     bounds = (
         ("minimum", "minimum", "<", "less than the minimum"),
@@ -181,26 +213,34 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
         ("exclusive_maximum", "exclusiveMaximum", ">=", "greater than or equal to the maximum"),
     )
     for demand, keyword, operator, words in bounds:
-        shown = "coalesce(string({it}.whole), string({it}.approx))"
         check_if_present(
             demand,
-            _beyond(node, "{it}", operator),
+            lambda it, o=operator: _beyond(node, it, o),
             keyword,
-            f"concat({node.json}, ' is {words} of ', {shown})",
+            lambda it, w=words: f"concat({node.json}, ' is {w} of ', coalesce(string({it}.whole), string({it}.approx)))",
         )
 
     # (?U): classes are Unicode; (?d): only a newline ends a line.
     check_if_present(
         "pattern",
-        f"{node.kind} = 'string' AND NOT {string_of(node.v)} RLIKE concat('(?Ud)', {{it}})",
+        lambda it: f"{node.kind} = 'string' AND NOT {string_of(node.v)} RLIKE concat('(?Ud)', {it})",
         "pattern",
-        f"concat({node.json}, ' does not match ', {{it}})",
+        lambda it: f"concat({node.json}, ' does not match ', {it})",
+    )
+    check(
+        "never",
+        lambda it: f"{it} AND {node.kind} IS NOT NULL",
+        "false",
+        lambda it: f"concat('False schema does not allow ', {node.json})",
     )
-    check("never", f"{{it}} AND {node.kind} IS NOT NULL", "false", f"concat('False schema does not allow ', {node.json})")
 
     # A number lost in parsing gives no verdict, but never a pass.
-    unclear = "'number out of range or not comparable'"
-    check("judges_value", f"{{it}} AND {node.shape} = 'DOUBLE' AND {is_infinite(node.v)}", "number", unclear, True)
+    def unclear(it: str) -> str:
+        return "'a keyword that is not judged, or a number out of range or not comparable'"
+
+    check("unsupported", lambda it: f"{it} AND {node.kind} IS NOT NULL", UNSUPPORTED, unclear, True)
+    infinite = f"{node.shape} = 'DOUBLE' AND {is_infinite(node.v)}"
+    check("judges_value", lambda it: f"{it} AND {infinite}", "number", unclear, True)
     loose = f"{node.kind} IN ('object', 'array') AND contains({node.shape}, 'DOUBLE')"
-    check("has_container", f"{{it}} AND {loose}", "number", unclear, True)
+    check("has_container", lambda it: f"{it} AND {loose}", "number", unclear, True)
     return out

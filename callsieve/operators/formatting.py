@@ -12,9 +12,15 @@ from callsieve.functions.jsontext import is_strict_json
 MAX_TOTAL_TOKENS = 2048
 MAX_PROMPT_TOKENS = 768
 
+#: Turn numbers that the first of the two aggregates of a conversation brings together.
 TURNS_PER_PART = 1000
 
 
+def renderable(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a text in every column, and the others, which cannot be rendered."""
+    return complete_rows(df, *columns), incomplete_rows(df, *columns)
+
+
 def complete_rows(df: DataFrame, *columns: str) -> DataFrame:
     """Rows with a text in every column; the others belong to ``incomplete_rows``."""
     return df.dropna(subset=list(columns))
@@ -29,24 +35,28 @@ def incomplete_rows(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def preference_pairs(df: DataFrame) -> DataFrame:
-    """Render prompt, chosen and rejected as chat text; other columns are kept."""
+    """Render prompt, chosen and rejected as chat text; other columns are kept.
+
+    Rows that lack one of the texts are not here but in the second table of ``renderable``.
+    """
     return complete_rows(df, "prompt", "chosen", "rejected").withColumns(
         {"prompt": chat_prompt("prompt"), "chosen": completion("chosen"), "rejected": completion("rejected")}
     )
 
 
 def supervised_texts(df: DataFrame) -> DataFrame:
-    """Add ``text``: prompt and chosen reply in one string."""
+    """Add ``text``: prompt and chosen reply in one string; rows that lack one are left to
+    ``renderable``."""
     return complete_rows(df, "prompt", "chosen").withColumn(
         "text", F.concat(chat_prompt("prompt"), completion("chosen"))
     )
 
 
 def conversation_texts(df: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
-    """Multi-turn chat text, turns in order.
+    """Multi-turn chat text, one row for each conversation, turns in order.
 
-    A conversation comes in parts of ``turns_per_part`` turn numbers, so that one endless
-    conversation is spread over many groups. An ordinary one is whole in part 0.
+    Turns are first joined in parts of ``turns_per_part`` turn numbers, so that sorting and
+    joining an endless conversation is spread over many groups; then its parts are joined.
     """
     turns = df.select(
         "conv_id",
@@ -56,14 +66,35 @@ def conversation_texts(df: DataFrame, turns_per_part: int = TURNS_PER_PART) -> D
     )
     ordered = F.array_sort(F.collect_list(F.struct("turn", "segment")))
     grouped = turns.groupBy("conv_id", "part").agg(F.count("*").alias("n_turns"), ordered.alias("__turns"))
-    return grouped.select(
-        "conv_id", "part", "n_turns", F.array_join(F.col("__turns.segment"), "\n").alias("text")
-    )
+    parts = grouped.select("conv_id", "part", "n_turns", F.array_join(F.col("__turns.segment"), "\n").alias("text"))
+    in_order = F.array_sort(F.collect_list(F.struct("part", "text")))
+    whole = parts.groupBy("conv_id").agg(F.sum("n_turns").alias("n_turns"), in_order.alias("__parts"))
+    return whole.select("conv_id", "n_turns", F.array_join(F.col("__parts.text"), "\n").alias("text"))
 
 
 def word_count(text: str):
     """Whitespace-separated words: a stand-in for tokens where no tokenizer is at hand."""
-    return F.size(F.split(F.col(text), r"\s+"))
+    return F.regexp_count(F.col(text), F.lit(r"\S+"))
+
+
+def truncate_words(text: str, most: int):
+    """The text up to the end of its ``most``-th word; what is shorter stays as it is."""
+    head = F.regexp_extract(F.col(text), rf"^(?:\s*\S+){{0,{most}}}", 0)
+    return F.when(word_count(text) > most, head).otherwise(F.col(text))
+
+
+def truncate_to_budget(df: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Cut each column of ``limits`` to its number of words."""
+    return df.withColumns({column: truncate_words(column, most) for column, most in limits.items()})
+
+
+def pair_budget(
+    df: DataFrame, max_total: int = MAX_TOTAL_TOKENS, max_prompt: int = MAX_PROMPT_TOKENS, drop: bool = False
+) -> DataFrame:
+    """Length flags of preference pairs: the total is the prompt and the longer of both replies."""
+    reply = F.greatest(word_count("chosen"), word_count("rejected"))
+    counted = df.withColumn("n_tokens", word_count("prompt") + reply)
+    return length_budget(counted, prompt="prompt", max_total=max_total, max_prompt=max_prompt, drop=drop)
 
 
 def length_budget(

@@ -70,13 +70,25 @@ def compare_rates(rates: DataFrame, base: str, new: str) -> DataFrame:
 
 
 def compare_breakdowns(breakdown: DataFrame, base: str, new: str) -> DataFrame:
-    """Per category: both counts and the change in percent of the base count."""
+    """Per category: both counts, the change in percent of the base count, the change of the
+    share of all samples in points, and the ratio of both shares (NULL for a base of 0)."""
+
+    def of(model: str, column: str):
+        return F.coalesce(F.sum(F.when(F.col("model") == model, F.col(column))), F.lit(0))
+
     wide = breakdown.groupBy("category").agg(
-        F.coalesce(F.sum(F.when(F.col("model") == base, F.col("n"))), F.lit(0)).alias("base_n"),
-        F.coalesce(F.sum(F.when(F.col("model") == new, F.col("n"))), F.lit(0)).alias("new_n"),
+        *(of(m, c).alias(f"{side}_{c}") for side, m in (("base", base), ("new", new)) for c in ("n", "total"))
     )
     change = F.try_divide(100 * (F.col("new_n") - F.col("base_n")), F.col("base_n"))
-    return wide.withColumn("pct_change", F.round(change, 0))
+    base_share, new_share = (F.try_divide(F.col(f"{s}_n"), F.col(f"{s}_total")) for s in ("base", "new"))
+    return wide.select(
+        "category",
+        "base_n",
+        "new_n",
+        F.round(change, 0).alias("pct_change"),
+        F.round(100 * (F.coalesce(new_share, F.lit(0.0)) - F.coalesce(base_share, F.lit(0.0))), 2).alias("delta_pp"),
+        F.round(F.try_divide(new_share, base_share), 2).alias("ratio"),
+    )
 
 
 def paired_outcomes(verdicts: DataFrame, base: str, new: str, key: str = "example_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Hard negatives: break a valid call in exactly one known way.
 
-Four kinds: a parameter the schema does not know, an integer passed as text, a value outside
+Only calls that are valid to begin with are broken, so that nothing else is wrong with the
+result. Four kinds: a parameter the schema does not know, an integer passed as text, a value outside
 its enum, a required parameter left out. A row to which a kind does not apply gives no row.
 """
 
@@ -14,7 +15,7 @@ from callsieve.functions.sqltext import name, quote
 from callsieve.functions.variants import field, fields, from_text, kind_of
 from callsieve.operators.schemas import NO_SCHEMA, compile_schemas
 from callsieve.operators.salting import join_unique
-from callsieve.operators.validate import BROADCAST_BYTES
+from callsieve.operators.validate import BROADCAST_BYTES, Checker
 from callsieve.session import materialise
 
 KIND_CATEGORY = {
@@ -46,18 +47,24 @@ def parameter_targets(compiled: DataFrame) -> DataFrame:
 def hard_negatives(
     calls: DataFrame,
     catalog: DataFrame,
-    kind: str,
+    kind: str | list[str],
     text: str = "call",
     id_column: str = "example_id",
     target: str | None = None,
     extra_key: str = "zz",
     seed: int = 42,
 ) -> DataFrame:
-    """Add ``rejected`` and ``kind`` to the rows the kind applies to.
+    """Add ``rejected`` and ``kind`` to the valid calls that the kind applies to; of several
+    kinds, one row for each.
 
     The parameter to break is picked by a hash of id and seed over the names in order, or
-    fixed by ``target``.
+    fixed by ``target``. A key is added under ``extra_key``, or if the schema or the call knows
+    that, under the greatest known key with ``_x`` behind it.
     """
+    kinds = [kind] if isinstance(kind, str) else kind
+    checker = Checker(catalog)
+    checked = checker.release(checker.check(checker.attach(calls), text, "__verdict"), "__verdict")
+    calls = checked.filter("__verdict.is_valid").drop("__verdict")
     targets = materialise(parameter_targets(compile_schemas(catalog)), "targets")
     size = targets.agg(F.sum(F.length(F.to_json(F.struct(*targets.columns))))).first()[0] or 0
     keyed = calls.withColumn("__sid", F.coalesce(F.col("schema_id"), F.lit(NO_SCHEMA)))
@@ -67,43 +74,44 @@ def hard_negatives(
     else:
         joined = join_unique(keyed, targets, "__sid")
     present = "map_keys(__params)"
-    options = {
+    options_of = {
         "hallucinated_param": "if(closed_names IS NULL, NULL, array(''))",
         "type_mismatch": f"filter(integers, k -> array_contains({present}, k)"
         f" AND {kind_of('__params[k]')} = 'integer')",
         "enum_violation": f"filter(array_sort(map_keys(enums)), k -> array_contains({present}, k))",
         "missing_required": f"filter(required, k -> array_contains({present}, k))",
-    }[kind]
-    if target is not None and kind != "hallucinated_param":
-        options = f"filter({options}, k -> k = {quote(target)})"
-    pick = f"__options[pmod(xxhash64({name(id_column)}, {seed}), size(__options))]"
+    }
+    if target is not None:
+        for one in options_of.keys() - {"hallucinated_param"}:
+            options_of[one] = f"filter({options_of[one]}, k -> k = {quote(target)})"
+    taken = f"array_union(closed_names, {present})"
     new_key = (
-        f"if(array_contains(closed_names, {quote(extra_key)}),"
-        f" concat(array_max(closed_names), '_x'), {quote(extra_key)})"
+        f"if(array_contains({taken}, {quote(extra_key)}), concat(array_max({taken}), '_x'), {quote(extra_key)})"
     )
     edits = {
         "hallucinated_param": f"map_concat(__params, map({new_key}, {from_text(quote('extra'))}))",
-        "type_mismatch": "transform_values(__params, (k, v) -> if(k = __pick, "
+        "type_mismatch": "transform_values(__params, (k, v) -> if(k = p, "
         + from_text("try_variant_get(v, '$', 'string')")
         + ", v))",
-        "enum_violation": "transform_values(__params, (k, v) -> if(k = __pick, "
-        + from_text("concat(substring(enums[__pick], 2, length(enums[__pick]) - 2), '_x')")
+        "enum_violation": "transform_values(__params, (k, v) -> if(k = p, "
+        + from_text("concat(substring(enums[p], 2, length(enums[p]) - 2), '_x')")
         + ", v))",
-        "missing_required": "map_filter(__params, (k, v) -> k <> __pick)",
-    }[kind]
+        "missing_required": "map_filter(__params, (k, v) -> k <> p)",
+    }
     opened = joined.withColumn("__v", parse_strict(text)).selectExpr(
         "*", f"{fields('__v')} AS __call", f"{fields(field('__v', 'parameters'))} AS __params"
     )
-    picked = opened.selectExpr("*", f"{options} AS __options").selectExpr(
-        "*", f"if(size(__options) > 0, {pick}, NULL) AS __pick"
-    )
-    call = (
-        "to_json(map_concat(map_filter(__call, (k, v) -> k <> 'parameters'),"
-        f" map('parameters', parse_json(to_json({edits})))))"
-    )
-    broken = picked.selectExpr(
-        *[name(c) for c in calls.columns],
-        f"explode_outer(if(__pick IS NOT NULL AND __params IS NOT NULL, array({call}), NULL)) AS rejected",
-        f"{quote(kind)} AS kind",
-    )
-    return broken.filter("rejected IS NOT NULL")
+    broken = []
+    for k in kinds:
+        # One name of those that can be broken, as a list of one or none.
+        place = f"pmod(xxhash64({name(id_column)}, {seed}), size(o))"
+        picked = f"flatten(transform(array({options_of[k]}), o -> if(size(o) > 0, array(o[{place}]), array())))"
+        call = (
+            "to_json(map_concat(map_filter(__call, (k, v) -> k <> 'parameters'),"
+            f" map('parameters', parse_json(to_json({edits[k]})))))"
+        )
+        broken.append(f"transform({picked}, p -> named_struct('rejected', {call}, 'kind', {quote(k)}))")
+    every = f"if(__params IS NOT NULL, concat({', '.join(f'coalesce({b}, array())' for b in broken)}), NULL)"
+    kept = [name(c) for c in calls.columns]
+    rows = opened.selectExpr(*kept, f"explode_outer({every}) AS __b").filter("__b IS NOT NULL")
+    return rows.selectExpr(*kept, "__b.rejected AS rejected", "__b.kind AS kind")

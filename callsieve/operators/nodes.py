@@ -7,15 +7,15 @@ from pyspark.sql import DataFrame
 from callsieve.functions.jsontext import parse_strict
 from callsieve.functions.sqltext import name
 from callsieve.functions.variants import elements, fields, kind_of
-from callsieve.operators.schemas import MAX_DEPTH, escape_key
+from callsieve.operators.schemas import escape_key, measured_depth
 
 
-def walk(df: DataFrame, root: str, out: str, max_depth: int = MAX_DEPTH, keep: str | None = None) -> DataFrame:
+def walk(df: DataFrame, root: str, out: str, depth_of_values: int) -> DataFrame:
     """Add ``out``: the nodes of the VARIANT column ``root``, level by level.
 
     A node holds ``path`` (the way through this very value), ``at`` (the schema-side
-    position), the value ``v`` and its members ``m`` or elements ``a``. ``keep`` is a test
-    with ``{at}`` for the position; subtrees that fail it are left out before they are opened.
+    position), the value ``v`` and its members ``m`` or elements ``a``. No value may be nested
+    deeper than ``depth_of_values``.
     """
 
     def node(path: str, at: str, v: str) -> str:
@@ -33,29 +33,27 @@ def walk(df: DataFrame, root: str, out: str, max_depth: int = MAX_DEPTH, keep: s
         "transform(n.a, (x, i) -> " + step("concat(n.path, array(string(i)))", "concat(n.at, '/*')", "x") + ")"
     )
     found = f"coalesce({by_key}, {by_place})"
-    start = f"{root} IS NOT NULL"
-    if keep:
-        found = f"filter({found}, s -> {keep.format(at='s.at')})"
-        start += f" AND {keep.format(at="''")}"
     children = f"transform({found}, s -> {node('s.path', 's.at', 's.v')})"
 
     columns = df.columns
     empty = node("cast(array() AS array<string>)", "''", root)
-    df = df.selectExpr("*", f"if({start}, array({empty}), NULL) AS {out}0")
-    for depth in range(1, max_depth + 1):
+    df = df.selectExpr("*", f"if({root} IS NOT NULL, array({empty}), NULL) AS {out}0")
+    for depth in range(1, depth_of_values + 1):
         opened = f"filter({out}{depth - 1}, n -> n.m IS NOT NULL OR n.a IS NOT NULL)"
         df = df.selectExpr("*", f"flatten(transform({opened}, n -> {children})) AS {out}{depth}")
-    levels = ", ".join(f"{out}{depth}" for depth in range(max_depth + 1))
+    levels = ", ".join(f"{out}{depth}" for depth in range(depth_of_values + 1))
     return df.selectExpr(*[name(c) for c in columns], f"concat({levels}) AS {out}")
 
 
-def shred_calls(df: DataFrame, text: str = "call", max_depth: int = MAX_DEPTH) -> DataFrame:
+def shred_calls(df: DataFrame, text: str = "call", depth: int | None = None) -> DataFrame:
     """One row per node: path, JSON type, JSON text and child keys. No shuffle.
 
-    Text that is not strict JSON has no nodes.
+    Text that is not strict JSON has no nodes. Levels are unrolled as deep as the deepest call,
+    which is measured in a pass of its own unless ``depth`` is known to bound all of them.
     """
+    depth = measured_depth(df, text) if depth is None else depth
     others = [name(c) for c in df.columns if c != text]
-    nodes = walk(df.withColumn("__root", parse_strict(text)), "__root", "__nodes", max_depth)
+    nodes = walk(df.withColumn("__root", parse_strict(text)), "__root", "__nodes", depth)
     # Outer, so that no filter on the array is inferred and copied below its definition.
     rows = nodes.selectExpr(*others, "explode_outer(__nodes) AS __n").filter("__n IS NOT NULL")
     return rows.selectExpr(

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsieve.functions.chatml import chat_prompt
-from callsieve.operators.salting import join_unique
 
 
 def inference_prompts(examples: DataFrame) -> DataFrame:
@@ -17,9 +16,13 @@ def inference_prompts(examples: DataFrame) -> DataFrame:
     return examples.withColumn("model_prompt", chat_prompt("prompt"))
 
 
-def join_responses(responses: DataFrame, examples: DataFrame, key: str = "example_id", **limits) -> DataFrame:
-    """Responses with the schema of their example. Many responses per example are fine."""
-    return join_unique(responses, examples.select(key, "schema_id"), key, **limits)
+def join_responses(responses: DataFrame, examples: DataFrame, key: str = "example_id") -> DataFrame:
+    """Responses with the schema of their example.
+
+    Most examples have a few responses, so no count of them is made first; where one has very
+    many, the join is split as it runs.
+    """
+    return responses.join(examples.select(key, "schema_id"), key)
 
 
 def missing_responses(

@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed limits: a key with more rows than this is spread over this many joins.
+from callsieve.functions.sqltext import name
+
+#: A key with more rows than this is spread, so that each part has about as many.
 HOT_ROWS = 2_000_000
-SPREAD = 64
 
 
 def _frequent(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    return counts.filter(F.col("count") > hot_rows).select(F.col(key), F.lit(True).alias("__hot"))
+    return counts.filter(F.col("count") > hot_rows).select(
+        F.col(key), F.ceil(F.col("count") / hot_rows).cast("int").alias("__parts")
+    )
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.AtomicType) and not isinstance(kind, T.VariantType)
 
 
 def join_unique(
@@ -22,22 +33,19 @@ def join_unique(
     key: str,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    spread: int = SPREAD,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on ``key``, where ``right`` has one row per key.
 
     Keys frequent on the left are found by a count that reduces before its shuffle. Their
-    left rows are spread over ``spread`` salts and only their right rows are repeated; all
-    other rows keep salt 0. The salt is a hash of the row, so a recomputed task repeats it.
-    At most (left rows / ``hot_rows``) keys can be frequent, which bounds the broadcast.
+    left rows are spread over as many salts as keep each below ``hot_rows``, and only their
+    right rows are repeated; all other rows keep salt 0. The salt is a hash of the row and of
+    its partition's number: a recomputed task repeats it, and equal rows are spread, too. At most (left rows / ``hot_rows``) keys can be frequent, which bounds the broadcast.
     """
     hot = F.broadcast(_frequent(left, key, hot_rows))
-    plain = [f.name for f in left.schema.fields if isinstance(f.dataType, T.AtomicType)]
-    spread_of = F.pmod(F.xxhash64(*plain), F.lit(spread)).cast("int")
-    salted_left = left.join(hot, key, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), spread_of).otherwise(F.lit(0))
-    )
-    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, key, "left").withColumn("__salt", F.explode(salts))
-    joined = salted_left.drop("__hot").join(salted_right.drop("__hot"), [key, "__salt"], how)
+    plain = [F.col(name(f.name)) for f in left.schema.fields if _hashable(f.dataType)]
+    hashed = left.withColumn("__hash", F.xxhash64(*plain, F.spark_partition_id()))
+    parts = F.coalesce("__parts", F.lit(1))
+    salted_left = hashed.join(hot, key, "left").withColumn("__salt", F.pmod("__hash", parts).cast("int"))
+    salted_right = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    joined = salted_left.drop("__hash", "__parts").join(salted_right.drop("__parts"), [key, "__salt"], how)
     return joined.drop("__salt")

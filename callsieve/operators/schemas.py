@@ -5,7 +5,10 @@ id and is compiled once into an array of rules, one per position it describes. C
 call is then a matter of looking up rules by position.
 
 A position is written like a JSON pointer on the schema side: ``/parameters/tags/*`` is any
-element of ``tags``. Keys are escaped, so dots, slashes and stars in a key are safe.
+element of ``tags``. Keys are escaped, so dots, slashes and stars in a key are safe. Parts of a
+schema that apply to a value which has a position already get one of their own behind a star:
+``*allOf:0``, ``*anyOf:0``, ``*oneOf:0``, ``*not``, ``*ref`` (what a reference points to) and
+``*additional`` (any member that is not declared).
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsieve.functions.jsontext import parse_strict
+from callsieve.functions.jsontext import PARSER_DEPTH, nesting_depth, parse_strict
 from callsieve.functions.sqltext import any_of, quote, strings
 from callsieve.functions.variants import (
     canonical,
@@ -28,9 +31,8 @@ from callsieve.functions.variants import (
     string_of,
 )
 
-MAX_DEPTH = 6
-COMPILE_TASKS = 256
 NO_SCHEMA = "none"
+_REFERENCE = '"$ref"'
 
 # JSON Schema type names and keywords.
 TYPE_NAMES = ("array", "boolean", "integer", "null", "number", "object", "string")
@@ -58,15 +60,16 @@ PLAIN_KEYWORDS = (
     "items",
     "pattern",
     "uniqueItems",
-)
-UNSUPPORTED_KEYWORDS = (
-    "$ref",
-    "$dynamicRef",
-    "$recursiveRef",
     "allOf",
     "anyOf",
     "oneOf",
     "not",
+    "$ref",
+)
+BRANCHED = ("allOf", "anyOf", "oneOf")
+UNSUPPORTED_KEYWORDS = (
+    "$dynamicRef",
+    "$recursiveRef",
     "if",
     "patternProperties",
     "propertyNames",
@@ -81,6 +84,8 @@ UNSUPPORTED_KEYWORDS = (
 )
 # Drafts whose integer and bound rules differ from the current ones.
 OLD_DRAFTS = "draft-0[34]"
+# Drafts in which a reference hides what stands beside it.
+LONE_REF_DRAFTS = "draft-0[67]"
 
 # Patterns read alike by the common regex dialects: literals, simple classes, one level of
 # groups, plain quantifiers. Anything else makes the schema unsupported.
@@ -106,6 +111,13 @@ RULE_FIELDS = (
     "never",
     "judges_value",
     "has_container",
+    "n_allOf",
+    "n_anyOf",
+    "n_oneOf",
+    "negated",
+    "referred",
+    "rest",
+    "unsupported",
 )
 
 
@@ -132,32 +144,82 @@ def escape_key(key: str) -> str:
     return f"replace(replace(replace({key}, '~', '~0'), '/', '~1'), '*', '~2')"
 
 
+def _target(v: str) -> str:
+    """What the reference of ``v`` points to among the schema's own definitions, else NULL."""
+    link = string_of(field(v, "$ref"))
+    found = [
+        f"WHEN {link} RLIKE {quote(f'^#/{group}/[^/~%]+$')} THEN"
+        f" {fields(field('root', group.replace(chr(92), '')))}[substring({link}, {len(group.replace(chr(92), '')) + 4})]"
+        for group in (r"\$defs", "definitions")
+    ]
+    return f"CASE {' '.join(found)} END"
+
+
 def _children(node: str) -> str:
-    """Positions one step below: each declared property, and the array elements."""
+    """Positions one step below: declared properties, array elements, and schemas within this one."""
+    v = f"{node}.v"
+
+    def at(path: str, step: str, value: str, refs: str = f"{node}.refs") -> str:
+        return f"named_struct('path', {path}, 'at', concat({node}.at, {step}), 'v', {value}, 'refs', {refs})"
+
+    here = f"{node}.path"
     declared = (
-        f"transform(map_entries({fields(field(f'{node}.v', 'properties'))}), e -> named_struct("
-        f"'path', concat({node}.path, array(e.key)), 'at', concat({node}.at, '/', {escape_key('e.key')}),"
-        f" 'v', e.value))"
-    )
-    items = field(f"{node}.v", "items")
-    element = (
-        f"if({items} IS NOT NULL AND {elements(items)} IS NULL, array(named_struct("
-        f"'path', concat({node}.path, array('[]')), 'at', concat({node}.at, '/*'), 'v', {items})), NULL)"
+        f"transform(map_entries({fields(field(v, 'properties'))}), e -> "
+        + at(f"concat({here}, array(e.key))", f"'/', {escape_key('e.key')}", "e.value")
+        + ")"
     )
-    return f"concat(coalesce({declared}, array()), coalesce({element}, array()))"
+    items = field(v, "items")
+    whole = f"{items} IS NOT NULL AND {elements(items)} IS NULL AND {field(v, 'prefixItems')} IS NULL"
+    element = f"if({whole}, array({at(f"concat({here}, array('[]'))", "'/*'", items)}), NULL)"
+    branches = [
+        f"transform({elements(field(v, k))}, (b, i) -> {at(here, f"'/*{k}:', i", 'b')})" for k in BRANCHED
+    ]
+    inverse = f"if({field(v, 'not')} IS NOT NULL, array({at(here, "'/*not'", field(v, 'not'))}), NULL)"
+    link, target = string_of(field(v, "$ref")), _target(v)
+    followed = at(here, "'/*ref'", target, f"concat({node}.refs, array({link}))")
+    known = f"if({target} IS NOT NULL AND NOT array_contains({node}.refs, {link}), array({followed}), NULL)"
+    extra = field(v, "additionalProperties")
+    rest = f"if(size({fields(extra)}) > 0, array({at(f"concat({here}, array('*'))", "'/*additional'", extra)}), NULL)"
+    parts = [declared, element, *branches, inverse, known, rest]
+    return f"concat({', '.join(f'coalesce({p}, array())' for p in parts)})"
+
+
+def _levels(catalog: DataFrame) -> tuple[int, int]:
+    """Levels of positions that the catalog's schemas can have at most, of those without and with
+    references. A chain of references meets each target once, and below each there is at most
+    the text's own depth."""
+    linked_text = F.coalesce(F.contains(F.col("schema"), F.lit(_REFERENCE)), F.lit(False))
+    targets = F.size(F.array_distinct(F.regexp_extract_all("schema", F.lit(r'"\$ref"\s*:\s*"([^"]*)"'), 1)))
+    depth = F.least(F.coalesce(nesting_depth("schema"), F.lit(0)), F.lit(PARSER_DEPTH))
+    plain, linked = catalog.agg(
+        F.max(F.when(~linked_text, depth)), F.max(F.when(linked_text, depth * (1 + F.greatest(targets, F.lit(0)))))
+    ).first()
+    return plain or 0, linked or 0
+
+
+def measured_depth(df: DataFrame, text: str) -> int:
+    """Levels that the deepest of the JSON texts can have; one small aggregate."""
+    deepest = df.agg(F.max(F.least(F.coalesce(nesting_depth(text), F.lit(0)), F.lit(PARSER_DEPTH)))).first()[0]
+    return deepest or 0
+
+
+def _opened(catalog: DataFrame, max_depth: int) -> DataFrame:
+    """The positions of each schema, level by level."""
+    df = catalog.select("schema_id", parse_strict("schema").alias("root"))
+    start = "array(named_struct('path', cast(array() AS array<string>), 'at', '', 'v', root, 'refs', cast(array() AS array<string>)))"
+    df = df.selectExpr("*", f"if(root IS NOT NULL, {start}, NULL) AS level0")
+    for depth in range(1, max_depth + 1):
+        df = df.selectExpr("*", f"flatten(transform(level{depth - 1}, n -> {_children('n')})) AS level{depth}")
+    return df
 
 
 def _nodes(catalog: DataFrame, max_depth: int) -> DataFrame:
     """One row per position of each schema; a schema that is not JSON keeps one empty row."""
-    df = catalog.select("schema_id", parse_strict("schema").alias("root"))
-    start = "array(named_struct('path', cast(array() AS array<string>), 'at', '', 'v', root))"
-    df = df.selectExpr("*", f"if(root IS NOT NULL, {start}, NULL) AS level0")
-    for depth in range(1, max_depth + 2):
-        df = df.selectExpr("*", f"flatten(transform(level{depth - 1}, n -> {_children('n')})) AS level{depth}")
+    df = _opened(catalog, max_depth)
     reached = ", ".join(f"level{depth}" for depth in range(max_depth + 1))
-    return df.selectExpr(
-        "schema_id", f"size(level{max_depth + 1}) > 0 AS deeper", f"explode_outer(concat({reached})) AS n"
-    ).selectExpr("schema_id", "deeper", "n.path AS path", "n.at AS at", "n.v AS v")
+    return df.selectExpr("schema_id", "root", f"explode_outer(concat({reached})) AS n").selectExpr(
+        "schema_id", "root", "n.path AS path", "n.at AS at", "n.v AS v", "n.refs AS refs"
+    )
 
 
 def _malformed() -> str:
@@ -179,32 +241,45 @@ def _malformed() -> str:
         "items": "t_items IN ('object', 'boolean', 'array')",
         "pattern": "t_pattern = 'string'",
         "uniqueItems": "t_uniqueItems = 'boolean'",
+        "not": "t_not IN ('object', 'boolean')",
+        "$ref": "`t_$ref` = 'string'",
     }
+    good |= {k: f"size({elements(f'k_{k}')}) > 0" for k in BRANCHED}
     good |= {k: f"t_{k} = 'integer' AND {double_of(f'k_{k}')} >= 0" for k in COUNT_KEYWORDS}
     good |= {k: f"t_{k} IN ('integer', 'number')" for k in BOUND_KEYWORDS}
-    wrong = [f"k_{k} IS NOT NULL AND NOT coalesce({test}, false)" for k, test in good.items()]
+    wrong = [f"`k_{k}` IS NOT NULL AND NOT coalesce({test}, false)" for k, test in good.items()]
     return any_of(["v IS NULL", "t_self NOT IN ('object', 'boolean')", *wrong])
 
 
 def _unsupported() -> str:
     """The position uses a keyword, or a value, that the rules cannot express."""
-    pattern = string_of("k_pattern")
-    low, high = (f"regexp_extract_all({pattern}, {quote(r)}, 1)" for r in (r"\{(\d+),\d+\}", r"\{\d+,(\d+)\}"))
-    turned = f"exists(zip_with({low}, {high}, (a, b) -> int(a) > int(b)), t -> t)"
     return any_of(
         [
-            "deeper",
             f"arrays_overlap(map_keys({fields('v')}), {strings(UNSUPPORTED_KEYWORDS)})",
             "try_variant_get(k_uniqueItems, '$', 'boolean')",
-            f"size({fields('k_additionalProperties')}) > 0",
             "t_items = 'array'",
-            f"NOT {pattern} RLIKE {quote(PORTABLE_PATTERN)}",
-            turned,
-            # Exponent notation cannot be compared inside containers, and overflow not at all.
+            f"`k_$ref` IS NOT NULL AND ({_target('v')} IS NULL OR array_contains(refs, {string_of('`k_$ref`')}))",
+            "`k_$ref` IS NOT NULL AND lone_ref",
+            "odd_pattern",
+            "unclear",
+            *[f"t_{k} = 'number' AND {is_infinite(f'k_{k}')}" for k in BOUND_KEYWORDS],
+        ]
+    )
+
+
+def _odd_pattern() -> str:
+    pattern = string_of("k_pattern")
+    low, high = (f"regexp_extract_all({pattern}, {quote(r)}, 1)" for r in (r"\{(\d+),\d+\}", r"\{\d+,(\d+)\}"))
+    turned = f"exists(zip_with({low}, {high}, (a, b) -> int(a) > int(b)), t -> t)"
+    return any_of([f"NOT {pattern} RLIKE {quote(PORTABLE_PATTERN)}", turned])
+
+
+def _unclear() -> str:
+    """Exponent notation cannot be compared inside containers, and overflow not at all."""
+    return any_of(
+        [
             f"exists(literals, x -> {kind_of('x')} IN ('object', 'array') AND contains({shape_of('x')}, 'DOUBLE'))",
             f"exists(literals, x -> {shape_of('x')} = 'DOUBLE' AND {is_infinite('x')})",
-            *[f"t_{k} = 'number' AND {is_infinite(f'k_{k}')}" for k in BOUND_KEYWORDS],
-            f"at = '' AND try_variant_get(v, '$[\"$schema\"]', 'string') RLIKE '{OLD_DRAFTS}'",
         ]
     )
 
@@ -216,60 +291,94 @@ def _rule() -> str:
         "at": "at",
         "type": "coalesce(try_variant_get(k_type, '$', 'array<string>'),"
         f" if(t_type = 'string', array({string_of('k_type')}), NULL))",
-        "enum": f"transform({elements('k_enum')}, x -> {canonical('x', kind_of('x'))})",
-        "const": f"if(k_const IS NULL, NULL, {canonical('k_const', 't_const')})",
+        "enum": f"if(unclear, NULL, transform({elements('k_enum')}, x -> {canonical('x', kind_of('x'))}))",
+        "const": f"if(k_const IS NULL OR unclear, NULL, {canonical('k_const', 't_const')})",
         "required": "try_variant_get(k_required, '$', 'array<string>')",
         "property_names": f"coalesce(map_keys({fields('k_properties')}), cast(array() AS array<string>))",
-        "additional_allowed": "coalesce(try_variant_get(k_additionalProperties, '$', 'boolean'), true)",
+        # Members that match a pattern are not additional, and patterns are not looked at.
+        "additional_allowed": "coalesce(try_variant_get(k_additionalProperties, '$', 'boolean'), true)"
+        f" OR {field('v', 'patternProperties')} IS NOT NULL",
     }
     parts |= {f: f"try_variant_get(k_{k}, '$', 'bigint')" for k, f in COUNT_KEYWORDS.items()}
     parts |= {f: number_of(f"k_{k}", f"t_{k}") for k, f in BOUND_KEYWORDS.items()}
     judged = " OR ".join(f"k_{k} IS NOT NULL" for k in ("type", "enum", "const", *BOUND_KEYWORDS))
     parts |= {
-        "pattern": string_of("k_pattern"),
+        "pattern": f"if(odd_pattern, NULL, {string_of('k_pattern')})",
         "never": "t_self = 'boolean' AND NOT try_variant_get(v, '$', 'boolean')",
         "judges_value": judged,
         "has_container": f"exists(literals, x -> {kind_of('x')} IN ('object', 'array'))",
     }
+    parts |= {f"n_{k}": f"coalesce(size({elements(f'k_{k}')}), 0)" for k in BRANCHED}
+    parts |= {
+        "negated": "k_not IS NOT NULL",
+        "referred": f"`k_$ref` IS NOT NULL AND {_target('v')} IS NOT NULL AND NOT array_contains(refs, {string_of('`k_$ref`')})",
+        "rest": f"coalesce(size({fields('k_additionalProperties')}) > 0, false) AND {field('v', 'patternProperties')} IS NULL",
+        "unsupported": "unsupported",
+    }
     return "named_struct(" + ", ".join(f"'{f}', {parts[f]}" for f in RULE_FIELDS) + ")"
 
 
-def compile_schemas(catalog: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def compile_schemas(catalog: DataFrame) -> DataFrame:
     """``(schema_id, status, tool, rules)`` for each row of a schema catalog.
 
-    ``status`` is ``ok``, ``bad_schema`` (missing, not an object, or malformed) or
-    ``unsupported_schema`` (a keyword outside the rules, or nesting below ``max_depth``).
-    Rows are grouped by schema only here, so a group is as large as one schema.
+    ``status`` is ``ok``, ``partly`` (some position uses a keyword outside the rules; calls that
+    have a value there get no verdict unless they fail elsewhere), ``unsupported_schema`` (a draft
+    with other rules) or ``bad_schema`` (missing, not an object, or malformed). Positions are
+    unrolled as deep as the deepest schema of the catalog is, which is measured first. Rows are
+    grouped by schema only here, so a group is as large as one schema.
     """
     keywords = (*PLAIN_KEYWORDS, *COUNT_KEYWORDS, *BOUND_KEYWORDS)
-    valued = ("required",)
+    valued = ("required", *BRANCHED)
     # A catalog is small in bytes but costly per row: one shuffle by id spreads the work and
-    # serves the grouping below.
-    tasks = min(catalog.sparkSession.sparkContext.defaultParallelism, COMPILE_TASKS)
-    df = _nodes(catalog.repartition(tasks, "schema_id"), max_depth)
-    df = df.selectExpr("*", *[f"{field('v', k)} AS k_{k}" for k in keywords])
+    # serves the grouping below. The number is given, or the few bytes would be coalesced.
+    spark = catalog.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt, (plain, linked) = catalog.repartition(tasks, "schema_id"), _levels(catalog)
+    if linked:
+        is_linked = F.coalesce(F.contains(F.col("schema"), F.lit(_REFERENCE)), F.lit(False))
+        df = _nodes(dealt.filter(~is_linked), plain).unionByName(_nodes(dealt.filter(is_linked), linked))
+    else:
+        df = _nodes(dealt, plain)
+    df = df.selectExpr("*", *[f"{field('v', k)} AS `k_{k}`" for k in keywords])
     df = df.selectExpr(
         "*",
         f"{kind_of('v')} AS t_self",
         f"concat(coalesce({elements('k_enum')}, array()), if(k_const IS NULL, array(), array(k_const))) AS literals",
-        *[f"{kind_of(f'k_{k}')} AS t_{k}" for k in keywords if k not in valued],
+        # Only keywords that occur are looked at: the kind of a missing one is NULL at once.
+        *[f"if(`k_{k}` IS NULL, NULL, {shape_of(f'`k_{k}`')}) AS `s_{k}`" for k in keywords if k not in valued],
     )
+    df = df.selectExpr(
+        "*", *[f"if(`s_{k}` IS NULL, NULL, {kind_of(f'`k_{k}`', f'`s_{k}`')}) AS `t_{k}`" for k in keywords if k not in valued]
+    )
+    draft = "try_variant_get(root, '$[\"$schema\"]', 'string')"
+    df = df.selectExpr(
+        "*",
+        f"coalesce({draft} RLIKE '{OLD_DRAFTS}', false) AS old_draft",
+        f"coalesce({draft} RLIKE '{LONE_REF_DRAFTS}', false) AND size({fields('v')}) > 1 AS lone_ref",
+        f"{_odd_pattern()} AS odd_pattern",
+        f"{_unclear()} AS unclear",
+    ).selectExpr("*", f"{_unsupported()} AS unsupported")
     df = df.selectExpr(
         "schema_id",
         f"{_malformed()} AS malformed",
-        f"{_unsupported()} AS unsupported",
+        "unsupported",
+        "old_draft",
         "if(at = '', try_variant_get(v, '$.properties.tool.const', 'string'), NULL) AS tool",
         f"{_rule()} AS rule",
     )
     grouped = df.groupBy("schema_id").agg(
         F.bool_or("malformed").alias("malformed"),
         F.bool_or("unsupported").alias("unsupported"),
+        F.bool_or("old_draft").alias("old_draft"),
         F.max("tool").alias("tool"),
         F.collect_list("rule").alias("rules"),
     )
-    status = "CASE WHEN malformed THEN 'bad_schema' WHEN unsupported THEN 'unsupported_schema' ELSE 'ok' END"
+    status = (
+        "CASE WHEN malformed THEN 'bad_schema' WHEN old_draft THEN 'unsupported_schema'"
+        " WHEN unsupported THEN 'partly' ELSE 'ok' END"
+    )
     return grouped.selectExpr(
-        "schema_id", f"{status} AS status", "tool", f"if({status} = 'ok', array_sort(rules), NULL) AS rules"
+        "schema_id", f"{status} AS status", "tool", f"if({status} IN ('ok', 'partly'), array_sort(rules), NULL) AS rules"
     )
 
 
@@ -279,5 +388,5 @@ def constraint_table(compiled: DataFrame) -> DataFrame:
 
 
 def unsupported_schemas(compiled: DataFrame) -> DataFrame:
-    """Schemas that give no verdict, and unusable ones."""
+    """Schemas that give no verdict, or not always, and unusable ones."""
     return compiled.filter("status <> 'ok'").select("schema_id", "status")

@@ -16,10 +16,12 @@ All three share the same checks and give the same verdicts.
 
 from __future__ import annotations
 
+from threading import Lock
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from callsieve.functions.jsontext import lenient_text, parse_wrapped
+from callsieve.functions.jsontext import beyond_parser, lenient_text, parse_wrapped
 from callsieve.functions.labels import OTHER, category_of, json_error_message, schema_error_message
 from callsieve.functions.sqltext import name, quote, strings
 from callsieve.functions.variants import elements, fields, json_path, keys, kind_of, shape_of
@@ -29,11 +31,12 @@ from callsieve.operators.checks import (
     JoinedRule,
     LiteralRule,
     Node,
+    branches_fail,
     missing_key,
     node_checks,
 )
 from callsieve.operators.salting import join_unique
-from callsieve.operators.schemas import MAX_DEPTH, NO_SCHEMA, compile_schemas, escape_key
+from callsieve.operators.schemas import BRANCHED, NO_SCHEMA, compile_schemas, escape_key
 from callsieve.session import materialise
 
 # Fixed limits for choosing how rules reach the rows.
@@ -41,10 +44,14 @@ INLINE_SCHEMAS = 16
 INLINE_RULES = 160
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-# Rules of the few schemas that are written out as expressions, by depth, id and text hash,
-# so that scoring another table with the same tools does not compile them again.
+# In memory a rule takes about this much, however few demands it has.
+RULE_BYTES = 512
+
+# Rules of the few schemas that are written out as expressions, by id and text hash, so that
+# scoring another table with the same tools does not compile them again.
 REMEMBERED_SCHEMAS = 256
-_COMPILED: dict[tuple[int, str, str], Row] = {}
+_COMPILED: dict[tuple[str, str], Row] = {}
+_COMPILED_LOCK = Lock()
 
 
 def _needs_keys(rule: Row) -> bool:
@@ -53,8 +60,19 @@ def _needs_keys(rule: Row) -> bool:
     return bool(rule["required"] or rule["property_names"]) or not rule["additional_allowed"] or counted
 
 
-def _inside_array(rule: Row) -> bool:
-    return "*" in rule["at"].split("/")
+def _movable(rule: Row) -> bool:
+    """Below a star: in an array, or in a schema that applies beside another one."""
+    return any(step.startswith("*") for step in rule["at"].split("/"))
+
+
+def _directly_below(at: str, other: str) -> bool:
+    """A member of ``at``, neither an element nor a schema beside it."""
+    parent, slash, step = other.rpartition("/")
+    return bool(slash) and parent == at and not step.startswith("*")
+
+
+def _branched(rule: Row) -> bool:
+    return bool(any(rule[f"n_{k}"] for k in BRANCHED) or rule["negated"] or rule["referred"] or rule["rest"])
 
 
 def _literal_checks(node: Node, rule: Row, present: dict[str, str]) -> list[str]:
@@ -74,36 +92,41 @@ def _gather(checks: list[str]) -> str:
 class _InlineRules:
     """Checks for a handful of schemas, written out as expressions on the parsed call."""
 
-    def __init__(self, rows: list[Row]):
+    def __init__(self, rows: list[Row], bare: bool):
+        self.bare = bare
         self.statuses = {row["schema_id"]: row["status"] for row in rows}
         self.schemas = {
-            row["schema_id"]: {rule["at"]: rule for rule in row["rules"]} for row in rows if row["status"] == "ok"
+            row["schema_id"]: {rule["at"]: rule for rule in row["rules"]} for row in rows if row["rules"] is not None
         }
         fixed: dict[str, list[str]] = {}
         for schema_id, rules in self.schemas.items():
             for at, rule in rules.items():
-                if not _inside_array(rule):
+                if not _movable(rule):
                     fixed.setdefault(at, []).append(schema_id)
         self.slots = {at: (i, ids) for i, (at, ids) in enumerate(fixed.items())}
 
     @classmethod
-    def build(cls, catalog: DataFrame, max_depth: int, schemas: int, rules: int) -> _InlineRules | None:
+    def build(cls, catalog: DataFrame, schemas: int, rules: int, bare: bool) -> _InlineRules | None:
         """Only if there are few enough schemas, rules, and keys that a path can hold."""
         text_hash = F.coalesce(F.sha2("schema", 256), F.lit("")).alias("hash")
         found = catalog.select("schema_id", text_hash).limit(schemas + 1).collect() if schemas else []
         if not 0 < len(found) <= schemas:
             return None
-        known = {row["schema_id"]: (max_depth, row["schema_id"], row["hash"]) for row in found}
-        fresh = [schema_id for schema_id, key in known.items() if key not in _COMPILED]
+        keys = {row["schema_id"]: (row["schema_id"], row["hash"]) for row in found}
+        with _COMPILED_LOCK:
+            known = {schema_id: _COMPILED[key] for schema_id, key in keys.items() if key in _COMPILED}
+        fresh = [schema_id for schema_id in keys if schema_id not in known]
         if fresh:
-            for row in compile_schemas(catalog.filter(F.col("schema_id").isin(fresh)), max_depth).collect():
-                _COMPILED[known[row["schema_id"]]] = row
-        rows = [_COMPILED[key] for key in known.values()]
-        while len(_COMPILED) > REMEMBERED_SCHEMAS:
-            _COMPILED.pop(next(iter(_COMPILED)))
+            compiled = compile_schemas(catalog.filter(F.col("schema_id").isin(fresh))).collect()
+            known |= {row["schema_id"]: row for row in compiled}
+            with _COMPILED_LOCK:
+                _COMPILED.update((keys[row["schema_id"]], row) for row in compiled)
+                while len(_COMPILED) > REMEMBERED_SCHEMAS:
+                    _COMPILED.pop(next(iter(_COMPILED)))
+        rows = [known[schema_id] for schema_id in keys]
         nodes = [rule for row in rows for rule in (row["rules"] or [])]
         fits = len(nodes) <= rules and all(json_path(rule["path"]) for rule in nodes)
-        return cls(rows) if fits else None
+        return cls(rows, bare) if fits else None
 
     def attach(self, df: DataFrame) -> DataFrame:
         ids = f"coalesce(schema_id, {quote(NO_SCHEMA)})"
@@ -154,22 +177,44 @@ class _InlineRules:
         single, several = [], []
         opened = {at for at, (_, ids) in self.slots.items() if any(_needs_keys(self.schemas[s][at]) for s in ids)}
         for at, rule in rules.items():
-            if _inside_array(rule):
+            if _movable(rule):
                 continue
             i, _ = self.slots[at]
             value = f"try_variant_get(__w, {quote(self._path(rule))}, 'variant')"
             v, names = (value, f"__o{i}") if at in opened else (f"__v{i}", keys(f"__v{i}"))
-            below = {r["path"][-1]: a for a, r in rules.items() if r["path"] and r["path"][:-1] == rule["path"]}
-            present = {
-                key: f"(__s{self.slots[a][0]} IS NOT NULL)" for key, a in below.items() if a != f"{at}/*" and a in self.slots
-            }
+            below = {r["path"][-1]: a for a, r in rules.items() if _directly_below(at, a)}
+            present = {key: f"(__s{self.slots[a][0]} IS NOT NULL)" for key, a in below.items() if a in self.slots}
             declared = " + ".join(["0", *[f"int{test}" for test in present.values()]])
-            node = Node(strings(rule["path"]), v, f"__s{i}", f"__k{i}", names, elements(v), declared)
+            node = Node(strings(rule["path"]), v, f"__s{i}", f"__k{i}", names, elements(v), declared, self.bare)
             single += _literal_checks(node, rule, present)
             if f"{at}/*" in rules:
                 several.append(self._elements(rules, at, node.path, node.v, 0))
+            if _branched(rule):
+                known = self._known(f"filter(array({value}), m -> m IS NOT NULL)")
+                applied = f"concat({', '.join(self._applied(rules, at, node.path, 'e0', 1))})"
+                several.append(f"coalesce(flatten(transform({known}, e0 -> {applied})), {NO_VIOLATIONS})")
         return single, several
 
+    def _applied(self, rules: dict[str, Row], at: str, path: str, e: str, level: int) -> list[str]:
+        """Violation lists of the schemas that apply to ``e`` beside the one at ``at``."""
+        rule, found = rules[at], []
+        along = [f"*allOf:{i}" for i in range(rule["n_allOf"])] + (["*ref"] if rule["referred"] else [])
+        found += [self._below(rules, f"{at}/{step}", path, e, level) for step in along]
+        sides = [(k, [f"*{k}:{i}" for i in range(rule[f"n_{k}"])]) for k in ("anyOf", "oneOf")]
+        for keyword, steps in [*sides, ("not", ["*not"] if rule["negated"] else [])]:
+            if steps:
+                least = ", ".join(f"array_min({self._below(rules, f'{at}/{step}', path, e, level)})" for step in steps)
+                found.append(f"array_compact(array({branches_fail(path, f'array({least})', keyword)}))")
+        if rule["rest"]:
+            x = f"e{level}"
+            declared = strings(rule["property_names"])
+            others = f"filter(map_entries({fields(f'{e}.v')}), p -> NOT array_contains({declared}, p.key))"
+            shaped = f"transform({others}, p -> named_struct('key', p.key, 'v', p.value, 's', {shape_of('p.value')}))"
+            known = f"transform({shaped}, p -> named_struct('key', p.key, 'v', p.v, 's', p.s, 'k', {kind_of('p.v', 'p.s')}))"
+            below = self._below(rules, f"{at}/*additional", f"concat({path}, array({x}.key))", x, level + 1)
+            found.append(f"coalesce(flatten(transform({known}, {x} -> {below})), {NO_VIOLATIONS})")
+        return found
+
     @staticmethod
     def _known(values: str) -> str:
         """Values with type text and kind, each worked out once."""
@@ -185,14 +230,13 @@ class _InlineRules:
     def _below(self, rules: dict[str, Row], at: str, path: str, e: str, level: int) -> str:
         rule = rules[at]
         v = f"{e}.v"
-        node = Node(path, v, f"{e}.s", f"{e}.k", keys(v), elements(v))
+        node = Node(path, v, f"{e}.s", f"{e}.k", keys(v), elements(v), bare=self.bare)
         found = [_gather(_literal_checks(node, rule, {}))]
+        found += self._applied(rules, at, path, e, level)
         for other, child in rules.items():
-            if not other.startswith(f"{at}/") or len(child["path"]) != len(rule["path"]) + 1:
-                continue
             if other == f"{at}/*":
                 found.append(self._elements(rules, at, path, v, level))
-            else:
+            elif _directly_below(at, other):
                 key = child["path"][-1]
                 member = f"try_variant_get({v}, {quote(json_path([key]))}, 'variant')"
                 present = self._known(f"filter(array({member}), m -> m IS NOT NULL)")
@@ -209,13 +253,18 @@ class _JoinedRules:
     parts without rules are not opened. It is one expression, so rows are copied only once.
     """
 
-    def __init__(self, compiled: DataFrame, broadcast_bytes: int):
+    def __init__(self, compiled: DataFrame, broadcast_bytes: int, bare: bool):
+        self.bare = bare
         self.compiled = materialise(compiled, "schemas")
-        size = F.sum(F.length(F.to_json(F.struct("schema_id", "rules")))).alias("size")
-        depth = F.max(F.expr("array_max(transform(rules, r -> size(r.path)))")).alias("depth")
-        measured = self.compiled.agg(size, depth).first()
+        rule_bytes = F.coalesce(F.size("rules"), F.lit(0)) * RULE_BYTES
+        size = F.sum(F.length(F.to_json(F.struct("schema_id", "rules"))) + rule_bytes).alias("size")
+        depth = F.max(F.expr("array_max(transform(rules, r -> size(split(r.at, '/')) - 1))")).alias("depth")
+        beside = " OR ".join([*(f"r.n_{k} > 0" for k in BRANCHED), "r.negated", "r.referred", "r.rest"])
+        branched = F.bool_or(F.expr(f"exists(rules, r -> {beside})")).alias("branched")
+        measured = self.compiled.agg(size, depth, branched).first()
         self.broadcast = (measured["size"] or 0) <= broadcast_bytes
         self.depth = measured["depth"] or 0
+        self.branched = bool(measured["branched"])
 
     def attach(self, df: DataFrame) -> DataFrame:
         rules = self.compiled.selectExpr(
@@ -229,10 +278,10 @@ class _JoinedRules:
         return join_unique(keyed, rules, "__sid", "left").drop("__sid")
 
     def find(self, df: DataFrame) -> DataFrame:
-        root = "array(named_struct('path', cast(array() AS array<string>), 'at', '', 'v', __w[0]))"
-        root = root.replace("__w[0]", "try_variant_get(__w, '$[0]', 'variant')")
+        value = "try_variant_get(__w, '$[0]', 'variant')"
+        root = f"array(named_struct('path', cast(array() AS array<string>), 'at', '', 'v', {value}))"
         found = f"flatten(transform({self._ruled(root, 0)}, c0 -> {self._violations(0)}))"
-        df = df.selectExpr("*", f"if(__w IS NOT NULL AND __status = 'ok', {found}, NULL) AS __found")
+        df = df.selectExpr("*", f"if(__w IS NOT NULL AND __status IN ('ok', 'partly'), {found}, NULL) AS __found")
         return df.selectExpr("*", "array_min(__found) AS __first")
 
     @staticmethod
@@ -259,7 +308,7 @@ class _JoinedRules:
     def _violations(self, level: int) -> str:
         """Violations at a node and below it."""
         c, e = f"c{level}", f"e{level}"
-        node = Node(f"{c}.path", f"{c}.v", f"{c}.shape", f"{c}.kind", f"{c}.keys", f"{c}.a")
+        node = Node(f"{c}.path", f"{c}.v", f"{c}.shape", f"{c}.kind", f"{c}.keys", f"{c}.a", bare=self.bare)
         missing = (
             f"transform(filter({c}.rule.required, k -> NOT array_contains({c}.keys, k)), k -> {missing_key(node, 'k')})"
         )
@@ -268,37 +317,73 @@ class _JoinedRules:
             f"if({c}.kind = 'object' AND {c}.rule.required IS NOT NULL, {missing}, {NO_VIOLATIONS})",
         ]
         if level < self.depth:
+            step = escape_key(f"{e}.key")
+            if self.branched:
+                other = f"{c}.rule.rest AND NOT array_contains({c}.rule.property_names, {e}.key)"
+                step = f"if({other}, '*additional', {step})"
             by_key = (
                 f"transform(map_entries({c}.m), {e} -> named_struct('path', concat({c}.path, array({e}.key)),"
-                f" 'at', concat({c}.at, '/', {escape_key(f'{e}.key')}), 'v', {e}.value))"
+                f" 'at', concat({c}.at, '/', {step}), 'v', {e}.value))"
             )
             by_place = (
                 f"transform({c}.a, ({e}, i) -> named_struct('path', concat({c}.path, array(string(i))),"
                 f" 'at', concat({c}.at, '/*'), 'v', {e}))"
             )
-            children = self._ruled(f"coalesce({by_key}, {by_place})", level + 1)
-            below = f"flatten(transform({children}, c{level + 1} -> {self._violations(level + 1)}))"
-            found.append(f"if({c}.m IS NOT NULL OR {c}.a IS NOT NULL, {below}, {NO_VIOLATIONS})")
+            if self.branched:
+                found.append(self._with_branches(f"coalesce({by_key}, {by_place}, array())", level))
+            else:
+                children = self._ruled(f"coalesce({by_key}, {by_place})", level + 1)
+                below = f"flatten(transform({children}, c{level + 1} -> {self._violations(level + 1)}))"
+                found.append(f"if({c}.m IS NOT NULL OR {c}.a IS NOT NULL, {below}, {NO_VIOLATIONS})")
         return f"concat({', '.join(found)})"
 
+    def _with_branches(self, inside: str, level: int) -> str:
+        """Violations in members and elements and in the schemas that apply beside the rule. All
+        are looked up and walked by one expression; then each branch is judged as a whole."""
+        c, n, r = f"c{level}", f"c{level + 1}", f"r{level}"
+
+        def steps(mark: str, places: str) -> str:
+            return f"transform({places}, i -> named_struct('path', {c}.path, 'at', concat({c}.at, '/*{mark}', i), 'v', {c}.v))"
+
+        def upto(count: str) -> str:
+            return f"if({count} > 0, transform(sequence(0, {count} - 1), i -> string(i)), array())"
+
+        beside = [steps(f"{k}:", upto(f"{c}.rule.n_{k}")) for k in BRANCHED]
+        beside += [steps("not", f"if({c}.rule.negated, array(''), array())")]
+        beside += [steps("ref", f"if({c}.rule.referred, array(''), array())")]
+        children = self._ruled(f"concat({', '.join([inside, *beside])})", level + 1)
+        walked = (
+            f"transform({children}, {n} -> named_struct('step', element_at(split({n}.at, '/'), -1),"
+            f" 'found', {self._violations(level + 1)}))"
+        )
+        apart = ("anyOf", "oneOf", "not")
+        plain = " AND ".join(f"NOT startswith(x.step, '*{k}')" for k in apart)
+        parts = [f"flatten(transform(filter({r}, x -> {plain}), x -> x.found))"]
+        for keyword in apart:
+            asked = f"{c}.rule.negated" if keyword == "not" else f"{c}.rule.n_{keyword} > 0"
+            least = f"transform(filter({r}, x -> startswith(x.step, '*{keyword}')), x -> array_min(x.found))"
+            parts.append(f"array_compact(array(if({asked}, {branches_fail(f'{c}.path', least, keyword)}, NULL)))")
+        return f"flatten(transform(array({walked}), {r} -> concat({', '.join(parts)})))"
+
 
 class Checker:
     """Validates text columns of a table whose rows carry ``schema_id``.
 
     Creating one compiles the catalog and looks at its size (small actions on the catalog
-    only); ``attach`` and ``check`` are lazy.
+    only); ``attach`` and ``check`` are lazy. With ``labels_only`` violations carry no path and
+    no detail, so none is built.
     """
 
     def __init__(
         self,
         catalog: DataFrame,
-        max_depth: int = MAX_DEPTH,
         inline_schemas: int = INLINE_SCHEMAS,
         inline_rules: int = INLINE_RULES,
         broadcast_bytes: int = BROADCAST_BYTES,
+        labels_only: bool = False,
     ):
-        inline = _InlineRules.build(catalog, max_depth, inline_schemas, inline_rules)
-        self.rules = inline or _JoinedRules(compile_schemas(catalog, max_depth), broadcast_bytes)
+        inline = _InlineRules.build(catalog, inline_schemas, inline_rules, labels_only)
+        self.rules = inline or _JoinedRules(compile_schemas(catalog), broadcast_bytes, labels_only)
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Bring the rules of each row's schema to the row."""
@@ -339,11 +424,13 @@ class Checker:
     def _verdict(text: str) -> Column:
         """Status first: text, then schema, then violations. Nothing passes by default."""
         first = F.col("__first")
-        status = F.expr(
-            "CASE WHEN __w IS NULL THEN 'json_error' WHEN __status IS NULL THEN 'unknown_schema'"
-            " WHEN __status <> 'ok' THEN __status WHEN __first IS NULL THEN 'valid'"
+        unread = F.when(beyond_parser(name(text)), "unsupported_text").otherwise("json_error")
+        status = F.when(F.col("__w").isNull(), unread).otherwise(F.expr(
+            "CASE WHEN __status IS NULL THEN 'unknown_schema'"
+            " WHEN __status NOT IN ('ok', 'partly') THEN __status WHEN __first IS NULL THEN 'valid'"
+            " WHEN __first.held AND __first.keyword <> 'number' THEN 'unsupported_schema'"
             " WHEN __first.held THEN 'unsupported_number' ELSE 'invalid' END"
-        )
+        ))
         is_valid = F.when(status == "valid", True).when(status.isin("json_error", "bad_schema", "invalid"), False)
         keyword = F.when(status == "invalid", first["keyword"])
         category = (
@@ -376,7 +463,8 @@ def validate_calls(
 
 
 def violation_table(calls: DataFrame, catalog: DataFrame, text: str = "call", **limits) -> DataFrame:
-    """One row per violated demand, all of them, without the call text."""
+    """One row per violated demand, all of them, without the call text; with ``labels_only=True``
+    ``path`` is empty and ``detail`` null."""
     checker = Checker(catalog, **limits)
     checked = checker.check(checker.attach(calls), text, "__verdict", "__violations")
     others = [name(c) for c in calls.columns if c != text]

@@ -14,11 +14,8 @@ from callsieve.operators.schemas import with_schema_id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One in fewer files than there are cores is dealt out over the cores:
-    checking calls is bound by CPU, and a small file is a single split."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A given table, in the splits in which it is stored."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tool_schema(tool: str, parameters: dict, required: list[str]) -> str:
@@ -90,6 +87,40 @@ EVENT_SCHEMA = json.dumps(
         "additionalProperties": False,
     }
 )
+# Ten levels of objects around one number.
+DEEP_LEVELS = 10
+DEEP_SCHEMA = '{"properties":{"n":' * DEEP_LEVELS + '{"type":"integer"}' + "}}" * DEEP_LEVELS
+# Keys and values that would break an expression if they were ever read as one.
+HOSTILE = ["{it}", "' OR 1=1 --", '" , raise_error("x") , "{it}', "a\\'b", 'line\nbreak "q"', "$1 {0} %s `c`"]
+HOSTILE_SCHEMA = json.dumps(
+    {
+        "type": "object",
+        "properties": {"{it}": {"enum": [*HOSTILE, 1]}, "it's \"k\"": {"const": HOSTILE[2]}, "p": {"pattern": r"^\{it\}$"}},
+        "required": ["{it}"],
+        "additionalProperties": False,
+    }
+)
+# The order's priority and total in other words: an optional text of a list, a definition that
+# is referred to, something excluded, and members that are not declared.
+COMPOSED_SCHEMA = json.dumps(
+    {
+        "$defs": {"count": {"type": "integer", "minimum": 0}},
+        "type": "object",
+        "properties": {
+            "tool": {"not": {"const": "drop_order"}},
+            "parameters": {
+                "properties": {
+                    "customer": {"$ref": "#/$defs/count"},
+                    "priority": {"anyOf": [{"enum": PRIORITIES}, {"type": "null"}]},
+                    "total": {"allOf": [{"type": "number"}, {"minimum": 0}]},
+                    "date": {"oneOf": [{"type": "string"}, {"type": "integer"}]},
+                },
+                "required": ["customer", "priority"],
+                "additionalProperties": {"type": "boolean"},
+            },
+        },
+    }
+)
 REFERENCE_SCHEMA = json.dumps({"$ref": "#/definitions/order"})
 
 
@@ -242,6 +273,16 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def itemless_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as generator output without a list of items; every fourth has a malformed one."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id",
+        "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN to_json(array(text))"
+        " WHEN 2 THEN to_json(named_struct('examples', text)) ELSE to_json(named_struct('triplets', array(text))) END"
+        " AS doc",
+    )
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models' answers to every order; model B has none for in-process orders."""
     orders = table(spark, sf_dir, "orders")
@@ -252,6 +293,30 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def deep_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls nested as deep as ``DEEP_SCHEMA``, with a text for the number in every third."""
+    inner = "if(o_orderkey % 3 = 0, concat('\"', o_orderkey, '\"'), string(o_orderkey))"
+    call = f"concat(repeat('{{\"n\":', {DEEP_LEVELS}), {inner}, repeat('}}', {DEEP_LEVELS}))"
+    calls = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS example_id", f"{call} AS call")
+    return with_schema_id(calls.withColumn("schema", F.lit(DEEP_SCHEMA))).drop("schema")
+
+
+def hostile_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls whose members are taken in turn from the hostile texts, some of them not allowed."""
+    texts = F.array(*map(F.lit, [*HOSTILE, "other"]))
+    n = F.col("o_orderkey")
+
+    def text(divisor: int) -> F.Column:
+        return F.get(texts, F.pmod(F.floor(n / divisor), F.lit(len(HOSTILE) + 1)).cast("int"))
+
+    members = F.map_from_arrays(
+        F.array(F.lit("{it}"), F.lit("it's \"k\""), F.lit("p")),
+        F.array(text(1), F.when(n % 2 == 0, F.lit(HOSTILE[2])).otherwise(text(3)), F.when(n % 5 > 0, F.lit("{it}")).otherwise("x")),
+    )
+    calls = table(spark, sf_dir, "orders").select(n.alias("example_id"), F.to_json(members).alias("call"))
+    return with_schema_id(calls.withColumn("schema", F.lit(HOSTILE_SCHEMA))).drop("schema")
+
+
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Examples that the models answer, with prompt, expected call and schema id."""
     rows = table(spark, sf_dir, "orders").selectExpr(

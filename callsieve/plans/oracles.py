@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from callsieve.functions.chatml import SYSTEM_PROMPT
+from callsieve.plans import derive
 
 
 def _call(tool: str, *parameters: str) -> str:
@@ -83,6 +86,30 @@ RATES = (
     f"SELECT model, count(*) AS total, count(*) FILTER (category IS NULL) AS passed, CAST(0 AS BIGINT) AS no_verdict,"
     f" count(*) FILTER (category IS NULL) / count(*)::DOUBLE AS pass_rate FROM ({SCORED}) GROUP BY model"
 )
+SCHEMA = "'" + json.dumps(json.loads(derive.ORDER_SCHEMA), sort_keys=True, separators=(",", ":")) + "'"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_HOSTILE = "[" + ", ".join(map(_text, [*derive.HOSTILE, "other"])) + "]"
+_SIZE = len(derive.HOSTILE) + 1
+HOSTILE_VIOLATIONS = (
+    f"SELECT o_orderkey AS example_id, '{{it}}' AS key, 'enum' AS keyword FROM orders WHERE o_orderkey % {_SIZE} = {_SIZE - 1}"
+    " UNION ALL SELECT o_orderkey, 'it''s \"k\"', 'const' FROM orders WHERE o_orderkey % 2 = 1"
+    f" AND ({_HOSTILE})[1 + (o_orderkey // 3) % {_SIZE}] <> {_text(derive.HOSTILE[2])}"
+    " UNION ALL SELECT o_orderkey, 'p', 'pattern' FROM orders WHERE o_orderkey % 5 = 0"
+)
+# The same six ways against the composed schema: the priority fails its anyOf, and the extra
+# member fails the type of undeclared ones.
+COMPOSED = f"""
+    SELECT o_orderkey AS example_id, o_orderkey % 6 = 5 AS is_valid, {STATUS6} AS status,
+    CASE o_orderkey % 6 WHEN 0 THEN 'type_mismatch' WHEN 1 THEN 'other_schema_error' WHEN 2 THEN 'type_mismatch'
+      WHEN 3 THEN 'missing_required' WHEN 4 THEN 'json_error' END AS category,
+    CASE o_orderkey % 6 WHEN 0 THEN 'type' WHEN 1 THEN 'anyOf' WHEN 2 THEN 'type' WHEN 3 THEN 'required' END AS keyword,
+    CASE o_orderkey % 6 WHEN 0 THEN 'parameters/customer' WHEN 1 THEN 'parameters/priority'
+      WHEN 2 THEN 'parameters/zz' WHEN 3 THEN 'parameters' END AS path FROM orders"""
 CITE = "CAST(json_object('tool', 'cite', 'parameters', json_object('doc', doc_id, 'lang', lang)) AS VARCHAR)"
 
 # Schemas made from parts: the text itself, and what each position demands.
@@ -235,8 +262,12 @@ ORACLES = {
         SELECT c_custkey AS example_id, {_customer_call("'customer'", 'c_custkey', "'segment'", 'c_mktsegment')}
         AS rejected, 'missing_required' AS kind, 'missing_required' AS category FROM customer""",
     "hard_negatives_hashed": """
-        SELECT kind, kind AS category, count(*) AS n FROM part CROSS JOIN (VALUES ('hallucinated_param'),
-        ('type_mismatch'), ('enum_violation'), ('missing_required')) AS k(kind) GROUP BY kind""",
+        SELECT p_partkey AS example_id, kind, kind AS category, 1 AS n_broken FROM part
+        CROSS JOIN (VALUES ('hallucinated_param'), ('type_mismatch'), ('enum_violation'), ('missing_required')) AS k(kind)""",
+    "hard_negatives_six_ways": """
+        SELECT o_orderkey AS example_id, kind, kind AS category, 1 AS n_broken FROM orders
+        CROSS JOIN (VALUES ('hallucinated_param'), ('type_mismatch'), ('enum_violation'), ('missing_required')) AS k(kind)
+        WHERE o_orderkey % 6 = 5""",
     "scored_responses": f"SELECT model, example_id, category IS NULL AS is_valid, category FROM ({SCORED})",
     "sspr_by_model": RATES,
     "sspr_overall": """
@@ -251,7 +282,9 @@ ORACLES = {
     "model_compare": f"""
         WITH b AS ({BREAKDOWN})
         SELECT a.category, a.n AS base_n, b.n AS new_n,
-        CASE WHEN a.n > 0 THEN round(100.0 * (b.n - a.n) / a.n, 0)::DOUBLE END AS pct_change
+        CASE WHEN a.n > 0 THEN round(100.0 * (b.n - a.n) / a.n, 0)::DOUBLE END AS pct_change,
+        round(100 * (b.n / b.total::DOUBLE - a.n / a.total::DOUBLE), 2) AS delta_pp,
+        CASE WHEN a.n > 0 THEN round((b.n / b.total::DOUBLE) / (a.n / a.total::DOUBLE), 2) END AS ratio
         FROM b AS a JOIN b AS b ON a.category = b.category AND a.model = 'A' AND b.model = 'B'""",
     "model_gain": f"""
         WITH r AS ({RATES}), w AS (SELECT max(pass_rate) FILTER (model = 'A') AS base_rate,
@@ -270,27 +303,71 @@ ORACLES = {
     "sft_text": f"SELECT o_orderkey AS example_id, {_chat(PROMPT)} || {CHOSEN} || '<|im_end|>' AS text FROM orders",
     "inference_prompt": f"SELECT o_orderkey AS example_id, {_chat(PROMPT)} AS model_prompt FROM orders",
     "conversation_chatml": """
-        SELECT conv_id, turn // 1000 AS part, count(*) AS n_turns,
+        SELECT conv_id, count(*) AS n_turns,
         string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>', chr(10) ORDER BY turn) AS text
-        FROM conversations GROUP BY conv_id, turn // 1000""",
+        FROM conversations GROUP BY conv_id""",
     "length_budget": r"""
-        SELECT doc_id, len(regexp_split_to_array(text, '\s+')) AS n_tokens,
-        len(regexp_split_to_array(text, '\s+')) > 2048 AS over_total FROM documents""",
+        SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_tokens,
+        len(regexp_extract_all(text, '\S+')) > 2048 AS over_total FROM documents""",
+    "truncated_texts": r"""
+        WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' ' || chr(10) || text || chr(9) || ' ' WHEN 1 THEN ''
+          ELSE text END AS text FROM documents),
+        w AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS n FROM d)
+        SELECT doc_id, CASE WHEN n > 100 THEN regexp_extract(text, '^(\s*\S+){100}') ELSE text END AS text,
+        least(n, 100) AS n_words FROM w""",
+    "pair_budget": r"""
+        WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_prompt FROM documents)
+        SELECT doc_id, n_prompt + greatest(doc_id % 2000, doc_id % 1500) AS n_tokens,
+        n_prompt + greatest(doc_id % 2000, doc_id % 1500) > 2048 AS over_total, n_prompt > 768 AS over_prompt FROM w""",
+    "unrenderable_pairs": f"""
+        WITH r AS (SELECT o_orderkey AS example_id, CASE WHEN o_orderkey % 7 <> 0 THEN {CHOSEN} END AS chosen,
+          o_orderkey % 11 = 0 OR o_orderkey % 7 = 0 AS bad FROM orders)
+        SELECT example_id, CASE WHEN bad THEN chosen ELSE chosen || '<|im_end|>' END AS chosen,
+        CASE WHEN bad THEN 'quarantined' ELSE 'rendered' END AS side FROM r""",
     "length_budget_kept": rf"""
-        WITH d AS (SELECT doc_id, text, len(regexp_split_to_array({_chat('text')} || lang || '<|im_end|>', '\s+'))
+        WITH d AS (SELECT doc_id, text, len(regexp_extract_all({_chat('text')} || lang || '<|im_end|>', '\S+'))
           AS n_tokens FROM documents)
-        SELECT doc_id, n_tokens FROM d WHERE n_tokens <= 2048 AND len(regexp_split_to_array(text, '\s+')) <= 768""",
+        SELECT doc_id, n_tokens FROM d WHERE n_tokens <= 2048 AND len(regexp_extract_all(text, '\S+')) <= 768""",
     "inspect_outputs": f"""
         SELECT o_orderkey AS example_id, left({PROMPT}, 100) || '...' AS prompt_head,
         left({GOOD}, 150) || '...' AS expected_head, {SIX} AS response, o_orderkey % 6 <> 4 AS is_json
         FROM orders ORDER BY o_orderkey LIMIT 50""",
-    "read_jsonl": f"SELECT {PROMPT} AS prompt, {SIX} AS rejected, true AS has_schema FROM orders",
-    "read_jsonl_permissive": f"SELECT CASE WHEN o_orderkey % 6 = 4 THEN {SIX} END AS _corrupt_record FROM orders",
+    "read_jsonl": f"SELECT {PROMPT} AS prompt, {CHOSEN} AS chosen, {SIX} AS rejected, {SCHEMA} AS schema FROM orders",
+    "read_jsonl_permissive": f"""
+        WITH r AS (SELECT o_orderkey % 6 = 4 AS broken, {PROMPT} AS p, {CHOSEN} AS c, {SIX} AS r FROM orders)
+        SELECT CASE WHEN NOT broken THEN p END AS prompt, CASE WHEN NOT broken THEN c END AS chosen,
+        CASE WHEN NOT broken THEN r END AS rejected, CASE WHEN NOT broken THEN {SCHEMA} END AS schema,
+        CASE WHEN broken THEN r END AS _corrupt_record FROM r""",
     "export_roundtrip": f"""
-        SELECT o_orderkey AS example_id, {CHOSEN} || '<|im_end|>' AS chosen, {SIX} || '<|im_end|>' AS rejected
+        SELECT o_orderkey AS example_id, {_chat(PROMPT)} AS prompt, {CHOSEN} || '<|im_end|>' AS chosen, {SIX} || '<|im_end|>' AS rejected
         FROM orders WHERE {REASON} IS NULL""",
-    "stream_gate": f"SELECT batch_id, pos, discard_reason FROM ({PLACED})",
-    "stream_gate_until": f"SELECT count(*) >= 100 AS reached FROM ({PLACED}) WHERE discard_reason IS NULL",
+    "stream_gate": f"""
+        SELECT batch_id, pos, discard_reason FROM ({PLACED})
+        UNION ALL SELECT -1 - doc_id, CASE WHEN doc_id % 4 = 3 THEN 0 END,
+        CASE doc_id % 4 WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'not_a_list' ELSE 'malformed_item' END
+        FROM documents
+        UNION ALL SELECT NULL, NULL, 'not_a_record' FROM nation""",
+    "stream_gate_until": f"""
+        SELECT count(*) >= 100 AS reached, true AS none_too_many, true AS batches_whole FROM ({PLACED})
+        WHERE discard_reason IS NULL""",
+    "deep_schema_validation": """
+        SELECT o_orderkey AS example_id, o_orderkey % 3 <> 0 AS is_valid,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'invalid' ELSE 'valid' END AS status,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'type_mismatch' END AS category,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'type' END AS keyword,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'n/n/n/n/n/n/n/n/n/n' END AS path FROM orders""",
+    "shred_deep_calls": """
+        SELECT o_orderkey AS example_id, d AS depth, CASE WHEN d < 10 THEN 'object' WHEN o_orderkey % 3 = 0 THEN 'string'
+        ELSE 'integer' END AS json_type FROM orders, range(11) AS r(d)""",
+    "composed_schema_validation": COMPOSED,
+    "composed_schema_joined": COMPOSED,
+    "partly_judged_schema": f"""
+        SELECT o_orderkey AS example_id, CASE WHEN o_orderkey % 6 <> 5 THEN false END AS is_valid,
+        CASE o_orderkey % 6 WHEN 5 THEN 'unsupported_schema' WHEN 4 THEN 'json_error' ELSE 'invalid' END AS status,
+        {CATEGORY6} AS category FROM orders""",
+    "hostile_literals": HOSTILE_VIOLATIONS,
+    "hostile_literals_joined": HOSTILE_VIOLATIONS,
+    "hostile_literals_salted": HOSTILE_VIOLATIONS,
     "stream_tally": f"""
         SELECT model, coalesce(category, 'valid') AS outcome, count(*) AS n FROM ({SCORED})
         GROUP BY model, coalesce(category, 'valid')""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +67,10 @@ def lenient_validation(spark, sf_dir):
     )
     calls = schemas.with_schema_id(derive.wrapped_calls(spark, sf_dir).withColumn("schema", F.lit(schema)))
     catalog = derive.schemas_of(spark, schema)
-    strict = validate_calls(calls, catalog, "response").select("doc_id", F.col("is_valid").alias("strict_valid"))
-    lenient = validate_calls(calls, catalog, "response", strict=False)
-    return lenient.select("doc_id", "is_valid", "category").join(strict, "doc_id")
+    checker = Checker(catalog)
+    checked = checker.check(checker.attach(calls), "response", "strict")
+    done = checker.release(checker.check(checked, "response", "lenient", strict=False), "strict", "lenient")
+    return done.select("doc_id", "lenient.is_valid", "lenient.category", F.col("strict.is_valid").alias("strict_valid"))
 
 
 # -- schemas and validation ---------------------------------------------------------------
@@ -127,7 +129,7 @@ def violations_all(spark, sf_dir):
 @query
 def violation_counts(spark, sf_dir):
     catalog = derive.schemas_of(spark, derive.LINE_SCHEMA)
-    found = violation_table(derive.line_calls(spark, sf_dir), catalog)
+    found = violation_table(derive.line_calls(spark, sf_dir), catalog, labels_only=True)
     return found.groupBy("category", "keyword").agg(F.count("*").alias("n"))
 
 
@@ -153,6 +155,67 @@ def many_schemas_salted(spark, sf_dir):
     return verdicts.selectExpr("example_id", *VERDICT)
 
 
+@query
+def deep_schema_validation(spark, sf_dir):
+    verdicts = validate_calls(derive.deep_calls(spark, sf_dir), derive.schemas_of(spark, derive.DEEP_SCHEMA))
+    return verdicts.selectExpr("example_id", *VERDICT)
+
+
+@query
+def shred_deep_calls(spark, sf_dir):
+    shredded = nodes.shred_calls(derive.deep_calls(spark, sf_dir).drop("schema_id"))
+    return shredded.selectExpr("example_id", "bigint(size(path)) AS depth", "json_type")
+
+
+def _composed(spark, sf_dir, **limits):
+    calls = schemas.with_schema_id(
+        derive.order_calls(spark, sf_dir).withColumn("schema", F.lit(derive.COMPOSED_SCHEMA))
+    ).drop("schema")
+    verdicts = validate_calls(calls, derive.schemas_of(spark, derive.COMPOSED_SCHEMA), **limits)
+    return verdicts.selectExpr("example_id", *VERDICT)
+
+
+@query
+def composed_schema_validation(spark, sf_dir):
+    return _composed(spark, sf_dir)
+
+
+@query
+def composed_schema_joined(spark, sf_dir):
+    return _composed(spark, sf_dir, inline_schemas=0)
+
+
+@query
+def partly_judged_schema(spark, sf_dir):
+    """A keyword that is not judged leaves definite failures definite, and the rest open."""
+    schema = json.loads(derive.ORDER_SCHEMA)
+    schema["properties"]["parameters"]["properties"]["total"] = {"multipleOf": 0.01}
+    text = json.dumps(schema)
+    calls = schemas.with_schema_id(derive.order_calls(spark, sf_dir).withColumn("schema", F.lit(text))).drop("schema")
+    return validate_calls(calls, derive.schemas_of(spark, text)).select("example_id", "is_valid", "status", "category")
+
+
+def _hostile(spark, sf_dir, **limits):
+    catalog = derive.schemas_of(spark, derive.HOSTILE_SCHEMA)
+    found = violation_table(derive.hostile_calls(spark, sf_dir), catalog, **limits)
+    return found.selectExpr("example_id", "path[0] AS key", "keyword")
+
+
+@query
+def hostile_literals(spark, sf_dir):
+    return _hostile(spark, sf_dir)
+
+
+@query
+def hostile_literals_joined(spark, sf_dir):
+    return _hostile(spark, sf_dir, inline_schemas=0)
+
+
+@query
+def hostile_literals_salted(spark, sf_dir):
+    return _hostile(spark, sf_dir, inline_schemas=0, broadcast_bytes=0)
+
+
 @query
 def event_props_validation(spark, sf_dir):
     events = derive.table(spark, sf_dir, "events").select("event_id", F.col("props").alias("call"))
@@ -188,7 +251,8 @@ def _judged_batches(spark: SparkSession, sf_dir: str, drop_rest: bool = False) -
     triplets = batch_source.items_to_triplets(
         items.withColumn("example_id", F.expr("try_variant_get(item, '$.example_id', 'bigint')"))
     ).drop("item")
-    return gate.judge_pairs(triplets)
+    # Stored once: the catalog then reads their schemas only, and nothing is parsed again.
+    return gate.judge_pairs(materialise(triplets, "triplets"))
 
 
 @query
@@ -223,25 +287,20 @@ def gate_batches_drop_rest(spark, sf_dir):
 
 @query
 def rejected_documents(spark, sf_dir):
-    documents = derive.table(spark, sf_dir, "documents").selectExpr(
-        "doc_id",
-        "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN to_json(array(text))"
-        " WHEN 2 THEN to_json(named_struct('examples', text)) ELSE to_json(named_struct('triplets', array(text))) END"
-        " AS doc",
-    )
+    documents = derive.itemless_documents(spark, sf_dir)
     return batch_source.rejected_documents(documents).select("doc_id", "reason")
 
 
 @query
 def gate_cap(spark, sf_dir):
-    accepted = materialise(gate.accepted(_judged_batches(spark, sf_dir)), "accepted")
+    accepted = materialise(gate.accepted(_judged_batches(spark, sf_dir)).select("batch_id", "pos", "example_id"), "accepted")
     kept = cap.first_n(accepted, 1000)
     return kept.select("batch_id", F.col("pos").cast("long").alias("pos"), "example_id")
 
 
 @query
 def gate_cap_whole_batch(spark, sf_dir):
-    accepted = materialise(gate.accepted(_judged_batches(spark, sf_dir)), "accepted")
+    accepted = materialise(gate.accepted(_judged_batches(spark, sf_dir)).select("batch_id", "pos", "example_id"), "accepted")
     kept = cap.first_n(accepted, 1000, whole_batch=True)
     return kept.select("batch_id", F.col("pos").cast("long").alias("pos"), "example_id")
 
@@ -288,10 +347,22 @@ def hard_negatives_missing(spark, sf_dir):
 
 @query
 def hard_negatives_hashed(spark, sf_dir):
-    calls = derive.part_calls(spark, sf_dir)
-    kinds = [_negatives(calls, derive.PART_SCHEMA, kind, None) for kind in negatives.KIND_CATEGORY]
-    everything = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
-    return everything.groupBy("kind", "category").agg(F.count("*").alias("n"))
+    return _all_negatives(derive.part_calls(spark, sf_dir), derive.PART_SCHEMA)
+
+
+@query
+def hard_negatives_six_ways(spark, sf_dir):
+    return _all_negatives(derive.order_calls(spark, sf_dir), derive.ORDER_SCHEMA)
+
+
+def _all_negatives(calls: DataFrame, schema: str) -> DataFrame:
+    """Negatives of every kind, with the category and the number of demands that each breaks."""
+    catalog = derive.schemas_of(calls.sparkSession, schema)
+    broken = negatives.hard_negatives(calls, catalog, list(negatives.KIND_CATEGORY))
+    checker = Checker(catalog)
+    checked = checker.check(checker.attach(broken), "rejected", "__verdict", "__found")
+    done = checker.release(checked, "__verdict", "__found")
+    return done.selectExpr("example_id", "kind", "__verdict.category AS category", "bigint(size(__found)) AS n_broken")
 
 
 # -- scores -------------------------------------------------------------------------------
@@ -331,7 +402,7 @@ def failure_report(spark, sf_dir):
 def breakdown_rollup(spark, sf_dir):
     tools = schemas.compile_schemas(derive.schemas_of(spark, derive.ORDER_SCHEMA)).select("schema_id", "tool")
     outcome = F.coalesce("category", "status").alias("outcome")
-    labelled = _scored(spark, sf_dir).join(F.broadcast(tools), "schema_id").select("model", "tool", outcome)
+    labelled = _scored(spark, sf_dir).join(tools, "schema_id").select("model", "tool", outcome)
     return metrics.breakdown_rollup(labelled)
 
 
@@ -378,6 +449,16 @@ def sft_text(spark, sf_dir):
     return formatting.supervised_texts(derive.triplets(spark, sf_dir)).select("example_id", "text")
 
 
+@query
+def unrenderable_pairs(spark, sf_dir):
+    rows = derive.triplets(spark, sf_dir).withColumns(
+        {"chosen": F.expr("if(example_id % 7 = 0, NULL, chosen)"), "prompt": F.expr("if(example_id % 11 = 0, NULL, prompt)")}
+    )
+    kept, rest = formatting.renderable(rows, "prompt", "chosen", "rejected")
+    rendered = formatting.preference_pairs(kept).select("example_id", "chosen", F.lit("rendered").alias("side"))
+    return rendered.unionByName(rest.select("example_id", "chosen", F.lit("quarantined").alias("side")))
+
+
 @query
 def inference_prompt(spark, sf_dir):
     return answers.inference_prompts(derive.examples(spark, sf_dir)).select("example_id", "model_prompt")
@@ -403,9 +484,30 @@ def length_budget_kept(spark, sf_dir):
     return kept.selectExpr("doc_id", "bigint(n_tokens) AS n_tokens")
 
 
+@query
+def truncated_texts(spark, sf_dir):
+    documents = derive.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "CASE doc_id % 5 WHEN 0 THEN concat(' \\n', text, '\\t ') WHEN 1 THEN '' ELSE text END AS text"
+    )
+    cut = formatting.truncate_to_budget(documents, {"text": 100})
+    return cut.select(
+        "doc_id", "text", formatting.word_count("text").cast("long").alias("n_words")
+    )
+
+
+@query
+def pair_budget(spark, sf_dir):
+    rows = derive.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "text AS prompt", "repeat('w ', int(doc_id % 2000)) AS chosen", "repeat(' v', int(doc_id % 1500)) AS rejected"
+    )
+    flagged = formatting.pair_budget(rows)
+    return flagged.selectExpr("doc_id", "bigint(n_tokens) AS n_tokens", "over_total", "over_prompt")
+
+
 @query
 def inspect_outputs(spark, sf_dir):
-    examples = derive.examples(spark, sf_dir).select("example_id", "prompt", "chosen")
+    # Only the examples that are shown are joined with their replies.
+    examples = derive.examples(spark, sf_dir).select("example_id", "prompt", "chosen").orderBy("example_id").limit(50)
     replies = derive.order_calls(spark, sf_dir).selectExpr("example_id", "call AS response")
     return formatting.inspect_outputs(examples.join(replies, "example_id"), 50)
 
@@ -418,14 +520,17 @@ def read_jsonl(spark, sf_dir):
     path = scratch_path(spark, "triplets")
     jsonl.write_triplets(derive.triplets(spark, sf_dir), path)
     back = jsonl.read_triplets(spark, path)
-    return back.selectExpr("prompt", "rejected", "schema_of_variant(parse_json(schema)) IS NOT NULL AS has_schema")
+    return back.select("prompt", "chosen", "rejected", "schema")
 
 
 @query
 def read_jsonl_permissive(spark, sf_dir):
     path = scratch_path(spark, "lines")
-    derive.order_calls(spark, sf_dir).select(F.col("call").alias("value")).write.text(path)
-    return jsonl.read_triplets_permissive(spark, path).select("_corrupt_record")
+    lines = derive.triplets(spark, sf_dir).select(
+        F.when(F.col("example_id") % 6 == 4, F.col("rejected")).otherwise(jsonl.triplet_line()).alias("value")
+    )
+    lines.write.text(path)
+    return jsonl.read_triplets_permissive(spark, path)
 
 
 @query
@@ -434,32 +539,44 @@ def export_roundtrip(spark, sf_dir):
     accepted = gate.accepted(_judged(spark, sf_dir))
     pairs = formatting.preference_pairs(accepted)
     jsonl.export_training_set(pairs, path, ["example_id", "prompt", "chosen", "rejected"])
-    return spark.read.parquet(path).select("example_id", "chosen", "rejected")
+    return spark.read.parquet(path).select("example_id", "prompt", "chosen", "rejected")
 
 
 def _batch_files(spark: SparkSession, sf_dir: str) -> str:
+    """Generator batches, documents without items, and lines that are no record at all."""
     path = scratch_path(spark, "arrivals")
     derive.batches(spark, sf_dir).write.json(path)
+    derive.itemless_documents(spark, sf_dir).selectExpr("-1 - doc_id AS batch_id", "doc").write.mode("append").json(path)
+    lines = derive.table(spark, sf_dir, "nation").selectExpr("concat('{', n_name)")
+    lines.write.mode("append").text(path)
     return path
 
 
 @query
 def stream_gate(spark, sf_dir):
     arrivals = stream.read_batches(spark, _batch_files(spark, sf_dir))
-    kept, dropped, state = (scratch_path(spark, n) for n in ("kept", "dropped", "gate-state"))
-    stream.start_gate(arrivals, kept, dropped, state).awaitTermination()
-    both = spark.read.parquet(kept).unionByName(spark.read.parquet(dropped))
-    return both.select("batch_id", F.col("pos").cast("long").alias("pos"), "discard_reason")
+    judged, rejected, state = (scratch_path(spark, n) for n in ("judged", "rejected", "gate-state"))
+    stream.start_gate(arrivals, judged, rejected, state).awaitTermination()
+    decided = spark.read.parquet(judged).select("batch_id", F.col("pos").cast("long").alias("pos"), "discard_reason")
+    reasons = spark.read.parquet(rejected).selectExpr("batch_id", "cast(NULL AS bigint) AS pos", "reason AS discard_reason")
+    return decided.unionByName(reasons)
 
 
 @query
 def stream_gate_until(spark, sf_dir):
     arrivals = stream.read_batches(spark, _batch_files(spark, sf_dir), files_per_trigger=1)
-    kept, dropped, state = (scratch_path(spark, n) for n in ("kept", "dropped", "gate-state"))
-    running = stream.start_gate(arrivals, kept, dropped, state)
-    stream.stop_after(running, spark, kept, 100)
-    total = spark.read.parquet(kept).agg((F.count("*") >= 100).alias("reached"))
-    return total
+    judged, rejected, state = (scratch_path(spark, n) for n in ("judged", "rejected", "gate-state"))
+    running = stream.start_gate(arrivals, judged, rejected, state, stop_at=100)
+    stream.stop_after(running, spark, judged, 100)
+    rows = spark.read.parquet(judged)
+    epochs = rows.groupBy("epoch").agg(F.count_if(F.col("discard_reason").isNull()).alias("n"))
+    earlier = F.sum(F.when(F.col("epoch") < F.col("last"), F.col("n")).otherwise(0))
+    stopped = epochs.crossJoin(epochs.agg(F.max("epoch").alias("last"))).agg(
+        (F.sum("n") >= 100).alias("reached"), (earlier < 100).alias("none_too_many")
+    )
+    # Batches are written whole: all items of a batch that is there are there.
+    items = rows.groupBy("batch_id").agg(F.count("*").alias("items"), F.max("pos").alias("last_pos"))
+    return stopped.crossJoin(items.agg(F.bool_and(F.col("items") == F.col("last_pos") + 1).alias("batches_whole")))
 
 
 @query

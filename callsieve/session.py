@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 def configure(spark: SparkSession) -> SparkSession:
     """Set the SQL options the JSON expressions rely on.
 
-    Duplicate object keys resolve to the last one, and timestamps are rendered in UTC.
+    Duplicate object keys resolve to the last one, and timestamps are rendered in UTC. They stay
+    set for all later queries of the session.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     # The JVM never compiles methods above 8000 bytes; fall back to smaller generated ones.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # Every level of a nested schema takes some rounds of the analyzer.
+    spark.conf.set("spark.sql.analyzer.maxIterations", "2000")
     return spark
 
 

@@ -48,10 +48,23 @@ def same(a, b):
     return a == b
 
 
-def violations(x, schema, path=()):
+def violations(x, schema, path=(), root=None):
+    root = schema if root is None else root
     if isinstance(schema, bool):
         return [] if schema else [(path, "false", "")]
     out = []
+    if "$ref" in schema:
+        group, name = schema["$ref"].split("/")[1:]
+        out += violations(x, root[group][name], path, root)
+    for branch in schema.get("allOf", []):
+        out += violations(x, branch, path, root)
+    valid = {k: [not violations(x, b, path, root) for b in schema[k]] for k in ("anyOf", "oneOf") if k in schema}
+    if "anyOf" in valid and not any(valid["anyOf"]):
+        out.append((path, "anyOf", ""))
+    if "oneOf" in valid and sum(valid["oneOf"]) != 1:
+        out.append((path, "oneOf", ""))
+    if "not" in schema and not violations(x, schema["not"], path, root):
+        out.append((path, "not", ""))
     k = kind(x)
     if "type" in schema:
         allowed = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
@@ -64,14 +77,18 @@ def violations(x, schema, path=()):
     if k == "object":
         out += [(path, "required", r) for r in schema.get("required", []) if r not in x]
         known = schema.get("properties", {})
-        if schema.get("additionalProperties", True) is False and set(x) - set(known):
+        others = schema.get("additionalProperties", True)
+        if others is False and set(x) - set(known):
             out.append((path, "additionalProperties", ""))
+        if isinstance(others, dict):
+            for key in set(x) - set(known):
+                out += violations(x[key], others, (*path, key), root)
         for key, child in known.items():
             if key in x:
-                out += violations(x[key], child, (*path, key))
+                out += violations(x[key], child, (*path, key), root)
     if k == "array" and "items" in schema:
         for i, e in enumerate(x):
-            out += violations(e, schema["items"], (*path, str(i)))
+            out += violations(e, schema["items"], (*path, str(i)), root)
     sizes = {"array": "Items", "string": "Length", "object": "Properties"}
     if k in sizes:
         if len(x) < schema.get(f"min{sizes[k]}", 0):

@@ -183,12 +183,17 @@ def test_chat_rendering(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
-def test_long_conversation_comes_in_parts(spark):
+def test_long_conversation_is_one_text(spark):
     df = spark.range(25).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "string(id) AS text")
-    parts = formatting.conversation_texts(df, turns_per_part=10).orderBy("part").collect()
-    assert [r["n_turns"] for r in parts] == [10, 10, 5]
-    whole = "\n".join(r["text"] for r in parts)
-    assert whole == "\n".join(f"<|im_start|>user\n{i}<|im_end|>" for i in range(25))
+    (whole,) = formatting.conversation_texts(df.repartition(3), turns_per_part=10).collect()
+    assert whole["n_turns"] == 25
+    assert whole["text"] == "\n".join(f"<|im_start|>user\n{i}<|im_end|>" for i in range(25))
+
+
+def test_words_are_counted_and_cut(spark):
+    df = spark.createDataFrame([(" a ",), ("",), ("a\t b\nc d ",), (None,)], "text string")
+    cut = df.select(formatting.word_count("text").alias("n"), formatting.truncate_words("text", 2).alias("t")).collect()
+    assert [tuple(r) for r in cut] == [(1, " a "), (0, ""), (4, "a\t b"), (None, None)]
 
 
 def test_paired_outcomes_count_each_example_once(spark):
@@ -199,16 +204,19 @@ def test_paired_outcomes_count_each_example_once(spark):
 
 
 def test_stream_equals_batch_and_replay_is_safe(spark, sf_dir, tmp_path):
-    arrivals, kept, dropped = (str(tmp_path / n) for n in ("arrivals", "kept", "dropped"))
+    arrivals, judged, rejected = (str(tmp_path / n) for n in ("arrivals", "judged", "rejected"))
     derive.batches(spark, sf_dir).repartition(4).write.json(arrivals)
+    odd = [("[1]",), ("{not a record",), (json.dumps({"batch_id": -1, "doc": "not json"}),)]
+    spark.createDataFrame(odd, "value string").write.mode("append").text(arrivals)
     columns = ["batch_id", "pos", "discard_reason"]
 
     def run(checkpoint):
         source = stream.read_batches(spark, arrivals, files_per_trigger=2)
-        query = stream.start_gate(source, kept, dropped, str(tmp_path / checkpoint))
+        query = stream.start_gate(source, judged, rejected, str(tmp_path / checkpoint))
         query.awaitTermination()
-        both = spark.read.parquet(kept).unionByName(spark.read.parquet(dropped))
-        return sorted(map(str, both.select(*columns).collect()))
+        lost = sorted((r["reason"], r["raw"]) for r in spark.read.parquet(rejected).collect())
+        assert lost == [("not_a_record", "[1]"), ("not_a_record", "{not a record"), ("not_json", "not json")]
+        return sorted(map(str, spark.read.parquet(judged).select(*columns).collect()))
 
     items = batches.items_to_triplets(batches.explode_batches(derive.batches(spark, sf_dir))).drop("item")
     expected = sorted(map(str, gate.judge_pairs(items).select(*columns).collect()))
@@ -217,11 +225,11 @@ def test_stream_equals_batch_and_replay_is_safe(spark, sf_dir, tmp_path):
 
 
 def test_stream_stops_after_enough(spark, sf_dir, tmp_path):
-    arrivals, kept, dropped = (str(tmp_path / n) for n in ("arrivals", "kept", "dropped"))
+    arrivals, judged, rejected = (str(tmp_path / n) for n in ("arrivals", "judged", "rejected"))
     derive.batches(spark, sf_dir).repartition(30).write.json(arrivals)
     source = stream.read_batches(spark, arrivals, files_per_trigger=1)
-    query = stream.start_gate(source, kept, dropped, str(tmp_path / "state"), available_now=False)
-    count = stream.stop_after(query, spark, kept, 20)
+    query = stream.start_gate(source, judged, rejected, str(tmp_path / "state"), available_now=False, stop_at=20)
+    count = stream.stop_after(query, spark, judged, 20)
     assert count >= 20 and not query.isActive
     assert count < gate.accepted(
         gate.judge_pairs(batches.items_to_triplets(batches.explode_batches(derive.batches(spark, sf_dir))).drop("item"))

@@ -3,11 +3,13 @@ import pytest
 import __spark_entry__ as entry_points
 from compare import difference
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+from callsieve.plans.oracles import ORACLES
+from callsieve.plans.registry import QUERIES
 
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUERIES)

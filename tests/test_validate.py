@@ -64,6 +64,20 @@ NESTED = {
         }
     }
 }
+BRANCHED = {
+    "$defs": {"size": {"type": "integer", "minimum": 1}, "box": {"type": "object", "properties": {"w": {"$ref": "#/$defs/size"}}}},
+    "properties": {
+        "maybe": {"anyOf": [{"type": "string"}, {"type": "null"}]},
+        "one": {"oneOf": [{"type": "integer"}, {"minimum": 5}]},
+        "no": {"not": {"enum": ["x", 1]}},
+        "both": {"allOf": [{"type": "integer"}, {"maximum": 9}]},
+        "size": {"$ref": "#/$defs/size"},
+        "box": {"$ref": "#/$defs/box", "required": ["w"]},
+        "list": {"items": {"anyOf": [{"$ref": "#/$defs/box"}, {"type": "array", "items": {"not": {"type": "null"}}}]}},
+        "map": {"properties": {"k": {}}, "additionalProperties": {"anyOf": [{"type": "integer"}, {"const": "all"}]}},
+    },
+    "additionalProperties": {"type": "boolean"},
+}
 TITLE = {"title": "t", "priority": "low"}
 CASES = [
     (wrap(TITLE), TASK, None),
@@ -107,6 +121,23 @@ CASES = [
     (wrap({"code": "AB1234"}), NESTED, "maxLength"),
     (wrap({"banned": 1}), NESTED, "false"),
     (wrap({"p": 1, "q": 1, "r": 1, "s": 1}), NESTED, "maxProperties"),
+    ('{"maybe":null,"one":1,"no":2,"both":9,"size":1,"box":{"w":3},"list":[{"w":1},[1]],"map":{"k":"x","z":"all"}}',
+     BRANCHED, None),
+    ('{"maybe":1}', BRANCHED, "anyOf"),
+    ('{"one":7}', BRANCHED, "oneOf"),
+    ('{"one":0.5}', BRANCHED, "oneOf"),
+    ('{"one":"x"}', BRANCHED, None),
+    ('{"no":"x"}', BRANCHED, "not"),
+    ('{"both":10}', BRANCHED, "maximum"),
+    ('{"both":"10"}', BRANCHED, "type"),
+    ('{"size":0}', BRANCHED, "minimum"),
+    ('{"box":{"w":0}}', BRANCHED, "minimum"),
+    ('{"box":{}}', BRANCHED, "required"),
+    ('{"list":[{"w":0}]}', BRANCHED, "anyOf"),
+    ('{"list":[[null]]}', BRANCHED, "anyOf"),
+    ('{"map":{"k":1,"z":"some"}}', BRANCHED, "anyOf"),
+    ('{"other":1}', BRANCHED, "type"),
+    ('{"other":true}', BRANCHED, None),
 ]
 
 
@@ -134,11 +165,23 @@ def test_labelled_cases(spark, mode):
 def test_status_is_decided_first(spark, mode):
     cases = [
         (wrap({}), {"$ref": "#/x"}, ("unsupported_schema", None)),
-        (wrap({}), {"properties": {"tool": {"anyOf": [{}]}}}, ("unsupported_schema", None)),
+        (wrap({}), {"properties": {"tool": {"anyOf": []}}}, ("bad_schema", False)),
+        (wrap({}), {"$defs": {"a": {"$ref": "#/$defs/a"}}, "$ref": "#/$defs/a"}, ("unsupported_schema", None)),
+        (wrap({}), {"properties": {"tool": {"if": {}}}}, ("unsupported_schema", None)),
+        (wrap({}), {"properties": {"other": {"if": {}}}}, ("valid", True)),
+        (wrap({}), {"properties": {"tool": {"if": {}}}, "maxProperties": 0}, ("invalid", False)),
+        (wrap({}), {"properties": {"tool": {"anyOf": [{"if": {}}, {"type": "string"}]}}}, ("valid", True)),
+        (wrap({}), {"properties": {"tool": {"anyOf": [{"if": {}}, {"type": "null"}]}}}, ("unsupported_schema", None)),
+        (wrap({}), {"properties": {"tool": {"not": {"if": {}, "type": "null"}}}}, ("valid", True)),
+        (wrap({}), {"patternProperties": {"t": {}}, "additionalProperties": False}, ("unsupported_schema", None)),
+        (wrap({}), {"definitions": {"a": {}}, "$ref": "#/definitions/a"}, ("valid", True)),
         (wrap({}), {"properties": {"tool": {"pattern": "(?P<x>a)"}}}, ("unsupported_schema", None)),
         (wrap({}), {"properties": {"tool": {"pattern": "a{3,1}"}}}, ("unsupported_schema", None)),
         (wrap({}), {"$schema": "http://json-schema.org/draft-04/schema#"}, ("unsupported_schema", None)),
-        (wrap({}), json.loads('{"items":' * 8 + "{}" + "}" * 8), ("unsupported_schema", None)),
+        ("[" * 8 + "1" + "]" * 8, json.loads('{"items":' * 8 + "{}" + "}" * 8), ("valid", True)),
+        ("[" * 8 + "1" + "]" * 8, json.loads('{"items":' * 8 + '{"type":"null"}' + "}" * 8), ("invalid", False)),
+        ("[" * 1100 + "]" * 1100, {"type": "array"}, ("unsupported_text", None)),
+        ("1" * 1200, {"type": "integer"}, ("unsupported_text", None)),
         (wrap({}), None, ("bad_schema", False)),
         (wrap({}), [1], ("bad_schema", False)),
         (wrap({}), {"type": "str"}, ("bad_schema", False)),
@@ -225,7 +268,18 @@ def _random_schema(rng, depth=0):
         if rng.random() < 0.5:
             schema["required"] = rng.sample(["a", "b", "e"], rng.randrange(1, 3))
         if rng.random() < 0.4:
-            schema["additionalProperties"] = False
+            schema["additionalProperties"] = False if rng.random() < 0.6 else _random_schema(rng, depth + 1)
+    if depth < 2:
+        for keyword in ("allOf", "anyOf", "oneOf"):
+            if rng.random() < 0.12:
+                schema[keyword] = [_random_schema(rng, depth + 1) for _ in range(rng.randrange(1, 3))]
+        if rng.random() < 0.1:
+            schema["not"] = _random_schema(rng, depth + 1)
+        if rng.random() < 0.15:
+            schema["$ref"] = rng.choice(["#/$defs/one", "#/definitions/two"])
+    if depth == 0:
+        schema["$defs"] = {"one": {"type": ["integer", "object"], "properties": {"a": {"$ref": "#/definitions/two"}}}}
+        schema["definitions"] = {"two": {"anyOf": [{"type": "null"}, {"minimum": 1}]}}
     if depth < 2 and rng.random() < 0.4:
         schema["items"] = _random_schema(rng, depth + 1)
     return schema
@@ -288,10 +342,43 @@ def test_salted_join_equals_plain_join(spark):
     )
     for how in ("inner", "left"):
         plain = left.join(right, "k", how).select("id", "k", "w").orderBy("id").collect()
-        salted = join_unique(left, right, "k", how, hot_rows=100, spread=7)
+        salted = join_unique(left, right, "k", how, hot_rows=100)
         assert salted.select("id", "k", "w").orderBy("id").collect() == plain
 
 
+HOSTILE = ["{it}", "' OR 1=1 --", '" , raise_error("x") , "{it}', "a\\'b", 'x\ny "q"', "$1 {0} %s `c`", "\\", "{{it}}"]
+
+
+def test_texts_of_a_schema_are_never_read_as_expressions(spark):
+    rng = random.Random(5)
+    cases = []
+    for _ in range(8):
+        keys = rng.sample(HOSTILE, 3)
+        schema = {
+            "properties": {
+                keys[0]: {"enum": rng.sample(HOSTILE, 3) + [1]},
+                keys[1]: {"const": rng.choice(HOSTILE)},
+                keys[2]: {"anyOf": [{"const": rng.choice(HOSTILE)}, {"enum": [rng.choice(HOSTILE)]}]},
+            },
+            "required": [rng.choice(HOSTILE)],
+            "additionalProperties": rng.random() < 0.5,
+        }
+        cases += [({k: rng.choice(HOSTILE) for k in rng.sample(HOSTILE, 3)}, schema) for _ in range(40)]
+        cases += [({k: rng.choice(HOSTILE) for k in keys}, schema) for _ in range(40)]
+    cases = [(json.dumps(x), s) for x, s in cases]
+    expected = [primary(violations(json.loads(t), s)) for t, s in cases]
+    assert any(expected) and not all(expected)
+    for limits in MODES.values():
+        rows = verdicts_of(spark, cases, **limits)
+        assert [(r["path"], r["keyword"]) if r["keyword"] else None for r in rows] == expected
+
+
+def test_deep_calls_keep_all_nodes(spark):
+    df = spark.createDataFrame([(1, '{"a":' * 12 + '["]}",[]]' + "}" * 12), (2, '"\\"{[["')], "i int, call string")
+    rows = shred_calls(df).collect()
+    assert sum(r["i"] == 1 for r in rows) == 15 and max(len(r["path"]) for r in rows) == 13
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
