@@ -38,7 +38,8 @@ def remainder(divisor: int, id_col: str = "doc_id") -> F.Column:
 
 @query
 def op1_decontamination(spark, sf_dir):
-    return leaks.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    judged = leaks.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.drop("items")
 
 
 @query
@@ -164,6 +165,68 @@ SELECT doc_id,
 FROM rows
 """
 
+ORACLES["op1_decontamination"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), items AS (
+    SELECT item_id::VARCHAR AS id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT id, n, array_to_string(w[k:k + n - 1], ' ') AS key
+    FROM (SELECT id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k
+        FROM items WHERE len(w) > 0)
+), words AS (
+    SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs
+), grams AS (
+    SELECT row, pos, list(word) OVER (PARTITION BY row ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS g
+    FROM words
+), found AS (
+    SELECT row, pos, n, id FROM (
+        SELECT row, pos, n, array_to_string(g[1:n], ' ') AS key
+        FROM grams CROSS JOIN (SELECT DISTINCT n FROM windows) WHERE len(g) >= n
+    ) JOIN windows USING (n, key)
+), hits AS (
+    SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(pos, pos + n)) AS p FROM found) GROUP BY row
+), named AS (
+    SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT row, id FROM found) GROUP BY row
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN named USING (row)
+"""
+
+ORACLES["op6_near_dedup"] = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), words AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos, len(w) AS n FROM docs
+), runs AS (
+    SELECT doc_id, pos, n, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g
+    FROM words
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(g, ' ') AS key FROM runs WHERE pos <= greatest(n - 4, 1)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+    FROM shingles AS x JOIN shingles AS y ON x.key = y.key AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+    SELECT a, b FROM common JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b
+    WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)
+), reached AS (
+    SELECT doc_id AS a, doc_id AS b FROM docs
+    UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+FROM docs LEFT JOIN sizes USING (doc_id) JOIN reached ON reached.a = doc_id GROUP BY doc_id
+"""
+
 ORACLES["op8_chat_format"] = r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
