@@ -24,7 +24,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsieve.llm.arrays import NOT_SPACE, bounded_batches, chunks, coefficients, find_words, mix
@@ -310,6 +310,17 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: float) -> DataFrame:
     return materialise(links, "near-links")
 
 
+def _likely_in(nodes: DataFrame) -> Column:
+    """A test of ``node`` that holds for all ``nodes`` and for few others, so that most texts that
+    are not asked for are never shuffled. It marks the buckets of a hash in one byte each, at
+    most 4 MB; beyond that it only lets more rows through."""
+    buckets = 1 << min(22, max(12, (16 * nodes.count()).bit_length()))
+    bucket = F.pmod(F.xxhash64("node"), F.lit(buckets)).cast("int")
+    marks = np.zeros(buckets, np.uint8)
+    marks[nodes.select(bucket.alias("b")).distinct().toArrow().column("b").to_numpy()] = 1
+    return F.substring(F.lit(marks.tobytes()), bucket + 1, F.lit(1)) == F.lit(b"\x01")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -365,10 +376,9 @@ def near_groups(
         )
     candidates = _all(pairs)
     pairs = materialise(candidates.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    ends = candidates.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = materialise(
-        signed.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), "pair-texts"
-    )
+    ends = materialise(candidates.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+    likely = signed.select("node", "text").filter(_likely_in(ends))
+    texts = materialise(likely.join(ends, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
     links = _links(pairs, texts, percent)
     roots = components(links)
     cross, least = [], least_agreement(LONG_PLACES, similarity)
