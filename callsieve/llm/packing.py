@@ -28,7 +28,7 @@ SPARE = 4
 FAN_IN = 8
 LAST_BINS = 20_000
 #: Bytes of words whose tokens a worker remembers.
-REMEMBERED = 8 << 20
+REMEMBERED = 16 << 20
 END_ID = 0
 
 #: A run of letters that have one lower-case form and no composition, then ASCII signs other than
