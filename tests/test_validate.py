@@ -196,9 +196,12 @@ def test_status_is_decided_first(spark, mode):
     ]
     for row, (text, schema, (status, is_valid)) in zip(verdicts_of(spark, cases, **MODES[mode]), cases):
         assert (row["status"], row["is_valid"]) == (status, is_valid), (text, schema, row)
-        assert row["category"] == (
-            "json_error" if status == "json_error" else "other_schema_error" if is_valid is False else None
-        )
+        if row["keyword"]:
+            assert row["category"] == CATEGORY.get(row["keyword"], "other_schema_error")
+        else:
+            assert row["category"] == (
+                "json_error" if status == "json_error" else "other_schema_error" if is_valid is False else None
+            )
 
 
 def test_null_text_and_unknown_schema(spark):
