@@ -8,6 +8,7 @@ from callsieve.operators import responses as answers
 from callsieve.operators.schemas import schema_catalog, with_schema_id
 from callsieve.operators.validate import validate_calls
 from callsieve.plans import derive
+from callsieve.plans.registry import QUERIES
 from callsieve.sources import batches, jsonl
 from callsieve.streaming import gate as stream
 from test_validate import TASK, TITLE, wrap
@@ -234,3 +235,9 @@ def test_stream_stops_after_enough(spark, sf_dir, tmp_path):
     assert count < gate.accepted(
         gate.judge_pairs(batches.items_to_triplets(batches.explode_batches(derive.batches(spark, sf_dir))).drop("item"))
     ).count()
+
+
+@pytest.mark.parametrize("name", ["validate_orders", "pref_pairs_chatml", "deep_schema_validation"])
+def test_queries_over_stored_tables_shuffle_nothing(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Scan parquet" in plan
