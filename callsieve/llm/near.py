@@ -9,9 +9,12 @@ that neighbours share the longest prefixes.
 * Dense regions: first each node with its sorted neighbours and with the node that agrees most
   with all others, which links most of a group of copies in linear work. Then only pairs that
   the links so far have not joined, as longer signatures tell them apart more sharply.
-* Regions of more than ``region_rows`` nodes are never brought together. Their nodes go to a
+* Regions of more than ``region_rows`` nodes are dealt out in parts, each linked like a dense
+  region. Once the links are known, a region whose nodes have been joined is done. Where few have
+  not been joined with the rest, these are compared with all parts. Otherwise the nodes go to a
   deeper rung of the forest: longer prefixes, which part them, and more orders, which keep the
-  chance of missing a link as low as before. The deepest rung asks for equal signatures.
+  chance of missing a link as low as before. The deepest rung compares all that is not joined,
+  part by part.
 
 Candidates are confirmed on whole shingle sets made from the texts.
 """
@@ -35,7 +38,7 @@ SHINGLE = 5
 #: Places of a signature, each a byte, and of the longer one that nodes of dense regions get.
 PLACES, LONG_PLACES = 128, 512
 #: Prefix lengths of the forest's rungs.
-DEPTHS = (5, 8, 12, 16, 24, 40, 64, PLACES)
+DEPTHS = (5, 8, 12, 16, 24)
 #: Chance that all orders of a rung part two nodes of exactly the asked similarity.
 MISS = 1e-4
 REGION_ROWS = 2000
@@ -46,8 +49,6 @@ SLACK = 3.5
 
 def orders_of(depth: int, similarity: float, miss: float = MISS) -> int:
     """Orders for which a link is missed with a chance of ``miss`` at most."""
-    if depth == PLACES:
-        return 1
     return math.ceil(math.log(miss) / math.log(1 - similarity**depth))
 
 
@@ -181,6 +182,14 @@ def _met_before(matrix: np.ndarray, i: int, others: np.ndarray, number: int, dep
     return met
 
 
+def _asked_pairs(matrix: np.ndarray, group: np.ndarray, asked: np.ndarray, number: int, depth: int, least: int):
+    """Pairs of asked rows with the other rows that agree well enough and are of another group."""
+    own = np.flatnonzero(~asked)
+    for i in np.flatnonzero(asked):
+        others = own[(_agreement(matrix[own], matrix[i]) >= least) & (group[own] != group[i])]
+        yield np.minimum(others, i), np.maximum(others, i)
+
+
 def _pairs(matrix: np.ndarray, group: np.ndarray | None, number: int, depth: int, least: int):
     """All pairs of a region that agree well enough, for each row with later ones."""
     for i in range(len(matrix) - 1):
@@ -198,13 +207,12 @@ def _close_ones(matrix: np.ndarray, number: int, depth: int, least: int):
     ranks = np.lexsort(matrix[:, order(number, depth)[::-1]].T)
     near = np.count_nonzero(matrix[ranks[1:]] == matrix[ranks[:-1]], axis=1) >= least
     yield np.minimum(ranks[1:], ranks[:-1])[near], np.maximum(ranks[1:], ranks[:-1])[near]
-    if depth < PLACES:
-        cells = matrix.astype(np.int64) + np.arange(PLACES) * 256
-        votes = np.bincount(cells.ravel(), minlength=PLACES * 256)
-        hub = int(np.argmax(votes[cells].sum(axis=1)))
-        others = np.flatnonzero(_agreement(matrix, matrix[hub]) >= least)
-        others = others[others != hub]
-        yield np.minimum(others, hub), np.maximum(others, hub)
+    cells = matrix.astype(np.int64) + np.arange(PLACES) * 256
+    votes = np.bincount(cells.ravel(), minlength=PLACES * 256)
+    hub = int(np.argmax(votes[cells].sum(axis=1)))
+    others = np.flatnonzero(_agreement(matrix, matrix[hub]) >= least)
+    others = others[others != hub]
+    yield np.minimum(others, hub), np.maximum(others, hub)
 
 
 def _regions(batches, depth: int, least: int, small: int, cross: bool):
@@ -221,72 +229,114 @@ def _regions(batches, depth: int, least: int, small: int, cross: bool):
 
 
 def _region_rows(batches, depth: int, least: int, small: int, cross: bool):
-    """Candidate pairs of each region; input is sorted by key and node.
+    """Candidate pairs of each region or part of one; input is sorted by key, number, part and node.
 
-    A row with ``b`` null says that the node is in a dense region, of which only part has been
-    given. With ``cross``, all pairs of nodes with different roots are given instead. A pair of
-    several regions is given by the first.
+    A row with ``b`` null says that the node is in a dense region or in a part, of which only some
+    pairs have been given; ``parts`` is 0 for whole regions. With ``cross``, all pairs of nodes
+    with different roots are given instead, or those of asked nodes with the others if there are
+    asked ones. A pair of several regions is given by the first.
     """
-    current, nodes, signatures, roots = None, [], [], []
+    current, nodes, signatures, roots, asked = None, [], [], [], []
 
     def close():
-        n, (key, number) = len(nodes), current
-        if n < 2:
+        n, (key, number, part, parts) = len(nodes), current
+        if n < 2 and (cross or not parts):
             return
+        named = partial(_pair_rows, *current)
+        ids = pa.array(nodes, pa.binary())
         matrix = np.frombuffer(b"".join(signatures), np.uint8).reshape(n, -1)
         dense = not cross and n > small
         if cross:
             numbers = {root: k for k, root in enumerate(dict.fromkeys(roots))}
             if len(numbers) == 1:
                 return
-            found = _pairs(matrix, np.array([numbers[r] for r in roots]), number, depth, least)
+            group = np.array([numbers[r] for r in roots])
+            if parts:
+                found = _asked_pairs(matrix, group, np.array(asked), number, depth, least)
+            else:
+                found = _pairs(matrix, group, number, depth, least)
         elif dense:
             found = _close_ones(matrix, number, depth, least)
         else:
             found = _pairs(matrix, None, number, depth, least)
-        named = pa.array(nodes, pa.binary())
-        if dense and depth < PLACES:
-            yield _pair_rows(key, number, named, pa.nulls(n, pa.binary()))
+        if dense or (parts and not cross):
+            yield named(ids, pa.nulls(n, pa.binary()))
         firsts, seconds, held = [], [], 0
         for first, second in found:
             firsts.append(first)
             seconds.append(second)
             held += len(first)
             if held > 8192:
-                yield _pair_rows(key, number, named.take(np.concatenate(firsts)), named.take(np.concatenate(seconds)))
+                yield named(ids.take(np.concatenate(firsts)), ids.take(np.concatenate(seconds)))
                 firsts, seconds, held = [], [], 0
         if held:
-            yield _pair_rows(key, number, named.take(np.concatenate(firsts)), named.take(np.concatenate(seconds)))
+            yield named(ids.take(np.concatenate(firsts)), ids.take(np.concatenate(seconds)))
 
     for batch in batches:
-        for key, number, node, signature, root in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if (key, number) != current:
+        for *place, node, signature, root, asks in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            if place != current:
                 if current is not None:
                     yield from close()
-                current, nodes, signatures, roots = (key, number), [], [], []
+                current, nodes, signatures, roots, asked = place, [], [], [], []
             nodes.append(node)
             signatures.append(signature)
             roots.append(root)
+            asked.append(asks)
     if current is not None:
         yield from close()
 
 
-def _pair_rows(key: int, number: int, a: pa.Array, b: pa.Array) -> pa.RecordBatch:
-    keys, numbers = np.full(len(a), key, np.int64), np.full(len(a), number, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(numbers), a, b], ["key", "number", "a", "b"])
+def _pair_rows(key: int, number: int, part: int, parts: int, a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(a), key, np.int64))]
+    columns += [pa.array(np.full(len(a), x, np.int32)) for x in (number, part, parts)]
+    return pa.RecordBatch.from_arrays([*columns, a, b], ["key", "number", "part", "parts", "a", "b"])
 
 
 _FAT = "key long, number int, node binary, signature binary, root binary"
-_PAIRS = "key long, number int, a binary, b binary"
+_PAIRS = "key long, number int, part int, parts int, a binary, b binary"
 
 
 def _in_regions(rows: DataFrame, depth: int, least: int, small: int, cross: bool) -> DataFrame:
-    dealt = rows.select("key", "number", "node", "signature", "root").repartition("key", "number")
-    return dealt.sortWithinPartitions("key", "number", "node").mapInArrow(
-        partial(_regions, depth=depth, least=least, small=small, cross=cross), _PAIRS
+    dealt = rows.select("key", "number", "part", "parts", "node", "signature", "root", "asked")
+    return (
+        dealt.repartition("key", "number", "part")
+        .sortWithinPartitions("key", "number", "part", "node")
+        .mapInArrow(partial(_regions, depth=depth, least=least, small=small, cross=cross), _PAIRS)
     )
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """Rows of regions that are not dealt out in parts."""
+    return rows.withColumns({"part": F.lit(0), "parts": F.lit(0), "asked": F.lit(False)})
+
+
+def _open_parts(members: DataFrame, roots: DataFrame, region_rows: int) -> DataFrame:
+    """Rows of crowded regions that links have not joined to one. Nodes outside a region's largest
+    group are ``asked``; ``rest`` is their number."""
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = rooted.groupBy("key", "number", "root").agg(F.count("*").alias("n"), F.first("parts").alias("all"))
+    regions = groups.groupBy("key", "number").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.first("all").alias("all")
+    )
+    # A row for each part, so that no region is met in one place.
+    regions = regions.filter("rest > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).drop("all")
+    found = rooted.join(regions, ["key", "number", "part"])
+    asked_parts = F.ceil(F.col("rest") / region_rows).cast("int")
+    return found.select(
+        "key", "number", "part", "parts", "node", "rest", (F.col("root") != F.col("main")).alias("asked"), asked_parts.alias("asked_parts")
+    )
+
+
+def _crossed(rows: DataFrame) -> DataFrame:
+    """Every part of a region beside every part of its asked nodes."""
+    mine = F.pmod(F.xxhash64("node"), F.col("asked_parts")).cast("int")
+    upto = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    own = rows.withColumn("other", upto("asked_parts")).withColumn("asked", F.lit(False))
+    asked = rows.filter("asked").withColumn("other", mine).drop("part").withColumn("part", upto("parts"))
+    both = own.unionByName(asked)
+    return both.withColumn("part", F.col("part") * F.col("asked_parts") + F.col("other"))
+
+
 def _confirm(batches, share: float):
     """Links among pairs of texts: intersection and union of whole shingle sets."""
     for batch in batches:
@@ -352,47 +402,55 @@ def near_groups(
         .agg(F.min("doc_id").alias("least_id"), F.first("signature").alias("signature")),
         "nodes",
     )
-    active, pairs, dense = nodes.select("node", "signature", F.col("node").alias("root")), [], []
+    active = nodes.select("node", "signature", F.col("node").alias("root"))
+    links, dense, crowds, texts = [], [], [], None
     for depth in DEPTHS:
         count = orders_of(depth, similarity)
         regions = partial(_keys, depth=depth, count=count)
         inside = active.mapInArrow(partial(regions, fat=True), _FAT)
-        hot = None
-        if depth < PLACES:
-            sizes = active.mapInArrow(partial(regions, fat=False), "key long, number int").groupBy("key", "number")
-            hot = materialise(sizes.count().filter(F.col("count") > region_rows).select("key", "number"), "hot")
-            if hot.isEmpty():
-                hot = None
-            else:
-                inside, crowded = inside.join(hot, ["key", "number"], "left_anti"), inside.join(hot, ["key", "number"])
+        sizes = active.mapInArrow(partial(regions, fat=False), "key long, number int").groupBy("key", "number").count()
+        parts = F.ceil(F.col("count") / region_rows).cast("int")
+        hot = materialise(sizes.filter(F.col("count") > region_rows).select("key", "number", parts.alias("parts")), "hot")
+        crowded = not hot.isEmpty()
+        if crowded:
+            # Other parts in every order, so that orders tie the parts together.
+            part = F.pmod(F.xxhash64("node", "number"), F.greatest("parts", F.lit(1))).cast("int")
+            inside = inside.join(hot, ["key", "number"], "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+            inside = inside.withColumn("part", part).withColumn("asked", F.lit(False))
+        else:
+            inside = _whole(inside)
         found = materialise(_in_regions(inside, depth, least, small_region, False), "candidates")
-        pairs.append(found)
-        dense.append((depth, found.filter("b IS NULL").select("key", "number", F.col("a").alias("node"))))
-        if hot is None:
+        dense.append((depth, found.filter("b IS NULL AND parts = 0").select("key", "number", F.col("a").alias("node"))))
+        pairs = materialise(found.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+        if texts is None:
+            # Nodes of deeper rungs are among these.
+            ends = materialise(found.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+            likely = signed.select("node", "text").filter(_likely_in(ends))
+            texts = materialise(likely.join(ends, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
+        links.append(_links(pairs, texts, percent))
+        roots = components(_all(links))
+        if not crowded:
+            break
+        members = found.filter("b IS NULL AND parts > 0").select("key", "number", "part", "parts", F.col("a").alias("node"))
+        unjoined = materialise(_open_parts(members, roots, region_rows), "unjoined")
+        few = F.lit(True) if depth == DEPTHS[-1] else F.col("rest") <= region_rows
+        crowds.append((depth, unjoined.filter(few)))
+        further = unjoined.filter(~few).select("node").distinct()
+        active = materialise(active.join(further, "node", "left_semi"), "crowded")
+        if active.isEmpty():
             break
-        active = materialise(
-            crowded.groupBy("node").agg(F.first("signature").alias("signature")).withColumn("root", F.col("node")),
-            "crowded",
-        )
-    candidates = _all(pairs)
-    pairs = materialise(candidates.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    ends = materialise(candidates.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-    likely = signed.select("node", "text").filter(_likely_in(ends))
-    texts = materialise(likely.join(ends, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
-    links = _links(pairs, texts, percent)
-    roots = components(links)
     cross, least = [], least_agreement(LONG_PLACES, similarity)
-    crowd = _all([members.select("node") for _, members in dense]).distinct()
+    crowd = _all([members.select("node") for _, members in dense + crowds]).distinct()
     longer = materialise(
         texts.join(crowd, "node", "left_semi").mapInArrow(_sign_long, "node binary, signature binary"), "long-signed"
     )
-    for depth, members in dense:
+    for depth, members in [(d, _whole(rows)) for d, rows in dense] + [(d, _crossed(rows)) for d, rows in crowds]:
         known = members.join(longer, "node").join(roots, "node", "left")
         known = known.withColumn("root", F.coalesce("root", "node"))
         cross.append(_in_regions(known, depth, least, small_region, True))
     more = _links(materialise(_all(cross).select("a", "b").distinct(), "pairs"), texts, percent)
     if not more.isEmpty():
-        roots = components(links.union(more))
+        roots = components(_all([*links, more]))
     rooted = nodes.select("node", "least_id").join(roots, "node", "left")
     rooted = materialise(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))

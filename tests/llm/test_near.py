@@ -106,6 +106,24 @@ def test_equal_signatures_without_end(frame):
     check(frame, rows, region_rows=2, small_region=2)
 
 
+def test_copies_that_no_depth_parts(frame):
+    """A template with one slot, beside texts that only some of its copies are near to."""
+    draw = random.Random(4)
+    words = [f"v{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        own = list(words)
+        own[draw.randrange(400)] = f"slot{i}"
+        rows.append((i, " ".join(own)))
+    # Less and less like the template, on both sides of 85 percent.
+    for i in range(10):
+        own = list(words)
+        for at in range(0, 5 * (4 + i), 5):
+            own[at] = f"far{i}x{at}"
+        rows.append((100 + i, " ".join(own)))
+    check(frame, rows, region_rows=8, small_region=3)
+
+
 def test_empty_table_and_no_links(frame):
     assert near.near_groups(frame([], SCHEMA)).count() == 0
     check(frame, [(1, "all alone in this small table here")])
