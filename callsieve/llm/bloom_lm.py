@@ -1,10 +1,12 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Words and word pairs of the training rows are counted over the whole corpus. Those that make up
-at least a fixed share of all tokens go into one Bloom filter with their counts quantised on a log scale:
-an n-gram of level q is inserted q times, with 1 to q beside it, and its level is read back by
-probing until the first miss. The share bounds how many n-grams there can be, and with them the
-filter that is broadcast, whatever the size of the corpus.
+Words and word pairs of the training rows are counted over the whole corpus and go into Bloom
+filters with their counts quantised on a log scale: an n-gram of level q is inserted q times, with
+1 to q beside it, and its level is read back by probing until the first miss. Those that make up at
+least a fixed share of all tokens are in one filter, which the share bounds and which is broadcast.
+All others are in filters of shards of hashes, in the shared folder. Texts are scored in groups: a
+group's distinct n-grams that the broadcast filter lacks are sent to their shards, and what these
+answer comes back to the group.
 
 Exact counts are needed for the add-one base score. The most frequent words, as many as a bound
 allows, are broadcast with their counts; the others are joined.
@@ -13,6 +15,8 @@ allows, are broadcast with their counts; the others are joined.
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
 from functools import partial
 
 import numpy as np
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 from callsieve.llm.arrays import NOT_SPACE, bounded_batches, chunks, find_words, mix
 from callsieve.session import materialise
 
-#: An n-gram is kept from this share of all training tokens on. At most 2 ** 22 words and as many
-#: pairs can reach it.
+#: An n-gram is broadcast from this share of all training tokens on. At most 2 ** 22 words and as
+#: many pairs can reach it.
 SHARE = 2.0**-22
 #: Base of the count levels, probes of a level, and bits for each insertion.
 BASE, PROBES, BITS = math.sqrt(2), 6, 10
@@ -36,6 +40,8 @@ EXACT_WORDS = 1 << 20
 HELD = 4_000_000
 
 END = np.uint64(0x9D8A3C5EF1B20467)
+#: No hashes and no counts.
+NOTHING = np.zeros(0, np.uint64), np.zeros(0)
 
 
 def tokens(column: pa.Array):
@@ -90,16 +96,13 @@ def _cut(hashes: np.ndarray, counts: np.ndarray, shards: int):
     )
 
 
-def _count(batches, shards: int, kept):
-    """Counts of words or, with ``kept`` words, of pairs of these, for each shard."""
+def _count(batches, shards: int, pairs: bool):
+    """Counts of words or of pairs, for each shard."""
     parts, held = [], 0
     for batch in batches:
         for _, _, hashes, bounds in tokens(batch.column("text")):
-            if kept is not None:
-                good = np.isin(hashes, kept.value, kind="sort")
-                first_good = np.concatenate(([END in kept.value], good[:-1]))
-                first_good[bounds[:-1]] = END in kept.value
-                hashes = pair_hashes(before(hashes, bounds), hashes)[good & first_good]
+            if pairs:
+                hashes = pair_hashes(before(hashes, bounds), hashes)
             parts.append(np.unique(hashes, return_counts=True))
             held += len(parts[-1][0])
             if held > HELD:
@@ -143,12 +146,30 @@ def _merge_words(batches):
         )
 
 
-def _merge_pairs(batches, least: int):
-    for _, hashes, counts in _shards(batches):
-        good = counts >= least
-        yield pa.RecordBatch.from_pydict(
-            {"hash": pa.array(hashes[good].view(np.int64)), "n": pa.array(counts[good], pa.int64())}
-        )
+_FILTERS = "shard int, hashes binary, counts binary, filter binary"
+
+
+def _filter_row(shard: int, hashes: np.ndarray, counts: np.ndarray, least: int) -> pa.RecordBatch:
+    """A shard's n-grams from ``least`` on, and the filter of its others."""
+    good = counts >= least
+    bloom = LogBloom(hashes[~good], counts[~good], 1)
+    columns = [[shard], [hashes[good].tobytes()], [counts[good].tobytes()], [pickle.dumps(bloom)]]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "hashes", "counts", "filter"]
+    )
+
+
+def _pair_filters(batches, least: int, shards: int):
+    """Filters of pairs are numbered after those of words."""
+    for shard, hashes, counts in _shards(batches):
+        yield _filter_row(shards + shard, hashes, counts, least)
+
+
+def _word_filters(batches, least: int):
+    for batch in batches:
+        for shard, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "hashes", "counts"))):
+            yield _filter_row(shard, np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64), least)
 
 
 def _word_rows(batches, least: int, below: int | None):
@@ -179,8 +200,7 @@ class LogBloom:
         two = (one >> np.uint64(32)) | np.uint64(1)
         return ((one + np.uint64(probe) * two) % np.uint64(self.bits)).astype(np.int64)
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Estimated counts, 0 for n-grams that are not in the filter."""
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
         levels, live = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
         for level in range(1, self.top + 1):
             for probe in range(PROBES):
@@ -189,23 +209,44 @@ class LogBloom:
             if not len(live):
                 break
             levels[live] = level
-        # The middle of the counts that share a level.
-        return np.where(levels > 0, self.least * BASE ** (levels - 1) * (1 + BASE) / 2, 0.0)
+        return levels
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        """Estimated counts, 0 for n-grams that are not in the filter."""
+        return count_of(self.levels(hashes), self.least)
+
+
+def count_of(levels: np.ndarray, least: int) -> np.ndarray:
+    """The middle of the counts that share a level."""
+    return np.where(levels > 0, least * BASE ** (levels - 1) * (1 + BASE) / 2, 0.0)
 
 
 class Model:
-    """What a task needs to score: the filter, the exact frequent counts, and totals."""
+    """What a task needs to score: the broadcast filter, the exact frequent counts, and totals."""
 
-    def __init__(self, bloom, words, counts, exact_from, total, types, rare_tokens, rare_types):
+    def __init__(self, bloom, words, counts, exact_from, total, types, rare_tokens=0, rare_types=0):
         self.bloom, self.words, self.counts, self.exact_from = bloom, words, counts, exact_from
         self.total, self.types = total, types
-        #: Mean count of words that are not in the filter, one unseen word included.
+        #: Mean count of words that are in no filter, one unseen word included.
         self.rare = rare_tokens / (rare_types + 1)
 
-    def score(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Log10 probability of each token after the one before it."""
+    def lacks(self, hashes: np.ndarray) -> np.ndarray:
+        """Sorted distinct ones of the n-grams that the broadcast filter does not hold."""
+        hashes = np.unique(hashes)
+        return hashes[self.bloom.counts(hashes) == 0]
+
+    def count(self, hashes: np.ndarray, others) -> np.ndarray:
+        counts, (asked, answers) = self.bloom.counts(hashes), others
+        if len(asked):
+            at = np.minimum(np.searchsorted(asked, hashes), len(asked) - 1)
+            counts = np.where((counts == 0) & (asked[at] == hashes), answers[at], counts)
+        return counts
+
+    def score(self, hashes: np.ndarray, bounds: np.ndarray, words=NOTHING, pairs=NOTHING) -> np.ndarray:
+        """Log10 probability of each token after the one before it. ``words`` and ``pairs``: sorted
+        hashes that the broadcast filter lacks, and their counts."""
         known, where = np.unique(np.append(hashes, END), return_inverse=True)
-        counts = self.bloom.counts(known)
+        counts = self.count(known, words)
         word = counts[where[:-1]]
         previous = np.concatenate((where[-1:], where[:-2]))
         previous[bounds[:-1]] = where[-1]
@@ -213,14 +254,95 @@ class Model:
         even = self.total + self.types + 1
         # A level is read as its middle, which may be above all there is.
         alone = np.minimum((np.where(word > 0, word, self.rare) + 1) / even, 1.0)
-        pairs, place = np.unique(pair_hashes(known[previous], hashes), return_inverse=True)
-        pair = self.bloom.counts(pairs)[place]
+        distinct, place = np.unique(pair_hashes(known[previous], hashes), return_inverse=True)
+        pair = self.count(distinct, pairs)[place]
         after = np.minimum(pair, history) / np.maximum(history, 1)
         weight = np.where(history > 0, PAIR_WEIGHT, 0.0)
         return np.log10(weight * after + (1 - weight) * alone)
 
 
-def _score(batches, model):
+_GROUPED = "group long, row long, doc_id long, held_out boolean, text string"
+
+
+def _groups(batches):
+    """Each batch is a group, named by its first row."""
+    for batch in batches:
+        if batch.num_rows:
+            group = pa.array(np.full(batch.num_rows, batch.column("row")[0].as_py(), np.int64))
+            columns = {c: batch.column(c) for c in ("row", "doc_id", "held_out", "text")}
+            yield pa.RecordBatch.from_pydict({"group": group} | columns)
+
+
+def _asked(texts: list[pa.Array], own: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted words and pairs of a group that the broadcast filter lacks."""
+    words, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for column in texts:
+        for _, _, hashes, bounds in tokens(column):
+            words.append(own.lacks(np.append(hashes, END)))
+            pairs.append(own.lacks(pair_hashes(before(hashes, bounds), hashes)))
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+
+
+def _ask(batches, model, shards: int):
+    """For each shard, what a group asks of it."""
+    for batch in _groups(batches):
+        for first, asked in zip((0, shards), _asked([batch.column("text")], model.value)):
+            for cut in _cut(asked, asked.view(np.int64), shards):
+                if cut.num_rows:
+                    shard = pa.array(cut.column("shard").to_numpy() + np.int32(first), pa.int32())
+                    group = pa.array([batch.column("group")[0].as_py()] * cut.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([shard, group, cut.column("hashes")], ["shard", "group", "hashes"])
+
+
+def _answer(batches):
+    """Levels of what groups ask of shards, in turn; a shard's filter comes before what is asked of
+    it. Shards without n-grams have no filter."""
+    current, bloom = None, None
+    for batch in batches:
+        for shard, group, hashes, pickled in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if pickled is not None:
+                current, bloom = shard, pickle.loads(pickled)
+                continue
+            hashes = np.frombuffer(hashes, np.uint64)
+            levels = bloom.levels(hashes) if shard == current else np.zeros(len(hashes), np.int64)
+            columns = [[shard], [group], [levels.astype(np.uint8).tobytes()]]
+            kinds = [pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "group", "levels"])
+
+
+def _score_groups(batches, model):
+    """Scores of groups; rows are sorted by group and shard, and texts have no shard."""
+    current, levels, texts = None, [], []
+
+    def close():
+        asked = _asked([t.column("text") for t in texts], model.value)
+        found = np.frombuffer(b"".join(levels), np.uint8).astype(np.int64)
+        if len(found) != len(asked[0]) + len(asked[1]):
+            raise ValueError("rows differ from those that were asked for; store the input first")
+        # Shards are ranges of hashes, first of words and then of pairs.
+        parts = np.split(count_of(found, 1), [len(asked[0])])
+        yield from _score(texts, model, (asked[0], parts[0]), (asked[1], parts[1]))
+
+    for batch in batches:
+        groups = batch.column("group").to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]))
+        for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if end == start:
+                continue
+            if groups[start] != current:
+                if current is not None:
+                    yield from close()
+                current, levels, texts = groups[start], [], []
+            some = batch.slice(start, end - start)
+            levels += some.column("levels").drop_null().to_pylist()
+            own = some.filter(some.column("levels").is_null())
+            if own.num_rows:
+                texts.append(own)
+    if current is not None:
+        yield from close()
+
+
+def _score(batches, model, words=NOTHING, pairs=NOTHING):
     own = model.value
     even = math.log10(own.total + own.types + 1)
     for batch in batches:
@@ -232,7 +354,7 @@ def _score(batches, model):
             columns["n_tokens"] += np.diff(bounds).tolist()
             columns["n_known"] += np.add.reduceat(known.astype(np.int64), bounds[:-1]).tolist()
             columns["base"] += (np.add.reduceat(base, bounds[:-1]) - np.diff(bounds) * even).tolist()
-            columns["score"] += np.add.reduceat(own.score(hashes, bounds), bounds[:-1]).tolist()
+            columns["score"] += np.add.reduceat(own.score(hashes, bounds, words, pairs), bounds[:-1]).tolist()
             owners = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[~known]
             ranks = np.lexsort((hashes[~known], owners))
             owners, rest = owners[ranks], hashes[~known][ranks].view(np.int64)
@@ -259,8 +381,8 @@ def _score(batches, model):
         )
 
 
-def _counted(rows: DataFrame, shards: int, kept=None) -> DataFrame:
-    parts = rows.mapInArrow(partial(_count, shards=shards, kept=kept), "shard int, hashes binary, counts binary")
+def _counted(rows: DataFrame, shards: int, pairs: bool) -> DataFrame:
+    parts = rows.mapInArrow(partial(_count, shards=shards, pairs=pairs), "shard int, hashes binary, counts binary")
     return parts.repartition(shards, "shard").sortWithinPartitions("shard")
 
 
@@ -272,12 +394,20 @@ def _table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[ranks], found.column("n").to_numpy()[ranks]
 
 
+def _frequent(filters: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that go into the broadcast filter; the share bounds them."""
+    found = filters.select("hashes", "counts").toArrow()
+    hashes, counts = (b"".join(found.column(c).to_pylist()) for c in ("hashes", "counts"))
+    return np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)
+
+
 def train(rows: DataFrame, share: float = SHARE, exact_words: int = EXACT_WORDS):
-    """The model of ``rows`` (``text``) and the words whose exact counts it does not hold."""
+    """The model of ``rows`` (``text``), the filters of the n-grams and the words whose exact counts
+    it does not hold, and the number of shards."""
     spark = rows.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     words = materialise(
-        _counted(rows, shards).mapInArrow(
+        _counted(rows, shards, False).mapInArrow(
             _merge_words, "shard int, types long, tokens long, sizes array<long>, hashes binary, counts binary"
         ),
         "words",
@@ -293,13 +423,12 @@ def train(rows: DataFrame, share: float = SHARE, exact_words: int = EXACT_WORDS)
     least = max(1, math.ceil(total * share))
     numbers = "hash long, n long"
     exact = _table(words.mapInArrow(partial(_word_rows, least=exact_from, below=None), numbers))
-    kept = _table(words.mapInArrow(partial(_word_rows, least=least, below=None), numbers))
-    held = spark.sparkContext.broadcast(kept[0])
-    pairs = _table(_counted(rows, shards, held).mapInArrow(partial(_merge_pairs, least=least), numbers))
-    bloom = LogBloom(np.concatenate((kept[0], pairs[0])), np.concatenate((kept[1], pairs[1])), least)
-    rare_tokens, rare_types = total - int(kept[1].sum()), types - len(kept[0])
-    model = Model(bloom, *exact, exact_from, total, types, rare_tokens, rare_types)
-    return model, words.mapInArrow(partial(_word_rows, least=1, below=exact_from), numbers)
+    of_words = words.mapInArrow(partial(_word_filters, least=least), _FILTERS)
+    of_pairs = _counted(rows, shards, True).mapInArrow(partial(_pair_filters, least=least, shards=shards), _FILTERS)
+    filters = materialise(of_words.unionByName(of_pairs), "filters")
+    model = Model(LogBloom(*_frequent(filters), least), *exact, exact_from, total, types)
+    rest = words.mapInArrow(partial(_word_rows, least=1, below=exact_from), numbers)
+    return model, filters.select("shard", "filter"), rest, shards
 
 
 def score(
@@ -324,13 +453,25 @@ def score(
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.col(text_col).cast("string").alias("text"),
     )
-    model, rest = train(rows.filter("NOT held_out").select("text"), share, exact_words)
+    model, filters, rest, shards = train(rows.filter("NOT held_out").select("text"), share, exact_words)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    numbered = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
+    requests = numbered.mapInArrow(partial(_ask, model=sent, shards=shards), "shard int, group long, hashes binary")
+    nothing = F.lit(None).cast("binary")
+    sources = filters.select("shard", F.lit(None).cast("long").alias("group"), nothing.alias("hashes"), "filter")
+    answers = (
+        sources.unionByName(requests.withColumn("filter", nothing))
+        .repartition(2 * shards, "shard")
+        .sortWithinPartitions("shard", "group")
+        .mapInArrow(_answer, "shard int, group long, levels binary")
+    )
+    texts = numbered.mapInArrow(_groups, _GROUPED)
     scored = materialise(
-        rows.withColumn("row", F.monotonically_increasing_id())
-        .select("row", "doc_id", "held_out", "text")
+        answers.unionByName(texts, allowMissingColumns=True)
+        .repartition(shards, "group")
+        .sortWithinPartitions("group", F.col("shard").asc_nulls_last())
         .mapInArrow(
-            partial(_score, model=sent),
+            partial(_score_groups, model=sent),
             "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double,"
             " rare array<long>, rare_n array<long>",
         ),

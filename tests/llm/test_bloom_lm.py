@@ -92,3 +92,17 @@ def test_probabilities_of_followers_add_up_to_one_at_most():
         for word in words[0]:
             chance += 10 ** model.score(np.array([history, word], np.uint64), np.array([0, 2]))[1]
         assert chance < 1.35
+
+
+def test_rare_words_and_pairs_are_held(frame):
+    """However great the share from which on n-grams are broadcast, scores are the same."""
+    # Counts are 1 or at least 64 times a power of two, so that levels do not depend on the filter.
+    docs = [(1, "q r s t u v " * 64, False), (2, "one rare pair of words", False), (3, "one rare pair of words", True)]
+    docs += [(4, "one pair rare words of", True), (5, "never seen", True)]
+    table = frame([(*d, 1, "x") for d in docs], SCHEMA)
+    got = {share: {r.doc_id: r.score for r in bloom_lm.score(table, F.col("held"), share=share).collect()} for share in (1e-9, 0.05, 1.0)}
+    assert got[1e-9][3] > got[1e-9][4] + 1
+    for share in (0.05, 1.0):
+        for doc_id, score in got[1e-9].items():
+            assert abs(got[share][doc_id] - score) < 0.1 * abs(score), (share, doc_id)
+        assert got[share][3] > got[share][4] + 1
