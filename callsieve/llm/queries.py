@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callsieve.llm import bloom_lm, chat, exact, language, leaks, near, packing, placement, private, urls
+from callsieve.llm import (
+    bloom_lm,
+    chat,
+    exact,
+    language,
+    leaks,
+    near,
+    packing,
+    placement,
+    prefixes,
+    private,
+    quality,
+    repair,
+    urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,6 +165,23 @@ def op10_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefixes.prefix_nodes(prefixes.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.score(docs, quality.train(docs, labels, remainder(3) != 1))
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 ORACLES["op10_exact_dedup"] = r"""
 WITH rows AS (
     SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -244,3 +275,129 @@ SELECT conv_id, count(*) AS n_turns,
     sum(length(block))::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+#: Table of crc32, and the checksum of a text of ASCII characters with it.
+_CRC_TABLE = """
+crc_table AS (
+    SELECT list(v ORDER BY n) AS t FROM (
+        SELECT n, list_reduce([n] || range(8), lambda c, i: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1)) AS v
+        FROM range(256) AS r(n)
+    )
+)"""
+_CRC = """xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH {_CRC_TABLE}, own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id AS c, conv_id - conv_id % 100 AS base, {_CRC.format(text="conv_id::VARCHAR")} % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM own), crc_table
+), joined AS (
+    SELECT c, pos, role, text FROM convs JOIN own ON conv_id = base AND pos <= h
+    UNION ALL SELECT c, pos, role, text FROM convs JOIN own ON conv_id = c AND pos > h
+), turns AS (
+    SELECT c, length(text) AS size, md5(length(role)::VARCHAR || ':' || role || text) AS digest,
+        row_number() OVER (PARTITION BY c ORDER BY pos) AS d
+    FROM joined
+), paths AS (
+    SELECT c, d, size, string_agg(digest, '') OVER (PARTITION BY c ORDER BY d) AS key FROM turns
+    UNION ALL SELECT c, 0, 0, '' FROM convs
+), lasts AS (
+    SELECT c, max(d) AS n FROM paths GROUP BY c
+), nodes AS (
+    SELECT key, d, any_value(size) AS size, min(c) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n), '')) AS ends_sha256
+    FROM paths JOIN lasts USING (c) GROUP BY key, d
+), parents AS (
+    SELECT child.key AS key, parent.key AS above, parent.conv_id AS parent_conv_id
+    FROM nodes AS child JOIN nodes AS parent ON parent.d = child.d - 1 AND parent.key = left(child.key, 32 * (child.d - 1))
+), below AS (
+    SELECT top.key AS key, count(*) FILTER (leaf.key NOT IN (SELECT above FROM parents)) AS n_leaves,
+        sum((leaf.n_convs - 1) * leaf.size) AS saved
+    FROM nodes AS leaf JOIN paths AS way ON way.c = leaf.conv_id AND way.d <= leaf.d
+    JOIN nodes AS top ON top.key = way.key GROUP BY top.key
+)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs,
+    (SELECT count(*) FROM parents AS p WHERE p.above = nodes.key) AS n_children, n_leaves,
+    saved::BIGINT AS saved_tokens, ends_sha256
+FROM nodes LEFT JOIN parents USING (key) JOIN below USING (key)
+"""
+
+_AFTER = ("s2", "s2", "s3", "s2")
+_ROLES = ("user", "user", "assistant", "user")
+
+
+def _cheaper(rounds: int) -> str:
+    """States before a row as the least of what uses the row up (``u``) or inserts one first."""
+    names = [f"{a}{k}" for a in "u" for k in range(4)]
+    for _ in range(rounds):
+        names = [
+            f"list_min([{names[k]}, {{'c': {names[int(_AFTER[k][1])]}.c + 5, 'a': 'I' || {names[int(_AFTER[k][1])]}.a,"
+            f" 'r': chr(10) || '{_ROLES[k]}:' || {names[int(_AFTER[k][1])]}.r}}])"
+            for k in range(4)
+        ]
+    return ", ".join(f"{n} AS s{k}" for k, n in enumerate(names))
+
+
+def _used(state: int) -> str:
+    to, role = _AFTER[state], _ROLES[state]
+    more = "if(cut, 5, 0)"
+    options = [f"{{'c': s{state}.c + 2, 'a': 'D' || s{state}.a, 'r': s{state}.r}}"]
+    kept = [(f"initial = '{role[0]}'", to)] + ([("initial = 's'", "s1")] if state == 0 else [])
+    for fits, after in kept:
+        options.append(
+            f"if(NOT gone AND {fits}, {{'c': {after}.c + {more}, 'a': 'K' || {after}.a, 'r': chr(10) || role || ':' || text || {after}.r}}, NULL)"
+        )
+    options.append(
+        f"if(NOT gone, {{'c': {to}.c + 1 + {more}, 'a': 'R' || {to}.a, 'r': chr(10) || '{role}:' || text || {to}.r}}, NULL)"
+    )
+    return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL)) AS u{state}"
+
+
+_SQL_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES["op12_conversation_repair"] = f"""
+WITH RECURSIVE {_CRC_TABLE}, given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_CRC.format(text="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate
+    FROM conversations, crc_table
+), damaged AS (
+    SELECT conv_id, turn, if(fate = 4, 'user', role) AS role,
+        CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(if(fate = 3, [0, 1], [0])) AS copy
+    FROM given WHERE fate <> 0
+), placed AS (
+    SELECT *, left(role, 1) AS initial, rtrim(text, {_SQL_SPACES}) AS body, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text)) AS pos
+    FROM damaged
+), faults AS (
+    SELECT *, CASE WHEN body = '' THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+        WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+    FROM placed
+), marked AS (
+    SELECT *, fault IN ('blank', 'duplicate') AS gone, fault = 'truncated' AS cut FROM faults
+), convs AS (
+    SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(pos) AS n
+    FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN marked USING (conv_id) GROUP BY conv_id
+), walk AS (
+    SELECT conv_id, n + 1 AS pos, {{'c': 0, 'a': '', 'r': ''}} AS s0,
+        {{'c': 10, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s1,
+        {{'c': 5, 'a': 'I', 'r': chr(10) || 'assistant:'}} AS s2, {{'c': 0, 'a': '', 'r': ''}} AS s3
+    FROM convs
+    UNION ALL
+    SELECT conv_id, pos, {_cheaper(2)} FROM (
+        SELECT walk.conv_id, marked.pos AS pos, {", ".join(_used(k) for k in range(4))}
+        FROM walk JOIN marked ON marked.conv_id IS NOT DISTINCT FROM walk.conv_id AND marked.pos = walk.pos - 1
+    )
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, blank, duplicate, truncated, illegal, s0.c::BIGINT AS cost, s0.a AS audit,
+    sha256(substr(s0.r, 2)) AS repaired_sha256
+FROM convs JOIN walk USING (conv_id) WHERE pos = 1
+"""
