@@ -62,6 +62,13 @@ def nesting_depth(text: Column | str) -> Column:
     return F.aggregate(brackets, start, step, lambda acc: acc["most"])
 
 
+def opened_brackets(text: Column | str) -> Column:
+    """Brackets that ``text`` opens, in strings too, up to what the parser can nest; an upper bound for
+    the depth of a JSON value that is cheap to work out."""
+    t = _col(text)
+    return F.least(F.length(t) - F.length(F.translate(t, "{[", "")), F.lit(PARSER_DEPTH))
+
+
 def beyond_parser(text: Column | str) -> Column:
     """Whether text is nested too deep, or holds too long a string or number, to be parsed."""
     t = _col(text)

@@ -31,3 +31,8 @@ def name(column: str) -> str:
 def any_of(tests: list[str]) -> str:
     """True if some test is true; NULL counts as false."""
     return "(" + " OR ".join(f"coalesce({t}, false)" for t in tests) + ")"
+
+
+def let(value: str, variable: str, body: str) -> str:
+    """``body`` with ``variable`` standing for ``value``, which is worked out once."""
+    return f"transform(array({value}), {variable} -> {body})[0]"

@@ -99,6 +99,17 @@ def number_of(v: str, kind: str) -> str:
     )
 
 
+def exact_of(v: str, shape: str) -> str:
+    """Value as DECIMAL(38, 18) where that is exact, else NULL."""
+    wide = f"try_variant_get({v}, '$', 'decimal(38,18)')"
+    scale = f"try_cast(regexp_extract({shape}, ',([0-9]+)', 1) AS int)"
+    text = f"try_cast(string({double_of(v)}) AS decimal(38,18))"
+    return (
+        f"CASE WHEN {shape} = 'BIGINT' THEN {wide} WHEN startswith({shape}, 'DECIMAL') THEN if({scale} <= 18, {wide}, NULL)"
+        f" WHEN {shape} = 'DOUBLE' THEN if(double({text}) = {double_of(v)}, {text}, NULL) END"
+    )
+
+
 def from_text(text: str) -> str:
     """A SQL string as a VARIANT string."""
     return f"variant_get(to_variant_object(named_struct('t', {text})), '$.t', 'variant')"

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Row
 
 from callsieve.functions.labels import KEYWORD_RANK, OTHER_RANK
 from callsieve.functions.sqltext import number, quote, strings
-from callsieve.functions.variants import canonical, is_infinite, number_of, string_of
+from callsieve.functions.variants import canonical, exact_of, is_infinite, kind_of, number_of, shape_of, string_of, whole_of
 
 UNSUPPORTED = "unsupported"
 Text = Callable[[str], str]
@@ -45,6 +46,11 @@ class Node:
         return f"to_json({self.v})"
 
 
+def matches(key: str, patterns: str) -> str:
+    """Some of the patterns is found in the key."""
+    return f"exists({patterns}, q -> {key} RLIKE concat('(?Ud)', q))"
+
+
 class JoinedRule:
     """A rule that comes with the row: every demand may be there or not."""
 
@@ -62,6 +68,11 @@ class JoinedRule:
         whole = f"{kind} = 'integer' AND array_contains({allowed}, 'number')"
         return f"(array_contains({allowed}, {kind}) OR ({whole}))"
 
+    def uncovered(self, keys: str) -> str:
+        """Keys that are neither declared nor match a pattern of keys."""
+        rest, patterns = f"array_except({keys}, {self.get('property_names')})", self.get("patterns")
+        return f"if(size({patterns}) = 0, {rest}, filter({rest}, k -> NOT {matches('k', patterns)}))"
+
     def among(self, demand: str, node: Node) -> str:
         listed = self.get("enum") if demand == "enum" else f"array({self.get('const')})"
         return f"array_contains({listed}, {canonical(node.v, node.kind)})"
@@ -88,6 +99,8 @@ class LiteralRule:
             return f"named_struct('whole', {whole}, 'approx', {approx})"
         if isinstance(value, bool):
             return "true"
+        if isinstance(value, Decimal):
+            return number(f"{value:f}", "decimal(38,18)")
         return str(value) if isinstance(value, int) else quote(value)
 
     def guard(self, demand: str) -> str:
@@ -97,6 +110,9 @@ class LiteralRule:
         allowed = [*self.rule["type"], *(["integer"] if "number" in self.rule["type"] else [])]
         return f"{kind} IN ({', '.join(quote(t) for t in allowed)})"
 
+    def uncovered(self, keys: str) -> str:
+        return f"array_except({keys}, {self.get('property_names')})"
+
     def among(self, demand: str, node: Node) -> str:
         values = self.rule["enum"] if demand == "enum" else [self.rule["const"]]
         if not values:
@@ -175,7 +191,7 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
     check_if_present("const", lambda it: among["const"], "const", lambda it: f"concat({it}, ' was expected')")
 
     if rule.get("additional_allowed") is not None:
-        extra = f"array_except({node.keys}, {rule.get('property_names')})"
+        extra = rule.uncovered(node.keys)
         surplus = f"size({node.keys}) > {node.declared}" if node.declared else f"size({extra}) > 0"
         check(
             "additional_allowed",
@@ -220,6 +236,27 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
             lambda it, w=words: f"concat({node.json}, ' is {w} of ', coalesce(string({it}.whole), string({it}.approx)))",
         )
 
+    numeric = f"{node.kind} IN ('integer', 'number')"
+
+    def rest(it: str) -> str:
+        """Remainder by an exact divisor, NULL where the value is not exact."""
+        whole = f"if({it} = floor({it}), {whole_of(node.v)} % cast({it} AS decimal(38,0)), NULL)"
+        return f"coalesce({exact_of(node.v, node.shape)} % {it}, {whole})"
+
+    check_if_present(
+        "multiple_of",
+        lambda it: f"{numeric} AND {rest(it)} <> 0",
+        "multipleOf",
+        lambda it: f"concat({node.json}, ' is not a multiple of ', string({it}))",
+    )
+    values = f"transform({node.parts}, y -> {canonical('y', kind_of('y'))})"
+    check(
+        "distinct",
+        lambda it: f"{it} AND {node.kind} = 'array' AND size(array_distinct({values})) < size({node.parts})",
+        "uniqueItems",
+        lambda it: f"concat({node.json}, ' has non-unique elements')",
+    )
+
     # (?U): classes are Unicode; (?d): only a newline ends a line.
     check_if_present(
         "pattern",
@@ -239,6 +276,9 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
         return "'a keyword that is not judged, or a number out of range or not comparable'"
 
     check("unsupported", lambda it: f"{it} AND {node.kind} IS NOT NULL", UNSUPPORTED, unclear, True)
+    check("multiple_of", lambda it: f"{rule.guard('multiple_of')}{numeric} AND {rest(it)} IS NULL", "number", unclear, True)
+    nested = f"exists({node.parts}, y -> {kind_of('y')} IN ('object', 'array') AND contains({shape_of('y')}, 'DOUBLE'))"
+    check("distinct", lambda it: f"{it} AND {node.kind} = 'array' AND {nested}", "number", unclear, True)
     infinite = f"{node.shape} = 'DOUBLE' AND {is_infinite(node.v)}"
     check("judges_value", lambda it: f"{it} AND {infinite}", "number", unclear, True)
     loose = f"{node.kind} IN ('object', 'array') AND contains({node.shape}, 'DOUBLE')"

@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from callsieve.functions.jsontext import parse_strict
-from callsieve.functions.sqltext import name
+from callsieve.functions.jsontext import opened_brackets, parse_strict
+from callsieve.functions.sqltext import let, name
 from callsieve.functions.variants import elements, fields, kind_of
-from callsieve.operators.schemas import escape_key, measured_depth
+from callsieve.operators.schemas import escape_key
 
+_NODE = "struct<path:array<string>,at:string,v:variant,m:map<string,variant>,a:array<variant>>"
 
-def walk(df: DataFrame, root: str, out: str, depth_of_values: int) -> DataFrame:
-    """Add ``out``: the nodes of the VARIANT column ``root``, level by level.
+
+def nodes_of(root: str, rounds: str) -> str:
+    """The nodes of the VARIANT ``root``: a loop inside the row opens the nodes just found until none is
+    an object or array, at most ``rounds`` times.
 
     A node holds ``path`` (the way through this very value), ``at`` (the schema-side
-    position), the value ``v`` and its members ``m`` or elements ``a``. No value may be nested
-    deeper than ``depth_of_values``.
+    position), the value ``v`` and its members ``m`` or elements ``a``.
     """
 
-    def node(path: str, at: str, v: str) -> str:
-        return f"named_struct('path', {path}, 'at', {at}, 'v', {v}, 'm', {fields(v)}, 'a', {elements(v)})"
-
     def step(path: str, at: str, v: str) -> str:
         return f"named_struct('path', {path}, 'at', {at}, 'v', {v})"
 
@@ -32,30 +31,33 @@ def walk(df: DataFrame, root: str, out: str, depth_of_values: int) -> DataFrame:
     by_place = (
         "transform(n.a, (x, i) -> " + step("concat(n.path, array(string(i)))", "concat(n.at, '/*')", "x") + ")"
     )
-    found = f"coalesce({by_key}, {by_place})"
-    children = f"transform({found}, s -> {node('s.path', 's.at', 's.v')})"
 
-    columns = df.columns
-    empty = node("cast(array() AS array<string>)", "''", root)
-    df = df.selectExpr("*", f"if({root} IS NOT NULL, array({empty}), NULL) AS {out}0")
-    for depth in range(1, depth_of_values + 1):
-        opened = f"filter({out}{depth - 1}, n -> n.m IS NOT NULL OR n.a IS NOT NULL)"
-        df = df.selectExpr("*", f"flatten(transform({opened}, n -> {children})) AS {out}{depth}")
-    levels = ", ".join(f"{out}{depth}" for depth in range(depth_of_values + 1))
-    return df.selectExpr(*[name(c) for c in columns], f"concat({levels}) AS {out}")
+    def opened(steps: str) -> str:
+        node = f"named_struct('path', s.path, 'at', s.at, 'v', s.v, 'm', {fields('s.v')}, 'a', {elements('s.v')})"
+        return f"cast(transform({steps}, s -> {node}) AS array<{_NODE}>)"
+
+    state = "named_struct('open', {0}, 'levels', {1})"
+    inside = f"flatten(transform(filter(acc.open, n -> n.m IS NOT NULL OR n.a IS NOT NULL), n -> coalesce({by_key}, {by_place})))"
+    going = let(opened(inside), "n", state.format("n", "concat(acc.levels, array(n))"))
+    empty = step("cast(array() AS array<string>)", "''", root)
+    start = opened(f"array({empty})")
+    return (
+        f"aggregate(sequence(1, {rounds}), {let(start, 't', state.format('t', 'array(t)'))},"
+        f" (acc, i) -> if(size(acc.open) = 0, acc, {going}), acc -> flatten(acc.levels))"
+    )
 
 
-def shred_calls(df: DataFrame, text: str = "call", depth: int | None = None) -> DataFrame:
-    """One row per node: path, JSON type, JSON text and child keys. No shuffle.
+def shred_calls(df: DataFrame, text: str = "call") -> DataFrame:
+    """One row per node: path, JSON type, JSON text and child keys. No shuffle and no pass before it:
+    each row takes as many rounds as its own call is deep.
 
-    Text that is not strict JSON has no nodes. Levels are unrolled as deep as the deepest call,
-    which is measured in a pass of its own unless ``depth`` is known to bound all of them.
+    Text that is not strict JSON has no nodes.
     """
-    depth = measured_depth(df, text) if depth is None else depth
     others = [name(c) for c in df.columns if c != text]
-    nodes = walk(df.withColumn("__root", parse_strict(text)), "__root", "__nodes", depth)
+    parsed = df.withColumns({"__root": parse_strict(text), "__rounds": opened_brackets(text) + 1})
+    nodes = f"if(__root IS NULL, NULL, {nodes_of('__root', '__rounds')})"
     # Outer, so that no filter on the array is inferred and copied below its definition.
-    rows = nodes.selectExpr(*others, "explode_outer(__nodes) AS __n").filter("__n IS NOT NULL")
+    rows = parsed.selectExpr(*others, f"explode_outer({nodes}) AS __n").filter("__n IS NOT NULL")
     return rows.selectExpr(
         *others,
         "__n.path AS path",

@@ -21,22 +21,26 @@ from threading import Lock
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from callsieve.functions.jsontext import beyond_parser, lenient_text, parse_wrapped
+from callsieve.functions.jsontext import beyond_parser, lenient_text, opened_brackets, parse_wrapped
 from callsieve.functions.labels import OTHER, category_of, json_error_message, schema_error_message
-from callsieve.functions.sqltext import name, quote, strings
-from callsieve.functions.variants import elements, fields, json_path, keys, kind_of, shape_of
+from callsieve.functions.sqltext import let, name, quote, strings
+from callsieve.functions.variants import elements, fields, from_text, json_path, keys, kind_of, shape_of
 from callsieve.operators.checks import (
     NO_VIOLATION,
     NO_VIOLATIONS,
+    UNSUPPORTED,
+    VIOLATION,
     JoinedRule,
     LiteralRule,
     Node,
     branches_fail,
+    matches,
     missing_key,
     node_checks,
+    violation,
 )
 from callsieve.operators.salting import join_unique
-from callsieve.operators.schemas import BRANCHED, NO_SCHEMA, compile_schemas, escape_key
+from callsieve.operators.schemas import BESIDE, BRANCHED, EDGES, NO_SCHEMA, PLAIN_EDGES, compile_schemas
 from callsieve.session import materialise
 
 # Fixed limits for choosing how rules reach the rows.
@@ -85,6 +89,37 @@ def _literal_checks(node: Node, rule: Row, present: dict[str, str]) -> list[str]
     return checks
 
 
+def _plain(rule: Row) -> bool:
+    """Whether the rule can be written out as expressions."""
+    links = [*rule["beside"], *rule["wide"], *rule["inner"]]
+    closed = rule["closed_members"] or rule["closed_elements"]
+    return not (closed or rule["needs"] or rule["names_to"] >= 0) and all(x["edge"] in PLAIN_EDGES for x in links)
+
+
+def _positions(rules: list[Row], limit: int) -> list[Row] | None:
+    """The rules at each position of a call, linked ones in full wherever they apply. None if there are
+    more than ``limit``, as for a schema that refers to itself, or if one cannot be written out."""
+    keyword_of = {number: keyword for keyword, number in EDGES.items()}
+    queue, out = [(0, "", [])], []
+    while queue and len(out) <= limit:
+        number, at, path = queue.pop()
+        rule = rules[number]
+        if not _plain(rule):
+            return None
+        out.append(Row(**{**rule.asDict(), "at": at, "path": path}))
+        for link in rule["beside"]:
+            keyword = keyword_of[link["edge"]]
+            step = {"$ref": "*ref"}.get(keyword, f"*{keyword}" + (f":{link['key']}" if keyword in BRANCHED else ""))
+            queue.append((link["to"], f"{at}/{step}", path))
+        for key, to in zip(rule["property_names"], rule["name_to"]):
+            escaped = key.replace("~", "~0").replace("/", "~1").replace("*", "~2")
+            queue.append((to, f"{at}/{escaped}", [*path, key]))
+        if rule["rest_to"] >= 0:
+            queue.append((rule["rest_to"], f"{at}/*additional", [*path, "*"]))
+        queue += [(link["to"], f"{at}/*", [*path, "[]"]) for link in rule["inner"]]
+    return out if len(out) <= limit else None
+
+
 def _gather(checks: list[str]) -> str:
     return f"array_compact(array({', '.join([NO_VIOLATION, *checks])}))"
 
@@ -123,8 +158,14 @@ class _InlineRules:
                 _COMPILED.update((keys[row["schema_id"]], row) for row in compiled)
                 while len(_COMPILED) > REMEMBERED_SCHEMAS:
                     _COMPILED.pop(next(iter(_COMPILED)))
-        rows = [known[schema_id] for schema_id in keys]
-        nodes = [rule for row in rows for rule in (row["rules"] or [])]
+        rows, nodes = [], []
+        for schema_id in keys:
+            row = known[schema_id]
+            here = _positions(row["rules"], rules) if row["rules"] is not None else []
+            if here is None:
+                return None
+            nodes += here
+            rows.append(Row(schema_id=schema_id, status=row["status"], rules=here if row["rules"] is not None else None))
         fits = len(nodes) <= rules and all(json_path(rule["path"]) for rule in nodes)
         return cls(rows, bare) if fits else None
 
@@ -133,7 +174,7 @@ class _InlineRules:
         cases = " ".join(f"WHEN {quote(i)} THEN {quote(s)}" for i, s in self.statuses.items())
         return df.selectExpr("*", f"CASE {ids} {cases} END AS __status")
 
-    def find(self, df: DataFrame) -> DataFrame:
+    def find(self, df: DataFrame, text: str) -> DataFrame:
         """Type, keys or value of each fixed position once per row, then the checks."""
         opened, shapes, kinds = [], [], []
         for at, (i, ids) in self.slots.items():
@@ -246,124 +287,238 @@ class _InlineRules:
         return f"concat({', '.join(found)})"
 
 
+# A value of the call and a rule for it: the place of the pair it comes from among those one step
+# before, the link and key that led here, and the rules met at this very value.
+_STEP = "parent:int,edge:int,key:string,path:array<string>,rule:int,seen:array<int>,v:variant"
+_STEPS = f"array<struct<{_STEP}>>"
+_PAIR = f"struct<{_STEP},siblings:int,m:map<string,variant>,a:array<variant>,keys:array<string>,shape:string,kind:string>"
+# What a pair came to: its violations, and the members and elements it has judged; ``unsure`` if more of
+# these may have been.
+_RESULT = f"struct<parent:int,edge:int,key:string,siblings:int,found:array<{VIOLATION}>,members:array<string>,elements:array<string>,unsure:boolean>"
+_NO_STEPS, _NO_RESULTS = f"cast(array() AS {_STEPS})", f"cast(array() AS array<{_RESULT}>)"
+_NO_TEXTS = "cast(array() AS array<string>)"
+
+
+def _edge(*keywords: str) -> str:
+    return ", ".join(str(EDGES[k]) for k in keywords)
+
+
 class _JoinedRules:
-    """Rules brought by a join on ``schema_id``; positions are looked up in a map.
+    """Rules brought by a join on ``schema_id``.
 
-    The value is walked along with its rules, as deep as the deepest rule of the catalog;
-    parts without rules are not opened. It is one expression, so rows are copied only once.
+    A loop inside the row follows the links of rules and the members and elements of the call together,
+    from the root downwards, until a step leads to no new pair of value and rule; what has no rule is
+    not opened. A second loop goes back up the steps and judges each pair by what came of those it led
+    to. The expression has the same size for all schemas, and a call costs as many rounds as it is deep.
     """
 
     def __init__(self, compiled: DataFrame, broadcast_bytes: int, bare: bool):
         self.bare = bare
         self.compiled = materialise(compiled, "schemas")
         rule_bytes = F.coalesce(F.size("rules"), F.lit(0)) * RULE_BYTES
-        size = F.sum(F.length(F.to_json(F.struct("schema_id", "rules"))) + rule_bytes).alias("size")
-        depth = F.max(F.expr("array_max(transform(rules, r -> size(split(r.at, '/')) - 1))")).alias("depth")
-        beside = " OR ".join([*(f"r.n_{k} > 0" for k in BRANCHED), "r.negated", "r.referred", "r.rest"])
-        branched = F.bool_or(F.expr(f"exists(rules, r -> {beside})")).alias("branched")
-        measured = self.compiled.agg(size, depth, branched).first()
+        apart = f"exists(r.beside, l -> l.edge NOT IN ({_edge('allOf', '$ref')})) OR r.counted OR r.names_to >= 0"
+        loose = f"r.closed_members OR r.closed_elements OR exists(concat(r.wide, r.inner), l -> l.edge IN ({_edge('unevaluatedProperties', 'unevaluatedItems')}))"
+        measured = self.compiled.agg(
+            F.sum(F.length(F.to_json(F.struct("schema_id", "rules"))) + rule_bytes).alias("size"),
+            F.max(F.expr("size(filter(rules, r -> size(r.beside) > 0))")).alias("beside"),
+            F.bool_or(F.expr(f"exists(rules, r -> {apart})")).alias("apart"),
+            F.bool_or(F.expr(f"exists(rules, r -> {loose})")).alias("loose"),
+        ).first()
         self.broadcast = (measured["size"] or 0) <= broadcast_bytes
-        self.depth = measured["depth"] or 0
-        self.branched = bool(measured["branched"])
+        #: Rules that can apply to one value one after the other, in any schema of the catalog.
+        self.chain = 1 + max(measured["beside"] or 0, 0)
+        self.loose = bool(measured["loose"])
+        self.apart = bool(measured["apart"]) or self.loose
 
     def attach(self, df: DataFrame) -> DataFrame:
-        rules = self.compiled.selectExpr(
-            "schema_id AS __sid",
-            "status AS __status",
-            "map_from_entries(transform(rules, r -> struct(r.at, r))) AS __rules",
-        )
+        rules = self.compiled.selectExpr("schema_id AS __sid", "status AS __status", "rules AS __rules")
         keyed = df.withColumn("__sid", F.coalesce(F.col("schema_id"), F.lit(NO_SCHEMA)))
         if self.broadcast:
             return keyed.join(F.broadcast(rules), "__sid", "left").drop("__sid")
         return join_unique(keyed, rules, "__sid", "left").drop("__sid")
 
-    def find(self, df: DataFrame) -> DataFrame:
-        value = "try_variant_get(__w, '$[0]', 'variant')"
-        root = f"array(named_struct('path', cast(array() AS array<string>), 'at', '', 'v', {value}))"
-        found = f"flatten(transform({self._ruled(root, 0)}, c0 -> {self._violations(0)}))"
-        df = df.selectExpr("*", f"if(__w IS NOT NULL AND __status IN ('ok', 'partly'), {found}, NULL) AS __found")
+    def find(self, df: DataFrame, text: str) -> DataFrame:
+        df = df.withColumn("__rounds", (opened_brackets(text) + 1) * self.chain + 1)
+        df = df.selectExpr("*", f"if(__w IS NOT NULL AND __status IN ('ok', 'partly'), {self._found()}, NULL) AS __found")
         return df.selectExpr("*", "array_min(__found) AS __first")
 
+    def _found(self) -> str:
+        value = "try_variant_get(__w, '$[0]', 'variant')"
+        root = self._step("0", "-1", "''", "cast(array() AS array<string>)", "0", "array(0)", value)
+        start = f"cast({self._opened(f'array({root})', '1')} AS array<{_PAIR}>)"
+        state = "named_struct('open', {0}, 'levels', {1})"
+        going = let(self._below("acc.open"), "n", state.format("n", "if(size(n) = 0, acc.levels, concat(acc.levels, array(n)))"))
+        levels = (
+            f"aggregate(sequence(1, __rounds), {let(start, 't', state.format('t', 'array(t)'))},"
+            f" (acc, i) -> if(size(acc.open) = 0, acc, {going}), acc -> acc.levels)"
+        )
+        if not self.apart:
+            alone = let("get(__rules, t.rule)", "r", self._own("t", "r"))
+            return f"flatten(transform({levels}, level -> flatten(transform(level, t -> {alone}))))"
+        # Results of a step are in the order of the pairs they come from, so that each finds its own.
+        level = let(
+            "named_struct('below', below, 'parents', transform(below, x -> x.parent))",
+            "b",
+            f"transform(level, (t, p) -> {let(self._mine('b', 'p'), 'mine', let('get(__rules, t.rule)', 'r', self._result()))})",
+        )
+        up = f"aggregate(reverse({levels}), {_NO_RESULTS}, (below, level) -> cast({level} AS array<{_RESULT}>))"
+        return f"{let(up, 'top', 'top[0].found')}"
+
     @staticmethod
-    def _ruled(steps: str, level: int) -> str:
-        """Keep the steps that have a rule; add rule, members, elements, type text and kind."""
-        s = f"s{level}"
-        carried = f"'path', {s}.path, 'at', {s}.at, 'v', {s}.v, 'rule', {s}.rule"
-        ruled = (
-            f"filter(transform({steps}, {s} -> named_struct('path', {s}.path, 'at', {s}.at, 'v', {s}.v,"
-            f" 'rule', __rules[{s}.at])), {s} -> {s}.rule IS NOT NULL)"
+    def _mine(b: str, p: str) -> str:
+        """The results in ``b`` whose parent is ``p``: a slice, found by halving."""
+        halved = (
+            f"aggregate(sequence(0, int(log2(1 + size({b}.below)))), named_struct('low', 0, 'high', size({b}.below)),"
+            f" (s, i) -> CASE WHEN s.low >= s.high THEN s WHEN {b}.parents[(s.low + s.high) div 2] < {p}"
+            f" THEN named_struct('low', int((s.low + s.high) div 2) + 1, 'high', s.high)"
+            f" ELSE named_struct('low', s.low, 'high', int((s.low + s.high) div 2)) END, s -> s.low)"
         )
-        split = (
-            f"transform({ruled}, {s} -> named_struct({carried}, 'm', {fields(f'{s}.v')}, 'a', {elements(f'{s}.v')}))"
+        own = f"if(get({b}.parents, first) = {p}, slice({b}.below, first + 1, {b}.below[first].siblings), {_NO_RESULTS})"
+        return f"if(size({b}.below) = 0, {_NO_RESULTS}, {let(halved, 'first', own)})"
+
+    @staticmethod
+    def _step(parent: str, edge: str, key: str, path: str, rule: str, seen: str, v: str) -> str:
+        return (
+            f"named_struct('parent', {parent}, 'edge', {edge}, 'key', {key}, 'path', {path},"
+            f" 'rule', {rule}, 'seen', {seen}, 'v', {v})"
         )
-        carried += f", 'm', {s}.m, 'a', {s}.a"
+
+    @staticmethod
+    def _opened(steps: str, siblings: str) -> str:
+        """Steps with members, elements, type text and kind of their values, each worked out once."""
+        carried = ", ".join(f"'{f.split(':')[0]}', c.{f.split(':')[0]}" for f in _STEP.split(","))
+        carried += f", 'siblings', {siblings}"
+        split = f"transform({steps}, c -> named_struct({carried}, 'm', {fields('c.v')}, 'a', {elements('c.v')}))"
+        carried = carried.replace(f"'siblings', {siblings}", "'siblings', c.siblings") + ", 'm', c.m, 'a', c.a"
         shape = (
-            f"CASE WHEN {s}.rule.has_container THEN {shape_of(f'{s}.v')} WHEN {s}.m IS NOT NULL THEN 'OBJECT'"
-            f" WHEN {s}.a IS NOT NULL THEN 'ARRAY' ELSE {shape_of(f'{s}.v')} END"
+            f"CASE WHEN coalesce(get(__rules, c.rule).has_container, false) THEN {shape_of('c.v')} WHEN c.m IS NOT NULL THEN 'OBJECT'"
+            f" WHEN c.a IS NOT NULL THEN 'ARRAY' ELSE {shape_of('c.v')} END"
         )
-        typed = f"transform({split}, {s} -> named_struct({carried}, 'keys', map_keys({s}.m), 'shape', {shape}))"
-        carried += f", 'keys', {s}.keys, 'shape', {s}.shape"
-        return f"transform({typed}, {s} -> named_struct({carried}, 'kind', {kind_of(f'{s}.v', f'{s}.shape')}))"
-
-    def _violations(self, level: int) -> str:
-        """Violations at a node and below it."""
-        c, e = f"c{level}", f"e{level}"
-        node = Node(f"{c}.path", f"{c}.v", f"{c}.shape", f"{c}.kind", f"{c}.keys", f"{c}.a", bare=self.bare)
-        missing = (
-            f"transform(filter({c}.rule.required, k -> NOT array_contains({c}.keys, k)), k -> {missing_key(node, 'k')})"
+        typed = f"transform({split}, c -> named_struct({carried}, 'keys', map_keys(c.m), 'shape', {shape}))"
+        carried += ", 'keys', c.keys, 'shape', c.shape"
+        return f"transform({typed}, c -> named_struct({carried}, 'kind', {kind_of('c.v', 'c.shape')}))"
+
+    def _below(self, pairs: str) -> str:
+        """The pairs that ``pairs`` lead to, each one's after the other."""
+        beside = self._step(
+            "p", "l.edge", "l.key", "t.path", "if(array_contains(t.seen, l.to), -1, l.to)", "concat(t.seen, array(l.to))", "t.v"
         )
+        applies = f"l.edge <> {_edge('dependentSchemas')} OR coalesce(array_contains(t.keys, l.key), false)"
+        member = "concat(t.path, array(e.key))"
+        declared = self._step("p", _edge("properties"), "e.key", member, "x", "array(x)", "e.value")
+        wide = self._step("p", "l.edge", "e.key", member, "l.to", "array(l.to)", "e.value")
+        rest = self._step("p", _edge("additionalProperties"), "e.key", member, "r.rest_to", "array(r.rest_to)", "e.value")
+        named = self._step("p", _edge("propertyNames"), "k", "t.path", "r.names_to", "array(r.names_to)", from_text("k"))
+        element = self._step("p", "l.edge", "string(i)", "concat(t.path, array(string(i)))", "l.to", "array(l.to)", "x")
+        fits = f"CASE l.edge WHEN {_edge('prefixItems')} THEN int(l.key) = i WHEN {_edge('items')} THEN i >= r.n_first ELSE true END"
+        covered = f"array_contains(r.property_names, e.key) OR {matches('e.key', 'r.patterns')}"
+        matching = f"l.edge = {_edge('unevaluatedProperties')} OR e.key RLIKE concat('(?Ud)', l.key)"
         found = [
-            _gather(node_checks(node, JoinedRule(f"{c}.rule"))),
-            f"if({c}.kind = 'object' AND {c}.rule.required IS NOT NULL, {missing}, {NO_VIOLATIONS})",
+            f"if(size(r.beside) > 0, transform(filter(r.beside, l -> {applies}), l -> {beside}), NULL)",
+            f"flatten(transform(map_entries(t.m), e -> transform(filter(array(get(r.name_to,"
+            f" int(array_position(r.property_names, e.key)) - 1)), x -> x IS NOT NULL), x -> {declared})))",
+            f"if(size(r.wide) > 0, flatten(transform(map_entries(t.m), e -> transform(filter(r.wide, l -> {matching}), l -> {wide}))), NULL)",
+            f"if(r.rest_to >= 0, transform(filter(map_entries(t.m), e -> NOT ({covered})), e -> {rest}), NULL)",
+            f"if(r.names_to >= 0, transform(t.keys, k -> {named}), NULL)",
+            f"if(size(r.inner) > 0, flatten(transform(t.a, (x, i) -> transform(filter(r.inner, l -> {fits}), l -> {element}))), NULL)",
         ]
-        if level < self.depth:
-            step = escape_key(f"{e}.key")
-            if self.branched:
-                other = f"{c}.rule.rest AND NOT array_contains({c}.rule.property_names, {e}.key)"
-                step = f"if({other}, '*additional', {step})"
-            by_key = (
-                f"transform(map_entries({c}.m), {e} -> named_struct('path', concat({c}.path, array({e}.key)),"
-                f" 'at', concat({c}.at, '/', {step}), 'v', {e}.value))"
-            )
-            by_place = (
-                f"transform({c}.a, ({e}, i) -> named_struct('path', concat({c}.path, array(string(i))),"
-                f" 'at', concat({c}.at, '/*'), 'v', {e}))"
-            )
-            if self.branched:
-                found.append(self._with_branches(f"coalesce({by_key}, {by_place}, array())", level))
-            else:
-                children = self._ruled(f"coalesce({by_key}, {by_place})", level + 1)
-                below = f"flatten(transform({children}, c{level + 1} -> {self._violations(level + 1)}))"
-                found.append(f"if({c}.m IS NOT NULL OR {c}.a IS NOT NULL, {below}, {NO_VIOLATIONS})")
-        return f"concat({', '.join(found)})"
+        family = let("get(__rules, t.rule)", "r", f"concat({', '.join(f'coalesce({f}, {_NO_STEPS})' for f in found)})")
+        one = let(family, "f", f"if(size(f) = 0, cast(array() AS array<{_PAIR}>), {self._opened('f', 'size(f)')})")
+        return f"cast(flatten(transform({pairs}, (t, p) -> {one})) AS array<{_PAIR}>)"
 
-    def _with_branches(self, inside: str, level: int) -> str:
-        """Violations in members and elements and in the schemas that apply beside the rule. All
-        are looked up and walked by one expression; then each branch is judged as a whole."""
-        c, n, r = f"c{level}", f"c{level + 1}", f"r{level}"
+    def _own(self, t: str, r: str) -> str:
+        """Violations of one pair by itself."""
+        node = Node(f"{t}.path", f"{t}.v", f"{t}.shape", f"{t}.kind", f"{t}.keys", f"{t}.a", bare=self.bare)
 
-        def steps(mark: str, places: str) -> str:
-            return f"transform({places}, i -> named_struct('path', {c}.path, 'at', concat({c}.at, '/*{mark}', i), 'v', {c}.v))"
+        def missing(names: str) -> str:
+            return f"transform(filter({names}, k -> NOT array_contains({t}.keys, k)), k -> {missing_key(node, 'k')})"
 
-        def upto(count: str) -> str:
-            return f"if({count} > 0, transform(sequence(0, {count} - 1), i -> string(i)), array())"
-
-        beside = [steps(f"{k}:", upto(f"{c}.rule.n_{k}")) for k in BRANCHED]
-        beside += [steps("not", f"if({c}.rule.negated, array(''), array())")]
-        beside += [steps("ref", f"if({c}.rule.referred, array(''), array())")]
-        children = self._ruled(f"concat({', '.join([inside, *beside])})", level + 1)
-        walked = (
-            f"transform({children}, {n} -> named_struct('step', element_at(split({n}.at, '/'), -1),"
-            f" 'found', {self._violations(level + 1)}))"
+        needed = f"concat('\\'', k, '\\' is a dependency of \\'', d.key, '\\'')"
+        needs = (
+            f"flatten(transform(filter({r}.needs, d -> array_contains({t}.keys, d.key)), d -> transform(filter(d.needs,"
+            f" k -> NOT array_contains({t}.keys, k)), k -> {violation(node, 'dependentRequired', needed)})))"
+        )
+        loop = violation(node, UNSUPPORTED, quote("a reference that leads back to itself"), True)
+        whole = f"{t}.kind = 'object' AND "
+        parts = [
+            _gather([*node_checks(node, JoinedRule(r)), f"if({t}.rule < 0, {loop}, NULL)"]),
+            f"if({whole}{r}.required IS NOT NULL, {missing(f'{r}.required')}, {NO_VIOLATIONS})",
+            f"if({whole}size({r}.needs) > 0, {needs}, {NO_VIOLATIONS})",
+        ]
+        return f"concat({', '.join(parts)})"
+
+    def _result(self) -> str:
+        """What the pair ``t`` with rule ``r`` comes to, given the results ``mine``."""
+        node = Node("t.path", "", "", "", "", "", bare=self.bare)
+
+        def fails(keyword: str, held: bool = False) -> str:
+            return violation(node, keyword, quote(f"the value does not comply with {keyword}"), held)
+
+        def of(*keywords: str) -> str:
+            return f"filter(mine, c -> c.edge IN ({_edge(*keywords)}))"
+
+        def least(*keywords: str) -> str:
+            return f"transform({of(*keywords)}, c -> array_min(c.found))"
+
+        def only(keyword: str) -> str:
+            return f"coalesce(get({of(keyword)}, 0).found, {NO_VIOLATIONS})"
+
+        through = ("allOf", "$ref", "dependentSchemas", "properties", "patternProperties", "additionalProperties")
+        through += ("propertyNames", "prefixItems", "items")
+        parts = [self._own("t", "r"), f"flatten(transform({of(*through)}, c -> c.found))"]
+        for keyword, asked in (("anyOf", "r.n_anyOf > 0"), ("oneOf", "r.n_oneOf > 0"), ("not", "r.negated")):
+            parts.append(f"array_compact(array(if({asked}, {branches_fail('t.path', least(keyword), keyword)}, NULL)))")
+        condition = let(f"get({least('if')}, 0)", "m", (
+            f"CASE WHEN m IS NULL THEN {only('then')} WHEN NOT m.held THEN {only('else')}"
+            f" WHEN size({only('then')}) + size({only('else')}) = 0 THEN {NO_VIOLATIONS} ELSE array({fails('if', True)}) END"
+        ))
+        parts.append(f"if(r.conditional, {condition}, {NO_VIOLATIONS})")
+        counts = f"named_struct('n', size(filter(w, x -> x IS NULL)), 'open', size(filter(w, x -> x.held)), 'low', coalesce(r.min_contains, 1))"
+        counted = let(let(least("contains"), "w", counts), "w", (
+            f"CASE WHEN w.low > 0 AND w.n + w.open = 0 THEN {fails('contains')} WHEN w.n + w.open < w.low THEN {fails('minContains')}"
+            f" WHEN w.n > r.max_contains THEN {fails('maxContains')}"
+            f" WHEN w.n >= w.low AND coalesce(w.n + w.open <= r.max_contains, true) THEN NULL ELSE {fails('contains', True)} END"
+        ))
+        parts.append(f"array_compact(array(if(r.counted AND t.kind = 'array', {counted}, NULL)))")
+        start = "'parent', t.parent, 'edge', t.edge, 'key', t.key, 'siblings', t.siblings"
+        if not self.loose:
+            return f"named_struct({start}, 'found', concat({', '.join(parts)}), 'members', {_NO_TEXTS}, 'elements', {_NO_TEXTS}, 'unsure', false)"
+
+        # Of the schemas beside a rule, those that pass tell what they have judged.
+        valid = "array_min(c.found) IS NULL"
+        taken = f"coalesce(array_min({only('if')}).held, true)"
+        told = (
+            f"filter(mine, c -> {valid} AND (c.edge IN ({_edge('allOf', 'anyOf', 'oneOf', '$ref', 'dependentSchemas', 'if')})"
+            f" OR (c.edge = {_edge('then')} AND size({only('if')}) = 0) OR (c.edge = {_edge('else')} AND NOT {taken})))"
         )
-        apart = ("anyOf", "oneOf", "not")
-        plain = " AND ".join(f"NOT startswith(x.step, '*{k}')" for k in apart)
-        parts = [f"flatten(transform(filter({r}, x -> {plain}), x -> x.found))"]
-        for keyword in apart:
-            asked = f"{c}.rule.negated" if keyword == "not" else f"{c}.rule.n_{keyword} > 0"
-            least = f"transform(filter({r}, x -> startswith(x.step, '*{keyword}')), x -> array_min(x.found))"
-            parts.append(f"array_compact(array(if({asked}, {branches_fail(f'{c}.path', least, keyword)}, NULL)))")
-        return f"flatten(transform(array({walked}), {r} -> concat({', '.join(parts)})))"
+        unsure = f"exists(mine, c -> c.edge IN ({_edge(*[k for k in BESIDE if k != 'not'])}) AND (c.unsure OR coalesce(array_min(c.found).held, false)))"
+
+        def judged(whole: str, every: str, edges: tuple[str, ...], field: str) -> str:
+            own = f"transform({of(*edges)}, c -> c.key)"
+            if field == "elements":
+                own = f"concat({own}, transform(filter({of('contains')}, c -> {valid}), c -> c.key))"
+            return f"array_distinct(concat(if({whole}, {every}, {_NO_TEXTS}), {own}, flatten(transform({told}, c -> c.{field}))))"
+
+        names, places = "coalesce(t.keys, array())", f"coalesce(transform(t.a, (x, i) -> string(i)), {_NO_TEXTS})"
+        loose = "unevaluatedProperties", "unevaluatedItems"
+        members = judged("r.judges_members AND NOT r.closed_members", names, ("properties", "patternProperties", "additionalProperties"), "members")
+        elements_ = judged("false", places, ("prefixItems", "items"), "elements")
+
+        def left(keyword: str, closed: str, every: str, seen: str) -> str:
+            """Violations of what nothing has judged; undecided if something may have."""
+            strict = f"if({closed} AND size(array_except({every}, {seen})) > 0, array({fails(keyword)}), {NO_VIOLATIONS})"
+            held = f"if({closed} AND size(array_except({every}, {seen})) > 0, array({fails(keyword, True)}), {NO_VIOLATIONS})"
+            below = f"flatten(transform(filter({of(keyword)}, c -> NOT array_contains({seen}, c.key)), c -> c.found))"
+            either = f"if(size({below}) > 0, array({fails(keyword, True)}), {NO_VIOLATIONS})"
+            return f"if(u, concat({held}, {either}), concat({strict}, {below}))"
+
+        open_members = f"NOT r.closed_members AND r.judges_members AND size({of(loose[0])}) = 0"
+        seen = f"named_struct('m', if({open_members}, {names}, {members}), 'e', {elements_})"
+        parts += [left(loose[0], "r.closed_members", names, "j.m"), left(loose[1], "r.closed_elements", places, "j.e")]
+        all_members = f"if(r.closed_members OR exists(r.wide, l -> l.edge = {_edge(loose[0])}), {names}, j.m)"
+        all_elements = f"if(r.closed_elements OR exists(r.inner, l -> l.edge = {_edge(loose[1])}), {places}, j.e)"
+        result = f"named_struct({start}, 'found', concat({', '.join(parts)}), 'members', {all_members}, 'elements', {all_elements}, 'unsure', u)"
+        return let(seen, "j", let(unsure, "u", result))
 
 
 class Checker:
@@ -400,7 +555,8 @@ class Checker:
         kept = [F.col(name(c)) for c in df.columns]
         if not strict:
             df = df.withColumn("__t", lenient_text(text))
-        df = self.rules.find(df.withColumn("__w", parse_wrapped(text if strict else "__t")))
+        asked = text if strict else "__t"
+        df = self.rules.find(df.withColumn("__w", parse_wrapped(asked)), asked)
         out = [*kept, self._verdict(text).alias(verdict)]
         if violations:
             out.append(F.coalesce("__found", F.expr(NO_VIOLATIONS)).alias(violations))
