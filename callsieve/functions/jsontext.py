@@ -46,6 +46,10 @@ def parse_strict(text: Column | str) -> Column:
 PARSER_DEPTH, PARSER_CHARS, PARSER_DIGITS = 1000, 20_000_000, 1000
 
 
+#: Up to so many, brackets are only counted.
+FEW_BRACKETS = 6
+
+
 def nesting_depth(text: Column | str) -> Column:
     """How deep brackets nest outside of strings; an upper bound for the depth of a JSON value.
 
@@ -62,11 +66,12 @@ def nesting_depth(text: Column | str) -> Column:
     return F.aggregate(brackets, start, step, lambda acc: acc["most"])
 
 
-def opened_brackets(text: Column | str) -> Column:
-    """Brackets that ``text`` opens, in strings too, up to what the parser can nest; an upper bound for
-    the depth of a JSON value that is cheap to work out."""
+def depth_bound(text: Column | str) -> Column:
+    """How deep a JSON value can nest: the brackets opened, in strings too, where they are few, else
+    ``nesting_depth``; at most what the parser can nest."""
     t = _col(text)
-    return F.least(F.length(t) - F.length(F.translate(t, "{[", "")), F.lit(PARSER_DEPTH))
+    opened = F.length(t) - F.length(F.translate(t, "{[", ""))
+    return F.least(F.when(opened <= FEW_BRACKETS, opened).otherwise(nesting_depth(t)), F.lit(PARSER_DEPTH))
 
 
 def beyond_parser(text: Column | str) -> Column:

@@ -238,14 +238,17 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
 
     numeric = f"{node.kind} IN ('integer', 'number')"
 
-    def rest(it: str) -> str:
-        """Remainder by an exact divisor, NULL where the value is not exact."""
-        whole = f"if({it} = floor({it}), {whole_of(node.v)} % cast({it} AS decimal(38,0)), NULL)"
-        return f"coalesce({exact_of(node.v, node.shape)} % {it}, {whole})"
+    def uneven(it: str) -> str:
+        """Whether division by ``it`` leaves a rest; NULL where the value is not exact."""
+        exact = exact_of(node.v, node.shape)
+        return (
+            f"CASE WHEN {exact} IS NOT NULL THEN {exact} % {it} <> 0 WHEN {node.kind} = 'integer' AND {it} = floor({it})"
+            f" THEN {whole_of(node.v)} % cast({it} AS decimal(38,0)) <> 0 END"
+        )
 
     check_if_present(
         "multiple_of",
-        lambda it: f"{numeric} AND {rest(it)} <> 0",
+        lambda it: f"{numeric} AND {uneven(it)}",
         "multipleOf",
         lambda it: f"concat({node.json}, ' is not a multiple of ', string({it}))",
     )
@@ -276,7 +279,7 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
         return "'a keyword that is not judged, or a number out of range or not comparable'"
 
     check("unsupported", lambda it: f"{it} AND {node.kind} IS NOT NULL", UNSUPPORTED, unclear, True)
-    check("multiple_of", lambda it: f"{rule.guard('multiple_of')}{numeric} AND {rest(it)} IS NULL", "number", unclear, True)
+    check("multiple_of", lambda it: f"{rule.guard('multiple_of')}{numeric} AND ({uneven(it)}) IS NULL", "number", unclear, True)
     nested = f"exists({node.parts}, y -> {kind_of('y')} IN ('object', 'array') AND contains({shape_of('y')}, 'DOUBLE'))"
     check("distinct", lambda it: f"{it} AND {node.kind} = 'array' AND {nested}", "number", unclear, True)
     infinite = f"{node.shape} = 'DOUBLE' AND {is_infinite(node.v)}"

@@ -55,7 +55,8 @@ def supervised_texts(df: DataFrame) -> DataFrame:
 def conversation_texts(df: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
     """Multi-turn chat text, one row for each conversation, turns in order.
 
-    Turns are first joined in parts of ``turns_per_part`` turn numbers, so that sorting and
+    A conversation with a turn that lacks its role or text is not here but in
+    ``incomplete_conversations``. Turns are first joined in parts of ``turns_per_part`` turn numbers, so that sorting and
     joining an endless conversation is spread over many groups; then its parts are joined.
     """
     turns = df.select(
@@ -65,21 +66,37 @@ def conversation_texts(df: DataFrame, turns_per_part: int = TURNS_PER_PART) -> D
         turn(F.col("role"), F.col("text")).alias("segment"),
     )
     ordered = F.array_sort(F.collect_list(F.struct("turn", "segment")))
-    grouped = turns.groupBy("conv_id", "part").agg(F.count("*").alias("n_turns"), ordered.alias("__turns"))
-    parts = grouped.select("conv_id", "part", "n_turns", F.array_join(F.col("__turns.segment"), "\n").alias("text"))
+    lacking = F.count_if(F.col("segment").isNull()).alias("n_lacking")
+    grouped = turns.groupBy("conv_id", "part").agg(F.count("*").alias("n_turns"), lacking, ordered.alias("__turns"))
+    joined = F.array_join(F.col("__turns.segment"), "\n").alias("text")
+    parts = grouped.select("conv_id", "part", "n_turns", "n_lacking", joined)
     in_order = F.array_sort(F.collect_list(F.struct("part", "text")))
-    whole = parts.groupBy("conv_id").agg(F.sum("n_turns").alias("n_turns"), in_order.alias("__parts"))
+    whole = parts.groupBy("conv_id").agg(
+        F.sum("n_turns").alias("n_turns"), F.sum("n_lacking").alias("n_lacking"), in_order.alias("__parts")
+    )
+    whole = whole.filter("n_lacking = 0")
     return whole.select("conv_id", "n_turns", F.array_join(F.col("__parts.text"), "\n").alias("text"))
 
 
+def incomplete_conversations(df: DataFrame) -> DataFrame:
+    """``conv_id, n_turns, n_lacking`` of conversations with turns that lack role or text, which cannot be
+    rendered as a whole."""
+    lacking = F.col("role").isNull() | F.col("text").isNull()
+    counted = df.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(lacking).alias("n_lacking"))
+    return counted.filter("n_lacking > 0")
+
+
 def word_count(text: str):
     """Whitespace-separated words: a stand-in for tokens where no tokenizer is at hand."""
     return F.regexp_count(F.col(text), F.lit(r"\S+"))
 
 
 def truncate_words(text: str, most: int):
-    """The text up to the end of its ``most``-th word; what is shorter stays as it is."""
-    head = F.regexp_extract(F.col(text), rf"^(?:\s*\S+){{0,{most}}}", 0)
+    """The text up to the end of its ``most``-th word; what is shorter stays as it is.
+
+    Nothing is ever given back (possessive quantifiers), so that words are read in a loop, however many.
+    """
+    head = F.regexp_extract(F.col(text), rf"^(?:\s*+\S++){{0,{most}}}+", 0)
     return F.when(word_count(text) > most, head).otherwise(F.col(text))
 
 

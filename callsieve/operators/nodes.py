@@ -4,43 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from callsieve.functions.jsontext import opened_brackets, parse_strict
+from callsieve.functions.jsontext import depth_bound, parse_strict
 from callsieve.functions.sqltext import let, name
-from callsieve.functions.variants import elements, fields, kind_of
-from callsieve.operators.schemas import escape_key
+from callsieve.functions.variants import elements, fields, keys, kind_of
 
-_NODE = "struct<path:array<string>,at:string,v:variant,m:map<string,variant>,a:array<variant>>"
+_NODE = "struct<path:array<string>,v:variant>"
 
 
 def nodes_of(root: str, rounds: str) -> str:
-    """The nodes of the VARIANT ``root``: a loop inside the row opens the nodes just found until none is
-    an object or array, at most ``rounds`` times.
+    """The nodes of the VARIANT ``root``, each with ``path`` and value ``v``: a loop inside the row opens
+    the nodes just found until there are none, at most ``rounds`` times."""
 
-    A node holds ``path`` (the way through this very value), ``at`` (the schema-side
-    position), the value ``v`` and its members ``m`` or elements ``a``.
-    """
-
-    def step(path: str, at: str, v: str) -> str:
-        return f"named_struct('path', {path}, 'at', {at}, 'v', {v})"
-
-    by_key = (
-        "transform(map_entries(n.m), e -> "
-        + step("concat(n.path, array(e.key))", f"concat(n.at, '/', {escape_key('e.key')})", "e.value")
-        + ")"
-    )
-    by_place = (
-        "transform(n.a, (x, i) -> " + step("concat(n.path, array(string(i)))", "concat(n.at, '/*')", "x") + ")"
-    )
-
-    def opened(steps: str) -> str:
-        node = f"named_struct('path', s.path, 'at', s.at, 'v', s.v, 'm', {fields('s.v')}, 'a', {elements('s.v')})"
-        return f"cast(transform({steps}, s -> {node}) AS array<{_NODE}>)"
+    def step(key: str, v: str) -> str:
+        return f"named_struct('path', concat(n.path, array({key})), 'v', {v})"
 
+    members = f"transform(map_entries({fields('n.v')}), e -> {step('e.key', 'e.value')})"
+    places = f"transform({elements('n.v')}, (x, i) -> {step('string(i)', 'x')})"
+    none = f"cast(array() AS array<{_NODE}>)"
+    inside = f"cast(flatten(transform(acc.open, n -> coalesce({members}, {places}, {none}))) AS array<{_NODE}>)"
     state = "named_struct('open', {0}, 'levels', {1})"
-    inside = f"flatten(transform(filter(acc.open, n -> n.m IS NOT NULL OR n.a IS NOT NULL), n -> coalesce({by_key}, {by_place})))"
-    going = let(opened(inside), "n", state.format("n", "concat(acc.levels, array(n))"))
-    empty = step("cast(array() AS array<string>)", "''", root)
-    start = opened(f"array({empty})")
+    start = f"cast(array(named_struct('path', array(), 'v', {root})) AS array<{_NODE}>)"
+    going = let(inside, "n", state.format("n", "concat(acc.levels, array(n))"))
     return (
         f"aggregate(sequence(1, {rounds}), {let(start, 't', state.format('t', 'array(t)'))},"
         f" (acc, i) -> if(size(acc.open) = 0, acc, {going}), acc -> flatten(acc.levels))"
@@ -54,7 +38,7 @@ def shred_calls(df: DataFrame, text: str = "call") -> DataFrame:
     Text that is not strict JSON has no nodes.
     """
     others = [name(c) for c in df.columns if c != text]
-    parsed = df.withColumns({"__root": parse_strict(text), "__rounds": opened_brackets(text) + 1})
+    parsed = df.withColumns({"__root": parse_strict(text), "__rounds": depth_bound(text) + 1})
     nodes = f"if(__root IS NULL, NULL, {nodes_of('__root', '__rounds')})"
     # Outer, so that no filter on the array is inferred and copied below its definition.
     rows = parsed.selectExpr(*others, f"explode_outer({nodes}) AS __n").filter("__n IS NOT NULL")
@@ -63,5 +47,5 @@ def shred_calls(df: DataFrame, text: str = "call") -> DataFrame:
         "__n.path AS path",
         f"{kind_of('__n.v')} AS json_type",
         "to_json(__n.v) AS json",
-        "map_keys(__n.m) AS child_keys",
+        f"{keys('__n.v')} AS child_keys",
     )

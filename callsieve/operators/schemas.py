@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsieve.functions.jsontext import opened_brackets, parse_strict
+from callsieve.functions.jsontext import depth_bound, parse_strict
 from callsieve.functions.sqltext import any_of, let, quote, strings
 from callsieve.functions.variants import (
     canonical,
@@ -187,6 +187,7 @@ RULE_FIELDS = (
     "counted",
     "conditional",
     "judges_members",
+    "judges_elements",
     "closed_members",
     "closed_elements",
 )
@@ -347,14 +348,18 @@ def _places() -> str:
         + let(_pointed(targets), "t", state("t", "concat(acc.done, t)", "size(t) = 0"))
         + " END"
     )
-    rounds = "sequence(1, 4 + 2 * opened)"
+    rounds = "sequence(1, rounds)"
     start = let(f"cast({_addressed(top)} AS array<{_PLACE}>)", "t", state("t", "t", "false"))
     return f"aggregate({rounds}, {start}, (acc, i) -> {going}, acc -> acc.done)"
 
 
 def _nodes(catalog: DataFrame) -> DataFrame:
     """One row per place of each schema; a schema that is not JSON keeps one empty row."""
-    df = catalog.select("schema_id", parse_strict("schema").alias("root"), opened_brackets("schema").alias("opened"))
+    # Only what a reference to an odd place leads to takes rounds of its own.
+    links = F.array_distinct(F.regexp_extract_all("schema", F.lit(r'"\$ref"\s*:\s*"([^"]*)"'), 1))
+    odd = F.size(F.filter(links, lambda x: ~x.rlike(r"^#(/(\$defs|definitions)/[^/]+)?$")))
+    rounds = (depth_bound("schema") + 2) * (1 + F.greatest(odd, F.lit(0)))
+    df = catalog.select("schema_id", parse_strict("schema").alias("root"), rounds.alias("rounds"))
     df = df.selectExpr("schema_id", "root", f"explode_outer(if(root IS NULL, NULL, {_places()})) AS n")
     return df.selectExpr("schema_id", "root", "n.pointer", "n.path", "n.at", "n.base", "n.address", "n.v")
 
@@ -474,6 +479,11 @@ def _links() -> str:
     return f"concat({', '.join(f'coalesce({f}, {none})' for f in found)})"
 
 
+def _everything(v: str) -> str:
+    """A schema that everything fits: true or one without keywords."""
+    return f"coalesce(try_variant_get({v}, '$', 'boolean'), size({fields(v)}) = 0, false)"
+
+
 def _rule() -> str:
     """What one place demands; a NULL member demands nothing."""
     needs = "transform(map_entries({0}), e -> named_struct('key', e.key, 'needs', try_variant_get(e.value, '$', 'array<string>')))"
@@ -514,7 +524,8 @@ def _rule() -> str:
         "n_first": f"coalesce(size({elements('k_prefixItems')}), if(listed_items, size({elements('k_items')}), NULL), 0)",
         "counted": "k_contains IS NOT NULL",
         "conditional": "k_if IS NOT NULL",
-        "judges_members": "k_additionalProperties IS NOT NULL OR k_unevaluatedProperties IS NOT NULL",
+        "judges_members": f"k_additionalProperties IS NOT NULL OR {_everything('k_unevaluatedProperties')}",
+        "judges_elements": _everything("k_unevaluatedItems"),
         "closed_members": "coalesce(NOT try_variant_get(k_unevaluatedProperties, '$', 'boolean'), false)",
         "closed_elements": "coalesce(NOT try_variant_get(k_unevaluatedItems, '$', 'boolean'), false)",
     }
@@ -574,8 +585,19 @@ def _linked() -> str:
     return let(known, "z", f"transform(found, r -> {rule})")
 
 
+def _longest_chain() -> str:
+    """How many rules can apply to one value one after the other; a loop counts each of its rules once."""
+    height = "1 + coalesce(array_max(transform(r.beside, l -> h[l.to])), 0)"
+    return let(
+        "size(filter(rules, r -> size(r.beside) > 0))",
+        "n",
+        f"if(n > 0, aggregate(sequence(1, n), transform(rules, r -> 1), (h, i) -> transform(rules, r -> {height}),"
+        " h -> array_max(h)), 1)",
+    )
+
+
 def compile_schemas(catalog: DataFrame) -> DataFrame:
-    """``(schema_id, status, tool, rules)`` for each row of a schema catalog.
+    """``(schema_id, status, tool, rules, chain)`` for each row of a schema catalog.
 
     ``status`` is ``ok``, ``partly`` (some place uses a keyword outside the rules; calls that
     have a value there get no verdict unless they fail elsewhere), ``unsupported_schema`` (a draft
@@ -637,12 +659,12 @@ def compile_schemas(catalog: DataFrame) -> DataFrame:
     )
     linked = grouped.selectExpr(
         "schema_id", "malformed", "old_draft", "tool", f"if(malformed OR old_draft, NULL, {_linked()}) AS rules"
-    )
+    ).selectExpr("*", f"{_longest_chain()} AS chain")
     status = (
         "CASE WHEN malformed THEN 'bad_schema' WHEN old_draft THEN 'unsupported_schema'"
         " WHEN exists(rules, r -> r.unsupported) THEN 'partly' ELSE 'ok' END"
     )
-    return linked.selectExpr("schema_id", f"{status} AS status", "tool", "rules")
+    return linked.selectExpr("schema_id", f"{status} AS status", "tool", "rules", "chain")
 
 
 def constraint_table(compiled: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from threading import Lock
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from callsieve.functions.jsontext import beyond_parser, lenient_text, opened_brackets, parse_wrapped
+from callsieve.functions.jsontext import beyond_parser, depth_bound, lenient_text, parse_wrapped
 from callsieve.functions.labels import OTHER, category_of, json_error_message, schema_error_message
 from callsieve.functions.sqltext import let, name, quote, strings
 from callsieve.functions.variants import elements, fields, from_text, json_path, keys, kind_of, shape_of
@@ -292,6 +292,8 @@ class _InlineRules:
 _STEP = "parent:int,edge:int,key:string,path:array<string>,rule:int,seen:array<int>,v:variant"
 _STEPS = f"array<struct<{_STEP}>>"
 _PAIR = f"struct<{_STEP},siblings:int,m:map<string,variant>,a:array<variant>,keys:array<string>,shape:string,kind:string>"
+# What is kept of a pair on the way back: its own violations, and what its links' results need.
+_SEEN = f"struct<parent:int,edge:int,key:string,siblings:int,rule:int,path:array<string>,own:array<{VIOLATION}>,keys:array<string>,n:int,kind:string>"
 # What a pair came to: its violations, and the members and elements it has judged; ``unsure`` if more of
 # these may have been.
 _RESULT = f"struct<parent:int,edge:int,key:string,siblings:int,found:array<{VIOLATION}>,members:array<string>,elements:array<string>,unsure:boolean>"
@@ -320,25 +322,23 @@ class _JoinedRules:
         loose = f"r.closed_members OR r.closed_elements OR exists(concat(r.wide, r.inner), l -> l.edge IN ({_edge('unevaluatedProperties', 'unevaluatedItems')}))"
         measured = self.compiled.agg(
             F.sum(F.length(F.to_json(F.struct("schema_id", "rules"))) + rule_bytes).alias("size"),
-            F.max(F.expr("size(filter(rules, r -> size(r.beside) > 0))")).alias("beside"),
             F.bool_or(F.expr(f"exists(rules, r -> {apart})")).alias("apart"),
             F.bool_or(F.expr(f"exists(rules, r -> {loose})")).alias("loose"),
         ).first()
         self.broadcast = (measured["size"] or 0) <= broadcast_bytes
-        #: Rules that can apply to one value one after the other, in any schema of the catalog.
-        self.chain = 1 + max(measured["beside"] or 0, 0)
         self.loose = bool(measured["loose"])
         self.apart = bool(measured["apart"]) or self.loose
 
     def attach(self, df: DataFrame) -> DataFrame:
-        rules = self.compiled.selectExpr("schema_id AS __sid", "status AS __status", "rules AS __rules")
+        rules = self.compiled.selectExpr("schema_id AS __sid", "status AS __status", "rules AS __rules", "chain AS __chain")
         keyed = df.withColumn("__sid", F.coalesce(F.col("schema_id"), F.lit(NO_SCHEMA)))
         if self.broadcast:
             return keyed.join(F.broadcast(rules), "__sid", "left").drop("__sid")
         return join_unique(keyed, rules, "__sid", "left").drop("__sid")
 
     def find(self, df: DataFrame, text: str) -> DataFrame:
-        df = df.withColumn("__rounds", (opened_brackets(text) + 1) * self.chain + 1)
+        # The loops copy what they hold in every round: as many rounds as the value can need, no more.
+        df = df.withColumn("__rounds", (depth_bound(text) + 1) * F.coalesce("__chain", F.lit(1)))
         df = df.selectExpr("*", f"if(__w IS NOT NULL AND __status IN ('ok', 'partly'), {self._found()}, NULL) AS __found")
         return df.selectExpr("*", "array_min(__found) AS __first")
 
@@ -346,15 +346,26 @@ class _JoinedRules:
         value = "try_variant_get(__w, '$[0]', 'variant')"
         root = self._step("0", "-1", "''", "cast(array() AS array<string>)", "0", "array(0)", value)
         start = f"cast({self._opened(f'array({root})', '1')} AS array<{_PAIR}>)"
+        own = let("get(__rules, t.rule)", "r", self._own("t", "r"))
+        if not self.apart:
+            state = "named_struct('open', {0}, 'found', {1})"
+            found = f"concat(acc.found, flatten(transform(acc.open, t -> {own})))"
+            going = state.format(self._below("acc.open"), f"cast({found} AS array<{VIOLATION}>)")
+            return (
+                f"aggregate(sequence(1, __rounds), {state.format(start, NO_VIOLATIONS)},"
+                f" (acc, i) -> if(size(acc.open) = 0, acc, {going}), acc -> acc.found)"
+            )
         state = "named_struct('open', {0}, 'levels', {1})"
-        going = let(self._below("acc.open"), "n", state.format("n", "if(size(n) = 0, acc.levels, concat(acc.levels, array(n)))"))
+        keys_ = "t.keys" if self.loose else "cast(NULL AS array<string>)"
+        seen = (
+            f"named_struct('parent', t.parent, 'edge', t.edge, 'key', t.key, 'siblings', t.siblings, 'rule', t.rule,"
+            f" 'path', t.path, 'own', {own}, 'keys', {keys_}, 'n', coalesce(size(t.a), 0), 'kind', t.kind)"
+        )
+        seen = f"concat(acc.levels, array(cast(transform(acc.open, t -> {seen}) AS array<{_SEEN}>)))"
         levels = (
-            f"aggregate(sequence(1, __rounds), {let(start, 't', state.format('t', 'array(t)'))},"
-            f" (acc, i) -> if(size(acc.open) = 0, acc, {going}), acc -> acc.levels)"
+            f"aggregate(sequence(1, __rounds), {state.format(start, f'cast(array() AS array<array<{_SEEN}>>)')},"
+            f" (acc, i) -> if(size(acc.open) = 0, acc, {state.format(self._below('acc.open'), seen)}), acc -> acc.levels)"
         )
-        if not self.apart:
-            alone = let("get(__rules, t.rule)", "r", self._own("t", "r"))
-            return f"flatten(transform({levels}, level -> flatten(transform(level, t -> {alone}))))"
         # Results of a step are in the order of the pairs they come from, so that each finds its own.
         level = let(
             "named_struct('below', below, 'parents', transform(below, x -> x.parent))",
@@ -465,7 +476,7 @@ class _JoinedRules:
 
         through = ("allOf", "$ref", "dependentSchemas", "properties", "patternProperties", "additionalProperties")
         through += ("propertyNames", "prefixItems", "items")
-        parts = [self._own("t", "r"), f"flatten(transform({of(*through)}, c -> c.found))"]
+        parts = ["t.own", f"flatten(transform({of(*through)}, c -> c.found))"]
         for keyword, asked in (("anyOf", "r.n_anyOf > 0"), ("oneOf", "r.n_oneOf > 0"), ("not", "r.negated")):
             parts.append(f"array_compact(array(if({asked}, {branches_fail('t.path', least(keyword), keyword)}, NULL)))")
         condition = let(f"get({least('if')}, 0)", "m", (
@@ -499,10 +510,10 @@ class _JoinedRules:
                 own = f"concat({own}, transform(filter({of('contains')}, c -> {valid}), c -> c.key))"
             return f"array_distinct(concat(if({whole}, {every}, {_NO_TEXTS}), {own}, flatten(transform({told}, c -> c.{field}))))"
 
-        names, places = "coalesce(t.keys, array())", f"coalesce(transform(t.a, (x, i) -> string(i)), {_NO_TEXTS})"
+        names, places = "coalesce(t.keys, array())", f"if(t.n > 0, transform(sequence(0, t.n - 1), i -> string(i)), {_NO_TEXTS})"
         loose = "unevaluatedProperties", "unevaluatedItems"
-        members = judged("r.judges_members AND NOT r.closed_members", names, ("properties", "patternProperties", "additionalProperties"), "members")
-        elements_ = judged("false", places, ("prefixItems", "items"), "elements")
+        members = judged("r.judges_members", names, ("properties", "patternProperties", "additionalProperties"), "members")
+        elements_ = judged("r.judges_elements", places, ("prefixItems", "items"), "elements")
 
         def left(keyword: str, closed: str, every: str, seen: str) -> str:
             """Violations of what nothing has judged; undecided if something may have."""
@@ -512,8 +523,7 @@ class _JoinedRules:
             either = f"if(size({below}) > 0, array({fails(keyword, True)}), {NO_VIOLATIONS})"
             return f"if(u, concat({held}, {either}), concat({strict}, {below}))"
 
-        open_members = f"NOT r.closed_members AND r.judges_members AND size({of(loose[0])}) = 0"
-        seen = f"named_struct('m', if({open_members}, {names}, {members}), 'e', {elements_})"
+        seen = f"named_struct('m', {members}, 'e', {elements_})"
         parts += [left(loose[0], "r.closed_members", names, "j.m"), left(loose[1], "r.closed_elements", places, "j.e")]
         all_members = f"if(r.closed_members OR exists(r.wide, l -> l.edge = {_edge(loose[0])}), {names}, j.m)"
         all_elements = f"if(r.closed_elements OR exists(r.inner, l -> l.edge = {_edge(loose[1])}), {places}, j.e)"
@@ -570,7 +580,7 @@ class Checker:
         the finished value: pushed below their definition it would compute it a second time.
         The generator is an outer one because a filter is inferred below an inner one.
         """
-        kept = [name(c) for c in df.columns if c not in ("__status", "__rules", *structs)]
+        kept = [name(c) for c in df.columns if c not in ("__status", "__rules", "__chain", *structs)]
         packed = ", ".join(f"'{s}', {name(s)}" for s in structs)
         return df.selectExpr(*kept, f"explode_outer(array(named_struct({packed}))) AS __done").selectExpr(
             *kept, *[f"__done.{name(s)} AS {name(s)}" for s in structs]

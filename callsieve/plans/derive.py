@@ -338,3 +338,143 @@ def wrapped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 3 THEN concat('{fence}\\n', {call}, '{fence} ', text)
         ELSE concat(text, ' {{"tool": ', text) END AS response""",
     )
+
+
+# -- calls for keywords that lead from one schema to others ----------------------------------
+
+RECURSIVE_SCHEMA = json.dumps(
+    {
+        "$defs": {
+            "cell": {
+                "type": ["object", "null"],
+                "properties": {"v": {"type": "integer"}, "next": {"$ref": "#/$defs/cell"}},
+                "required": ["v"],
+                "additionalProperties": False,
+            }
+        },
+        "$ref": "#/$defs/cell",
+    }
+)
+LINK_LEVELS = 20
+LINKED_SCHEMA = json.dumps(
+    {
+        "$defs": {
+            "a/b~c": {"type": "integer", "$anchor": "whole"},
+            "own": {"$id": "http://example.org/own", "properties": {"q": {"type": "boolean"}}},
+            **{f"level{i}": {"properties": {"n": {"$ref": f"#/$defs/level{i + 1}"}}} for i in range(LINK_LEVELS)},
+            f"level{LINK_LEVELS}": {"type": "integer"},
+        },
+        "properties": {
+            "a": {"items": {"type": "string"}},
+            "b": {"$ref": "#/properties/a/items"},
+            "c": {"$ref": "#/$defs/a~1b~0c"},
+            "d": {"$ref": "#whole"},
+            "e": {"$ref": "http://example.org/own#/properties/q"},
+            "n": {"$ref": "#/$defs/level0"},
+        },
+    }
+)
+PATTERN_SCHEMA = json.dumps(
+    {
+        "properties": {"ab": {"type": "integer"}},
+        "patternProperties": {"^a": {"type": ["integer", "string"]}, "b$": {"type": ["integer", "null"]}},
+        "additionalProperties": {"type": "boolean"},
+        "propertyNames": {"maxLength": 3},
+    }
+)
+CONDITIONAL_SCHEMA = json.dumps(
+    {
+        "if": {"properties": {"kind": {"const": "card"}}, "required": ["kind"]},
+        "then": {"required": ["number"]},
+        "else": {"properties": {"number": False}},
+        "dependentRequired": {"number": ["expiry"]},
+        "dependentSchemas": {"expiry": {"properties": {"expiry": {"pattern": "^[0-9]{2}$"}}}},
+    }
+)
+# The condition uses a keyword that is not judged: only what both branches agree on is decided.
+OPEN_CONDITION_SCHEMA = json.dumps({"if": {"$dynamicRef": "#x"}, "then": {"maxProperties": 3}, "else": {"maxProperties": 2}})
+UNEVALUATED_SCHEMA = json.dumps(
+    {
+        "allOf": [{"properties": {"a": {"type": "integer"}}}],
+        "anyOf": [
+            {"properties": {"b": {"type": "integer"}}, "required": ["b"]},
+            {"properties": {"c": {"type": "integer"}}, "required": ["c"]},
+        ],
+        "unevaluatedProperties": False,
+    }
+)
+ARRAY_SCHEMA = json.dumps(
+    {
+        "properties": {
+            "set": {"uniqueItems": True},
+            "row": {"prefixItems": [{"type": "string"}, {"type": "integer"}], "items": False},
+            "some": {"contains": {"type": "integer"}, "minContains": 2, "maxContains": 3},
+            "rest": {"prefixItems": [{}], "contains": {"type": "string"}, "unevaluatedItems": {"type": "null"}},
+        }
+    }
+)
+MULTIPLE_SCHEMA = json.dumps({"properties": {"total": {"multipleOf": 0.05}, "key": {"multipleOf": 3}, "long": {"multipleOf": 11}}})
+
+CONDITIONAL_CALLS = (
+    '{"kind":"card","number":1,"expiry":"12"}',
+    '{"kind":"card"}',
+    '{"kind":"cash","number":1,"expiry":"12"}',
+    '{"kind":"card","number":1}',
+    '{"kind":"cash","expiry":"1x"}',
+    '{"kind":"cash"}',
+)
+UNEVALUATED_CALLS = ('{"a":1,"b":2}', '{"a":1,"b":2,"c":3}', '{"b":2,"q":0}', '{"b":"x","c":0}', '{"a":"1","c":0}')
+ARRAY_CALLS = (
+    '{"set":[{"a":1,"b":[2]},{"b":[2.0],"a":1}]}',
+    '{"set":[1,true,"1",[1]]}',
+    '{"row":["x",1]}',
+    '{"row":["x",1,2]}',
+    '{"row":[1]}',
+    '{"some":["x"]}',
+    '{"some":["x",1]}',
+    '{"some":[1,2,3,4]}',
+    '{"some":[1,"x",2]}',
+    '{"rest":[5,"x",null]}',
+    '{"rest":[5,"x",6]}',
+)
+
+
+def calls_of(spark: SparkSession, sf_dir: str, call: str, schema: str) -> DataFrame:
+    """A call for each order, as the SQL expression ``call`` gives it, to be checked against ``schema``."""
+    calls = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS example_id", f"{call} AS call")
+    return with_schema_id(calls.withColumn("schema", F.lit(schema))).drop("schema")
+
+
+def in_turn(calls: tuple[str, ...]) -> str:
+    """SQL text: the calls taken in turn by order."""
+    cases = " ".join(f"WHEN {n} THEN '{call}'" for n, call in enumerate(calls))
+    return f"CASE o_orderkey % {len(calls)} {cases} END"
+
+
+def _nested(levels: str, key: str, leaf: str, more: str = "") -> str:
+    return f"concat(repeat('{{{more}\"{key}\":', int({levels})), {leaf}, repeat('}}', int({levels})))"
+
+
+RECURSIVE_CALL = _nested(
+    "o_orderkey % 9 + 1",
+    "next",
+    """CASE o_orderkey % 4 WHEN 0 THEN 'null' WHEN 1 THEN '{"v":"x"}' WHEN 2 THEN '{"v":1,"more":2}' ELSE '{"v":1}' END""",
+    '"v":1,',
+)
+LINKED_CALL = (
+    "concat('{\"a\":[\"x\"],\"b\":', if(o_orderkey % 6 = 1, '1', '\"x\"'), ',\"c\":', if(o_orderkey % 6 = 2, '\"x\"', '1'),"
+    " ',\"d\":', if(o_orderkey % 6 = 3, '\"x\"', '1'), ',\"e\":', if(o_orderkey % 6 = 4, '1', 'true'), ',\"n\":', "
+    + _nested(str(LINK_LEVELS), "n", "if(o_orderkey % 6 = 5, '\"x\"', '1')")
+    + ", '}')"
+)
+PATTERN_CALL = (
+    "concat('{\"', element_at(array('ab', 'ax', 'cb', 'o', 'long'), int(o_orderkey % 5) + 1), '\":',"
+    " element_at(array('1', '\"s\"', 'null', 'true'), int(o_orderkey % 4) + 1), '}')"
+)
+MULTIPLE_CALL = (
+    "concat('{\"total\":', cast(o_totalprice AS decimal(15,2)), ',\"key\":', o_orderkey, ',\"long\":', o_orderkey + 1,"
+    " repeat('0', 25), '}')"
+)
+#: Every so many orders have a call that is nested this deep.
+DEEP_EVERY, DEEP_CALL_LEVELS = 4999, 500
+UNEVEN_CALL = f"if(o_orderkey % {DEEP_EVERY} = 1, {_nested(str(DEEP_CALL_LEVELS), 'n', 'o_orderkey')}, {ORDER_CALL})"

@@ -150,6 +150,14 @@ def _part_call(size: str, kind: str) -> str:
     return _call("list_part", "'brand'", "p_brand", "'part'", "p_partkey", "'size'", size, "'type'", kind)
 
 
+LINKED = """
+        SELECT o_orderkey AS example_id, o_orderkey % 6 = 0 AS is_valid, CASE WHEN o_orderkey % 6 > 0 THEN 'type' END AS keyword,
+        CASE o_orderkey % 6 WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 3 THEN 'd' WHEN 4 THEN 'e' WHEN 5 THEN repeat('n/', 20) || 'n' END AS path
+        FROM orders"""
+WITH_GAPS = """
+        SELECT conv_id, turn, CASE WHEN NOT (conv_id % 7 = 0 AND turn = 1) THEN role END AS role,
+        CASE WHEN NOT (conv_id % 5 = 0 AND turn = 0) THEN text END AS text FROM conversations"""
+
 ORACLES = {
     "strict_json_check": "SELECT o_orderkey AS example_id, o_orderkey % 6 <> 4 AS is_json FROM orders",
     "extract_json_cases": f"""
@@ -371,4 +379,56 @@ ORACLES = {
     "stream_tally": f"""
         SELECT model, coalesce(category, 'valid') AS outcome, count(*) AS n FROM ({SCORED})
         GROUP BY model, coalesce(category, 'valid')""",
+    "recursive_schema_validation": """
+        WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey % 9 + 1 AS INT) AS d FROM orders)
+        SELECT k AS example_id, k % 4 IN (0, 3) AS is_valid,
+        CASE k % 4 WHEN 1 THEN 'type' WHEN 2 THEN 'additionalProperties' END AS keyword,
+        CASE k % 4 WHEN 1 THEN repeat('next/', d) || 'v' WHEN 2 THEN rtrim(repeat('next/', d), '/') END AS path FROM o""",
+    "linked_schema_validation": LINKED,
+    "linked_schema_joined": LINKED,
+    "pattern_members_validation": """
+        WITH o AS (SELECT o_orderkey AS example_id, ['ab', 'ax', 'cb', 'o', 'long'][o_orderkey % 5 + 1] AS key,
+          ['1', 's', 'null', 'true'][o_orderkey % 4 + 1] AS val FROM orders),
+        f AS (SELECT *, CASE WHEN key = 'long' THEN 'maxLength'
+          WHEN key = 'ab' AND val <> '1' OR key = 'ax' AND val NOT IN ('1', 's') OR key = 'cb' AND val NOT IN ('1', 'null')
+            OR key = 'o' AND val <> 'true' THEN 'type' END AS keyword FROM o)
+        SELECT example_id, keyword IS NULL AS is_valid, keyword, CASE keyword WHEN 'type' THEN key WHEN 'maxLength' THEN '' END AS path
+        FROM f""",
+    "conditional_schema_validation": """
+        SELECT o_orderkey AS example_id, o_orderkey % 6 IN (0, 5) AS is_valid,
+        CASE o_orderkey % 6 WHEN 1 THEN 'required' WHEN 2 THEN 'false' WHEN 3 THEN 'dependentRequired' WHEN 4 THEN 'pattern' END AS keyword,
+        CASE o_orderkey % 6 WHEN 1 THEN '' WHEN 2 THEN 'number' WHEN 3 THEN '' WHEN 4 THEN 'expiry' END AS path FROM orders""",
+    "open_condition_validation": """
+        SELECT o_orderkey AS example_id, CASE WHEN o_orderkey % 3 = 0 THEN true END AS is_valid,
+        CAST(NULL AS VARCHAR) AS keyword, CAST(NULL AS VARCHAR) AS path FROM orders""",
+    "unevaluated_members_validation": """
+        SELECT o_orderkey AS example_id, o_orderkey % 5 < 2 AS is_valid,
+        CASE o_orderkey % 5 WHEN 2 THEN 'unevaluatedProperties' WHEN 3 THEN 'unevaluatedProperties' WHEN 4 THEN 'unevaluatedProperties' END AS keyword,
+        CASE WHEN o_orderkey % 5 >= 2 THEN '' END AS path FROM orders""",
+    "array_keywords_validation": """
+        WITH o AS (SELECT o_orderkey AS example_id, ['uniqueItems', NULL, NULL, 'false', 'type', 'contains', 'minContains', 'maxContains',
+          NULL, NULL, 'type'][o_orderkey % 11 + 1] AS keyword, ['set', NULL, NULL, 'row/2', 'row/0', 'some', 'some', 'some', NULL, NULL,
+          'rest/2'][o_orderkey % 11 + 1] AS path FROM orders)
+        SELECT example_id, keyword IS NULL AS is_valid, keyword, path FROM o""",
+    "multiple_of_validation": """
+        SELECT o_orderkey AS example_id, path, 'multipleOf' AS keyword FROM orders, (VALUES ('total'), ('key'), ('long')) AS p(path)
+        WHERE CASE path WHEN 'total' THEN CAST(CAST(o_totalprice AS DECIMAL(15,2)) * 100 AS BIGINT) % 5 <> 0
+          WHEN 'key' THEN o_orderkey % 3 <> 0 ELSE (o_orderkey + 1) % 11 <> 0 END""",
+    "shred_uneven_calls": """
+        SELECT o_orderkey AS example_id, CASE WHEN o_orderkey % 4999 = 1 THEN 501 ELSE 7 END AS n,
+        CASE WHEN o_orderkey % 4999 = 1 THEN 500 ELSE 2 END AS depth FROM orders""",
+    "complete_conversations": f"""
+        WITH g AS ({WITH_GAPS})
+        SELECT conv_id, count(*) AS n_turns,
+        length(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>', chr(10) ORDER BY turn)) AS n_chars
+        FROM g GROUP BY conv_id HAVING count(role) = count(*) AND count(text) = count(*)""",
+    "incomplete_conversations": f"""
+        WITH g AS ({WITH_GAPS})
+        SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role IS NULL OR text IS NULL) AS n_lacking
+        FROM g GROUP BY conv_id HAVING n_lacking > 0""",
+    "truncated_long_texts": r"""
+        WITH d AS (SELECT doc_id, repeat(trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ', 40) AS text FROM documents),
+        w AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS n FROM d)
+        SELECT doc_id, md5(CASE WHEN n > 2048 THEN array_to_string(string_split(text, ' ')[1:2048], ' ') ELSE text END) AS digest,
+        least(n, 2048) AS n_words FROM w""",
 }

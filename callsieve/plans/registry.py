@@ -189,12 +189,76 @@ def composed_schema_joined(spark, sf_dir):
 def partly_judged_schema(spark, sf_dir):
     """A keyword that is not judged leaves definite failures definite, and the rest open."""
     schema = json.loads(derive.ORDER_SCHEMA)
-    schema["properties"]["parameters"]["properties"]["total"] = {"multipleOf": 0.01}
+    schema["properties"]["parameters"]["properties"]["total"] = {"$dynamicRef": "#amount"}
     text = json.dumps(schema)
     calls = schemas.with_schema_id(derive.order_calls(spark, sf_dir).withColumn("schema", F.lit(text))).drop("schema")
     return validate_calls(calls, derive.schemas_of(spark, text)).select("example_id", "is_valid", "status", "category")
 
 
+def _linked(spark, sf_dir, call, schema, **limits):
+    calls = derive.calls_of(spark, sf_dir, call, schema)
+    verdicts = validate_calls(calls, derive.schemas_of(spark, schema), **limits)
+    return verdicts.selectExpr("example_id", "is_valid", "keyword", PATH)
+
+
+@query
+def recursive_schema_validation(spark, sf_dir):
+    return _linked(spark, sf_dir, derive.RECURSIVE_CALL, derive.RECURSIVE_SCHEMA)
+
+
+@query
+def linked_schema_validation(spark, sf_dir):
+    """References by pointer, anchor and address, and a chain of 20 definitions."""
+    return _linked(spark, sf_dir, derive.LINKED_CALL, derive.LINKED_SCHEMA)
+
+
+@query
+def linked_schema_joined(spark, sf_dir):
+    return _linked(spark, sf_dir, derive.LINKED_CALL, derive.LINKED_SCHEMA, inline_schemas=0)
+
+
+@query
+def pattern_members_validation(spark, sf_dir):
+    return _linked(spark, sf_dir, derive.PATTERN_CALL, derive.PATTERN_SCHEMA)
+
+
+@query
+def conditional_schema_validation(spark, sf_dir):
+    return _linked(spark, sf_dir, derive.in_turn(derive.CONDITIONAL_CALLS), derive.CONDITIONAL_SCHEMA)
+
+
+@query
+def open_condition_validation(spark, sf_dir):
+    """A condition that cannot be judged gives a verdict only where both branches agree."""
+    call = derive.in_turn(('{"a":1,"b":2}', '{"a":1,"b":2,"c":3}', '{"a":1,"b":2,"c":3,"d":4}'))
+    return _linked(spark, sf_dir, call, derive.OPEN_CONDITION_SCHEMA)
+
+
+@query
+def unevaluated_members_validation(spark, sf_dir):
+    return _linked(spark, sf_dir, derive.in_turn(derive.UNEVALUATED_CALLS), derive.UNEVALUATED_SCHEMA)
+
+
+@query
+def array_keywords_validation(spark, sf_dir):
+    return _linked(spark, sf_dir, derive.in_turn(derive.ARRAY_CALLS), derive.ARRAY_SCHEMA)
+
+
+@query
+def multiple_of_validation(spark, sf_dir):
+    calls = derive.calls_of(spark, sf_dir, derive.MULTIPLE_CALL, derive.MULTIPLE_SCHEMA)
+    found = violation_table(calls, derive.schemas_of(spark, derive.MULTIPLE_SCHEMA))
+    return found.selectExpr("example_id", PATH, "keyword")
+
+
+@query
+def shred_uneven_calls(spark, sf_dir):
+    """A few calls nested 500 deep among flat ones."""
+    calls = derive.calls_of(spark, sf_dir, derive.UNEVEN_CALL, "{}").drop("schema_id")
+    depth = F.size("path").cast("long")
+    return nodes.shred_calls(calls).groupBy("example_id").agg(F.count("*").alias("n"), F.max(depth).alias("depth"))
+
+
 def _hostile(spark, sf_dir, **limits):
     catalog = derive.schemas_of(spark, derive.HOSTILE_SCHEMA)
     found = violation_table(derive.hostile_calls(spark, sf_dir), catalog, **limits)
@@ -469,6 +533,23 @@ def conversation_chatml(spark, sf_dir):
     return formatting.conversation_texts(derive.table(spark, sf_dir, "conversations"))
 
 
+def _with_gaps(spark, sf_dir):
+    return derive.table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id", "turn", "if(conv_id % 7 = 0 AND turn = 1, NULL, role) AS role", "if(conv_id % 5 = 0 AND turn = 0, NULL, text) AS text"
+    )
+
+
+@query
+def complete_conversations(spark, sf_dir):
+    rendered = formatting.conversation_texts(_with_gaps(spark, sf_dir))
+    return rendered.select("conv_id", "n_turns", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def incomplete_conversations(spark, sf_dir):
+    return formatting.incomplete_conversations(_with_gaps(spark, sf_dir))
+
+
 @query
 def length_budget(spark, sf_dir):
     documents = derive.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -495,6 +576,16 @@ def truncated_texts(spark, sf_dir):
     )
 
 
+@query
+def truncated_long_texts(spark, sf_dir):
+    """Texts of thousands of words, cut at the trainers' own limit."""
+    documents = derive.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "repeat(concat(trim(regexp_replace(text, '[\\\\s]+', ' ')), ' '), 40) AS text"
+    )
+    cut = formatting.truncate_to_budget(documents, {"text": formatting.MAX_TOTAL_TOKENS})
+    return cut.select("doc_id", F.md5("text").alias("digest"), formatting.word_count("text").cast("long").alias("n_words"))
+
+
 @query
 def pair_budget(spark, sf_dir):
     rows = derive.table(spark, sf_dir, "documents").selectExpr(

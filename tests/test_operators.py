@@ -197,6 +197,21 @@ def test_words_are_counted_and_cut(spark):
     assert [tuple(r) for r in cut] == [(1, " a "), (0, ""), (4, "a\t b"), (None, None)]
 
 
+@pytest.mark.parametrize("most", [1, 2048, 100_000])
+def test_long_texts_are_cut(spark, most):
+    df = spark.range(1).selectExpr("repeat('a b\n', 60000) AS text")
+    (row,) = df.select(formatting.truncate_words("text", most).alias("t")).collect()
+    assert row["t"] == ("a b\n" * 60_000)[: most * 2 - 1]
+
+
+def test_conversations_that_lack_a_text_are_set_apart(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, None, "b"), (3, 0, "user", "c"), (3, 1, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert [(r["conv_id"], r["n_turns"]) for r in formatting.conversation_texts(df).collect()] == [(3, 2)]
+    lacking = {tuple(r) for r in formatting.incomplete_conversations(df).collect()}
+    assert lacking == {(1, 2, 1), (2, 1, 1)}
+
+
 def test_paired_outcomes_count_each_example_once(spark):
     rows = [("A", 1, True), ("B", 1, False), ("A", 2, True), ("A", 2, False), ("B", 2, True), ("A", 3, True)]
     df = spark.createDataFrame(rows, "model string, example_id int, is_valid boolean")

@@ -167,13 +167,13 @@ def test_status_is_decided_first(spark, mode):
         (wrap({}), {"$ref": "#/x"}, ("unsupported_schema", None)),
         (wrap({}), {"properties": {"tool": {"anyOf": []}}}, ("bad_schema", False)),
         (wrap({}), {"$defs": {"a": {"$ref": "#/$defs/a"}}, "$ref": "#/$defs/a"}, ("unsupported_schema", None)),
-        (wrap({}), {"properties": {"tool": {"if": {}}}}, ("unsupported_schema", None)),
-        (wrap({}), {"properties": {"other": {"if": {}}}}, ("valid", True)),
-        (wrap({}), {"properties": {"tool": {"if": {}}}, "maxProperties": 0}, ("invalid", False)),
-        (wrap({}), {"properties": {"tool": {"anyOf": [{"if": {}}, {"type": "string"}]}}}, ("valid", True)),
-        (wrap({}), {"properties": {"tool": {"anyOf": [{"if": {}}, {"type": "null"}]}}}, ("unsupported_schema", None)),
-        (wrap({}), {"properties": {"tool": {"not": {"if": {}, "type": "null"}}}}, ("valid", True)),
-        (wrap({}), {"patternProperties": {"t": {}}, "additionalProperties": False}, ("unsupported_schema", None)),
+        (wrap({}), {"properties": {"tool": {"$dynamicRef": "#x"}}}, ("unsupported_schema", None)),
+        (wrap({}), {"properties": {"other": {"$dynamicRef": "#x"}}}, ("valid", True)),
+        (wrap({}), {"properties": {"tool": {"$dynamicRef": "#x"}}, "maxProperties": 0}, ("invalid", False)),
+        (wrap({}), {"properties": {"tool": {"anyOf": [{"$dynamicRef": "#x"}, {"type": "string"}]}}}, ("valid", True)),
+        (wrap({}), {"properties": {"tool": {"anyOf": [{"$dynamicRef": "#x"}, {"type": "null"}]}}}, ("unsupported_schema", None)),
+        (wrap({}), {"properties": {"tool": {"not": {"$dynamicRef": "#x", "type": "null"}}}}, ("valid", True)),
+        (wrap({}), {"patternProperties": {"(?P<x>t)": {}}, "additionalProperties": False}, ("unsupported_schema", None)),
         (wrap({}), {"definitions": {"a": {}}, "$ref": "#/definitions/a"}, ("valid", True)),
         (wrap({}), {"properties": {"tool": {"pattern": "(?P<x>a)"}}}, ("unsupported_schema", None)),
         (wrap({}), {"properties": {"tool": {"pattern": "a{3,1}"}}}, ("unsupported_schema", None)),
