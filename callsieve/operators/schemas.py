@@ -467,7 +467,8 @@ def _links() -> str:
         return f"if(k_{source} IS NOT NULL AND {test}, array({one}), NULL)"
 
     found = [listed(k, k) for k in SCHEMA_LISTS]
-    found += [named(k, k) for k in ("properties", "patternProperties", "dependentSchemas")]
+    found += [named(k, k) for k in ("properties", "dependentSchemas")]
+    found += [named("patternProperties", "patternProperties", "NOT odd_keys")]
     found += [named("dependentSchemas", "dependencies", f"{elements('e.value')} IS NULL")]
     found += [single(k, k) for k in ("not", "contains", "propertyNames", "if")]
     found += [single(k, k, "k_if IS NOT NULL") for k in ("then", "else")]
