@@ -273,20 +273,19 @@ def _groups(batches):
             yield pa.RecordBatch.from_pydict({"group": group} | columns)
 
 
-def _asked(texts: list[pa.Array], own: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted words and pairs of a group that the broadcast filter lacks."""
+def _asked(texts: list[list[tuple]], own: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted words and pairs of a group's tokens that the broadcast filter lacks."""
     words, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for column in texts:
-        for _, _, hashes, bounds in tokens(column):
-            words.append(own.lacks(np.append(hashes, END)))
-            pairs.append(own.lacks(pair_hashes(before(hashes, bounds), hashes)))
+    for _, _, hashes, bounds in (part for text in texts for part in text):
+        words.append(own.lacks(np.append(hashes, END)))
+        pairs.append(own.lacks(pair_hashes(before(hashes, bounds), hashes)))
     return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
 
 
 def _ask(batches, model, shards: int):
     """For each shard, what a group asks of it."""
     for batch in _groups(batches):
-        for first, asked in zip((0, shards), _asked([batch.column("text")], model.value)):
+        for first, asked in zip((0, shards), _asked([tokens(batch.column("text"))], model.value)):
             for cut in _cut(asked, asked.view(np.int64), shards):
                 if cut.num_rows:
                     shard = pa.array(cut.column("shard").to_numpy() + np.int32(first), pa.int32())
@@ -315,13 +314,15 @@ def _score_groups(batches, model):
     current, levels, texts = None, [], []
 
     def close():
-        asked = _asked([t.column("text") for t in texts], model.value)
+        # A group is one batch of texts: its tokens are held for both uses.
+        read = [list(tokens(t.column("text"))) for t in texts]
+        asked = _asked(read, model.value)
         found = np.frombuffer(b"".join(levels), np.uint8).astype(np.int64)
         if len(found) != len(asked[0]) + len(asked[1]):
             raise ValueError("rows differ from those that were asked for; store the input first")
         # Shards are ranges of hashes, first of words and then of pairs.
         parts = np.split(count_of(found, 1), [len(asked[0])])
-        yield from _score(texts, model, (asked[0], parts[0]), (asked[1], parts[1]))
+        yield from _score(zip(texts, read), model, (asked[0], parts[0]), (asked[1], parts[1]))
 
     for batch in batches:
         groups = batch.column("group").to_numpy()
@@ -345,9 +346,9 @@ def _score_groups(batches, model):
 def _score(batches, model, words=NOTHING, pairs=NOTHING):
     own = model.value
     even = math.log10(own.total + own.types + 1)
-    for batch in batches:
+    for batch, read in batches:
         columns = {c: [] for c in ("n_tokens", "n_known", "base", "score", "rare", "rare_n")}
-        for _, _, hashes, bounds in tokens(batch.column("text")):
+        for _, _, hashes, bounds in read:
             at = np.minimum(np.searchsorted(own.words, hashes), max(len(own.words) - 1, 0))
             known = own.words[at] == hashes if len(own.words) else np.zeros(len(hashes), bool)
             base = np.where(known, np.log10(own.counts[at] + 1.0) if len(own.words) else 0.0, 0.0)

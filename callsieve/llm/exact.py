@@ -22,8 +22,10 @@ from callsieve.session import materialise
 
 #: Characters that do not count: ``[\x20\x09-\x0D]``.
 SPACES = b" \t\n\x0b\x0c\r"
-#: Bytes of edges that a task's trie may hold before it spills its heaviest subtree.
+#: Bytes that a task's trie may hold before it spills its heaviest subtree, and those of a node beside
+#: its edge (measured: node, table of children, owner).
 TRIE_BYTES = 48 << 20
+NODE_BYTES = 450
 
 
 class Node:
@@ -43,7 +45,7 @@ def shared_prefix(a: bytes, b: bytes) -> int:
 
 
 class Trie:
-    """Patricia trie over byte strings. ``size`` counts the bytes of its edges."""
+    """Patricia trie over byte strings. ``size`` counts the bytes of its nodes and edges."""
 
     def __init__(self):
         self.root, self.size = Node(b""), 0
@@ -55,11 +57,12 @@ class Trie:
             child = node.children.get(key[at])
             if child is None:
                 child = node.children[key[at]] = Node(key[at:])
-                self.size += len(key) - at
+                self.size += len(key) - at + NODE_BYTES
                 return child
             if not key.startswith(child.edge, at):
                 common = shared_prefix(child.edge, key[at : at + len(child.edge)])
                 upper = Node(child.edge[:common])
+                self.size += NODE_BYTES
                 child.edge = child.edge[common:]
                 upper.children[child.edge[0]] = child
                 node.children[key[at]] = child = upper
@@ -82,7 +85,7 @@ def subtree_bytes(node: Node) -> int:
     total, stack = 0, [node]
     while stack:
         node = stack.pop()
-        total += len(node.edge)
+        total += len(node.edge) + NODE_BYTES
         stack.extend(node.children.values())
     return total
 

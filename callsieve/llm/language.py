@@ -29,7 +29,7 @@ ROUNDS = 4
 #: Share of a piece's probability that comes from all languages together, and from all pieces alike.
 SHARED, EVEN = 0.02, 0.001
 #: Words whose probabilities a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def read_pieces(model_file: str) -> list[bytes]:
@@ -252,14 +252,15 @@ class _Scores:
 _CACHE: dict[str, _Scores] = {}
 
 
-def _predict(batches, model, key: str):
+def _predict(batches, model, key: str, place: int | None = None):
     if key not in _CACHE:
         _CACHE.clear()
         _CACHE[key] = _Scores(model.value)
     scores, names = _CACHE[key], model.value.languages
     for batch in batches:
         best, sure = [], []
-        for _, _, data, offsets in chunks(batch.column("text")):
+        text_column = batch.column("text") if place is None else batch.column("row").field(place).cast(pa.string())
+        for _, _, data, offsets in chunks(text_column):
             known, text, inverse, bounds = _distinct(data, offsets)
             own = scores.of(known, text)[inverse].astype(np.float64)
             sums = np.vstack((np.zeros((1, len(names))), np.cumsum(own, axis=0)))
@@ -275,6 +276,8 @@ def _predict(batches, model, key: str):
             "score": pa.array([x if ok else 0.0 for x, ok in zip(sure, letters)], pa.float64()),
         }
         yield pa.RecordBatch.from_pydict(columns | {c: batch.column(c) for c in ("row",) if c in batch.schema.names})
+    # The worker goes on to other stages: what the texts took is given back.
+    pa.default_memory_pool().release_unused()
 
 
 def identify(
@@ -290,16 +293,19 @@ def identify(
     text = F.col(text_col).cast("string")
     rows = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
-        text.alias("text"),
+        *([] if carry else [text.alias("text")]),
         F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"),
         *([F.struct("*").alias("row")] if carry else []),
     )
     if not model.languages:
-        return rows.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0)).drop("text", "letters")
+        return rows.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0)).drop("text", "letters").select(
+            "doc_id", "lang_pred", "score", *(["row"] if carry else [])
+        )
     sent = docs.sparkSession.sparkContext.broadcast(model)
     out = T.StructType().add("doc_id", "long").add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(
-        partial(_predict, model=sent, key=uuid.uuid4().hex), out.add("row", docs.schema) if carry else out
+        partial(_predict, model=sent, key=uuid.uuid4().hex, place=docs.columns.index(text_col) if carry else None),
+        out.add("row", docs.schema) if carry else out,
     )
 
 

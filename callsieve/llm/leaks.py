@@ -215,9 +215,10 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_b
     return [send(Items(rows.filter(share == k).toArrow(), window)) for k in range(n)]
 
 
-def _judge(batches, blocks, shard_bytes: int):
+def _judge(batches, blocks, shard_bytes: int, place: int | None = None):
     for batch in batches:
-        for first, end, data, offsets in chunks(batch.column("text"), shard_bytes):
+        text = batch.column("text") if place is None else batch.column("row").field(place).cast(pa.string())
+        for first, end, data, offsets in chunks(text, shard_bytes):
             words = find_words(data, offsets, ALNUM)
             hashes, counts = words.hashes(), words.counts
             bounds = np.concatenate(([0], np.cumsum(counts + 1)))
@@ -268,14 +269,13 @@ def contamination(
     """
     rows = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
-        *([F.struct("*").alias("row")] if carry else []),
+        F.struct("*").alias("row") if carry else F.col(text_col).cast("string").alias("text"),
     )
     out = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_hit", "long").add("n_items", "long")
     out = out.add("items", T.ArrayType(T.StringType())).add("items_sha256", "string")
     blocks = _blocks(items, item_col, item_text_col, window, block_bytes)
     return rows.mapInArrow(
-        partial(_judge, blocks=blocks, shard_bytes=shard_bytes),
+        partial(_judge, blocks=blocks, shard_bytes=shard_bytes, place=docs.columns.index(text_col) if carry else None),
         out.add("row", docs.schema) if carry else out,
     ).withColumn("contaminated", F.col("n_hit") > 0)
 
