@@ -158,6 +158,13 @@ WITH_GAPS = """
         SELECT conv_id, turn, CASE WHEN NOT (conv_id % 7 = 0 AND turn = 1) THEN role END AS role,
         CASE WHEN NOT (conv_id % 5 = 0 AND turn = 0) THEN text END AS text FROM conversations"""
 
+STREAMED = f"""
+    SELECT batch_id, pos, discard_reason FROM ({PLACED})
+    UNION ALL SELECT -1 - doc_id, CASE WHEN doc_id % 4 = 3 THEN 0 END,
+    CASE doc_id % 4 WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'not_a_list' ELSE 'malformed_item' END
+    FROM documents
+    UNION ALL SELECT NULL, NULL, 'not_a_record' FROM nation"""
+
 ORACLES = {
     "strict_json_check": "SELECT o_orderkey AS example_id, o_orderkey % 6 <> 4 AS is_json FROM orders",
     "extract_json_cases": f"""
@@ -349,12 +356,8 @@ ORACLES = {
     "export_roundtrip": f"""
         SELECT o_orderkey AS example_id, {_chat(PROMPT)} AS prompt, {CHOSEN} || '<|im_end|>' AS chosen, {SIX} || '<|im_end|>' AS rejected
         FROM orders WHERE {REASON} IS NULL""",
-    "stream_gate": f"""
-        SELECT batch_id, pos, discard_reason FROM ({PLACED})
-        UNION ALL SELECT -1 - doc_id, CASE WHEN doc_id % 4 = 3 THEN 0 END,
-        CASE doc_id % 4 WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'not_a_list' ELSE 'malformed_item' END
-        FROM documents
-        UNION ALL SELECT NULL, NULL, 'not_a_record' FROM nation""",
+    "stream_gate": STREAMED,
+    "stream_gate_repeated": STREAMED,
     "stream_gate_until": f"""
         SELECT count(*) >= 100 AS reached, true AS none_too_many, true AS batches_whole FROM ({PLACED})
         WHERE discard_reason IS NULL""",

@@ -653,6 +653,20 @@ def stream_gate(spark, sf_dir):
     return decided.unionByName(reasons)
 
 
+@query
+def stream_gate_repeated(spark, sf_dir):
+    """Two thirds of the batches arrive again, in files of their own."""
+    path = _batch_files(spark, sf_dir)
+    derive.batches(spark, sf_dir).filter("batch_id % 3 > 0").write.mode("append").json(path)
+    derive.batches(spark, sf_dir).filter("batch_id % 3 > 1").write.mode("append").json(path)
+    arrivals = stream.read_batches(spark, path, files_per_trigger=12)
+    judged, rejected, state = (scratch_path(spark, n) for n in ("judged", "rejected", "gate-state"))
+    stream.start_gate(arrivals, judged, rejected, state).awaitTermination()
+    decided = spark.read.parquet(judged).select("batch_id", F.col("pos").cast("long").alias("pos"), "discard_reason")
+    reasons = spark.read.parquet(rejected).selectExpr("batch_id", "cast(NULL AS bigint) AS pos", "reason AS discard_reason")
+    return decided.unionByName(reasons)
+
+
 @query
 def stream_gate_until(spark, sf_dir):
     arrivals = stream.read_batches(spark, _batch_files(spark, sf_dir), files_per_trigger=1)

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from callsieve.functions.chatml import SYSTEM_PROMPT
 from callsieve.operators import cap, formatting, gate, metrics, negatives
@@ -240,6 +241,26 @@ def test_stream_equals_batch_and_replay_is_safe(spark, sf_dir, tmp_path):
     assert run("two") == expected
 
 
+def test_stream_counts_a_repeated_batch_once(spark, sf_dir, tmp_path):
+    """In the same file, in a later file, and in a later run; lines without an id all stay."""
+    arrivals, judged, rejected = (str(tmp_path / n) for n in ("arrivals", "judged", "rejected"))
+    once = derive.batches(spark, sf_dir)
+    lines = spark.createDataFrame([("{no",), ("{no",)], "value string")
+
+    def run():
+        source = stream.read_batches(spark, arrivals, files_per_trigger=1)
+        stream.start_gate(source, judged, rejected, str(tmp_path / "state")).awaitTermination()
+        assert spark.read.parquet(rejected).count() == 2
+        return spark.read.parquet(judged).groupBy("batch_id").agg(F.count("*").alias("n"), F.max("pos").alias("last")).collect()
+
+    once.unionByName(once).repartition(3).write.json(arrivals)
+    lines.coalesce(1).write.mode("append").text(arrivals)
+    first = sorted(run())
+    assert len(first) == once.count() and all(r["n"] == r["last"] + 1 for r in first)
+    once.write.mode("append").json(arrivals)
+    assert sorted(run()) == first
+
+
 def test_stream_stops_after_enough(spark, sf_dir, tmp_path):
     arrivals, judged, rejected = (str(tmp_path / n) for n in ("arrivals", "judged", "rejected"))
     derive.batches(spark, sf_dir).repartition(30).write.json(arrivals)
