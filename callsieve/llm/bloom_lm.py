@@ -4,6 +4,9 @@ Words and word pairs of the training rows are counted over the whole corpus and
 filters with their counts quantised on a log scale: an n-gram of level q is inserted q times, with
 1 to q beside it, and its level is read back by probing until the first miss. Those that make up at
 least a fixed share of all tokens are in one filter, which the share bounds and which is broadcast.
+Its least count grows with the corpus, so what it seems to hold at a low level is confirmed by the
+hashes that are there; a false hit at a higher level needs as many false levels in a row. In a shard's
+filter a false hit is a count of 1.
 All others are in filters of shards of hashes, in the shared folder. Texts are scored in groups: a
 group's distinct n-grams that the broadcast filter lacks are sent to their shards, and what these
 answer comes back to the group.
@@ -32,6 +35,8 @@ from callsieve.session import materialise
 SHARE = 2.0**-22
 #: Base of the count levels, probes of a level, and bits for each insertion.
 BASE, PROBES, BITS = math.sqrt(2), 6, 10
+#: Levels up to which hits of the broadcast filter are confirmed.
+CONFIRMED = 5
 #: Weight of the pair's own probability where its first word is kept.
 PAIR_WEIGHT = 0.3
 #: Words whose exact counts are broadcast.
@@ -184,7 +189,7 @@ def _word_rows(batches, least: int, below: int | None):
 class LogBloom:
     """Bloom filter of n-grams with quantised counts of at least ``least``."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, least: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, least: int, confirmed: bool = False):
         self.least = least
         levels = 1 + np.floor(np.log(counts / least) / math.log(BASE) + 1e-9).astype(np.int64)
         self.top = int(levels.max(initial=0))
@@ -194,6 +199,8 @@ class LogBloom:
             for probe in range(PROBES):
                 table[self._place(hashes[levels >= level], level, probe)] = True
         self.table = np.packbits(table, bitorder="little")
+        #: Hashes of low levels, to confirm hits by; only where they are told apart from counts of 1.
+        self.low = np.sort(hashes[levels <= CONFIRMED]) if confirmed else None
 
     def _place(self, hashes: np.ndarray, level: int, probe: int) -> np.ndarray:
         one = mix(hashes + np.uint64(level * 0xD6E8FEB86659FD93 % 2**64))
@@ -209,6 +216,11 @@ class LogBloom:
             if not len(live):
                 break
             levels[live] = level
+        if self.low is not None:
+            near = np.flatnonzero((levels > 0) & (levels <= CONFIRMED))
+            at = np.minimum(np.searchsorted(self.low, hashes[near]), max(len(self.low) - 1, 0))
+            there = self.low[at] == hashes[near] if len(self.low) else np.zeros(len(near), bool)
+            levels[near[~there]] = 0
         return levels
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
@@ -217,8 +229,13 @@ class LogBloom:
 
 
 def count_of(levels: np.ndarray, least: int) -> np.ndarray:
-    """The middle of the counts that share a level."""
-    return np.where(levels > 0, least * BASE ** (levels - 1) * (1 + BASE) / 2, 0.0)
+    """The least of the counts that share a level, so that sums of them are never above what was counted."""
+    return np.where(levels > 0, np.ceil(least * BASE ** (levels - 1) * (1 - 1e-9)), 0.0)
+
+
+def greatest(counts: np.ndarray) -> np.ndarray:
+    """The greatest count that may share a level with the least one, which is given."""
+    return np.where(counts > 0, np.ceil((counts + 0.0) * BASE * (1 - 1e-9)) - 1, 0.0)
 
 
 class Model:
@@ -242,17 +259,27 @@ class Model:
             counts = np.where((counts == 0) & (asked[at] == hashes), answers[at], counts)
         return counts
 
+    def exact(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have exact counts here, and these."""
+        if not len(self.words):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return self.words[at] == hashes, self.counts[at].astype(np.float64)
+
     def score(self, hashes: np.ndarray, bounds: np.ndarray, words=NOTHING, pairs=NOTHING) -> np.ndarray:
         """Log10 probability of each token after the one before it. ``words`` and ``pairs``: sorted
         hashes that the broadcast filter lacks, and their counts."""
         known, where = np.unique(np.append(hashes, END), return_inverse=True)
         counts = self.count(known, words)
-        word = counts[where[:-1]]
+        exact, of = self.exact(known)
+        least, most = np.where(exact, of, counts), np.where(exact, of, greatest(counts))
+        word = least[where[:-1]]
         previous = np.concatenate((where[-1:], where[:-2]))
         previous[bounds[:-1]] = where[-1]
-        history = counts[previous]
+        history = most[previous]
         even = self.total + self.types + 1
-        # A level is read as its middle, which may be above all there is.
+        # Words and pairs are read as the least count of their level and histories as the greatest,
+        # or exactly where that is known: followers of a history never share out more than its count.
         alone = np.minimum((np.where(word > 0, word, self.rare) + 1) / even, 1.0)
         distinct, place = np.unique(pair_hashes(known[previous], hashes), return_inverse=True)
         pair = self.count(distinct, pairs)[place]
@@ -427,7 +454,7 @@ def train(rows: DataFrame, share: float = SHARE, exact_words: int = EXACT_WORDS)
     of_words = words.mapInArrow(partial(_word_filters, least=least), _FILTERS)
     of_pairs = _counted(rows, shards, True).mapInArrow(partial(_pair_filters, least=least, shards=shards), _FILTERS)
     filters = materialise(of_words.unionByName(of_pairs), "filters")
-    model = Model(LogBloom(*_frequent(filters), least), *exact, exact_from, total, types)
+    model = Model(LogBloom(*_frequent(filters), least, confirmed=least > 1), *exact, exact_from, total, types)
     rest = words.mapInArrow(partial(_word_rows, least=1, below=exact_from), numbers)
     return model, filters.select("shard", "filter"), rest, shards
 
