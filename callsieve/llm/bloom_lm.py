@@ -45,8 +45,7 @@ EXACT_WORDS = 1 << 20
 HELD = 4_000_000
 
 END = np.uint64(0x9D8A3C5EF1B20467)
-#: No hashes and no counts.
-NOTHING = np.zeros(0, np.uint64), np.zeros(0)
+NONE = np.zeros(0, np.uint64)
 
 
 def tokens(column: pa.Array):
@@ -73,6 +72,22 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * np.uint64(0x9E3779B97F4A7C15) + mix(second))
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes; sorting takes a small part of the time of ``np.unique``, which hashes."""
+    hashes = np.sort(hashes)
+    return hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))] if len(hashes) else hashes
+
+
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and the number of each hash among them."""
+    ranks = np.argsort(hashes)
+    ordered = hashes[ranks]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(hashes) else np.zeros(0, bool)
+    numbers = np.empty(len(hashes), np.int64)
+    numbers[ranks] = np.cumsum(new) - 1
+    return ordered[new], numbers
+
+
 def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of counted parts and their counts."""
     hashes, counts = np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts])
@@ -196,33 +211,65 @@ class LogBloom:
         self.bits = max(64, int(levels.sum()) * BITS)
         table = np.zeros(self.bits, bool)
         for level in range(1, self.top + 1):
+            steps = self._steps(hashes[levels >= level], level)
             for probe in range(PROBES):
-                table[self._place(hashes[levels >= level], level, probe)] = True
+                table[self._place(*steps, probe)] = True
         self.table = np.packbits(table, bitorder="little")
         #: Hashes of low levels, to confirm hits by; only where they are told apart from counts of 1.
         self.low = np.sort(hashes[levels <= CONFIRMED]) if confirmed else None
 
-    def _place(self, hashes: np.ndarray, level: int, probe: int) -> np.ndarray:
+    def _steps(self, hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """First place and step of each n-gram's probes at a level, before they are cut to the table."""
         one = mix(hashes + np.uint64(level * 0xD6E8FEB86659FD93 % 2**64))
-        two = (one >> np.uint64(32)) | np.uint64(1)
+        return one, (one >> np.uint64(32)) | np.uint64(1)
+
+    def _place(self, one: np.ndarray, two: np.ndarray, probe: int) -> np.ndarray:
         return ((one + np.uint64(probe) * two) % np.uint64(self.bits)).astype(np.int64)
 
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
+    def _at(self, hashes: np.ndarray, level: int) -> np.ndarray:
+        """Places of the n-grams whose probes all hit at a level."""
+        live = np.arange(len(hashes))
+        one, two = self._steps(hashes, level)
+        for probe in range(PROBES):
+            at = self._place(one, two, probe)
+            hit = np.flatnonzero((self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            live, one, two = live[hit], one[hit], two[hit]
+        return live
+
+    def _raw(self, hashes: np.ndarray, top: int) -> np.ndarray:
         levels, live = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
-        for level in range(1, self.top + 1):
-            for probe in range(PROBES):
-                at = self._place(hashes[live], level, probe)
-                live = live[(self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+        for level in range(1, top + 1):
+            live = live[self._at(hashes[live], level)]
             if not len(live):
                 break
             levels[live] = level
+        return levels
+
+    def _confirmed(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.low):
+            return np.zeros(len(hashes), bool)
+        return self.low[np.minimum(np.searchsorted(self.low, hashes), len(self.low) - 1)] == hashes
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        levels = self._raw(hashes, self.top)
         if self.low is not None:
             near = np.flatnonzero((levels > 0) & (levels <= CONFIRMED))
-            at = np.minimum(np.searchsorted(self.low, hashes[near]), max(len(self.low) - 1, 0))
-            there = self.low[at] == hashes[near] if len(self.low) else np.zeros(len(near), bool)
-            levels[near[~there]] = 0
+            levels[near[~self._confirmed(hashes[near])]] = 0
         return levels
 
+    def lacks(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether the level is 0; higher levels are only probed where they decide."""
+        out = np.ones(len(hashes), bool)
+        if self.top:
+            hits = self._at(hashes, 1)
+            if self.low is not None:
+                sure = self._confirmed(hashes[hits])
+                doubtful = hits[~sure]
+                high = doubtful[self._raw(hashes[doubtful], min(self.top, CONFIRMED + 1)) > CONFIRMED]
+                hits = np.concatenate((hits[sure], high))
+            out[hits] = False
+        return out
+
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """Estimated counts, 0 for n-grams that are not in the filter."""
         return count_of(self.levels(hashes), self.least)
@@ -247,18 +294,6 @@ class Model:
         #: Mean count of words that are in no filter, one unseen word included.
         self.rare = rare_tokens / (rare_types + 1)
 
-    def lacks(self, hashes: np.ndarray) -> np.ndarray:
-        """Sorted distinct ones of the n-grams that the broadcast filter does not hold."""
-        hashes = np.unique(hashes)
-        return hashes[self.bloom.counts(hashes) == 0]
-
-    def count(self, hashes: np.ndarray, others) -> np.ndarray:
-        counts, (asked, answers) = self.bloom.counts(hashes), others
-        if len(asked):
-            at = np.minimum(np.searchsorted(asked, hashes), len(asked) - 1)
-            counts = np.where((counts == 0) & (asked[at] == hashes), answers[at], counts)
-        return counts
-
     def exact(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which words have exact counts here, and these."""
         if not len(self.words):
@@ -266,23 +301,27 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return self.words[at] == hashes, self.counts[at].astype(np.float64)
 
-    def score(self, hashes: np.ndarray, bounds: np.ndarray, words=NOTHING, pairs=NOTHING) -> np.ndarray:
-        """Log10 probability of each token after the one before it. ``words`` and ``pairs``: sorted
-        hashes that the broadcast filter lacks, and their counts."""
-        known, where = np.unique(np.append(hashes, END), return_inverse=True)
-        counts = self.count(known, words)
-        exact, of = self.exact(known)
+    def score(self, hashes: np.ndarray, bounds: np.ndarray, answer=None) -> np.ndarray:
+        """Log10 probability of each token after the one before it. ``answer`` gives the counts of
+        sorted distinct words, the end included, and pairs that the broadcast filter lacks."""
+        previous = before(hashes, bounds)
+        # The tokens before are the tokens themselves, one place on, or the end.
+        words, places = numbered(np.append(hashes, END))
+        pairs, pair_places = numbered(pair_hashes(previous, hashes))
+        counts, pair_counts = self.bloom.counts(words), self.bloom.counts(pairs)
+        if answer is not None:
+            lacking = counts == 0, pair_counts == 0
+            found = answer(int(lacking[0].sum()), int(lacking[1].sum()))
+            counts[lacking[0]], pair_counts[lacking[1]] = found
+        exact, of = self.exact(words)
         least, most = np.where(exact, of, counts), np.where(exact, of, greatest(counts))
-        word = least[where[:-1]]
-        previous = np.concatenate((where[-1:], where[:-2]))
-        previous[bounds[:-1]] = where[-1]
-        history = most[previous]
+        back = np.concatenate((places[-1:], places[:-2]))
+        back[bounds[:-1]] = places[-1]
+        word, history, pair = least[places[:-1]], most[back], pair_counts[pair_places]
         even = self.total + self.types + 1
         # Words and pairs are read as the least count of their level and histories as the greatest,
         # or exactly where that is known: followers of a history never share out more than its count.
         alone = np.minimum((np.where(word > 0, word, self.rare) + 1) / even, 1.0)
-        distinct, place = np.unique(pair_hashes(known[previous], hashes), return_inverse=True)
-        pair = self.count(distinct, pairs)[place]
         after = np.minimum(pair, history) / np.maximum(history, 1)
         weight = np.where(history > 0, PAIR_WEIGHT, 0.0)
         return np.log10(weight * after + (1 - weight) * alone)
@@ -300,19 +339,20 @@ def _groups(batches):
             yield pa.RecordBatch.from_pydict({"group": group} | columns)
 
 
-def _asked(texts: list[list[tuple]], own: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted words and pairs of a group's tokens that the broadcast filter lacks."""
-    words, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for _, _, hashes, bounds in (part for text in texts for part in text):
-        words.append(own.lacks(np.append(hashes, END)))
-        pairs.append(own.lacks(pair_hashes(before(hashes, bounds), hashes)))
-    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+def _whole(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and text bounds of all parts of a group."""
+    sizes = np.cumsum([0, *(len(hashes) for _, _, hashes, _ in parts)])
+    bounds = [bounds[1:] + size for (_, _, _, bounds), size in zip(parts, sizes)]
+    return np.concatenate([NONE, *(h for _, _, h, _ in parts)]), np.concatenate([np.zeros(1, np.int64), *bounds])
 
 
 def _ask(batches, model, shards: int):
     """For each shard, what a group asks of it."""
     for batch in _groups(batches):
-        for first, asked in zip((0, shards), _asked([tokens(batch.column("text"))], model.value)):
+        hashes, bounds = _whole(list(tokens(batch.column("text"))))
+        ngrams = distinct(np.append(hashes, END)), distinct(pair_hashes(before(hashes, bounds), hashes))
+        for first, known in zip((0, shards), ngrams):
+            asked = known[model.value.bloom.lacks(known)]
             for cut in _cut(asked, asked.view(np.int64), shards):
                 if cut.num_rows:
                     shard = pa.array(cut.column("shard").to_numpy() + np.int32(first), pa.int32())
@@ -341,15 +381,17 @@ def _score_groups(batches, model):
     current, levels, texts = None, [], []
 
     def close():
-        # A group is one batch of texts: its tokens are held for both uses.
-        read = [list(tokens(t.column("text"))) for t in texts]
-        asked = _asked(read, model.value)
-        found = np.frombuffer(b"".join(levels), np.uint8).astype(np.int64)
-        if len(found) != len(asked[0]) + len(asked[1]):
-            raise ValueError("rows differ from those that were asked for; store the input first")
-        # Shards are ranges of hashes, first of words and then of pairs.
-        parts = np.split(count_of(found, 1), [len(asked[0])])
-        yield from _score(zip(texts, read), model, (asked[0], parts[0]), (asked[1], parts[1]))
+        # A group is one batch of texts, so its tokens are few enough to hold.
+        hashes, bounds = _whole([part for text in texts for part in tokens(text.column("text"))])
+        found = count_of(np.frombuffer(b"".join(levels), np.uint8).astype(np.int64), 1)
+
+        def answer(words: int, pairs: int) -> list[np.ndarray]:
+            if len(found) != words + pairs:
+                raise ValueError("rows differ from those that were asked for; store the input first")
+            # Shards are ranges of hashes, first of words and then of pairs.
+            return np.split(found, [words])
+
+        yield _scored(pa.Table.from_batches(texts), hashes, bounds, model.value, answer)
 
     for batch in batches:
         groups = batch.column("group").to_numpy()
@@ -370,43 +412,30 @@ def _score_groups(batches, model):
         yield from close()
 
 
-def _score(batches, model, words=NOTHING, pairs=NOTHING):
-    own = model.value
-    even = math.log10(own.total + own.types + 1)
-    for batch, read in batches:
-        columns = {c: [] for c in ("n_tokens", "n_known", "base", "score", "rare", "rare_n")}
-        for _, _, hashes, bounds in read:
-            at = np.minimum(np.searchsorted(own.words, hashes), max(len(own.words) - 1, 0))
-            known = own.words[at] == hashes if len(own.words) else np.zeros(len(hashes), bool)
-            base = np.where(known, np.log10(own.counts[at] + 1.0) if len(own.words) else 0.0, 0.0)
-            columns["n_tokens"] += np.diff(bounds).tolist()
-            columns["n_known"] += np.add.reduceat(known.astype(np.int64), bounds[:-1]).tolist()
-            columns["base"] += (np.add.reduceat(base, bounds[:-1]) - np.diff(bounds) * even).tolist()
-            columns["score"] += np.add.reduceat(own.score(hashes, bounds, words, pairs), bounds[:-1]).tolist()
-            owners = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[~known]
-            ranks = np.lexsort((hashes[~known], owners))
-            owners, rest = owners[ranks], hashes[~known][ranks].view(np.int64)
-            new = np.flatnonzero(
-                np.concatenate(([True], (rest[1:] != rest[:-1]) | (owners[1:] != owners[:-1]))) if len(rest) else []
-            )
-            each = np.split(rest[new], np.searchsorted(owners[new], np.arange(1, len(bounds) - 1)))
-            sizes = np.diff(np.append(new, len(rest)))
-            columns["rare"] += each
-            columns["rare_n"] += np.split(sizes, np.searchsorted(owners[new], np.arange(1, len(bounds) - 1)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("row"),
-                batch.column("doc_id"),
-                batch.column("held_out"),
-                pa.array(columns["n_tokens"], pa.int64()),
-                pa.array(columns["n_known"], pa.int64()),
-                pa.array(columns["base"], pa.float64()),
-                pa.array(columns["score"], pa.float64()),
-                pa.array(columns["rare"], pa.list_(pa.int64())),
-                pa.array(columns["rare_n"], pa.list_(pa.int64())),
-            ],
-            ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "rare_n"],
-        )
+def _scored(texts: pa.Table, hashes: np.ndarray, bounds: np.ndarray, own: Model, answer) -> pa.RecordBatch:
+    """A row for each text of a group; words without an exact count here are listed with their numbers."""
+    known, count = own.exact(hashes)
+    base = np.where(known, np.log10(count + 1.0), 0.0)
+    sizes = np.diff(bounds)
+    owners = np.repeat(np.arange(len(sizes)), sizes)[~known]
+    ranks = np.lexsort((hashes[~known], owners))
+    owners, rest = owners[ranks], hashes[~known][ranks].view(np.int64)
+    new = np.flatnonzero(
+        np.concatenate(([True], (rest[1:] != rest[:-1]) | (owners[1:] != owners[:-1]))) if len(rest) else []
+    )
+    times = np.diff(np.append(new, len(rest)))
+    lists = pa.array(np.searchsorted(owners[new], np.arange(len(sizes) + 1)), pa.int32())
+    sums = np.add.reduceat(own.score(hashes, bounds, answer), bounds[:-1])
+    base_sums = np.add.reduceat(base, bounds[:-1]) - sizes * math.log10(own.total + own.types + 1)
+    columns = {c: texts.column(c).combine_chunks() for c in ("row", "doc_id", "held_out")} | {
+        "n_tokens": pa.array(sizes, pa.int64()),
+        "n_known": pa.array(np.add.reduceat(known.astype(np.int64), bounds[:-1])),
+        "base": pa.array(base_sums),
+        "score": pa.array(sums),
+        "rare": pa.ListArray.from_arrays(lists, pa.array(rest[new], pa.int64())),
+        "rare_n": pa.ListArray.from_arrays(lists, pa.array(times, pa.int64())),
+    }
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _counted(rows: DataFrame, shards: int, pairs: bool) -> DataFrame:
