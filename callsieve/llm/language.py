@@ -13,23 +13,26 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callsieve.llm.arrays import NOT_SPACE, bounded_batches, chunks, coefficients, find_words, mix, ranges
+from callsieve.llm.arrays import NOT_SPACE, bounded_batches, chunks, coefficients, find_words, ranges
 
-#: Longest run of bytes that is segmented as one; longer words go in such parts, one after the other.
+#: Longest part of a word, in bytes, from which the model is fitted; words are scored whole.
 RUN = 32
-#: Labelled rows of each language, and words of all of them, from which the model is fitted.
+#: Labelled rows and words of each language from which the model is fitted.
 SAMPLE_ROWS = 1500
-SAMPLE_WORDS = 300_000
-LANGUAGES = 64
+SAMPLE_WORDS = 75_000
 ROUNDS = 4
 #: Share of a piece's probability that comes from all languages together, and from all pieces alike.
 SHARED, EVEN = 0.02, 0.001
 #: Words whose probabilities a worker remembers.
 REMEMBERED = 200_000
+#: Factor for each byte that keeps the chances of long words near one.
+STEP = 1e3
+#: Bytes that are segmented side by side.
+BLOCK = 1 << 16
 
 
 def read_pieces(model_file: str) -> list[bytes]:
@@ -40,7 +43,7 @@ def read_pieces(model_file: str) -> list[bytes]:
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     plain = (i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
     pieces = {model.id_to_piece(i).replace("▁", " ").encode() for i in plain}
-    return sorted(p for p in pieces | {bytes([b]) for b in range(256)} if len(p) <= RUN + 1)
+    return sorted(p for p in pieces | {bytes([b]) for b in range(256)})
 
 
 class Pieces:
@@ -48,6 +51,7 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes]):
         self.count = len(pieces)
+        self.lengths = np.array([len(p) for p in pieces])
         self.longest = max(map(len, pieces))
         self.factors = coefficients(self.longest, seed=17)
         self.by_length = {}
@@ -96,19 +100,47 @@ def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(words: list[bytes], size: int = 2048):
-    """Rows of words of like length, with their places in ``words``."""
-    ranks = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(ranks), size):
-        some = ranks[at : at + size]
+    """Rows of words of like length, with their places in ``words``; as few as keep a block small."""
+    ranks = sorted(range(len(words)), key=lambda i: len(words[i]), reverse=True)
+    at = 0
+    while at < len(ranks):
+        some = ranks[at : at + max(1, min(size, BLOCK // max(1, len(words[ranks[at]]))))]
+        at += len(some)
         yield np.array(some), *_padded([words[i] for i in some])
 
 
+def _log_forward(found: dict[int, np.ndarray], lengths: np.ndarray, scaled: np.ndarray, longest: int) -> np.ndarray:
+    """Log chance of each row's whole word. Only as many prefixes are held as the longest piece has
+    bytes; ``scaled`` chances hold ``STEP`` for each byte, and what is held is scaled to the newest prefix."""
+    ring = np.zeros((longest + 1, len(lengths), scaled.shape[1]))
+    ring[0] = 1
+    logs, out = np.zeros(ring.shape[1:]), np.empty(ring.shape[1:])
+    for end in range(1, int(lengths.max()) + 1):
+        newest = np.zeros(ring.shape[1:])
+        for length, pieces in found.items():
+            if length <= end:
+                own = pieces[:, end - length]
+                rows = np.flatnonzero((own >= 0) & (lengths >= end))
+                if len(rows):
+                    newest[rows] += ring[(end - length) % (longest + 1), rows] * scaled[own[rows]]
+        ring[end % (longest + 1)] = newest
+        done = np.flatnonzero(lengths == end)
+        if len(done):
+            out[done] = np.log(newest[done]) + logs[done] - end * np.log(STEP)
+        if end % 8 == 0:
+            scale = np.where(newest > 0, newest, 1)
+            ring /= scale
+            logs += np.log(scale)
+    return out
+
+
 def word_scores(words: list[bytes], pieces: Pieces, chances: np.ndarray) -> np.ndarray:
-    """Natural log of each word's probability in every language."""
+    """Natural log of each word's probability in every language, over all segmentations of the whole
+    word, however long."""
     out = np.empty((len(words), chances.shape[1]))
+    scaled = chances * (STEP ** pieces.lengths.astype(np.float64))[:, None]
     for places, chars, lengths in _blocks(words):
-        alpha = _forward(pieces.find(chars), lengths, chances, chars.shape[1])
-        out[places] = np.log(alpha[lengths, np.arange(len(places))])
+        out[places] = _log_forward(pieces.find(chars), lengths, scaled, pieces.longest)
     return out
 
 
@@ -141,31 +173,27 @@ def fit(words: list[bytes], counts: np.ndarray, pieces: Pieces, rounds: int = RO
     return chances
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray):
-    """Words in parts of at most ``RUN`` bytes: data, starts, ends, whether a part begins a word,
-    and the bounds of each text's parts."""
-    words = find_words(data, offsets, NOT_SPACE)
-    parts = -(-(words.ends - words.starts) // RUN)
-    at = ranges(np.zeros(len(parts), np.int64), parts)
-    starts = np.repeat(words.starts, parts) + at * RUN
-    ends = np.minimum(starts + RUN, np.repeat(words.ends, parts))
-    bounds = np.concatenate(([0], np.cumsum(parts)))[words.bounds]
-    words.starts, words.ends = starts, ends
-    return words, at == 0, bounds
+def _parts(word: bytes):
+    """A word in parts of at most ``RUN`` bytes, cut between characters."""
+    while len(word) > RUN:
+        cut = RUN
+        while cut > 1 and word[cut] & 0xC0 == 0x80:
+            cut -= 1
+        yield word[:cut]
+        word = word[cut:]
+    yield word
 
 
 def _distinct(data: np.ndarray, offsets: np.ndarray):
-    """Distinct runs as hashes and a way to their bytes, where each run's is, and text bounds."""
-    words, first, bounds = _runs(data, offsets)
-    hashes = words.hashes() ^ mix(first.astype(np.uint64))
-    known, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    """Distinct words as hashes and a way to their bytes, where each word's is, and text bounds."""
+    words = find_words(data, offsets, NOT_SPACE)
+    known, where, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
     raw = words.data.tobytes()
 
     def text(i: int) -> bytes:
-        at = where[i]
-        return (b" " if first[at] else b"") + raw[words.starts[at] : words.ends[at]]
+        return b" " + raw[words.starts[where[i]] : words.ends[where[i]]]
 
-    return known, text, inverse, bounds
+    return known, text, inverse, words.bounds
 
 
 def _count_words(batches):
@@ -179,8 +207,8 @@ def _count_words(batches):
             for lang in set(own.tolist()):
                 sums = np.bincount(inverse[own == lang], minlength=len(known))
                 for i in np.flatnonzero(sums).tolist():
-                    key = (lang, text(i))
-                    counts[key] = counts.get(key, 0) + int(sums[i])
+                    for part in _parts(text(i)):
+                        counts[lang, part] = counts.get((lang, part), 0) + int(sums[i])
         yield pa.RecordBatch.from_pydict(
             {
                 "lang": pa.array([k[0] for k in counts], pa.string()),
@@ -195,14 +223,17 @@ class Model:
         self.languages, self.pieces, self.chances = languages, pieces, chances
 
 
-def train(labelled: DataFrame, model_file: str, sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> Model:
-    """A model of the ``languages`` most frequent labels of ``labelled`` (``doc_id, text, lang``).
+def train(
+    labelled: DataFrame, model_file: str, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS
+) -> Model:
+    """A model of all labels of ``labelled`` (``doc_id, text, lang``).
 
     It is fitted on about ``sample_rows`` rows of each label, taken by a hash of id and text, and on
-    the ``SAMPLE_WORDS`` most frequent words of these.
+    the ``sample_words`` most frequent words of these; long words are learned from in parts of
+    ``RUN`` bytes.
     """
     held = bounded_batches(labelled).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = held.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = held.groupBy("lang").count().collect()
     pieces = Pieces(read_pieces(model_file))
     names = sorted(r["lang"] for r in sizes)
     if not names:
@@ -213,7 +244,9 @@ def train(labelled: DataFrame, model_file: str, sample_rows: int = SAMPLE_ROWS,
     words = sample.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(
         F.sum("n").alias("n")
     )
-    rows = words.orderBy(F.desc("n"), "lang", "word").limit(SAMPLE_WORDS).toArrow().to_pydict()
+    ranks = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    frequent = words.withColumn("rank", ranks).filter(F.col("rank") <= sample_words).drop("rank")
+    rows = frequent.orderBy("lang", F.desc("n"), "word").toArrow().to_pydict()
     number: dict[bytes, int] = {}
     at = [number.setdefault(w, len(number)) for w in rows["word"]]
     counts = np.zeros((len(number), len(names)))

@@ -31,6 +31,37 @@ def test_scores_sum_over_all_segmentations():
             assert math.isclose(row[k], math.log(all_ways(word, dict(zip(pieces, chances[:, k])))), rel_tol=1e-9)
 
 
+def test_long_words_are_scored_whole():
+    """Against the sum over all segmentations in logs, prefix by prefix."""
+    pieces = sorted([b"a", b"b", b"\xc3", b"\xa9", "é".encode(), b"ab", b"abab" * 9, b" ", b" a"])
+    draw = np.random.default_rng(3)
+    chances = draw.random((len(pieces), 3)) ** 8 / 10 + 1e-8
+    words = [b" " + b"ab" * 100, ("é" * 400).encode(), b" a" + b"abab" * 2000, b"b" * 33, b"ab"]
+    got = language.word_scores(words, language.Pieces(pieces), chances)
+    for row, word in zip(got, words):
+        for k in range(3):
+            logs = [0.0]
+            for end in range(1, len(word) + 1):
+                ways = [logs[end - len(p)] + math.log(c) for p, c in zip(pieces, chances[:, k]) if word[:end].endswith(p)]
+                logs.append(np.logaddexp.reduce(ways))
+            assert math.isclose(row[k], logs[-1], rel_tol=1e-9)
+
+
+def test_all_labels_are_learned(frame):
+    names = [f"l{i:02}" for i in range(70)]
+    rows = [(j * 100 + i, f"zz{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 20, name, "", 1) for i, name in enumerate(names) for j in range(2)]
+    model = language.train(frame(rows, SCHEMA), PATH)
+    assert model.languages == names
+    got = {r.doc_id: r.lang_pred for r in language.identify(frame(rows, SCHEMA), model).collect()}
+    assert sum(got[r[0]] == r[2] for r in rows) > 0.9 * len(rows)
+
+
+def test_parts_are_cut_between_characters():
+    word = (" " + "é漢" * 40).encode()
+    parts = list(language._parts(word))
+    assert b"".join(parts) == word and all(len(p) <= language.RUN and p.decode() for p in parts)
+
+
 def test_a_round_counts_pieces_as_expected(monkeypatch):
     monkeypatch.setattr(language, "SHARED", 0.0)
     monkeypatch.setattr(language, "EVEN", 0.0)
