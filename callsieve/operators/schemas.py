@@ -147,14 +147,24 @@ UNKNOWN_IN = {
     "prefixItems": LISTED_ITEMS_DRAFTS,
 }
 
-# Patterns read alike by the common regex dialects: literals, simple classes, one level of
-# groups, plain quantifiers. Anything else makes the schema unsupported.
-_CLASS = r"\[\^?(?:a-z|A-Z|0-9|\\[dws.\-]|[^\[\]\\^&-])+-?\]"
-_ATOM = rf"(?:[^\\\[\](){{}}*+?|^$]|\\[dwsDWS.\-/\\()\[\]{{}}*+?|^$]|{_CLASS})"
-_QUANTIFIER = r"(?:[*+?]|\{\d{1,3}(?:,\d{0,3})?\})?"
-_RUN = rf"(?:{_ATOM}{_QUANTIFIER})*"
-_GROUP = rf"\((?:\?:)?{_RUN}(?:\|{_RUN})*\){_QUANTIFIER}"
-PORTABLE_PATTERN = rf"(?s)\A\^?(?:{_ATOM}{_QUANTIFIER}|{_GROUP})*\$?\z"
+# Patterns read alike by the common regex dialects: literals, classes, alternatives, look-ahead, greedy and
+# lazy quantifiers, groups in groups. Anything else makes the schema unsupported.
+_UNIT = r"\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4}"
+_CLASS = rf"\[\^?(?:[a-z]-[a-z]|[A-Z]-[A-Z]|[0-9]-[0-9]|\\[dwstnr./\-\[\]()*+?$|{{}}\\]|{_UNIT}|[^\[\]\\^&-])+-?\]"
+_ATOM = rf"(?:[^\\\[\](){{}}*+?|^$]|\\[dwsDWStnr.\-/\\()\[\]{{}}*+?|^$]|{_UNIT}|{_CLASS})"
+_QUANTIFIER = r"(?:(?:[*+?]|\{\d{1,3}(?:,\d{0,3})?\})\??)?"
+
+
+def _alternatives(depth: int) -> str:
+    """Text of alternatives whose groups nest up to ``depth`` deep."""
+    inner = ""
+    if depth:
+        below = _alternatives(depth - 1)
+        inner = rf"|\((?:\?:)?{below}\){_QUANTIFIER}|\(\?[=!]{below}\)"
+    return rf"(?:[|^$]|{_ATOM}{_QUANTIFIER}{inner})*"
+
+
+PORTABLE_PATTERN = rf"(?s)\A{_alternatives(3)}\z"
 
 RULE_FIELDS = (
     "pointer",
@@ -429,9 +439,13 @@ def _unsupported() -> str:
 
 
 def _odd(pattern: str) -> str:
-    low, high = (f"regexp_extract_all({pattern}, {quote(r)}, 1)" for r in (r"\{(\d+),\d+\}", r"\{\d+,(\d+)\}"))
-    turned = f"exists(zip_with({low}, {high}, (a, b) -> int(a) > int(b)), t -> t)"
-    return any_of([f"NOT {pattern} RLIKE {quote(PORTABLE_PATTERN)}", turned])
+    def pairs(found: str, kind: str) -> str:
+        """Some range of the pattern runs backwards."""
+        low, high = (f"regexp_extract_all({pattern}, {quote(found)}, {i})" for i in (1, 2))
+        return f"exists(zip_with({low}, {high}, (a, b) -> cast(a AS {kind}) > cast(b AS {kind})), t -> t)"
+
+    turned = [pairs(r"\{(\d+),(\d+)\}", "int"), pairs(r"([a-zA-Z0-9])-([a-zA-Z0-9])", "string")]
+    return any_of([f"NOT {pattern} RLIKE {quote(PORTABLE_PATTERN)}", *turned])
 
 
 def _unclear() -> str:

@@ -415,6 +415,17 @@ ARRAY_SCHEMA = json.dumps(
 )
 MULTIPLE_SCHEMA = json.dumps({"properties": {"total": {"multipleOf": 0.05}, "key": {"multipleOf": 3}, "long": {"multipleOf": 11}}})
 
+#: Look-ahead, groups in groups, lazy quantifiers, ranges, code units.
+DIALECT_SCHEMA = json.dumps(
+    {
+        "properties": {
+            "total": {"pattern": r"^(?!.*7$)(?=[0-9]+?\.)(?:(?:[0-9a-fA-F]{1,3}?)+\.(\d|[x-z])*)$"},
+            "day": {"pattern": r"^((19(9[0-4])|20\d\d)\u002d(0[1-9]|1[0-2]))-"},
+            "key": {"pattern": r"^[^\u0030-]+$|[02468]$|^(?:1|(?:3|5)+)"},
+        }
+    }
+)
+
 CONDITIONAL_CALLS = (
     '{"kind":"card","number":1,"expiry":"12"}',
     '{"kind":"card"}',
@@ -475,6 +486,10 @@ MULTIPLE_CALL = (
     "concat('{\"total\":', cast(o_totalprice AS decimal(15,2)), ',\"key\":', o_orderkey, ',\"long\":', o_orderkey + 1,"
     " repeat('0', 25), '}')"
 )
+DIALECT_CALL = (
+    "concat('{\"total\":\"', cast(o_totalprice AS decimal(15,2)), '\",\"day\":\"', date_format(o_orderdate, 'yyyy-MM-dd'),"
+    " '\",\"key\":\"', o_orderkey, '\"}')"
+)
 #: Every so many orders have a call that is nested this deep.
 DEEP_EVERY, DEEP_CALL_LEVELS = 4999, 500
 UNEVEN_CALL = f"if(o_orderkey % {DEEP_EVERY} = 1, {_nested(str(DEEP_CALL_LEVELS), 'n', 'o_orderkey')}, {ORDER_CALL})"

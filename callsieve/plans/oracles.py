@@ -417,6 +417,12 @@ ORACLES = {
         SELECT o_orderkey AS example_id, path, 'multipleOf' AS keyword FROM orders, (VALUES ('total'), ('key'), ('long')) AS p(path)
         WHERE CASE path WHEN 'total' THEN CAST(CAST(o_totalprice AS DECIMAL(15,2)) * 100 AS BIGINT) % 5 <> 0
           WHEN 'key' THEN o_orderkey % 3 <> 0 ELSE (o_orderkey + 1) % 11 <> 0 END""",
+    "pattern_dialect_validation": """
+        SELECT o_orderkey AS example_id, path, 'pattern' AS keyword FROM orders, (VALUES ('total'), ('day'), ('key')) AS p(path)
+        WHERE CASE path WHEN 'total' THEN right(CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR), 1) = '7'
+          WHEN 'day' THEN year(o_orderdate) NOT BETWEEN 1990 AND 1994 AND year(o_orderdate) < 2000
+          ELSE NOT (NOT contains(CAST(o_orderkey AS VARCHAR), '0') OR o_orderkey % 2 = 0
+            OR left(CAST(o_orderkey AS VARCHAR), 1) IN ('1', '3', '5')) END""",
     "shred_uneven_calls": """
         SELECT o_orderkey AS example_id, CASE WHEN o_orderkey % 4999 = 1 THEN 501 ELSE 7 END AS n,
         CASE WHEN o_orderkey % 4999 = 1 THEN 500 ELSE 2 END AS depth FROM orders""",

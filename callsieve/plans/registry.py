@@ -251,6 +251,13 @@ def multiple_of_validation(spark, sf_dir):
     return found.selectExpr("example_id", PATH, "keyword")
 
 
+@query
+def pattern_dialect_validation(spark, sf_dir):
+    calls = derive.calls_of(spark, sf_dir, derive.DIALECT_CALL, derive.DIALECT_SCHEMA)
+    found = violation_table(calls, derive.schemas_of(spark, derive.DIALECT_SCHEMA))
+    return found.selectExpr("example_id", PATH, "keyword")
+
+
 @query
 def shred_uneven_calls(spark, sf_dir):
     """A few calls nested 500 deep among flat ones."""

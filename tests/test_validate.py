@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 
@@ -216,6 +217,28 @@ def test_null_text_and_unknown_schema(spark):
         assert [(r["status"], r["is_valid"]) for r in rows] == [("json_error", False), ("unknown_schema", None)]
 
 
+DIALECT = (
+    "^(?=.*[A-F])[0-9a-fA-F]+$",
+    "^(?!a)(b|(c|(d|e)f)+?)*$",
+    r"^(?:(?:a{1,2}?b)+|x$)|^\u00e9[\u4e00-]",
+    r"^a$|^b$|\t",
+    r"([x-z]|[^a-f\]])(?=[!-])",
+)
+TEXTS = ("", "aF", "09af", "bcdfef", "ab", "aab", "xz!", "é漢", "é-", "b", "a", "a\tb", "b-", "aaab", "]!", "e-", "cc", "A0")
+
+
+def test_patterns_are_read_as_by_python(spark):
+    cases = [(json.dumps(t), {"pattern": p}) for p in DIALECT for t in TEXTS]
+    for row, (text, schema) in zip(verdicts_of(spark, cases), cases):
+        assert row["is_valid"] is bool(re.search(schema["pattern"], json.loads(text))), (text, schema, row)
+
+
+def test_patterns_that_dialects_read_differently_give_no_verdict(spark):
+    odd = ["[z-a]", "(?=a)*", "^*a", "a{3,1}", r"(a)\1", "(?<=a)b", "a++", r"\bx", "[a&&b]", "[[a]]", "(?i)a", r"\ud83d", "(a", "a)", "*a", "[a-z-b-a]", r"\p{L}"]
+    for row, pattern in zip(verdicts_of(spark, [('"a"', {"pattern": p}) for p in odd]), odd):
+        assert row["status"] == "unsupported_schema", (pattern, row)
+
+
 def test_messages(spark):
     rows = verdicts_of(spark, [CASES[1], CASES[8], CASES[7], (wrap(TITLE) + " sure" * 40, TASK, None)])
     assert rows[0]["message"] == 'Schema Violation: "urgent" is not one of ["low", "medium", "high"]'
