@@ -6,7 +6,7 @@ longest verbatim match and where that is, and the range that shares its window g
 occurrences of the window. Suffixes of the shard that begin with words of no benchmark item can
 match nothing and are left out of the array. Nothing is shuffled.
 
-The benchmark reaches the tasks in blocks of bounded size, each of which all shards look up.
+Each document gets its longest match from the same search. The benchmark reaches the tasks in blocks of bounded size, each of which all shards look up.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ LEAD = 4
 class Items:
     """A block of benchmark items as numbers: words, suffixes, windows."""
 
-    def __init__(self, rows: pa.Table, window: int):
+    def __init__(self, rows: pa.Table, window: int, shortest: int):
         ids, hashes, counts = [str(i) if i is not None else "" for i in rows.column("item_id").to_pylist()], [], []
         for _, _, data, offsets in chunks(rows.column("text").combine_chunks()):
             words = find_words(data, offsets, ALNUM)
@@ -45,7 +45,7 @@ class Items:
         self.vocabulary = np.unique(hashes)
         # A last 0, at which every comparison ends, follows each item.
         size = counts.sum() + len(counts)
-        self.words = np.zeros(size + 1, np.int32)
+        self.words = np.zeros(size + LEAD, np.int32)
         bounds = np.concatenate(([0], np.cumsum(counts + 1)))
         places = ranges(bounds[:-1], counts)
         self.words[places] = np.searchsorted(self.vocabulary, hashes) + 1
@@ -55,30 +55,34 @@ class Items:
         self.ids = ids
         self.left = counts[self.item_of] - self.within
         self.longest = int(counts.max(initial=0))
-        # Windows: every suffix that is long enough, and the whole of a shorter item.
-        length = np.minimum(window, counts[self.item_of])
-        held = self.left >= length
-        starts, lengths = self.suffixes[held], length[held]
-        of_item = self.item_of[held]
-        self.shortest = int(lengths.min(initial=window))
-        seen: dict[bytes, int] = {}
-        owners: list[set[str]] = []
-        self.starts, self.lengths = [], []
-        for start, n, item in zip(starts.tolist(), lengths.tolist(), of_item.tolist()):
-            text = self.words[start : start + n].tobytes()
-            if text not in seen:
-                seen[text] = len(owners)
-                owners.append(set())
-                self.starts.append(start)
-                self.lengths.append(n)
-            owners[seen[text]].add(ids[item])
-        self.starts, self.lengths = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
-        # Windows of the same items share one set.
-        lists: dict[frozenset, int] = {}
-        self.owner_list = np.array([lists.setdefault(frozenset(o), len(lists)) for o in owners], np.int64)
-        self.owners = list(lists)
-        self.lead = min(LEAD, self.shortest)
-        self.leads = np.unique(lead_hashes(self.words, self.starts, self.lead))
+        self.lead = min(LEAD, window, shortest)
+        self.array = suffix_array(self.words, self.suffixes, self.longest)
+        # Places in ``suffixes`` of the sorted suffixes; equal ids are one item, ranked as strings.
+        self.order = np.searchsorted(self.suffixes, self.array)
+        self.names, rank = np.unique(np.array(ids, object), return_inverse=True) if ids else (np.zeros(0, object), self.item_of)
+        self.rank_of = rank[self.item_of] if ids else self.item_of
+        # Windows: every suffix that is long enough, and the whole of a shorter item; equal ones are neighbours.
+        length = np.minimum(window, counts[self.item_of])[self.order]
+        held = self.left[self.order] >= length
+        starts, lengths, ranks = self.array[held], length[held], self.rank_of[self.order][held]
+        same, _ = compare(self.words, starts[1:], self.words, starts[:-1], np.minimum(lengths[1:], lengths[:-1]))
+        new = np.append(np.ones(min(len(starts), 1), bool), same < np.maximum(lengths[1:], lengths[:-1]))
+        self.starts, self.lengths = starts[new], lengths[new]
+        owned = np.unique(np.column_stack((np.cumsum(new) - 1, ranks)), axis=0).astype(np.int64)
+        # Windows of the same items share one list.
+        firsts = np.flatnonzero(np.diff(owned[:, 0], prepend=-1))
+        sizes = np.diff(np.append(firsts, len(owned)))
+        self.owners = [(name,) for name in self.names]
+        self.owner_list = owned[firsts, 1].copy()
+        lists: dict[bytes, int] = {}
+        for i in np.flatnonzero(sizes > 1).tolist():
+            members = owned[firsts[i] : firsts[i] + sizes[i], 1]
+            at = lists.setdefault(members.tobytes(), len(self.owners))
+            if at == len(self.owners):
+                self.owners.append(tuple(self.names[members]))
+            self.owner_list[i] = at
+        # Suffixes with fewer words than a lead left match less than one.
+        self.leads = np.unique(lead_hashes(self.words, self.suffixes[self.left >= self.lead], self.lead))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Words by number, 0 for those of no item."""
@@ -190,11 +194,17 @@ class Shard:
         return self.array[ranges(low, n)], np.repeat(items.lengths, n), np.repeat(items.owner_list, n)
 
     def longest(self):
-        """Longest match of every test suffix, and a place of it; length 0 if there is none."""
+        """Longest match of every test suffix, and a place of it; length 0 if there is none. Then the
+        same of every suffix of the array: its length, and the sorted test suffix it is with.
+
+        Each test suffix is searched once. Its neighbours in the array are the best for it, and the
+        test suffixes that come to stand next to a suffix of the array are the best for that.
+        """
         items = self.items
         best, where = np.zeros(len(items.suffixes), np.int64), np.zeros(len(items.suffixes), np.int64)
+        own, other = np.zeros(len(self.array), np.int64), np.zeros(len(self.array), np.int64)
         if not len(self.array):
-            return best, where
+            return best, where, own, other
         at = search(self.array, self.words, items.words, items.suffixes, items.left, right=False)
         for near in (at - 1, at):
             inside = (near >= 0) & (near < len(self.array))
@@ -202,17 +212,45 @@ class Shard:
             same, _ = compare(self.words, place, items.words, items.suffixes, items.left)
             good = inside & (same > best)
             best[good], where[good] = same[good], place[good]
-        return best, where
+        after = np.searchsorted(at[items.order], np.arange(len(self.array)), "right")
+        for near in (after - 1, after):
+            inside = (near >= 0) & (near < len(items.array))
+            near = np.clip(near, 0, len(items.array) - 1)
+            same, _ = compare(self.words, self.array, items.words, items.array[near], items.left[items.order[near]])
+            good = inside & (same > own)
+            own[good], other[good] = same[good], near[good]
+        return best, where, own, other
+
+    def longest_of_documents(self):
+        """Document, length, place and least item of each document's longest match, its first one."""
+        items = self.items
+        _, _, own, other = self.longest()
+        some = np.flatnonzero(own >= items.lead)
+        if not len(some):
+            return (np.zeros(0, np.int64),) * 4
+        places, lengths, tests = self.array[some], own[some], other[some]
+        rows = self.document(places)
+        ranks = np.lexsort((places, -lengths, rows))
+        ranks = ranks[np.flatnonzero(np.diff(rows[ranks], prepend=-1))]
+        rows, places, lengths, tests = rows[ranks], places[ranks], lengths[ranks], tests[ranks]
+        # All test suffixes that begin with the match stand together.
+        starts = items.array[tests]
+        low = search(items.array, items.words, items.words, starts, lengths, right=False)
+        high = search(items.array, items.words, items.words, starts, lengths, right=True)
+        ends = np.column_stack((low, high)).ravel()
+        least = np.minimum.reduceat(np.append(items.rank_of[items.order], len(items.names)), ends)[::2]
+        return rows, lengths, places - self.bounds[rows], least
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
     rows = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + size // block_bytes
+    n_words = F.size(F.filter(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
+    size, shortest = rows.agg(F.sum(F.octet_length("text")), F.min(F.when(n_words > 0, n_words))).first()
+    n = 1 + (size or 0) // block_bytes
     share = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     send = items.sparkSession.sparkContext.broadcast
     # Only one block is on the driver at a time.
-    return [send(Items(rows.filter(share == k).toArrow(), window)) for k in range(n)]
+    return [send(Items(rows.filter(share == k).toArrow(), window, shortest or window)) for k in range(n)]
 
 
 def _judge(batches, blocks, shard_bytes: int, place: int | None = None):
@@ -224,13 +262,19 @@ def _judge(batches, blocks, shard_bytes: int, place: int | None = None):
             bounds = np.concatenate(([0], np.cumsum(counts + 1)))
             edges = np.zeros(bounds[-1] + 1, np.int64)
             lists: list[set] = [set() for _ in counts]
+            # Of each document: words of its longest match, less its place, item.
+            longest: list[tuple] = [(0, 0, None)] * len(counts)
             for block in blocks:
                 shard = Shard(hashes, words.bounds, block.value)
                 starts, lengths, owners = shard.occurrences()
                 np.add.at(edges, starts, 1)
                 np.add.at(edges, starts + lengths, -1)
                 for row, owner in set(zip(shard.document(starts).tolist(), owners.tolist())):
-                    lists[row] |= block.value.owners[owner]
+                    lists[row].update(block.value.owners[owner])
+                for row, n, at, item in zip(*(x.tolist() for x in shard.longest_of_documents())):
+                    match = (n, -at, block.value.names[item])
+                    if match[:2] > longest[row][:2] or match[:2] == longest[row][:2] and match[2] < longest[row][2]:
+                        longest[row] = match
             hit = np.cumsum(edges)[:-1] > 0
             n_hit = np.add.reduceat(hit.astype(np.int64), bounds[:-1]) if len(counts) else []
             found = [sorted(x) for x in lists]
@@ -242,6 +286,9 @@ def _judge(batches, blocks, shard_bytes: int, place: int | None = None):
                 "n_items": pa.array([len(x) for x in found], pa.int64()),
                 "items": pa.array(found, pa.list_(pa.string())),
                 "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]),
+                "longest": pa.array([n for n, _, _ in longest], pa.int64()),
+                "longest_at": pa.array([-at if n else None for n, at, _ in longest], pa.int64()),
+                "longest_item": pa.array([item for _, _, item in longest], pa.string()),
             }
             yield pa.RecordBatch.from_pydict(columns | {c: own.column(c) for c in ("row",) if c in own.schema.names})
 
@@ -258,13 +305,17 @@ def contamination(
     block_bytes: int = BLOCK_BYTES,
     carry: bool = False,
 ) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated`` for each row of ``docs``.
+    """``doc_id, n_words, n_hit, n_items, items, items_sha256, longest, longest_at, longest_item,
+    contaminated`` for each row of ``docs``.
 
     Words are runs of digits, letters a-z (A-Z count as small) and non-ASCII characters. A window
     is ``window`` consecutive words of an item, or all words of a shorter one. A word of a
     document is hit if it lies in an occurrence of a window; ``items`` are the items with one,
     sorted as strings. Null texts have no words; items without words have no window; items of
-    equal ids count as one, and a null item id as ''. Repeated rows are judged one by one. Other
+    equal ids count as one, and a null item id as ''. ``longest`` is the number of words of the longest
+    verbatim match with any item, ``longest_at`` the first word of its first place in the document and
+    ``longest_item`` the least item that holds it; matches of fewer words than the least of four, the
+    window and the shortest item count as none (0, null, null). Repeated rows are judged one by one. Other
     columns are not read, unless ``carry`` adds the whole row as a struct ``row``.
     """
     rows = bounded_batches(docs).select(
@@ -273,6 +324,7 @@ def contamination(
     )
     out = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_hit", "long").add("n_items", "long")
     out = out.add("items", T.ArrayType(T.StringType())).add("items_sha256", "string")
+    out = out.add("longest", "long").add("longest_at", "long").add("longest_item", "string")
     blocks = _blocks(items, item_col, item_text_col, window, block_bytes)
     return rows.mapInArrow(
         partial(_judge, blocks=blocks, shard_bytes=shard_bytes, place=docs.columns.index(text_col) if carry else None),
@@ -288,7 +340,7 @@ def _longest(batches, blocks, shard_bytes: int):
             for block in blocks:
                 items = block.value
                 shard = Shard(hashes, words.bounds, items)
-                best, where = shard.longest()
+                best, where, _, _ = shard.longest()
                 good = np.flatnonzero(best >= items.lead)
                 rows = shard.document(where[good])
                 yield pa.RecordBatch.from_arrays(

@@ -224,10 +224,27 @@ WITH docs AS (
 ), named AS (
     SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
     FROM (SELECT DISTINCT row, id FROM found) GROUP BY row
+), lead AS (
+    SELECT least(4, min(len(w))) AS n FROM items WHERE len(w) > 0
+), leads AS (
+    SELECT item, id, k, array_to_string(w[k:k + n - 1], ' ') AS key
+    FROM (SELECT row_number() OVER () AS item, id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+        FROM items CROSS JOIN lead WHERE len(w) > 0)
+), runs AS (
+    SELECT row, id, min(pos) - 1 AS start, count(*) + any_value(n) - 1 AS n FROM (
+        SELECT row, item, id, pos, pos - k AS diagonal, n,
+            pos - row_number() OVER (PARTITION BY row, item, pos - k ORDER BY pos) AS run
+        FROM (SELECT row, pos, n, array_to_string(g[1:n], ' ') AS key FROM grams CROSS JOIN lead WHERE len(g) >= n)
+        JOIN leads USING (key)
+    ) GROUP BY row, item, id, diagonal, run
+), longest AS (
+    SELECT row, n AS longest, start AS longest_at, id AS longest_item FROM runs
+    QUALIFY row_number() OVER (PARTITION BY row ORDER BY n DESC, start, id) = 1
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hits USING (row) LEFT JOIN named USING (row)
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(longest, 0) AS longest, longest_at, longest_item,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN named USING (row) LEFT JOIN longest USING (row)
 """
 
 ORACLES["op6_near_dedup"] = r"""
