@@ -27,10 +27,10 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 BATCH_BYTES = "8m"
 
 
-def bounded_batches(rows: DataFrame) -> DataFrame:
+def bounded_batches(rows: DataFrame, size: str = BATCH_BYTES) -> DataFrame:
     """``rows``, in whose session batches for Python tasks are kept small from now on, so that
     long texts do not add up to large ones."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return rows
 
 

@@ -26,6 +26,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: its edge (measured: node, table of children, owner).
 TRIE_BYTES = 48 << 20
 NODE_BYTES = 450
+#: Bytes of a batch here: texts are taken one by one, and whole texts come back as well.
+BATCH_BYTES = "2m"
 
 
 class Node:
@@ -122,7 +124,7 @@ def _map_side(batches, limit: int):
             term, best, copies = node.owner
             rows.append((None, term, len(key), hashlib.sha256(key).digest(), key, best[0], best[1], copies))
             size += len(key)
-            if size > 4 << 20:
+            if size > 1 << 20:
                 yield pack(rows)
                 rows, size = [], 0
         if rows:
@@ -184,7 +186,7 @@ def exact_groups(
     their id is. Other columns are not read. ``hash_bytes`` shortens the hash by which texts are
     dealt out; a trie compares whole texts, so even one byte gives the same groups.
     """
-    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs, BATCH_BYTES).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     mapped = rows.mapInArrow(
         partial(_map_side, limit=trie_bytes),
         "doc_id long, term long, n_bytes long, hash binary, norm binary, best_chars long, best_id long, copies long",
@@ -201,6 +203,7 @@ def exact_groups(
         .mapInArrow(_reduce_side, "term long, class long, best_chars long, best_id long, copies long, sha binary")
     )
     terms = materialise(joined, "exact-terms")
+    bounded_batches(docs)
     classes = terms.groupBy("class").agg(
         F.min(F.struct((-F.col("best_chars")).alias("r"), F.col("best_id").isNull().alias("n"), "best_id")).alias("b"),
         F.sum("copies").alias("group_size"),
