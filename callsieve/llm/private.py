@@ -2,7 +2,7 @@
 
 Four base patterns decide strictly. Beside them, generators of high recall propose spans, which
 may overlap, for e-mail addresses, IP addresses, card and phone numbers. Gradient-boosted trees
-are trained on a bounded sample: the candidates that are base matches against the others, with
+are trained on all candidates of two thirds of the texts: those that are base matches against the others, with
 the sign that tells them apart in form left out of the features. A threshold for each kind is
 calibrated on rows that the trees have not seen; candidates above it are added, best first, where
 they overlap nothing found before.
@@ -13,11 +13,12 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsieve.llm.arrays import bounded_batches
@@ -25,8 +26,6 @@ from callsieve.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Rows whose candidates train and calibrate the trees; chosen by a hash, about so many.
-SAMPLE_ROWS = 20_000
 TREES, DEPTH = 10, 3
 #: Share of right ones that candidates above a threshold must have on the calibration rows, and
 #: how many such candidates must be there.
@@ -143,23 +142,22 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
-def _sample(batches):
-    """Features and weak labels of the candidates of a task's rows."""
+def _examples(batches):
+    """Features and weak labels of the candidates, those alike in a batch once with their number."""
     for batch in batches:
-        rows, labels, parts = [], [], []
+        found = Counter()
         for text in batch.column("text").to_pylist():
             text = text or ""
             base = {(k, *s) for k, spans in base_spans(text).items() for s in spans}
             part = zlib.crc32(text.encode()) % 3
             for kind, start, end in candidates(text):
-                rows.append(features(text, kind, start, end))
-                labels.append(float((kind, start, end) in base))
-                parts.append(part)
+                found[(*features(text, kind, start, end), float((kind, start, end) in base), part)] += 1
         yield pa.RecordBatch.from_pydict(
             {
-                "values": pa.array(rows, pa.list_(pa.float64())),
-                "label": pa.array(labels, pa.float64()),
-                "part": pa.array(parts, pa.int32()),
+                "values": pa.array([row[:FEATURES] for row in found], pa.list_(pa.float64())),
+                "label": pa.array([row[FEATURES] for row in found], pa.float64()),
+                "part": pa.array([row[-1] for row in found], pa.int32()),
+                "times": pa.array(list(found.values()), pa.int64()),
             }
         )
 
@@ -196,41 +194,49 @@ class Trees:
         return 1 / (1 + np.exp(-2 * margin))
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The least score from which on the share of right ones is high enough; above 1 if none is."""
-    ranks = np.argsort(-scores, kind="stable")
-    right = np.cumsum(labels[ranks])
-    good = right >= PRECISION * np.arange(1, len(ranks) + 1)
-    good &= np.append(scores[ranks][1:] < scores[ranks][:-1], True) & (np.arange(1, len(ranks) + 1) >= LEAST)
-    last = np.flatnonzero(good)
-    return float(scores[ranks][last[-1]]) if len(last) else 2.0
+def _scored(batches, trees):
+    for batch in batches:
+        values = np.array(batch.column("values").to_pylist() or np.zeros((0, FEATURES)), float).reshape(-1, FEATURES)
+        columns = [pa.array(values[:, 0].astype(int), pa.int64()), pa.array(trees.scores(values), pa.float64())]
+        right = np.asarray(batch.column("label")) * np.asarray(batch.column("times"))
+        yield pa.RecordBatch.from_arrays(
+            [*columns, batch.column("times"), pa.array(right.astype(int), pa.int64())], ["kind", "score", "times", "hits"]
+        )
+
+
+def calibrate(held: DataFrame, trees: Trees) -> dict[str, float]:
+    """For each kind the least score from which on the share of right ones is high enough; above 1 if none is."""
+    rows = held.select("values", "label", "times").mapInArrow(
+        partial(_scored, trees=trees), "kind long, score double, times long, hits long"
+    )
+    scores = rows.groupBy("kind", "score").agg(F.sum("times").alias("times"), F.sum("hits").alias("hits"))
+    best_first = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = scores.select("kind", "score", *[F.sum(c).over(best_first).alias(c) for c in ("times", "hits")])
+    good = sums.filter((F.col("hits") >= PRECISION * F.col("times")) & (F.col("times") >= LEAST))
+    found = {r["kind"]: r["least"] for r in good.groupBy("kind").agg(F.min("score").alias("least")).collect()}
+    return {kind: found.get(number, 2.0) for number, kind in enumerate(KINDS)}
 
 
-def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS):
-    """Trees and thresholds from ``doc_id, text``; None if the sample has but one class."""
+def train(rows: DataFrame):
+    """Trees and thresholds from ``doc_id, text``; None if there is but one class."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    n = rows.count()
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.filter(F.lit(n <= sample_rows) | (place < sample_rows / max(n, 1)))
+    every = rows.mapInArrow(_examples, "values array<double>, label double, part int, times long")
+    # Candidates alike in all features count as one with a weight.
+    alike = every.groupBy("values", "label", "part").agg(F.sum("times").alias("times"))
+    found = materialise(alike, "spans")
     # A third of the texts is kept for calibration.
-    found = materialise(sample.mapInArrow(_sample, "values array<double>, label double, part int"), "spans")
-    fitting = found.filter("part > 0").select(array_to_vector("values").alias("features"), "label")
-    if fitting.select("label").distinct().count() < 2:
+    fitting = found.filter("part > 0")
+    seen = fitting.agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("times").alias("n")).first()
+    if seen["low"] == seen["high"]:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, minInstancesPerNode=5).fit(fitting)
+    vectors = fitting.select(array_to_vector("values").alias("features"), "label", F.col("times").cast("double").alias("weight"))
+    # A leaf holds five candidates at least, whatever their weights.
+    share = min(5 / seen["n"], 0.49)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, weightCol="weight", minWeightFractionPerNode=share).fit(vectors)
     trees = Trees(model)
-    held = found.filter("part = 0").groupBy("values", "label").count().toArrow()
-    values = np.array(held.column("values").to_pylist() or np.zeros((0, FEATURES)), float).reshape(-1, FEATURES)
-    times = held.column("count").to_numpy()
-    values, labels = np.repeat(values, times, axis=0), np.repeat(held.column("label").to_numpy(), times)
-    scores = trees.scores(values)
-    limits = {}
-    for number, kind in enumerate(KINDS):
-        own = values[:, 0] == number
-        limits[kind] = calibrate(scores[own], labels[own])
-    return trees, limits
+    return trees, calibrate(found.filter("part = 0"), trees)
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]], model) -> dict[str, list[tuple[int, int]]]:
@@ -271,18 +277,16 @@ def _find(batches, model):
         )
 
 
-def find_private(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS
-) -> DataFrame:
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for each row of ``docs``.
 
     Counts and hash are of the base spans, ``spans`` of these and the added ones, each as
     ``kind:start:end`` in characters, the end not included. Null texts are empty and have none;
-    rows of equal ids are found by themselves. Without base matches in the sample nothing is
+    rows of equal ids are found by themselves. Without base matches nothing is
     added. Other columns are not read.
     """
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(train(rows, sample_rows))
+    model = docs.sparkSession.sparkContext.broadcast(train(rows))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return rows.mapInArrow(partial(_find, model=model), f"doc_id long, {counts}, base_sha256 string, spans string")
 

@@ -88,6 +88,18 @@ def test_trees_add_what_looks_alike_and_leave_the_rest(frame):
         assert set(spans.split(",")) - {""} <= set(row.spans.split(","))
 
 
+def test_trees_learn_from_every_row(frame):
+    """A third of the rows would hold too few phone numbers to calibrate a threshold."""
+    draw = random.Random(5)
+    rows = [(i, f"order {i:08d} of 2024-05-11") for i in range(60_000)]
+    rows += [(70_000 + i, f"call {phone(draw)} now") for i in range(100)]
+    every = frame([(d, t, 0, "") for d, t in rows], SCHEMA)
+    found = private._examples(every.select("doc_id", "text").toArrow().to_batches())
+    hits = sum(n for b in found for x, n in zip(b.column("label").to_pylist(), b.column("times").to_pylist()) if x)
+    trees, limits = private.train(every.select("doc_id", "text"))
+    assert hits == 100 and limits["phone"] <= 1
+
+
 def test_printed_trees_score_as_the_model_does(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
