@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from callsieve.functions.jsontext import depth_bound, parse_strict
-from callsieve.functions.sqltext import let, name
+from callsieve.functions.sqltext import joined, loop, name
 from callsieve.functions.variants import elements, fields, keys, kind_of
 
 _NODE = "struct<path:array<string>,v:variant>"
@@ -21,14 +21,10 @@ def nodes_of(root: str, rounds: str) -> str:
     members = f"transform(map_entries({fields('n.v')}), e -> {step('e.key', 'e.value')})"
     places = f"transform({elements('n.v')}, (x, i) -> {step('string(i)', 'x')})"
     none = f"cast(array() AS array<{_NODE}>)"
-    inside = f"cast(flatten(transform(acc.open, n -> coalesce({members}, {places}, {none}))) AS array<{_NODE}>)"
-    state = "named_struct('open', {0}, 'levels', {1})"
+    inside = f"cast(flatten(transform(b.open, n -> coalesce({members}, {places}, {none}))) AS array<{_NODE}>)"
+    going = f"named_struct('open', {inside}, 'levels', {joined('b.levels', 'array(b.open)')})"
     start = f"cast(array(named_struct('path', array(), 'v', {root})) AS array<{_NODE}>)"
-    going = let(inside, "n", state.format("n", "concat(acc.levels, array(n))"))
-    return (
-        f"aggregate(sequence(1, {rounds}), {let(start, 't', state.format('t', 'array(t)'))},"
-        f" (acc, i) -> if(size(acc.open) = 0, acc, {going}), acc -> flatten(acc.levels))"
-    )
+    return loop(rounds, start, going, f"cast(array() AS array<array<{_NODE}>>)", "flatten(acc.levels)")
 
 
 def shred_calls(df: DataFrame, text: str = "call") -> DataFrame:
