@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
+from typing import NamedTuple
 
 from pyspark.sql import Row
 
 from callsieve.functions.labels import KEYWORD_RANK, OTHER_RANK
 from callsieve.functions.sqltext import number, quote, strings
-from callsieve.functions.variants import canonical, exact_of, is_infinite, kind_of, number_of, shape_of, string_of, whole_of
+from callsieve.functions.variants import canonical, double_of, exact_of, is_infinite, kind_of, shape_of, string_of, whole_of
 
 UNSUPPORTED = "unsupported"
 Text = Callable[[str], str]
@@ -46,6 +47,21 @@ class Node:
         return f"to_json({self.v})"
 
 
+class Check(NamedTuple):
+    """A test that is true where a node fails, and the violation it then has."""
+
+    fails: str
+    found: str
+
+    @property
+    def one(self) -> str:
+        return f"if({self.fails}, {self.found}, NULL)"
+
+    @property
+    def listed(self) -> str:
+        return f"if({self.fails}, array({self.found}), {NO_VIOLATIONS})"
+
+
 def matches(key: str, patterns: str) -> str:
     """Some of the patterns is found in the key."""
     return f"exists({patterns}, q -> {key} RLIKE concat('(?Ud)', q))"
@@ -160,30 +176,30 @@ def _quoted(names: str) -> str:
 
 def _beyond(node: Node, bound: str, operator: str) -> str:
     """Compare exactly as whole numbers where possible, as doubles otherwise."""
-    value = number_of(node.v, node.kind)
-    exact = f"{value}.whole {operator} {bound}.whole"
-    return f"coalesce({exact}, {value}.approx {operator} {bound}.approx)"
+    exact = f"if({node.kind} = 'integer', {whole_of(node.v)} {operator} {bound}.whole, NULL)"
+    rough = f"if({node.kind} IN ('integer', 'number'), {double_of(node.v)} {operator} {bound}.approx, NULL)"
+    return f"coalesce({exact}, {rough})"
 
 
-def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[str]:
-    """One text per keyword with at most one violation; NULL where the node complies."""
-    return [text for texts in checks_by_kind(node, rule).values() for text in texts]
+def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[Check]:
+    """One check per keyword."""
+    return [one for checks in checks_by_kind(node, rule).values() for one in checks]
 
 
 #: Kinds that a keyword can find fault with; of other kinds it need not be looked at.
 ALL, NUMERIC, NESTED = "", "integer number", "object array"
 
 
-def checks_by_kind(node: Node, rule: JoinedRule | LiteralRule) -> dict[str, list[str]]:
-    """The texts of ``node_checks`` by the kinds of values that they can find fault with."""
-    out: dict[str, list[str]] = {}
+def checks_by_kind(node: Node, rule: JoinedRule | LiteralRule) -> dict[str, list[Check]]:
+    """The checks of ``node_checks`` by the kinds of values that they can find fault with."""
+    out: dict[str, list[Check]] = {}
 
     def check(demand: str, fails: Text, keyword: str, detail: Text, held: bool = False, kinds: str = ALL) -> None:
         """``fails`` and ``detail`` build their texts around that of the demand's value; nothing
         is ever replaced in a text that already holds values of a schema."""
         value = rule.get(demand)
         if value is not None:
-            out.setdefault(kinds, []).append(f"if({fails(value)}, {violation(node, keyword, detail(value), held)}, NULL)")
+            out.setdefault(kinds, []).append(Check(fails(value), violation(node, keyword, detail(value), held)))
 
     def check_if_present(demand: str, fails: Text, keyword: str, detail: Text, kinds: str = ALL) -> None:
         check(demand, lambda it: rule.guard(demand) + fails(it), keyword, detail, kinds=kinds)

@@ -31,6 +31,7 @@ from callsieve.operators.checks import (
     NO_VIOLATIONS,
     UNSUPPORTED,
     VIOLATION,
+    Check,
     JoinedRule,
     LiteralRule,
     Node,
@@ -84,13 +85,13 @@ def _branched(rule: Row) -> bool:
     return bool(any(rule[f"n_{k}"] for k in BRANCHED) or rule["negated"] or rule["referred"] or rule["rest"])
 
 
-def _literal_checks(node: Node, rule: Row, present: dict[str, str]) -> list[str]:
+def _literal_checks(node: Node, rule: Row, present: dict[str, str]) -> list[Check]:
     """``present`` gives a test for each key whose presence is already known."""
     checks = node_checks(node, LiteralRule(rule))
     for key in rule["required"] or []:
         has = present.get(key) or f"array_contains({node.keys}, {quote(key)})"
         gone = f"{node.kind} = 'object' AND NOT {has}"
-        checks.append(f"if({gone}, {missing_key(node, quote(key))}, NULL)")
+        checks.append(Check(gone, missing_key(node, quote(key))))
     return checks
 
 
@@ -125,8 +126,16 @@ def _positions(rules: list[Row], limit: int) -> list[Row] | None:
     return out if len(out) <= limit else None
 
 
-def _gather(checks: list[str]) -> str:
-    return f"array_compact(array({', '.join([NO_VIOLATION, *checks])}))"
+def _gather(checks: list[Check]) -> str:
+    """What the checks find, inside of a lambda. Most nodes comply, so that only the tests are made."""
+    if not checks:
+        return NO_VIOLATIONS
+    some = " OR ".join(f"({check.fails})" for check in checks)
+    return f"if({some}, array_compact(array({', '.join([NO_VIOLATION, *[check.one for check in checks]])})), {NO_VIOLATIONS})"
+
+
+def _together(arrays: list[str]) -> str:
+    return joined(*arrays) if len(arrays) > 1 else arrays[0]
 
 
 class _InlineRules:
@@ -203,9 +212,10 @@ class _InlineRules:
         first, found = [], []
         for schema_id, rules in self.schemas.items():
             single, several = self._checks(rules)
-            least = ", ".join([NO_VIOLATION, NO_VIOLATION, *single, *[f"array_min({s})" for s in several]])
+            least = ", ".join([NO_VIOLATION, NO_VIOLATION, *[c.one for c in single], *[f"array_min({s})" for s in several]])
             first.append(f"WHEN {quote(schema_id)} THEN least({least})")
-            every = f"concat({', '.join([_gather(single), *several])})"
+            # Outside of lambdas: Spark compiles all of this, but would interpret what a filter of an array holds.
+            every = joined(NO_VIOLATIONS, *[c.listed for c in single], *several)
             found.append(f"WHEN {quote(schema_id)} THEN {every}")
 
         def by_schema(cases: list[str], default: str) -> str:
@@ -219,7 +229,7 @@ class _InlineRules:
     def _path(rule: Row) -> str:
         return "$[0]" + json_path(rule["path"])[1:]
 
-    def _checks(self, rules: dict[str, Row]) -> tuple[list[str], list[str]]:
+    def _checks(self, rules: dict[str, Row]) -> tuple[list[Check], list[str]]:
         single, several = [], []
         opened = {at for at, (_, ids) in self.slots.items() if any(_needs_keys(self.schemas[s][at]) for s in ids)}
         for at, rule in rules.items():
@@ -289,7 +299,7 @@ class _InlineRules:
                 inner = f"e{level}"
                 below = self._below(rules, other, f"concat({path}, array({quote(key)}))", inner, level + 1)
                 found.append(f"flatten(transform({present}, {inner} -> {below}))")
-        return f"concat({', '.join(found)})"
+        return _together(found)
 
 
 # A link followed from a pair of value and rule: the value it leads to and the rule for that. Spark copies
@@ -458,7 +468,7 @@ class _JoinedRules:
         endless = violation(node, UNSUPPORTED, quote("a reference that leads back to itself"), True)
         whole = f"{kind} = 'object' AND "
         checks = checks_by_kind(node, JoinedRule(r))
-        parts = [_gather([*checks.pop(ALL), f"if({t}.rule < 0, {endless}, NULL)"])]
+        parts = [_gather([*checks.pop(ALL), Check(f"{t}.rule < 0", endless)])]
         for kinds, texts in checks.items():
             some = " OR ".join(f"{kind} = {quote(k)}" for k in kinds.split())
             parts.append(f"if({some}, {_gather(texts)}, {NO_VIOLATIONS})")
