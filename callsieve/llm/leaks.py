@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 from callsieve.llm.arrays import ALNUM, bounded_batches, chunks, coefficients, find_words, mix, ranges
 
 WINDOW = 10
-#: Text bytes of a shard.
-SHARD_BYTES = 8 << 20
+#: Text bytes of a shard, and of a batch: as many as the benchmark has, but no less and no more than these.
+#: All suffixes of the benchmark are searched in every shard, so a large one is worth large shards.
+LEAST_SHARD_BYTES, SHARD_BYTES = 2 << 20, 8 << 20
 #: Text bytes of benchmark items that travel in one broadcast.
 BLOCK_BYTES = 16 << 20
 #: First words by which suffixes that match nothing are left out, unless an item is shorter.
@@ -242,7 +243,8 @@ class Shard:
         return rows, lengths, places - self.bounds[rows], least
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
+def _blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> tuple[list, int]:
+    """The benchmark in broadcast blocks, and its text bytes."""
     rows = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     n_words = F.size(F.filter(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
     size, shortest = rows.agg(F.sum(F.octet_length("text")), F.min(F.when(n_words > 0, n_words))).first()
@@ -250,7 +252,11 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_b
     share = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     send = items.sparkSession.sparkContext.broadcast
     # Only one block is on the driver at a time.
-    return [send(Items(rows.filter(share == k).toArrow(), window, shortest or window)) for k in range(n)]
+    return [send(Items(rows.filter(share == k).toArrow(), window, shortest or window)) for k in range(n)], size or 0
+
+
+def _shard_bytes(size: int) -> int:
+    return min(SHARD_BYTES, max(LEAST_SHARD_BYTES, size))
 
 
 def _judge(batches, blocks, shard_bytes: int, place: int | None = None):
@@ -301,7 +307,7 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    shard_bytes: int = SHARD_BYTES,
+    shard_bytes: int | None = None,
     block_bytes: int = BLOCK_BYTES,
     carry: bool = False,
 ) -> DataFrame:
@@ -318,14 +324,15 @@ def contamination(
     window and the shortest item count as none (0, null, null). Repeated rows are judged one by one. Other
     columns are not read, unless ``carry`` adds the whole row as a struct ``row``.
     """
-    rows = bounded_batches(docs).select(
+    blocks, size = _blocks(items, item_col, item_text_col, window, block_bytes)
+    shard_bytes = shard_bytes or _shard_bytes(size)
+    rows = bounded_batches(docs, f"{_shard_bytes(size)}b").select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.struct("*").alias("row") if carry else F.col(text_col).cast("string").alias("text"),
     )
     out = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_hit", "long").add("n_items", "long")
     out = out.add("items", T.ArrayType(T.StringType())).add("items_sha256", "string")
     out = out.add("longest", "long").add("longest_at", "long").add("longest_item", "string")
-    blocks = _blocks(items, item_col, item_text_col, window, block_bytes)
     return rows.mapInArrow(
         partial(_judge, blocks=blocks, shard_bytes=shard_bytes, place=docs.columns.index(text_col) if carry else None),
         out.add("row", docs.schema) if carry else out,
@@ -356,13 +363,14 @@ def _longest(batches, blocks, shard_bytes: int):
 
 
 def longest_matches(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """``item_id, item_at, length, doc_id, doc_at``: the longest verbatim match of every benchmark
     suffix in ``docs`` (``doc_id, text``), in words, and one place of it. Suffixes that match
     fewer words than the least of four and the shortest window are left out."""
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = _blocks(items, "item_id", "text", window, block_bytes)
+    blocks, size = _blocks(items, "item_id", "text", window, block_bytes)
+    shard_bytes = shard_bytes or _shard_bytes(size)
+    rows = bounded_batches(docs, f"{_shard_bytes(size)}b").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = rows.mapInArrow(
         partial(_longest, blocks=blocks, shard_bytes=shard_bytes),
         "item_id string, item_at long, length long, doc_id long, doc_at long",

@@ -39,6 +39,8 @@ SHINGLE = 5
 PLACES, LONG_PLACES = 128, 512
 #: Prefix lengths of the forest's rungs.
 DEPTHS = (5, 8, 12, 16, 24)
+#: Texts are worked on a piece at a time anyway; larger batches would only be held.
+BATCH_BYTES = "2m"
 #: Chance that all orders of a rung part two nodes of exactly the asked similarity.
 MISS = 1e-4
 REGION_ROWS = 2000
@@ -390,7 +392,7 @@ def near_groups(
     """
     similarity = percent / 100
     least = least_agreement(PLACES, similarity)
-    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs, BATCH_BYTES).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(
         rows.mapInArrow(_sign, "doc_id long, n_shingles long, node binary, signature binary, text string"),
         "signed",

@@ -134,3 +134,10 @@ def test_documents_with_hits_leave(frame):
     docs = frame([(1, "clean text", "x", 1), (2, "a b c d", "x", 1)], SCHEMA)
     kept = leaks.without_leaks(docs, frame([(1, "b c")], "item_id long, text string"))
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "clean text", "x", 1)]
+
+
+def test_shards_are_as_large_as_the_benchmark_asks(spark):
+    assert [leaks._shard_bytes(n << 20) for n in (0, 1, 5, 100)] == [2 << 20, 2 << 20, 5 << 20, 8 << 20]
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    leaks.contamination(docs, spark.createDataFrame([("x", "a b c")], "item_id string, text string"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{2 << 20}b"
