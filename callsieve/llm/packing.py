@@ -27,8 +27,12 @@ SPARE = 4
 #: Tasks whose bins meet in one task of the next round, and bins that a task packs in the last round.
 FAN_IN = 8
 LAST_BINS = 20_000
-#: Bytes of words whose tokens a worker remembers.
-REMEMBERED = 16 << 20
+#: Words whose tokens a worker remembers. Most words are rare, so only those met again are.
+REMEMBERED = 250_000
+#: Hash places by which a word met before is told; a mistake costs time or room only.
+MET = 1 << 22
+#: Bytes of text that are tokenised at once.
+CHUNK = 1 << 20
 END_ID = 0
 
 #: A run of letters that have one lower-case form and no composition, then ASCII signs other than
@@ -61,48 +65,80 @@ class Words:
 
     def clear(self) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.size, self.used = 0, 0
-        self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.put(b" ", np.array([END_ID]))  # stands for the end of a document
-
-    def put(self, word: bytes, ids: np.ndarray) -> None:
-        number = len(self.numbers)
-        if number == len(self.starts):
-            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-            self.lengths = np.concatenate((self.lengths, np.zeros_like(self.lengths)))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.starts[number], self.lengths[number] = self.used, len(ids)
+        self.met = np.zeros(MET, bool)
+        self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
+        self.used = 0
+        self.put([b" "], np.array([END_ID]), np.array([1]))  # stands for the end of a document
+
+    def put(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first, end = len(self.numbers), len(self.numbers) + len(words)
+        for name, need in (("starts", end), ("lengths", end), ("ids", self.used + len(ids))):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate((held, np.zeros(max(need - len(held), len(held) // 2), held.dtype))))
         self.ids[self.used : self.used + len(ids)] = ids
+        self.lengths[first:end] = lengths
+        self.starts[first:end] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.size += len(word)
-        self.numbers[word] = number
+        self.numbers.update(zip(words, range(first, end)))
+
+    def drop(self, count: int) -> None:
+        """Forgets the words that were put last."""
+        for _ in range(count):
+            self.numbers.popitem()
+        if count:
+            self.used = int(self.starts[len(self.numbers)])
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Tokens of new words; letters are tokenised many at a time, and parted where words end."""
-        parts: dict[str, list[tuple[bytes, str]]] = {}
-        signs: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
+        letters: dict[str, int] = {}
+        signs: dict[str, int] = {"": 0}
+        others: list[str] = []
+        heads, tails = [], []
         for word in words:
             text = word.decode()
             match = PLAIN(text) if len(word) <= 64 else None
             if match:
-                parts.setdefault(match[1].lower(), []).append((word, match[2]))
-                if match[2] not in signs:
-                    signs[match[2]] = self._encode(match[2])
+                heads.append(letters.setdefault(match[1].lower(), len(letters)))
+                tails.append(signs.setdefault(match[2], len(signs)))
             else:
-                self.put(word, self._encode(text))
-        letters = list(parts)
-        for at in range(0, len(letters), 2000):
-            some = letters[at : at + 2000]
+                others.append(text)
+                heads.append(-len(others))
+                tails.append(0)
+        pool, sizes = [], []
+        names = list(letters)
+        for at in range(0, len(names), 2000):
+            some = names[at : at + 2000]
             ids = self._encode(" ".join(some))
             ends = np.flatnonzero(self.last[ids]) + 1
-            each = np.split(ids, ends[:-1]) if len(ends) == len(some) else [self._encode(x) for x in some]
-            for letter, own in zip(some, each):
-                for word, tail in parts[letter]:
-                    self.put(word, np.concatenate((own, signs[tail])))
+            if len(ends) == len(some):
+                pool.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                pool += (each := [self._encode(x) for x in some])
+                sizes.append(np.array([len(x) for x in each]))
+        pool += (each := [self._encode(x) for x in (*signs, *others)])
+        sizes.append(np.array([len(x) for x in each]))
+        ids, sizes = np.concatenate(pool), np.concatenate(sizes)
+        # A word is its letters and its signs, or the whole of another word and no signs.
+        heads = np.array(heads, np.int64)
+        heads[heads < 0] = len(letters) + len(signs) - 1 - heads[heads < 0]
+        parts = np.column_stack((heads, len(letters) + np.array(tails, np.int64))).ravel()
+        starts = np.cumsum(sizes) - sizes
+        self.put(words, ids[ranges(starts[parts], sizes[parts])], sizes[parts].reshape(-1, 2).sum(axis=1))
+
+    def _parted(self, new: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """New words that were met in other texts before, as far as there is room for them, and the others."""
+        places = np.fromiter(map(hash, new), np.int64, len(new)) % MET
+        met = self.met[places].tolist()
+        self.met[places] = True
+        again = [word for word, known in zip(new, met) if known]
+        once = [word for word, known in zip(new, met) if not known]
+        room = max(0, REMEMBERED - len(self.numbers))
+        return again[:room], again[room:] + once
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and where each text's ids start."""
@@ -112,15 +148,15 @@ class Words:
             words += own
             words.append(b" ")
             counts.append(len(own) + 1)
-        new = set(words).difference(self.numbers)
-        if new:
-            if self.size > REMEMBERED:
-                self.clear()
-                new = set(words) - {b" "}
-            self.learn(new)
+        if len(self.numbers) >= REMEMBERED:
+            self.clear()
+        again, once = self._parted(list(set(words).difference(self.numbers)))
+        if again or once:
+            self.learn(again + once)
         numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         lengths = self.lengths[numbers]
         ids = self.ids[ranges(self.starts[numbers], lengths)]
+        self.drop(len(once))
         total = np.concatenate(([0], np.cumsum(lengths)))
         return ids, total[np.concatenate(([0], np.cumsum(counts)))]
 
@@ -174,7 +210,7 @@ def _leaf(batches, model, key: str, capacity: int):
         raw, doc_ids, at = data.tobytes(), batch.column("doc_id").to_pylist(), 0
         full = []
         while at < len(doc_ids):
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 21), "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
             end = min(end, len(doc_ids))
             ids, bounds = words.tokens([raw[offsets[i] : offsets[i + 1]] for i in range(at, end)])
             view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
@@ -187,6 +223,8 @@ def _leaf(batches, model, key: str, capacity: int):
             at = end
         yield from _rows(full)
     yield from _rows(best_fit(items, capacity))
+    # The worker goes on to other stages: what the texts took is given back.
+    pa.default_memory_pool().release_unused()
 
 
 def _merge(batches, capacity: int):
@@ -218,7 +256,7 @@ def pack(
     with open(tokenizer, encoding="utf-8") as file:
         content = file.read()
     model, key = spark.sparkContext.broadcast(content), hashlib.sha256(content.encode()).hexdigest()
-    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs, "2m").select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     leaves = rows.mapInArrow(partial(_leaf, model=model, key=key, capacity=capacity), BIN)
     bins = materialise(leaves, "bins")
     full = F.col("total") >= capacity - spare
