@@ -27,10 +27,8 @@ SPARE = 4
 #: Tasks whose bins meet in one task of the next round, and bins that a task packs in the last round.
 FAN_IN = 8
 LAST_BINS = 20_000
-#: Words whose tokens a worker remembers. Most words are rare, so only those met again are.
-REMEMBERED = 250_000
-#: Hash places by which a word met before is told; a mistake costs time or room only.
-MET = 1 << 22
+#: Words whose tokens a worker remembers, at some 150 bytes each.
+REMEMBERED = 600_000
 #: Bytes of text that are tokenised at once.
 CHUNK = 1 << 20
 END_ID = 0
@@ -65,19 +63,30 @@ class Words:
 
     def clear(self) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.met = np.zeros(MET, bool)
         self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
-        self.used = 0
+        self.met, self.used = np.zeros(1024, bool), 0
         self.put([b" "], np.array([END_ID]), np.array([1]))  # stands for the end of a document
 
+    def forget(self) -> None:
+        """Makes room: only words that were met again stay, if they are no more than half."""
+        met = self.met[: len(self.numbers)].copy()
+        met[0] = False  # the end of a document, which is put anew
+        kept = np.flatnonzero(met)
+        words = [word for word, again in zip(self.numbers, met.tolist()) if again]
+        lengths, ids = self.lengths[kept], self.ids[ranges(self.starts[kept], self.lengths[kept])]
+        self.clear()
+        if len(words) <= REMEMBERED // 2:
+            self.put(words, ids, lengths)
+
     def put(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         first, end = len(self.numbers), len(self.numbers) + len(words)
-        for name, need in (("starts", end), ("lengths", end), ("ids", self.used + len(ids))):
+        for name, need in (("starts", end), ("lengths", end), ("met", end), ("ids", self.used + len(ids))):
             held = getattr(self, name)
             if need > len(held):
                 setattr(self, name, np.concatenate((held, np.zeros(max(need - len(held), len(held) // 2), held.dtype))))
         self.ids[self.used : self.used + len(ids)] = ids
         self.lengths[first:end] = lengths
+        self.met[first:end] = False
         self.starts[first:end] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
         self.numbers.update(zip(words, range(first, end)))
@@ -130,16 +139,6 @@ class Words:
         starts = np.cumsum(sizes) - sizes
         self.put(words, ids[ranges(starts[parts], sizes[parts])], sizes[parts].reshape(-1, 2).sum(axis=1))
 
-    def _parted(self, new: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-        """New words that were met in other texts before, as far as there is room for them, and the others."""
-        places = np.fromiter(map(hash, new), np.int64, len(new)) % MET
-        met = self.met[places].tolist()
-        self.met[places] = True
-        again = [word for word, known in zip(new, met) if known]
-        once = [word for word, known in zip(new, met) if not known]
-        room = max(0, REMEMBERED - len(self.numbers))
-        return again[:room], again[room:] + once
-
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and where each text's ids start."""
         words, counts = [], []
@@ -148,15 +147,18 @@ class Words:
             words += own
             words.append(b" ")
             counts.append(len(own) + 1)
-        if len(self.numbers) >= REMEMBERED:
-            self.clear()
-        again, once = self._parted(list(set(words).difference(self.numbers)))
-        if again or once:
-            self.learn(again + once)
+        new = set(words).difference(self.numbers)
+        if len(self.numbers) + len(new) > REMEMBERED:
+            self.forget()
+            new = set(words).difference(self.numbers)
+        known = len(self.numbers)
+        if new:
+            self.learn(list(new))
         numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         lengths = self.lengths[numbers]
         ids = self.ids[ranges(self.starts[numbers], lengths)]
-        self.drop(len(once))
+        self.met[numbers[numbers < known]] = True
+        self.drop(max(0, len(self.numbers) - REMEMBERED))
         total = np.concatenate(([0], np.cumsum(lengths)))
         return ids, total[np.concatenate(([0], np.cumsum(counts)))]
 
