@@ -55,15 +55,19 @@ def nesting_depth(text: Column | str) -> Column:
 
     Escaped characters go first, so that a string then ends at its next quote.
     """
-    plain = F.regexp_replace(F.regexp_replace(_col(text), r"(?s)\\.", ""), '"[^"]*"', "")
-    brackets = F.split(F.regexp_replace(plain, r"[^\[\]{}]+", ""), "")
+    t = _col(text)
+    plain = F.when(F.instr(t, "\\") > 0, F.regexp_replace(t, r"(?s)\\.", "")).otherwise(t)
+    brackets = F.regexp_replace(plain, r'"[^"]*"|[^\[\]{}"]+|"', "")
+    # Counted by runs: what opens and then closes is one step.
+    runs = F.split(brackets, r"(?<=[\]}])(?=[\[{])")
 
-    def step(acc: Column, mark: Column) -> Column:
-        depth = acc["depth"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
-        return F.struct(depth.alias("depth"), F.greatest(acc["most"], depth).alias("most"))
+    def step(acc: Column, run: Column) -> Column:
+        opened = F.length(F.translate(run, "]}", ""))
+        deepest = F.greatest(acc["most"], acc["depth"] + opened)
+        return F.struct((acc["depth"] + opened * 2 - F.length(run)).alias("depth"), deepest.alias("most"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
-    return F.aggregate(brackets, start, step, lambda acc: acc["most"])
+    return F.aggregate(runs, start, step, lambda acc: acc["most"])
 
 
 def depth_bound(text: Column | str) -> Column:

@@ -38,6 +38,11 @@ def let(value: str, variable: str, body: str) -> str:
     return f"transform(array({value}), {variable} -> {body})[0]"
 
 
+def given(value: str, variable: str, body: str) -> str:
+    """``let`` without copies: Spark copies what a transform gives, but not what the end of an aggregate does."""
+    return f"aggregate(cast(array() AS array<int>), {value}, (_a, _i) -> _a, {variable} -> {body})"
+
+
 def joined(*arrays: str) -> str:
     """One array of all."""
     return f"concat({', '.join(arrays)})"

@@ -39,6 +39,11 @@ def elements(v: str) -> str:
     return f"try_variant_get({v}, '$', 'array<variant>')"
 
 
+def is_array(v: str) -> str:
+    """Whether there is an array; the elements are not copied."""
+    return f"try_variant_get({v}, '$', 'array<struct<>>') IS NOT NULL"
+
+
 def string_of(v: str) -> str:
     return f"try_variant_get({v}, '$', 'string')"
 

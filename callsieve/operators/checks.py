@@ -188,6 +188,28 @@ def node_checks(node: Node, rule: JoinedRule | LiteralRule) -> list[Check]:
 
 #: Kinds that a keyword can find fault with; of other kinds it need not be looked at.
 ALL, NUMERIC, NESTED = "", "integer number", "object array"
+#: The demands that are looked at for values of these kinds; a switch demands something if it is on.
+DEMANDS = {
+    ALL: ("type", "enum", "const", "never", "unsupported"),
+    NUMERIC: ("minimum", "maximum", "exclusive_minimum", "exclusive_maximum", "multiple_of", "judges_value"),
+    "string": ("min_length", "max_length", "pattern"),
+    "object": ("additional_allowed", "min_properties", "max_properties"),
+    "array": ("min_items", "max_items", "distinct"),
+    NESTED: ("has_container",),
+}
+SWITCHES = ("never", "unsupported", "judges_value", "distinct", "has_container")
+
+
+def asks(rule: str, kinds: str) -> str:
+    """Whether a rule that comes with the row has a demand for values of these kinds."""
+
+    def test(demand: str) -> str:
+        value = f"{rule}.{demand}"
+        if demand == "additional_allowed":
+            return f"NOT coalesce({value}, true)"
+        return f"coalesce({value}, false)" if demand in SWITCHES else f"{value} IS NOT NULL"
+
+    return "(" + " OR ".join(test(demand) for demand in DEMANDS[kinds]) + ")"
 
 
 def checks_by_kind(node: Node, rule: JoinedRule | LiteralRule) -> dict[str, list[Check]]:
@@ -197,6 +219,7 @@ def checks_by_kind(node: Node, rule: JoinedRule | LiteralRule) -> dict[str, list
     def check(demand: str, fails: Text, keyword: str, detail: Text, held: bool = False, kinds: str = ALL) -> None:
         """``fails`` and ``detail`` build their texts around that of the demand's value; nothing
         is ever replaced in a text that already holds values of a schema."""
+        assert demand in DEMANDS[kinds], demand
         value = rule.get(demand)
         if value is not None:
             out.setdefault(kinds, []).append(Check(fails(value), violation(node, keyword, detail(value), held)))

@@ -600,7 +600,7 @@ def _linked() -> str:
     return let(known, "z", f"transform(found, r -> {rule})")
 
 
-def _longest_chain() -> str:
+def longest_chain() -> str:
     """How many rules can apply to one value one after the other; a loop counts each of its rules once."""
     height = "1 + coalesce(array_max(transform(r.beside, l -> h[l.to])), 0)"
     return let(
@@ -676,7 +676,7 @@ def compile_schemas(catalog: DataFrame, at_most: int | None = None) -> DataFrame
     )
     linked = grouped.selectExpr(
         "schema_id", "malformed", "old_draft", "tool", f"if(malformed OR old_draft, NULL, {_linked()}) AS rules"
-    ).selectExpr("*", f"{_longest_chain()} AS chain")
+    ).selectExpr("*", f"{longest_chain()} AS chain")
     status = (
         "CASE WHEN malformed THEN 'bad_schema' WHEN old_draft THEN 'unsupported_schema'"
         " WHEN exists(rules, r -> r.unsupported) THEN 'partly' ELSE 'ok' END"
