@@ -359,15 +359,26 @@ def _shortened(compiled: DataFrame) -> DataFrame:
     chain of references takes one step. References that only lead to each other stay as they are. Each rule
     also tells which demands and links it has at all; ``root`` is the rule that a call begins with.
     """
-    alone = [f"NOT {asks('r', kinds)}" for kinds in DEMANDS]
-    alone += [f"NOT ({test})" for test in _LEADS[1:]]
-    alone += ["r.required IS NULL", "size(r.needs) = 0", "size(r.patterns) = 0", "size(r.property_names) = 0"]
-    alone += [f"NOT coalesce(r.{f}, false)" for f in ("counted", "conditional", "judges_members", "judges_elements")]
-    alone += [f"NOT coalesce(r.{f}, false)" for f in ("closed_members", "closed_elements")]
-    alias = f"size(r.beside) = 1 AND r.beside[0].edge = {_edge('$ref')} AND {' AND '.join(alone)}"
+    kept = [f.name for f in compiled.schema["rules"].dataType.elementType.fields]
+    kept = [f for f in kept if f not in ("pointer", "path", "at")]
+    told = [f"'{f}', r.{f}" for f in kept] + [f"'{f}', {asks('r', kinds)}" for kinds, f in _ASKED.items()]
+    leads = " + ".join(f"if({test}, {1 << bit}, 0)" for bit, test in enumerate(_LEADS))
+    told.append(f"'leads', {leads}")
+    df = compiled.selectExpr("schema_id", "status", "tool", f"transform(rules, r -> named_struct({', '.join(told)})) AS rules")
+
+    asked = [f"r.{_ASKED.get(kinds, DEMANDS[kinds][0])}" for kinds in DEMANDS]
+    asked = " OR ".join([*asked, "r.required IS NOT NULL", "size(r.needs) > 0"])
+    apart = ("counted", "conditional", "judges_members", "judges_elements", "closed_members", "closed_elements")
+    alias = (
+        f"r.leads = 1 AND size(r.beside) = 1 AND r.beside[0].edge = {_edge('$ref')} AND NOT ({asked})"
+        f" AND size(r.patterns) = 0 AND size(r.property_names) = 0 AND NOT ({' OR '.join(f'coalesce(r.{f}, false)' for f in apart)})"
+    )
     first = f"transform(rules, (r, i) -> if(coalesce({alias}, false), r.beside[0].to, i))"
+    df = df.selectExpr("*", f"if(size(rules) > 0, {first}, NULL) AS __next")
+    # References in a ring have no end: what leads to one stays.
+    ends = "transform(h, (x, i) -> if(coalesce(__next[x] <> x, true), i, x))"
     twice = "transform(h, x -> coalesce(get(h, x), x))"
-    ends = f"aggregate(sequence(0, int(log2(size(rules)))), {first}, (h, i) -> {twice})"
+    df = df.selectExpr("*", f"aggregate(sequence(0, int(log2(size(rules)))), __next, (h, i) -> {twice}, h -> {ends}) AS __ends")
 
     def ended(to: str) -> str:
         return f"coalesce(get(__ends, {to}), {to})"
@@ -375,12 +386,6 @@ def _shortened(compiled: DataFrame) -> DataFrame:
     def links(of: str) -> str:
         return f"transform({of}, l -> named_struct('edge', l.edge, 'key', l.key, 'to', {ended('l.to')}))"
 
-    def passed(i: str) -> str:
-        """A rule that no link leads to any more; it is left out."""
-        return f"__ends[{i}] <> {i}"
-
-    given_fields = [f.name for f in compiled.schema["rules"].dataType.elementType.fields]
-    given_fields = [f for f in given_fields if f not in ("pointer", "path", "at")]
     changed = {
         "beside": links("r.beside"),
         "wide": links("r.wide"),
@@ -389,13 +394,10 @@ def _shortened(compiled: DataFrame) -> DataFrame:
         "rest_to": ended("r.rest_to"),
         "names_to": ended("r.names_to"),
     }
-    fields_ = [f"'{f}', {changed.get(f, f'r.{f}')}" for f in given_fields]
-    fields_ += [f"'{f}', {asks('r', kinds)}" for kinds, f in _ASKED.items()]
-    leads = " + ".join(f"if({test}, {1 << bit}, 0)" for bit, test in enumerate(_LEADS))
-    any_demand = [asks("r", kinds) for kinds in DEMANDS] + ["r.required IS NOT NULL", "size(r.needs) > 0"]
-    fields_ += [f"'asks', {' OR '.join(any_demand)}", f"'leads', {leads}"]
-    rules = f"transform(rules, (r, i) -> if({passed('i')}, NULL, named_struct({', '.join(fields_)})))"
-    df = compiled.selectExpr("*", f"if(size(rules) > 0, {ends}, NULL) AS __ends")
+    fields_ = [f"'{f}', {changed.get(f, f'r.{f}')}" for f in [*kept, *_ASKED.values()]]
+    fields_ += [f"'asks', {asked}", "'leads', r.leads"]
+    # No link leads to a rule that is passed over any more, so it is left out.
+    rules = f"transform(rules, (r, i) -> if(__ends[i] <> i, NULL, named_struct({', '.join(fields_)})))"
     df = df.selectExpr("schema_id", "status", "tool", f"{rules} AS rules", "coalesce(__ends[0], 0) AS root")
     return df.selectExpr("*", f"{longest_chain()} AS chain")
 
@@ -494,10 +496,10 @@ class _JoinedRules:
 
         # The type text of a large value is long, so it is asked for only where a rule or the kind needs it.
         whole = given(shape_of("c.v"), "s", typed("s", kind_of("c.v", "s"), "k"))
+        needed = "coalesce(get(__rules, c.rule).has_container, false)"
         opened = given(keys("c.v"), "k", (
-            f"CASE WHEN coalesce(get(__rules, c.rule).has_container, false) THEN {whole}"
-            f" WHEN k IS NOT NULL THEN {typed(quote('OBJECT'), quote('object'), 'k')}"
-            f" WHEN {is_array('c.v')} THEN {typed(quote('ARRAY'), quote('array'))} ELSE {whole} END"
+            f"CASE WHEN k IS NOT NULL AND NOT {needed} THEN {typed(quote('OBJECT'), quote('object'), 'k')}"
+            f" WHEN {is_array('c.v')} AND NOT {needed} THEN {typed(quote('ARRAY'), quote('array'))} ELSE {whole} END"
         ))
         carried = ", ".join(f"'{f.split(':')[0]}', c.{f.split(':')[0]}" for f in _STEP.split(","))
         return (
@@ -534,17 +536,15 @@ class _JoinedRules:
         path = f"if(c.edge < {len(BESIDE)} OR c.edge = {_edge('propertyNames')}, t.path, {further})"
         seen = f"if(c.edge < {len(BESIDE)}, {along}, {fresh})"
 
-        def opened(steps: str, path: str, seen: str) -> str:
-            pairs = self._opened("f", "p", "size(f)", path, seen)
-            return given(f"coalesce({steps}, {_NO_STEPS})", "f", f"if(size(f) = 0, {_NO_PAIRS}, {pairs})")
-
         # Most rules have links of one group.
-        members_only, elements_only = (opened(found[_GROUPS.index(g)], further, fresh) for g in ("name_to", "inner"))
-        family = (
-            f"CASE WHEN coalesce(r.leads, 0) = 0 THEN {_NO_PAIRS} WHEN r.leads = {1 << _GROUPS.index('name_to')} THEN {members_only}"
-            f" WHEN r.leads = {1 << _GROUPS.index('inner')} THEN {elements_only} ELSE {opened(several, path, seen)} END"
+        single = " ".join(
+            f"WHEN r.leads = {1 << _GROUPS.index(g)} THEN coalesce({found[_GROUPS.index(g)]}, {_NO_STEPS})" for g in ("name_to", "inner")
         )
-        return f"flatten(transform({pairs}, (t, p) -> {given('get(__rules, t.rule)', 'r', family)}))"
+        family = f"CASE {single} ELSE {several} END"
+        pairs_ = self._opened("f", "p", "size(f)", path, seen)
+        one = given(family, "f", f"if(size(f) = 0, {_NO_PAIRS}, {pairs_})")
+        some = f"if(coalesce(r.leads, 0) = 0, {_NO_PAIRS}, {one})"
+        return f"flatten(transform({pairs}, (t, p) -> {given('get(__rules, t.rule)', 'r', some)}))"
 
     def _own(self, t: str, r: str) -> str:
         """Violations of one pair by itself. Most have none, so it is first asked whether any demand is failed."""
@@ -565,7 +565,8 @@ class _JoinedRules:
         for kinds, checks in checks_by_kind(node, JoinedRule(r)).items():
             some = " OR ".join(f"{kind} = {quote(k)}" for k in kinds.split()) or "true"
             asked = f"{r}.{_ASKED.get(kinds, DEMANDS[kinds][0])} AND ({some})"
-            parts.append(f"if({asked}, {_gather(checks)}, {NO_VIOLATIONS})")
+            ones = ", ".join([NO_VIOLATION, *[check.one for check in checks]])
+            parts.append(f"if({asked}, array_compact(array({ones})), {NO_VIOLATIONS})")
             failing.append(f"{asked} AND ({' OR '.join(f'({check.fails})' for check in checks)})")
         for asked, list_ in (
             (f"{whole}{r}.required IS NOT NULL", missing(f"{r}.required")),

@@ -8,6 +8,8 @@ from callsieve.plans import derive
 
 CHAIN = {"$defs": {"a": {"$ref": "#/$defs/b"}, "b": {"$ref": "#/$defs/c"}, "c": {"type": "integer"}}, "$ref": "#/$defs/a"}
 ROUND = {"$defs": {"a": {"$ref": "#/$defs/b"}, "b": {"$ref": "#/$defs/a"}}, "properties": {"x": {"$ref": "#/$defs/a"}, "y": {"type": "null"}}}
+RING = {"$defs": {**{f"r{i}": {"$ref": f"#/$defs/r{(i + 1) % 3}"} for i in range(3)}, "in": {"$ref": "#/$defs/r0"}}, "items": {"$ref": "#/$defs/in"}}
+SELF = {"$defs": {"a": {"$ref": "#/$defs/a"}, "b": {"$ref": "#/$defs/a"}}, "items": {"$ref": "#/$defs/b"}}
 BACK = {"$defs": {"a": {"$ref": "#/$defs/b"}, "b": {"allOf": [{"$ref": "#/$defs/a"}], "type": "object"}}, "$ref": "#/$defs/a"}
 BESIDE = {"$defs": {"a": {"$ref": "#/$defs/b", "maximum": 3}, "b": {"type": "integer"}}, "items": {"anyOf": [{"$ref": "#/$defs/a"}, {"type": "null"}]}}
 KEYS = {"properties": {"a/b": {"properties": {"~1": {"properties": {"": {"$ref": "#/$defs/n"}}}}}}, "$defs": {"n": {"type": "integer"}}}
@@ -17,6 +19,9 @@ CASES = [
     ('{"x":1}', ROUND, "unsupported_schema", None, None),
     ('{"x":1,"y":1}', ROUND, "invalid", "type", ["y"]),
     ("{}", ROUND, "valid", None, None),
+    ("[]", RING, "valid", None, None),
+    ("[1]", RING, "unsupported_schema", None, None),
+    ("[1]", SELF, "unsupported_schema", None, None),
     ("{}", BACK, "unsupported_schema", None, None),
     ("1", BACK, "invalid", "type", []),
     ("[1,null]", BESIDE, "valid", None, None),
