@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from callsieve import session
+from callsieve.operators.validate import Checker, validate_calls
 from callsieve.plans import derive, registry
 from callsieve.streaming import gate
 
@@ -30,3 +31,11 @@ def test_shuffle_files_of_jobs_that_are_over_go(spark, monkeypatch):
         session.free_shuffles(spark)
         time.sleep(0.5)
     assert manager.getAllFiles().size() < held
+
+
+def test_an_epoch_of_known_batches_brings_no_rules(spark):
+    catalog = derive.schemas_of(spark, "{}").limit(0)
+    # Rules for a join would be planned and compiled in each epoch to judge nothing.
+    assert not hasattr(Checker(catalog).rules, "compiled")
+    calls = spark.createDataFrame([(1, "{}", "x"), (2, "{", None)], "i int, call string, schema_id string")
+    assert {(r.i, r.status) for r in validate_calls(calls, catalog).collect()} == {(1, "unknown_schema"), (2, "json_error")}
